@@ -45,15 +45,19 @@ def epsg_code(lon, lat) -> Column:
 
 
 class TransverseMercator:
-    """Krüger n-series to third order for one ellipsoid."""
+    """Krüger n-series to fourth order for one ellipsoid."""
 
     def __init__(self, a: float, f: float, k0: float, fe: float, fn: float, lat0: float = 0.0):
         n = f / (2 - f)
         self.n, self.k0, self.fe = n, k0, fe
         self.radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-        self.alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-        self.beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-        self.delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+        # coefficients of the published series (fixed values)
+        self.alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+                      61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+        self.beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+                     17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+        self.delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+                      56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
         self.e = 2 * math.sqrt(n) / (1 + n)
         t = math.sinh(math.atanh(math.sin(lat0)) - self.e * math.atanh(self.e * math.sin(lat0)))
         xi = math.atan(t)

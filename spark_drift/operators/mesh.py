@@ -249,13 +249,11 @@ def invert_mask(df: DataFrame, mask: str = "mask") -> DataFrame:
 def level_interfaces(layers: DataFrame, by: Sequence[str] = (), level: str = "level", sigma: str = "sigma") -> DataFrame:
     """Interfaces of σ layers: 0 on top, −1 at the bottom, the mean of adjacent layers between."""
     w = Window.partitionBy(*by).orderBy(level) if by else Window.orderBy(level)
-    above = F.lag(sigma).over(w)
-    inner = layers.withColumn("_v", F.coalesce((above + F.col(sigma)) / 2, F.lit(0.0)))
-    last = F.lead(sigma).over(w).isNull()
-    pairs = F.when(last, F.array(F.struct(F.col(level).alias("k"), F.col("_v").alias("s")),
-                                 F.struct((F.col(level) + 1).cast("int").alias("k"), F.lit(-1.0).alias("s")))).otherwise(
-        F.array(F.struct(F.col(level).alias("k"), F.col("_v").alias("s"))))
-    out = inner.select(*by, F.explode(pairs).alias("p"))
+    rows = layers.select(*by, F.col(level).alias("_k"), F.col(sigma).alias("_s"), F.lag(sigma).over(w).alias("_above"),
+                         F.lead(sigma).over(w).isNull().alias("_last"))
+    upper = F.struct(F.col("_k").alias("k"), F.coalesce((F.col("_above") + F.col("_s")) / 2, F.lit(0.0)).alias("s"))
+    bottom = F.struct((F.col("_k") + 1).cast("int").alias("k"), F.lit(-1.0).alias("s"))
+    out = rows.select(*by, F.explode(F.when(F.col("_last"), F.array(upper, bottom)).otherwise(F.array(upper))).alias("p"))
     return out.select(*by, F.col("p.k").cast("int").alias(level), F.col("p.s").alias(sigma))
 
 

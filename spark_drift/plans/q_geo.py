@@ -179,11 +179,13 @@ def epsg_code(t):
     WITH k AS (SELECT 6378137e0 AS a, 6.69437999014132e-3 AS e2),
     q AS (SELECT id, lat1 * 0.9 AS lat, radians(lat1 * 0.9) AS f, radians((id % 5) * 0.25 - 0.5) AS dl, k.* FROM pairs, k),
     s AS (SELECT *, a / sqrt(1 - e2 * sin(f) * sin(f)) AS nu, tan(f) * tan(f) AS t, e2 / (1 - e2) * cos(f) * cos(f) AS c, dl * cos(f) AS aa,
-      a * ((1 - e2/4 - 3*e2*e2/64 - 5*e2*e2*e2/256) * f - (3*e2/8 + 3*e2*e2/32 + 45*e2*e2*e2/1024) * sin(2*f)
-        + (15*e2*e2/256 + 45*e2*e2*e2/1024) * sin(4*f) - (35*e2*e2*e2/3072) * sin(6*f)) AS m FROM q)
+      a * ((1 - e2/4 - 3*pow(e2,2)/64 - 5*pow(e2,3)/256 - 175*pow(e2,4)/16384) * f
+        - (3*e2/8 + 3*pow(e2,2)/32 + 45*pow(e2,3)/1024 + 105*pow(e2,4)/4096) * sin(2*f)
+        + (15*pow(e2,2)/256 + 45*pow(e2,3)/1024 + 525*pow(e2,4)/16384) * sin(4*f)
+        - (35*pow(e2,3)/3072 + 175*pow(e2,4)/12288) * sin(6*f) + 315*pow(e2,4)/131072 * sin(8*f)) AS m FROM q)
     SELECT id, round(500000 + 0.9996 * nu * (aa + (1-t+c) * pow(aa,3)/6 + (5-18*t+t*t+72*c-58*e2/(1-e2)) * pow(aa,5)/120), 1) + 0.0 AS easting,
       round(0.9996 * (m + nu * tan(f) * (aa*aa/2 + (5-t+9*c+4*c*c) * pow(aa,4)/24 + (61-58*t+t*t+600*c-330*e2/(1-e2)) * pow(aa,6)/720)), 1) + 0.0 AS northing,
-      round(lat, 6) + 0.0 AS lat, round((id % 5) * 0.25 - 3.5, 6) + 0.0 AS lon
+      round(lat, 6) + 0.0 AS lat, round(CAST((id % 5) * 0.25 - 3.5 AS DOUBLE), 6) + 0.0 AS lon
     FROM s""")
 def utm_from_lonlat(t):
     df = t.table("pairs").select("id", (C("lat1") * F.lit(0.9)).alias("lat"), ((C("id") % 5) * F.lit(0.25) - 3.5).alias("lon"))

@@ -21,6 +21,8 @@ BASE = ("region nation customer supplier part orders lineitem events documents e
 MACROS = {
     "TRUNC_SECOND": ("CAST(date_trunc('SECOND', {}) AS TIMESTAMP_NTZ)", "date_trunc('second', {})"),
     "TRUNC_DAY": ("CAST(date_trunc('DAY', {}) AS TIMESTAMP_NTZ)", "date_trunc('day', {})"),
+    "TRUNC_HOUR": ("CAST(date_trunc('HOUR', {}) AS TIMESTAMP_NTZ)", "date_trunc('hour', {})"),
+    "TRUNC_MONTH": ("CAST(date_trunc('MONTH', {}) AS TIMESTAMP_NTZ)", "date_trunc('month', {})"),
     "DAYNUM": ("unix_date(CAST({} AS DATE))", "date_diff('day', DATE '1970-01-01', CAST({} AS DATE))"),
     "SECS": ("unix_seconds(CAST({} AS TIMESTAMP))", "CAST(epoch({}) AS BIGINT)"),
     "MKTS": ("CAST(timestamp_seconds({}) AS TIMESTAMP_NTZ)", "make_timestamp(CAST({} AS BIGINT) * 1000000)"),
@@ -57,9 +59,13 @@ SHARED = {
         SELECT DISTINCT TRUNC_DAY(ts) AS time FROM events
         UNION SELECT MKTS((SELECT max(DAYNUM(ts)) + 1 FROM events) * 86400) AS time""",
     "profiles": """
-        SELECT TRUNC_DAY(o_orderdate) AS time, CAST(o_custkey % 6 AS INT) AS level,
-          -CAST(o_custkey % 6 AS DOUBLE) * 6 - 1 AS z, CAST(count(*) AS DOUBLE) + CAST(o_custkey % 6 AS DOUBLE) AS value
-        FROM orders GROUP BY TRUNC_DAY(o_orderdate), o_custkey % 6""",
+        SELECT time, level, -CAST(level AS DOUBLE) * 6 - 1 + (DAYNUM(time) % 5) * CAST(0.1 AS DOUBLE) AS z,
+          CAST(n AS DOUBLE) + level AS value
+        FROM (SELECT TRUNC_MONTH(o_orderdate) AS time, CAST(o_custkey % 6 AS INT) AS level, count(*) AS n
+          FROM orders GROUP BY TRUNC_MONTH(o_orderdate), CAST(o_custkey % 6 AS INT)) m""",
+    "day_fixes": """
+        SELECT fix_id, particle_id, CAST(particle_id % 4 AS INT) AS release, TRUNC_DAY(time) AS time, group_id, x, y, z FROM fixes""",
+    "hours": "SELECT DISTINCT TRUNC_HOUR(ts) AS time FROM events",
     # pairs of geographic positions and plane segments, one per order
     "pairs": """
         SELECT o_orderkey AS id, CAST(o_orderkey * 7919 % 36000 AS DOUBLE) / 100 - 180 AS lon1,
