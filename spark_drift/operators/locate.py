@@ -234,19 +234,18 @@ def wall_sides(mesh: Mesh) -> DataFrame:
 
     kind −1: no neighbour, or a LAND neighbour; kind −2: open boundary. Sides of LAND
     elements are left out: a path only ever meets them from the sea."""
-    el = mesh.elements
+    el = element_corners(mesh)
     if "mask_c" not in el.columns:
         el = el.withColumn("mask_c", F.lit(0))
-    sides = el.where(F.col("mask_c") != LAND).select("element_id", "nv", F.posexplode("nbe").alias("slot", "nb"))
+    sides = F.array(*[
+        F.struct(F.lit(k).alias("slot"), F.col("nbe")[k].alias("nb"), F.col(f"x{i}").alias("sx"), F.col(f"y{i}").alias("sy"),
+                 F.col(f"x{j}").alias("ex"), F.col(f"y{j}").alias("ey"))
+        for k, (i, j) in enumerate(SIDE_ENDS)])
+    rows = el.where(F.col("mask_c") != LAND).select("element_id", F.explode(sides).alias("s")).select("element_id", "s.*")
     land = el.where(F.col("mask_c") == LAND).select(F.col("element_id").alias("nb"), F.lit(1).alias("_land"))
-    sides = sides.join(land, "nb", "left").where("nb < 0 or _land = 1")
+    rows = rows.join(land, "nb", "left").where("nb < 0 or _land = 1")
     kind = F.when(F.col("nb") == OPEN_CROSSED, OPEN_CROSSED).otherwise(LAND_CROSSED).cast("int")
-    ends = [F.expr(f"CASE slot WHEN 0 THEN nv[{SIDE_ENDS[0][e]}] WHEN 1 THEN nv[{SIDE_ENDS[1][e]}] ELSE nv[{SIDE_ENDS[2][e]}] END")
-            for e in (0, 1)]
-    sides = sides.select("element_id", "slot", kind.alias("kind"), ends[0].alias("na"), ends[1].alias("nb"))
-    a = mesh.nodes.select(F.col("node_id").alias("na"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    b = mesh.nodes.select(F.col("node_id").alias("nb"), F.col("x").alias("ex"), F.col("y").alias("ey"))
-    return sides.join(a, "na").join(b, "nb").drop("na", "nb")
+    return rows.withColumn("kind", kind).drop("nb", "_land")
 
 
 def _degrees(p: Column) -> Column:

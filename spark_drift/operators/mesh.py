@@ -75,11 +75,32 @@ def attach_nodes(elements: DataFrame, nodes: DataFrame, columns: dict[str, str])
     return out
 
 
+def prepare_mesh(mesh: Mesh) -> Mesh:
+    """The mesh with corner positions (and node masks m0..m2) kept on the element table.
+
+    Write the result and read it back: every later operator then reads elements alone,
+    without looking up their nodes again."""
+    columns = {"x": "x", "y": "y"}
+    if "mask" in mesh.nodes.columns:
+        columns["mask"] = "m"
+    bare = mesh.elements.drop(*[f"{c}{k}" for c in ("x", "y", "m") for k in range(3)])
+    return Mesh(mesh.nodes, attach_nodes(bare, mesh.nodes, columns), mesh.cs)
+
+
 def element_corners(mesh: Mesh) -> DataFrame:
     """Elements with their corner positions x0, y0 … x2, y2 in mesh units."""
+    if "x0" in mesh.elements.columns:
+        return mesh.elements
     return attach_nodes(mesh.elements, mesh.nodes, {"x": "x", "y": "y"})
 
 
+def element_masks(mesh: Mesh) -> DataFrame:
+    """Elements with the masks of their corners m0..m2."""
+    if "m0" in mesh.elements.columns:
+        return mesh.elements
+    return attach_nodes(mesh.elements, mesh.nodes, {"mask": "m"})
+
+
 def corner_vectors(geographic: bool) -> list[geo.Vec]:
     """Corner positions as 3-vectors: unit vectors on the sphere, (x, y, 0) in the plane."""
     if geographic:

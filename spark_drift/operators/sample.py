@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions import geo
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import lerp
-from spark_drift.operators.mesh import attach_nodes, centre_columns, corner_vectors, element_corners
+from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, SEA, Mesh
 
 PHI = ("phi0", "phi1", "phi2")
@@ -95,7 +95,7 @@ def adjust_boundary_phi(points: DataFrame, mesh: Mesh) -> DataFrame:
     """In BOUNDARY elements the sea node of largest φ gets weight 1 (nearest neighbour).
 
     With every sea φ at 0 the first sea node is taken. LAND hosts are an error."""
-    masks = attach_nodes(mesh.elements.select("element_id", "nv"), mesh.nodes, {"mask": "_m"}).drop("nv")
+    masks = element_masks(mesh).select("element_id", *[F.col(f"m{k}").alias(f"_m{k}") for k in range(3)])
     joined = points.join(masks, F.col("host") == F.col("element_id"), "left").drop("element_id")
     sea_phi = [F.when(F.col(f"_m{k}") == SEA, F.col(f"phi{k}")).otherwise(F.lit(-1.0)) for k in range(3)]
     best = F.greatest(*sea_phi)

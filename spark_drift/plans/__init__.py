@@ -1,6 +1,6 @@
 """Named queries over the given tables, one per operator."""
 
 from spark_drift.plans.registry import ORACLES, QUERIES
-from spark_drift.plans import q_geo, q_mesh, q_sources, q_time
+from spark_drift.plans import q_geo, q_locate, q_mesh, q_sources, q_time
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,7 @@ def lattice_mesh(t):
 @query("orient_elements", f"WITH {SLOTS_SQL.strip()} SELECT element_id, n0, n1, n2, b0, b1, b2 FROM elems JOIN nb3 USING (element_id)")
 def orient_elements(t):
     swap = lambda c: F.when(C("element_id") % 2 == 1, F.array(C(c)[0], C(c)[2], C(c)[1])).otherwise(C(c))
-    mixed = Mesh(t.mesh.nodes, t.mesh.elements.withColumns({"nv": swap("nv"), "nbe": swap("nbe")}))
+    mixed = Mesh(t.raw_mesh.nodes, t.raw_mesh.elements.withColumns({"nv": swap("nv"), "nbe": swap("nbe")}))
     return _flat(ops.orient_elements(mixed).elements)
 
 
@@ -52,7 +52,7 @@ UNIT_SQL = """
         1 + ax * bx + ay * by_ + az * bz + bx * cx + by_ * cy + bz * cz + cx * ax + cy * ay + cz * az)), 2) + 0.0 AS km2
     FROM tri t JOIN g3 USING (element_id)""")
 def element_areas(t):
-    plane = ops.element_areas(t.mesh).select("element_id", rd("area").alias("area"))
+    plane = ops.element_areas(t.raw_mesh).select("element_id", rd("area").alias("area"))
     sphere = ops.element_areas(t.geo_mesh).select("element_id", rd(C("area") / 1e6, 2).alias("km2"))
     return plane.join(sphere, "element_id")
 
@@ -72,8 +72,8 @@ def element_midpoints(t):
 @query("element_mask", """
     SELECT element_id, CAST(CASE WHEN m0 + m1 + m2 = 0 THEN 0 WHEN m0 + m1 + m2 <= 1 THEN 1 ELSE 2 END AS INT) AS mask_1, CAST(mask_c AS INT) AS mask_2 FROM tri""")
 def element_mask(t):
-    one = ops.element_mask(t.mesh.elements.drop("mask_c"), t.mesh.nodes, 1).select("element_id", C("mask_c").alias("mask_1"))
-    return one.join(t.mesh.elements.select("element_id", C("mask_c").alias("mask_2")), "element_id")
+    one = ops.element_mask(t.raw_mesh.elements.drop("mask_c"), t.raw_mesh.nodes, 1).select("element_id", C("mask_c").alias("mask_1"))
+    return one.join(t.raw_mesh.elements.select("element_id", C("mask_c").alias("mask_2")), "element_id")
 
 
 @query("mask_two_boundary", """
@@ -81,7 +81,7 @@ def element_mask(t):
       WHERE t.m0 + t.m1 + t.m2 = 0 AND n.m0 + n.m1 + n.m2 > 0 GROUP BY 1 HAVING count(*) = 2)
     SELECT element_id, CAST(CASE WHEN m0 + m1 + m2 > 0 OR element_id IN (SELECT element_id FROM hit) THEN 2 ELSE 0 END AS INT) AS mask_c FROM tri""")
 def mask_two_boundary(t):
-    strict = ops.element_mask(t.mesh.elements.drop("mask_c"), t.mesh.nodes, 0)
+    strict = ops.element_mask(t.raw_mesh.elements.drop("mask_c"), t.raw_mesh.nodes, 0)
     return ops.mask_two_boundary(strict).select("element_id", "mask_c")
 
 
@@ -131,7 +131,7 @@ def node_mask_from_field(t):
 
 @query("level_interfaces", """
     WITH layers AS (SELECT s_suppkey AS id, CAST(l AS INT) AS level, -(l + 0.3 + (s_suppkey % 4) / 10) / 5 AS sigma FROM supplier, range(5) r(l))
-    SELECT id, k AS level, round(CASE k WHEN 0 THEN 0 WHEN 5 THEN -1 ELSE (a.sigma + b.sigma) / 2 END, 6) + 0.0 AS sigma
+    SELECT i.id, k AS level, round(CASE k WHEN 0 THEN 0 WHEN 5 THEN -1 ELSE (a.sigma + b.sigma) / 2 END, 6) + 0.0 AS sigma
     FROM (SELECT DISTINCT id FROM layers) i, (SELECT CAST(unnest([0,1,2,3,4,5]) AS INT) AS k) q
     LEFT JOIN layers a ON a.id = i.id AND a.level = k - 1 LEFT JOIN layers b ON b.id = i.id AND b.level = k""")
 def level_interfaces(t):

@@ -10,10 +10,12 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spark_drift.schema import Mesh
-from spark_drift.util import ts_literal
+from spark_drift.sources.writers import write_mesh
+from spark_drift.util import scratch_folder, ts_literal
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages "
         "benchmark labels conversations").split()
@@ -213,6 +215,8 @@ def _with(sql: str, defs: dict[str, str]) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({defs[n].strip()})" for n in order)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -222,6 +226,9 @@ def oracle_text(sql: str) -> str:
     return _expand(_with(sql, {**SHARED, **ORACLE_ONLY}), 1)
 
 
+_STORED: dict[tuple, tuple[str, str]] = {}
+
+
 class Tables:
     """Lazy DataFrames over one folder of the given tables."""
 
@@ -254,20 +261,49 @@ class Tables:
         return self.table("frame_times")
 
     @cached_property
-    def mesh(self) -> Mesh:
-        """The plane lattice with masks, depths and element masks."""
+    def raw_mesh(self) -> Mesh:
+        """The plane lattice with masks, depths and element masks, built from the axes."""
         from spark_drift.operators.mesh import element_mask, lattice_mesh
 
         m = lattice_mesh(self.table("axis_x"), self.table("axis_y"))
         nodes = m.nodes.withColumn("h", F.expr(NODE_H)).withColumn("mask", F.expr(NODE_MASK))
         return Mesh(nodes, element_mask(m.elements, nodes), "cartesian")
 
+    def _stored(self, name: str, build) -> Mesh:
+        """The mesh as written tables: built once per application and folder, then read."""
+        from spark_drift.operators.mesh import prepare_mesh
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        for attempt in (0, 1):
+            if key not in _STORED or attempt:
+                path = scratch_folder(self.spark, "mesh")
+                mesh = build()
+                write_mesh(mesh.nodes, mesh.elements, path)
+                nodes = self.spark.read.parquet(f"{path}/nodes")
+                elements = self.spark.read.parquet(f"{path}/elements")
+                ready = prepare_mesh(Mesh(nodes, elements, mesh.cs))
+                ready.elements.write.parquet(f"{path}/prepared")
+                _STORED[key] = (path, mesh.cs)
+            path, cs = _STORED[key]
+            try:
+                return Mesh(self.spark.read.parquet(f"{path}/nodes"), self.spark.read.parquet(f"{path}/prepared"), cs)
+            except AnalysisException:  # the folder was cleared: build again
+                if attempt:
+                    raise
+        raise AssertionError
+
+    @cached_property
+    def mesh(self) -> Mesh:
+        return self._stored("plane", lambda: self.raw_mesh)
+
     @cached_property
     def geo_mesh(self) -> Mesh:
         """The same lattice stretched over the date line at high latitude."""
-        m = self.mesh
-        nodes = m.nodes.withColumns({"x": F.expr(GEO_X), "y": F.expr(GEO_Y)})
-        return Mesh(nodes, m.elements, "geographic")
+        def build() -> Mesh:
+            nodes = self.mesh.nodes.withColumns({"x": F.expr(GEO_X), "y": F.expr(GEO_Y)})
+            return Mesh(nodes, self.mesh.elements, "geographic")
+
+        return self._stored("sphere", build)
 
     @cached_property
     def geo_points(self) -> DataFrame:
