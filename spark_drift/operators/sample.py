@@ -15,6 +15,7 @@ from spark_drift.functions import geo
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import lerp
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
+from spark_drift.operators.time import nearest_time
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, SEA, Mesh
 
 PHI = ("phi0", "phi1", "phi2")
@@ -487,6 +488,11 @@ def time_series_at_depth(profile: DataFrame, depth: float, zeta: DataFrame | Non
     return agg.select(by, value.alias("value"))
 
 
+def profile_at(profile: DataFrame, date, time: str = "time") -> DataFrame:
+    """The profile at the time nearest to ``date``, from the bottom up."""
+    return nearest_time(profile, date, time).orderBy("z")
+
+
 def hovmoller(profile: DataFrame, edges: DataFrame) -> DataFrame:
     """Profile rows with the depth edges of their cell: ``edges`` (time, level, z), one more level than layers.
 

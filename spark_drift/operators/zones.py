@@ -65,7 +65,8 @@ def disc_points_regular(zones: DataFrame) -> DataFrame:
         return F.when(F.col("_m") == 1, F.col(c) - F.col("radius")).otherwise(last)
 
     rows = rows.withColumns({"x": place("cx", "i"), "y": place("cy", "j")})
-    rows = rows.where(geo.euclid("x", "y", "cx", "cy") <= F.col("radius"))
+    # points on the rim count as inside, whatever the last bits of their distance
+    rows = rows.where(geo.euclid("x", "y", "cx", "cy") <= F.col("radius") * F.lit(1 + 1e-9))
     return rows.select("group_id", "i", "j", "x", "y", F.col("depth").alias("z"))
 
 

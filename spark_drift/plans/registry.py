@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spark_drift.plans.tables import Tables, oracle_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# comparison SQL as written; ``oracles`` adds the derived tables it uses
 ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def oracles() -> dict[str, str]:
+    return {name: oracle_text(text) for name, text in ORACLES.items()}
 
 
 def query(name: str, oracle: str | None = None):
@@ -20,7 +25,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = oracle_text(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return add

@@ -25,6 +25,7 @@ MACROS = {
     "TRUNC_DAY": ("CAST(date_trunc('DAY', {}) AS TIMESTAMP_NTZ)", "date_trunc('day', {})"),
     "TRUNC_HOUR": ("CAST(date_trunc('HOUR', {}) AS TIMESTAMP_NTZ)", "date_trunc('hour', {})"),
     "TRUNC_MONTH": ("CAST(date_trunc('MONTH', {}) AS TIMESTAMP_NTZ)", "date_trunc('month', {})"),
+    "KLIST": ("explode(sequence(0, {} - 1))", "unnest(range({}))"),
     "DAYNUM": ("unix_date(CAST({} AS DATE))", "date_diff('day', DATE '1970-01-01', CAST({} AS DATE))"),
     "SECS": ("unix_seconds(CAST({} AS TIMESTAMP))", "CAST(epoch({}) AS BIGINT)"),
     "MKTS": ("CAST(timestamp_seconds({}) AS TIMESTAMP_NTZ)", "make_timestamp(CAST({} AS BIGINT) * 1000000)"),
@@ -35,8 +36,8 @@ SHARED = {
     "fixes": """
         SELECT event_id AS fix_id, user_id AS particle_id, ascii(event_type) - 96 AS group_id,
           CAST(floor((DAYNUM(ts) - 19723) / 7) AS INT) AS release, TRUNC_SECOND(ts) AS time,
-          CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) / 10 + CAST(0.0137 AS DOUBLE) AS x,
-          CAST(event_id * 37 % 100 AS DOUBLE) / 10 + CAST(0.0071 AS DOUBLE) AS y,
+          CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) / 10 + CAST(0.013721357 AS DOUBLE) AS x,
+          CAST(event_id * 37 % 100 AS DOUBLE) / 10 + CAST(0.007193751 AS DOUBLE) AS y,
           -(value % 30) AS z,
           CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error_status,
           CASE WHEN event_type IN ('error', 'purchase') THEN 0 ELSE 1 END AS in_domain,
@@ -44,8 +45,8 @@ SHARED = {
           CAST(event_id % 3 AS INT) AS land_boundary_encounters
         FROM events""",
     "points": """
-        SELECT c_custkey AS point_id, CAST(c_custkey * 13 % 1050 AS DOUBLE) / 100 + CAST(0.0037 AS DOUBLE) AS x,
-          CAST(c_custkey * 29 % 1000 AS DOUBLE) / 100 + CAST(0.0071 AS DOUBLE) AS y,
+        SELECT c_custkey AS point_id, CAST(c_custkey * 13 % 1050 AS DOUBLE) / 100 + CAST(0.003718291 AS DOUBLE) AS x,
+          CAST(c_custkey * 29 % 1000 AS DOUBLE) / 100 + CAST(0.007193751 AS DOUBLE) AS y,
           -(abs(c_acctbal) % 30) AS z
         FROM customer""",
     "axis_x0": """
@@ -97,18 +98,18 @@ SHARED = {
 
 # Masks, depths and field values on the lattice, the same text for both engines.
 NODE_MASK = "CASE WHEN CAST(floor(lon_index / 4) + floor(lat_index / 3) AS INT) % 5 = 0 THEN 1 ELSE 0 END"
-NODE_H = "CAST(30 AS DOUBLE) + wx * CAST(0.5 AS DOUBLE) + wy * CAST(0.25 AS DOUBLE)"
+NODE_H = "CAST(30 AS DOUBLE) + wx * CAST(0.50213371 AS DOUBLE) + wy * CAST(0.25391173 AS DOUBLE)"
 FIELD_VALUES = {
-    "thetao": "10 + wx * CAST(0.4 AS DOUBLE) - level * CAST(1.5 AS DOUBLE) + day * CAST(0.05 AS DOUBLE) * (1 + wy)",
-    "uo": "(wy - 6) * CAST(0.05 AS DOUBLE) * (4 - level) + day * CAST(0.01 AS DOUBLE)",
-    "vo": "(wx - 8) * CAST(0.04 AS DOUBLE) * (4 - level) - day * CAST(0.02 AS DOUBLE)",
-    "wo": "(wx + wy) * CAST(0.001 AS DOUBLE) * level",
-    "zeta": "wx * CAST(0.02 AS DOUBLE) + day * CAST(0.01 AS DOUBLE)",
-    "kz": "CAST(0.01 AS DOUBLE) * (1 + wx) * level * (4 - level) + day * CAST(0.0001 AS DOUBLE)",
-    "u10": "wx + day * CAST(0.1 AS DOUBLE)",
-    "v10": "wy - day * CAST(0.1 AS DOUBLE)",
-    "usd": "wx * CAST(0.01 AS DOUBLE)",
-    "vsd": "wy * CAST(0.01 AS DOUBLE) + day * CAST(0.001 AS DOUBLE)",
+    "thetao": "10 + wx * CAST(0.40137913 AS DOUBLE) - level * CAST(1.5 AS DOUBLE) + day * CAST(0.05017391 AS DOUBLE) * (1 + wy)",
+    "uo": "(wy - 6) * CAST(0.05013917 AS DOUBLE) * (4 - level) + day * CAST(0.01031793 AS DOUBLE)",
+    "vo": "(wx - 8) * CAST(0.04019371 AS DOUBLE) * (4 - level) - day * CAST(0.02071933 AS DOUBLE)",
+    "wo": "(wx + wy) * CAST(0.00101739 AS DOUBLE) * level",
+    "zeta": "wx * CAST(0.02013179 AS DOUBLE) + day * CAST(0.01079317 AS DOUBLE)",
+    "kz": "CAST(0.01017393 AS DOUBLE) * (1 + wx) * level * (4 - level) + day * CAST(0.00013179 AS DOUBLE)",
+    "u10": "wx * CAST(1.01793931 AS DOUBLE) + day * CAST(0.10317917 AS DOUBLE)",
+    "v10": "wy * CAST(1.03917317 AS DOUBLE) - day * CAST(0.10791371 AS DOUBLE)",
+    "usd": "wx * CAST(0.01013937 AS DOUBLE)",
+    "vsd": "wy * CAST(0.01073931 AS DOUBLE) + day * CAST(0.00103917 AS DOUBLE)",
 }
 SURFACE_ONLY = {"zeta", "u10", "v10", "usd", "vsd"}
 N_LEVELS = 4
@@ -252,6 +253,13 @@ class Tables:
     def fixes(self) -> DataFrame:
         return self.table("fixes")
 
+    def stream_fixes(self) -> DataFrame:
+        """The fixes as a stream over the events file."""
+        schema = self.base("events").schema
+        events = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        text = _expand(re.sub(r"\bFROM events\b", "FROM {events}", SHARED["fixes"]), 0)
+        return self.spark.sql(text, events=events)
+
     @cached_property
     def points(self) -> DataFrame:
         return self.table("points")

@@ -21,6 +21,11 @@ def stream_locate(fixes: DataFrame, mesh: Mesh, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "host", *[F.col("nv")[k].alias(f"n{k}") for k in range(3)], *[phis[k].alias(f"phi{k}") for k in range(3)])
 
 
+def _watermarked(fixes: DataFrame, late: str) -> DataFrame:
+    """Event time must be a timestamp with time zone for a watermark."""
+    return fixes.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
+
+
 def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh: Mesh, variable: str, late: str = "10 minutes",
                   key: str = "fix_id") -> DataFrame:
     """(fix_id, time, host, value): a surface field at each streamed fix, inside sea elements.
@@ -28,9 +33,9 @@ def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh:
     Mesh, frames and fields are static for the run. Every join is stream–static, so the only
     state is that of the final sum per fix, dropped once the watermark has passed. Element
     ids rise along a side, so a fix on a shared side takes the lowest id by its minimum."""
-    w = fixes.withWatermark("time", late)
+    w = _watermarked(fixes, late)
     hosts = stream_locate(w.select(key, "time", "x", "y"), mesh, [key, "time"])
-    spans = frame_intervals(frames).withColumn("_day", F.explode(F.sequence(
+    spans = frame_intervals(frames).withColumns({c: F.col(c).cast("timestamp") for c in ("t_last", "t_next")}).withColumn("_day", F.explode(F.sequence(
         F.unix_date(F.col("t_last").cast("date")), F.unix_date(F.col("t_next").cast("date")))))
     hosts = hosts.withColumn("_pday", F.unix_date(F.col("time").cast("date")))
     inside = (F.col("_pday") == F.col("_day")) & (F.col("time") >= F.col("t_last")) & (F.col("time") < F.col("t_next"))
@@ -41,9 +46,10 @@ def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh:
              for k in range(3) for t, share in (("t_last", F.lit(1.0) - f), ("t_next", f))]
     rows = rows.select(key, "time", "host", F.explode(F.array(*feeds)).alias("s")).select(key, "time", "host", "s.*")
     values = fields.where((F.col("variable") == variable) & (F.col("level") == 0)).select(
-        "node_id", F.col("time").alias("ft"), "value")
+        "node_id", F.col("time").cast("timestamp").alias("ft"), "value")
     rows = rows.join(values, ["node_id", "ft"])
-    return rows.groupBy(key, "time", "host").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    out = rows.groupBy(key, "time", "host").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 STATUS_COLUMNS = "particle_id long, age_s double, land_encounters long, is_beached int, in_domain int, is_alive int, settling int"
@@ -65,7 +71,7 @@ def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float,
             return
         first, last, land, beached, domain, alive = state.get if state.exists else (None, None, 0, 0, 1, 1)
         for pdf in pieces:
-            t = (pdf["time"] - pd.Timestamp("1970-01-01")).dt.total_seconds()
+            t = pdf["t_us"] / 1e6
             first = float(t.min()) if first is None else min(first, float(t.min()))
             newest = float(t.max())
             if last is None or newest >= last:
@@ -85,23 +91,27 @@ def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float,
             "is_alive": [alive], "settling": [int(age >= settling_delay_s)],
         })
 
-    rows = fixes.withWatermark("time", late).select("particle_id", "time", "is_beached", "in_domain", "land_boundary_encounters")
+    rows = _watermarked(fixes, late).select("particle_id", "time", F.unix_micros("time").alias("t_us"), "is_beached", "in_domain",
+                                            "land_boundary_encounters")
     return rows.groupBy("particle_id").applyInPandasWithState(
         update, STATUS_COLUMNS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_counts(fixes: DataFrame, every: str = "1 hour", late: str = "1 hour", slide: str | None = None,
-                  gap: str | None = None) -> DataFrame:
-    """Status counts per output period: tumbling, sliding with ``slide``, sessions with ``gap``."""
-    w = fixes.withWatermark("time", late)
+                  gap: str | None = None, key: str = "particle_id") -> DataFrame:
+    """Status counts per output period: tumbling, sliding with ``slide``, or sessions of each
+    ``key`` closed by a ``gap``."""
+    w = _watermarked(fixes, late)
     span = F.session_window("time", gap) if gap else F.window("time", every, slide) if slide else F.window("time", every)
-    out = w.groupBy(span.alias("w")).agg(
+    by = [key] if gap else []
+    out = w.groupBy(span.alias("w"), *by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("in_domain").alias("n_in_domain"),
         F.sum("is_beached").alias("n_beached"),
         F.sum("error_status").alias("n_error"),
     )
-    return out.select(F.col("w.start").alias("t_start"), F.col("w.end").alias("t_end"), "n", "n_in_domain", "n_beached", "n_error")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("t_start"), F.col("w.end").cast("timestamp_ntz").alias("t_end"), *by,
+                      "n", "n_in_domain", "n_beached", "n_error")
 
 
 def run_to_parquet(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
