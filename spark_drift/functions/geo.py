@@ -24,7 +24,8 @@ def col(c) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    # least and greatest skip nulls, so they would turn a missing value into a bound
+    return F.when(c < lo, F.lit(lo)).when(c > hi, F.lit(hi)).otherwise(c)
 
 
 def xyz(v: Vec) -> Column:
@@ -38,7 +39,7 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
     """Great-circle angle between two points (unit sphere)."""
     lon1, lat1, lon2, lat2 = map(col, (lon1, lat1, lon2, lat2))
     a = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return F.lit(2.0) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    return F.lit(2.0) * F.asin(clamp(F.sqrt(a), 0.0, 1.0))
 
 
 def euclid(x1, y1, x2, y2) -> Column:
