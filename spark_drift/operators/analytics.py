@@ -14,7 +14,7 @@ from spark_drift.operators.locate import locate_points
 from spark_drift.operators.sample import at_depth, gather, interp_2d, level_columns, locate_level
 from spark_drift.operators.time import asof_frames, elapsed_dates
 from spark_drift.schema import Mesh
-from spark_drift.util import broadcast_if_small, one_row, ts_literal
+from spark_drift.util import broadcast_if_small, cut_lineage, one_row, skew_safe_join, ts_literal
 
 BLOCK = 16  # evaluation points summed per row
 
@@ -53,7 +53,7 @@ def positions_at(fixes: DataFrame, time_of_flight_s: float | Sequence[float], re
     """Rows at the first time of their release plus the time of flight (adds delta_s)."""
     deltas = list(time_of_flight_s) if isinstance(time_of_flight_s, Sequence) else [time_of_flight_s]
     wanted = elapsed_dates(fixes, deltas, release, time)
-    return fixes.join(wanted, [release, time])
+    return skew_safe_join(fixes, wanted, [release, time])
 
 
 def paths_until(fixes: DataFrame, t, key: str = "particle_id", time: str = "time") -> DataFrame:
@@ -82,11 +82,11 @@ def member_density_1d(fixes: DataFrame, levels: DataFrame, n_levels: int | None
     ks = range(n_levels)
     wide = levels.groupBy(time).agg(*[F.max(F.when(F.col("level") == k, F.col("z"))).alias(f"e{k}") for k in ks],
                                     F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    rows = fixes.select(release, time, F.col(z).alias("_z")).join(wide, time)
+    rows = skew_safe_join(fixes.select(release, time, F.col(z).alias("_z")), wide, [time])
     stats = rows.groupBy(release, time).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_z").alias("s"))
     h = F.col("s") * F.pow(F.lit(4.0) / (F.col("n") * 3), F.lit(0.2))
     stats = stats.select(release, time, "n", F.when(h > 0, h).alias("h"))
-    rows = rows.join(stats, [release, time])
+    rows = skew_safe_join(rows, stats, [release, time])
     zc, hc = F.col("_z"), F.col("h")
     sums = []
     for k in ks:
@@ -126,8 +126,8 @@ def _kernel_2d(rows: DataFrame, evals: DataFrame, by: Sequence[str], key: Sequen
     stats = stats.withColumns({c: F.col(c) * shrink for c in ("xx", "yy", "xy")})
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     stats = stats.withColumn("det", F.when(det > 0, det)).where("det is not null")
-    fixes = fixes.join(stats, list(by)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-    fixes = fixes.join(wide, [*key, "_block"])
+    fixes = skew_safe_join(fixes, stats, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+    fixes = skew_safe_join(fixes, wide, [*key, "_block"])
     sums = []
     for k in range(BLOCK):
         dx, dy = F.col(f"ex{k}") - F.col("_x"), F.col(f"ey{k}") - F.col("_y")
@@ -241,7 +241,8 @@ def rmse_field(fixes: DataFrame, field: DataFrame, n_points: int, mass: float =
 
     ``field``: (time, node_id, x, y, value); the lower node id wins a tie."""
     w = Window.partitionBy(time).orderBy(F.desc("value"), "node_id")
-    top = field.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n_points)
+    # n rows per date, used three times: written once
+    top = cut_lineage(field.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n_points))
     evals = top.select(time, "slot", F.col("x").alias("ex"), F.col("y").alias("ey"))
     members = _kernel_2d(fixes, evals, [release, time], [time], x, y)
     joined = members.join(top.select(time, "slot", "value"), [time, "slot"])

@@ -9,7 +9,7 @@ from spark_drift.functions import geo
 from spark_drift.functions.geo import nonzero
 from spark_drift.operators.locate import crossings, first_walls, reflect_across_side
 from spark_drift.schema import (BOTTOM_CROSSED, IN_DOMAIN, LAND_CROSSED, NOT_FOUND, OPEN_CROSSED, PERMANENTLY_BEACHED, Mesh)
-from spark_drift.util import gaussian, seconds_between, uniform
+from spark_drift.util import gaussian, seconds_between, skew_safe_join, uniform
 
 
 def total_velocity(df: DataFrame, wind_factor: float = 0.0, settling: str | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def _dead_from(fixes: DataFrame, dies: Column, key: str, time: str) -> DataFrame
 
     No task orders the rows of one particle, however many there are."""
     first = fixes.groupBy(key).agg(F.min(F.when(dies, F.col(time))).alias("_death"))
-    joined = fixes.join(first, key)
+    joined = skew_safe_join(fixes, first, [key])
     alive = F.col("_death").isNull() | (F.col(time) < F.col("_death"))
     return joined.withColumn("is_alive", alive.cast("int")).drop("_death")
 
@@ -157,7 +157,7 @@ def mark_dead_random(fixes: DataFrame, rate_per_s: float, step_s: float, key: st
 def particle_age(fixes: DataFrame, key: str = "particle_id", time: str = "time") -> DataFrame:
     """age_s in seconds and age in days since the first fix of each particle."""
     first = fixes.groupBy(key).agg(F.min(time).alias("_t0"))
-    joined = fixes.join(first, key)
+    joined = skew_safe_join(fixes, first, [key])
     age = seconds_between(F.col(time), F.col("_t0"))
     return joined.withColumns({"age_s": age, "age": age / F.lit(86400.0)}).drop("_t0")
 

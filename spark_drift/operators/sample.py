@@ -17,6 +17,7 @@ from spark_drift.functions.timecols import lerp
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.operators.time import nearest_time
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, SEA, Mesh
+from spark_drift.util import skew_safe_join
 
 PHI = ("phi0", "phi1", "phi2")
 
@@ -64,7 +65,7 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
     key = ["node_id", "time"] if in_time else ["node_id"]
     rows = points.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns], F.explode(F.array(*feeds)).alias("_f"))
     rows = rows.select(*[f"_p_{c}" for c in points.columns], "_f.*")
-    joined = rows.join(widen(fields, variables, key), key)
+    joined = skew_safe_join(rows, widen(fields, variables, key), key)
     sums = []
     for v, n in variables.items():
         for k in range(n):
@@ -170,7 +171,7 @@ def idw_neighbours(points: DataFrame, elem_values: DataFrame, mesh: Mesh, values
         rows = rows.withColumn("_f", F.explode(frames)).withColumns({"_time": F.col("_f.t"), "_share": F.col("_f.w")}).drop("_f")
         vals = vals.withColumnRenamed("time", "_time")
         key.append("_time")
-    rows = rows.join(vals, key)
+    rows = skew_safe_join(rows, vals, key)
     exact = F.col("_r") == 0
     w = F.col("_share") / nonzero(F.col("_r") * F.col("_r"))
     sums = []
@@ -388,8 +389,8 @@ def is_wet(points: DataFrame, wet: DataFrame, surface: bool = False) -> DataFram
     if surface:
         return points.withColumn("wet", F.lit(1))
     frames = points.withColumn("_f", F.explode(F.array("t_last", "t_next")))
-    w = wet.select(F.col("element_id").alias("_e"), F.col("time").alias("_t"), F.col("wet").alias("_w"))
-    rows = frames.join(w, (F.col("host") == F.col("_e")) & (F.col("_f") == F.col("_t")), "left")
+    w = wet.select(F.col("element_id").alias("host"), F.col("time").alias("_f"), F.col("wet").alias("_w"))
+    rows = skew_safe_join(frames, w, ["host", "_f"], "left")
     out = rows.groupBy(*points.columns).agg(F.min(F.coalesce("_w", F.lit(0))).alias("wet"))
     if {"zmin", "zmax"} <= set(points.columns):
         out = out.withColumn("wet", F.when(F.col("zmax") >= F.col("zmin"), F.col("wet")).otherwise(0))
@@ -427,7 +428,7 @@ def profile_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "
 def profile_linear(points: DataFrame, profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z") -> DataFrame:
     """Value and derivative of a 1-D column at each point; the first layer from the bottom wins on an interface."""
     layers = profile_layers(profile, by)
-    rows = points.join(layers, list(by))
+    rows = skew_safe_join(points, layers, by)
     rows = rows.where((F.col(z) >= F.col("z_lo")) & (F.col(z) <= F.col("z_hi")))
     omega = fraction(F.col(z), F.col("z_lo"), F.col("z_hi"))
     new = rows.select(*points.columns, "k", lerp(omega, "v_lo", "v_hi").alias("value"), lerp(omega, "g_lo", "g_hi").alias("gradient"))
@@ -458,7 +459,7 @@ def profile_spline(points: DataFrame, profile: DataFrame, by: str = "time", z: s
                              "m_lo": m[:-1], "m_hi": m[1:]})
 
     layers = profile.select(by, F.col(z).alias("z"), "value").groupBy(by).applyInPandas(solve, schema)
-    rows = points.join(layers, by)
+    rows = skew_safe_join(points, layers, [by])
     zc = F.col(z)
     # half-open layers, closed at the very top of the profile by the inclusive test and the minimum below
     rows = rows.where((zc >= F.col("z_lo")) & (zc <= F.col("z_hi")))

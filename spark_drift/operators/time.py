@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spark_drift.functions.timecols import due, lerp
-from spark_drift.util import broadcast_if_small, from_micros, micros, one_row, order_neighbours, seconds_between, ts_literal
+from spark_drift.util import broadcast_if_small, cut_lineage, from_micros, micros, one_row, order_neighbours, seconds_between, skew_safe_join, ts_literal
 
 
 def _require_empty(missing: DataFrame, what: str) -> None:
@@ -41,7 +41,7 @@ def match_dates(df: DataFrame, dates: DataFrame, time: str = "time", order: str
     wanted = dates.select(time).distinct()
     if strict:
         _require_empty(wanted.join(df.select(time), time, "left_anti"), "date not in the data set")
-    rows = df.join(wanted, time, "left_semi")
+    rows = skew_safe_join(df, wanted, [time])
     if order is None:
         return rows
     return rows.join(rows.groupBy(time).agg(F.min(order).alias(order)), [time, order], "left_semi")
@@ -78,12 +78,13 @@ def asof_frames(points: DataFrame, frames: DataFrame, direction: int = 1, by: Se
     """Add the bracketing frames (t_last, t_next) and the fraction between them.
 
     Forward brackets are [last, next), backward ones (last, next]. The interval join is an
-    equi-join on the day, with the exact bounds as a residual. ``missing`` = error | null | drop."""
+    equi-join on the day, with the exact bounds as a residual. The intervals are written once,
+    and broadcast when counted to be few. ``missing`` = error | null | drop."""
     day = F.unix_date(F.col(time).cast("date"))
     spans = frame_intervals(frames, by, time).withColumn(
         "_day", F.explode(F.sequence(F.unix_date(F.col("t_last").cast("date")), F.unix_date(F.col("t_next").cast("date"))))
     )
-    spans = broadcast_if_small(spans)
+    spans = broadcast_if_small(cut_lineage(spans))
     t = F.col(time)
     inside = (t >= F.col("t_last")) & (t < F.col("t_next"))
     if direction < 0:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spark_drift.functions import geo
 from spark_drift.functions.projection import epsg_code, lonlat_from_utm_cols, utm_from_lonlat_cols
-from spark_drift.util import one_row, uniform
+from spark_drift.util import one_row, skew_safe_join, uniform
 
 CHUNK = 4096
 
@@ -120,7 +120,7 @@ def zones_along_line(lines: DataFrame, radius: float, cs: str = "cartesian") ->
 def _ring_sides(vertices: DataFrame) -> DataFrame:
     """(polygon_id, idx, x, y, xn, yn): each vertex with the next, by an equi-join on the index."""
     n = vertices.groupBy("polygon_id").agg(F.max("idx").alias("_last"))
-    a = vertices.join(n, "polygon_id").withColumn("_next", F.when(F.col("idx") == F.col("_last"), 0).otherwise(F.col("idx") + 1))
+    a = skew_safe_join(vertices, n, ["polygon_id"]).withColumn("_next", F.when(F.col("idx") == F.col("_last"), 0).otherwise(F.col("idx") + 1))
     b = vertices.select(F.col("polygon_id").alias("_p"), F.col("idx").alias("_i"), F.col("x").alias("xn"), F.col("y").alias("yn"))
     return a.join(b, (F.col("polygon_id") == F.col("_p")) & (F.col("_next") == F.col("_i"))).drop("_p", "_i", "_next", "_last")
 

@@ -147,7 +147,7 @@ def sample_velocity(t):
 def sample_velocity_elements(t):
     placed = ops.sample_layers(framed_fixes(t), t.fields("zeta"), t.mesh.nodes, (0, -0.5, -1), (-0.25, -0.75))
     elems = t.mesh.elements.select("element_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("level"))
-    lo, hi = t.frame_times.agg(F.min("time"), F.max("time")).first()
+    lo, hi = t.first_and_last_frame
     rows = elems.withColumn("time", F.explode(F.sequence(F.lit(str(lo)).cast("timestamp_ntz"), F.lit(str(hi)).cast("timestamp_ntz"), F.expr("INTERVAL 1 DAY"))))
     day, e, k = F.unix_date(C("time").cast("date")) - 19723, C("element_id"), C("level")
     value = (e % 13) * F.lit(0.1) + day * F.lit(0.05) * (k + 1) - k * (e % 7) * F.lit(0.2)

@@ -317,9 +317,13 @@ class Tables:
     def geo_points(self) -> DataFrame:
         return self.points.withColumns({"x": F.expr(GEO_X), "y": F.expr(GEO_Y)})
 
+    @cached_property
+    def first_and_last_frame(self):
+        return self.sql("SELECT min(TRUNC_DAY(ts)), MKTS((max(DAYNUM(ts)) + 1) * 86400) FROM events").first()
+
     def fields(self, *variables: str) -> DataFrame:
         """Long field rows: every node at every frame and level."""
-        lo, hi = self.frame_times.agg(F.min("time"), F.max("time")).first()
+        lo, hi = self.first_and_last_frame
         step = F.expr("INTERVAL 1 DAY")
         frames = F.explode(F.sequence(ts_literal(lo), ts_literal(hi), step))
         rows = self.mesh.nodes.select("node_id", "wx", "wy", frames.alias("time"))

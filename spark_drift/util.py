@@ -29,6 +29,18 @@ def broadcast_if_small(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_up_to(df, bound) <= bound else df
 
 
+def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a hot key of ``left`` can be split although ``right`` was grouped by the keys.
+
+    Adaptive execution splits a hot partition only where both inputs are shuffled for the
+    join itself; a right side that comes grouped by the same keys is used as it lies and
+    rules that out. One more (constant) key makes both sides shuffle. When the right side is
+    small enough to be broadcast there is no shuffle and the key costs nothing."""
+    keys = list(keys)
+    same = F.pmod(F.hash(*keys), F.lit(1))
+    return left.withColumn("_same", same).join(right.withColumn("_same", same), [*keys, "_same"], how).drop("_same")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only a local session gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir():
