@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import round_time
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.sample import at_depth, gather, interp_2d, level_columns, locate_level
+from spark_drift.operators.sample import at_depth, gather, level_columns, locate_level
 from spark_drift.operators.time import asof_frames, elapsed_dates
 from spark_drift.schema import Mesh
 from spark_drift.util import broadcast_if_small, cut_lineage, one_row, skew_safe_join, ts_literal
@@ -28,9 +28,8 @@ def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames:
     n = len(level_depths)
     found = locate_points(fixes.select(key, "time", "x", "y", "z"), mesh).where("host is not null")
     framed = asof_frames(found.drop("mask_c", "flag"), frames)
-    flat = interp_2d(framed, mesh.nodes.select("node_id", "h"), "h", "h")
     wanted = {"zeta": 1} | {s: 1 for s in surface if s != "zeta"} | {v: n for v in variables}
-    got = gather(flat, fields, wanted).withColumn("zeta", F.col("zeta_0"))
+    got = gather(framed, fields, wanted, nodes=mesh.nodes, keep=[key, "z", "host"]).withColumnsRenamed({"_h": "h", "zeta_0": "zeta"})
     got = got.withColumns({"zmin": -F.col("h"), "zmax": F.col("zeta")})
     placed = locate_level(got, "node_levels", levels=[F.col("zeta") - F.lit(float(d)) for d in level_depths])
     new = {v: F.when(F.col("level_flag") == 0, at_depth(level_columns(v, n), "node_levels")) for v in variables}

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.sample import adjust_boundary_phi, at_depth, gather, interp_2d, is_wet, level_columns, locate_level
+from spark_drift.operators.sample import adjust_boundary_phi, at_depth, gather, is_wet, level_columns, locate_level
 from spark_drift.operators.time import asof_frames
-from spark_drift.schema import Mesh
+from spark_drift.schema import PHI_EPS, Mesh
 from spark_drift.util import ts_literal
 
 KNOWN = ("uo", "vo", "thetao", "so")
@@ -36,17 +36,17 @@ def regrid(fields: DataFrame, mesh: Mesh, targets: DataFrame, times: Sequence, v
     if mesh.geographic:
         inside = adjust_boundary_phi(inside, mesh)
     n = len(level_depths)
-    flat = interp_2d(inside, mesh.nodes.select("node_id", "h"), "h", "_h").select("*", at)
-    framed = asof_frames(flat, frames)
+    framed = asof_frames(inside.select("*", at), frames)
     if wet is not None:
         framed = is_wet(framed, wet)
     else:
         framed = framed.withColumn("wet", F.lit(1))
-    got = gather(framed, fields, {"zeta": 1} | {v: n for v in variables})
+    keep = [*targets.columns, "time"]
+    got = gather(framed, fields, {"zeta": 1} | {v: n for v in variables}, nodes=mesh.nodes, keep=[*keep, "host", "wet"])
     got = got.withColumns({"zmin": -F.col("_h"), "zmax": F.col("zeta_0"), "z": F.col("depth") + F.col("zeta_0")})
     placed = locate_level(got, "node_levels", levels=[F.col("zeta_0") - F.lit(float(d)) for d in level_depths])
-    valid = (F.col("wet") == 1) & F.col("z").between(F.col("zmin"), F.col("zmax")) & (F.col("level_flag") == 0)
-    keep = [*targets.columns, "time"]
+    slack = F.lit(PHI_EPS) * F.abs(F.col("zmax") - F.col("zmin"))  # depth 0 is the surface itself
+    valid = (F.col("wet") == 1) & F.col("z").between(F.col("zmin"), F.col("zmax") + slack) & (F.col("level_flag") == 0)
     values = placed.select(*keep, "host", *[F.when(valid, at_depth(level_columns(v, n), "node_levels")).alias(v) for v in variables])
     outside = found.where("host is null").select(*targets.columns, at)
     outside = outside.select(*keep, F.lit(None).cast("long").alias("host"), *[F.lit(None).cast("double").alias(v) for v in variables])

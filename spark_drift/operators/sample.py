@@ -16,7 +16,7 @@ from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import lerp
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.operators.time import nearest_time
-from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, SEA, Mesh
+from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, PHI_EPS, SEA, Mesh
 from spark_drift.util import skew_safe_join
 
 PHI = ("phi0", "phi1", "phi2")
@@ -46,13 +46,18 @@ def widen(fields: DataFrame, variables: dict[str, int], key: Sequence[str] = ("n
 
 
 def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_time: bool = True,
-           weights: dict[str, Sequence[str]] | None = None, masks: bool = False) -> DataFrame:
+           weights: dict[str, Sequence[str]] | None = None, masks: bool = False, nodes: DataFrame | None = None,
+           keep: Sequence[str] | None = None) -> DataFrame:
     """Weighted node values of every variable and level at every point.
 
     ``weights`` maps a column suffix to the three weight columns; the default is φ without
     suffix. Masked values count as 0 in the sum; with ``masks``, ``<v>_<k>_masked`` is 1
-    where a host node is masked in either frame. Point rows must be distinct."""
+    where a host node is masked in either frame. ``nodes`` (node_id, h) adds the depth ``_h``
+    in the same pass. ``keep`` names the point columns to carry on (all by default): they
+    travel six times per point, so wide rows are better joined back by their key afterwards.
+    Rows must be distinct in the kept columns."""
     weights = weights or {"": PHI}
+    keep = list(points.columns if keep is None else keep)
     frames = [("t_last", F.lit(1.0) - F.col("t_frac")), ("t_next", F.col("t_frac"))] if in_time else [(None, F.lit(1.0))]
     feeds = []
     for slot in range(3):
@@ -61,12 +66,18 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
             if frame:
                 parts.append(F.col(frame).alias("time"))
             parts += [(F.col(cols[slot]) * share).alias(f"w{i}") for i, cols in enumerate(weights.values())]
+            if nodes is not None:
+                parts.append((F.col(PHI[slot]) * share).alias("_wh"))
             feeds.append(F.struct(*parts))
     key = ["node_id", "time"] if in_time else ["node_id"]
-    rows = points.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns], F.explode(F.array(*feeds)).alias("_f"))
-    rows = rows.select(*[f"_p_{c}" for c in points.columns], "_f.*")
-    joined = skew_safe_join(rows, widen(fields, variables, key), key)
+    rows = points.select(*[F.col(c).alias(f"_p_{c}") for c in keep], F.explode(F.array(*feeds)).alias("_f"))
+    rows = rows.select(*[f"_p_{c}" for c in keep], "_f.*")
+    wide = widen(fields, variables, key)
     sums = []
+    if nodes is not None:
+        wide = wide.join(nodes.select("node_id", F.col("h").alias("_node_h")), "node_id")
+        sums.append(F.sum(F.col("_node_h") * F.col("_wh")).alias("_h"))
+    joined = skew_safe_join(rows, wide, key)
     for v, n in variables.items():
         for k in range(n):
             value = F.col(f"{v}_{k}")
@@ -74,8 +85,8 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
                 sums.append(F.sum(F.coalesce(value, F.lit(0.0)) * F.col(f"w{i}")).alias(f"{v}_{k}{suffix}"))
             if masks:
                 sums.append(F.max(value.isNull().cast("int")).alias(f"{v}_{k}_masked"))
-    out = joined.groupBy(*[f"_p_{c}" for c in points.columns]).agg(*sums)
-    return out.withColumnsRenamed({f"_p_{c}": c for c in points.columns})
+    out = joined.groupBy(*[f"_p_{c}" for c in keep]).agg(*sums)
+    return out.withColumnsRenamed({f"_p_{c}": c for c in keep})
 
 
 def interp_2d(points: DataFrame, field: DataFrame, value: str = "value", out: str = "value") -> DataFrame:
@@ -197,8 +208,8 @@ def _first_layer(z: Column, interfaces: Sequence[Column]) -> Column:
 
 def zmin_zmax(points: DataFrame, nodes: DataFrame, fields: DataFrame) -> DataFrame:
     """Adds zmin = −h and zmax = ζ at (t, x, y)."""
-    surface = interp_2d_time(points, fields, "zeta").withColumnRenamed("zeta", "zmax")
-    return interp_2d(surface, nodes.select("node_id", "h"), "h", "_h").withColumn("zmin", -F.col("_h")).drop("_h")
+    got = gather(points, fields, {"zeta": 1}, nodes=nodes)
+    return got.withColumns({"zmin": -F.col("_h"), "zmax": F.col("zeta_0")}).drop("_h", "zeta_0")
 
 
 def locate_level(df: DataFrame, layout: str, z: str = "z", levels: Sequence[Column] = (), layers: Sequence[Column] = (),
@@ -213,6 +224,10 @@ def locate_level(df: DataFrame, layout: str, z: str = "z", levels: Sequence[Colu
     if layout == "surface":
         return df.withColumns({"k": F.lit(0), "omega": F.lit(None).cast("double"), "in_surface": F.lit(True),
                                "in_bottom": F.lit(False), "level_flag": F.lit(0)})
+    lo, hi = (levels[-1], levels[0]) if layout == "layers" else (F.col(zmin), F.col(zmax))
+    slack = F.lit(PHI_EPS) * F.abs(hi - lo)
+    # a point on the floor or the surface up to rounding lies on it
+    zc = F.when((zc < lo) & (zc >= lo - slack), lo).when((zc > hi) & (zc <= hi + slack), hi).otherwise(zc)
     k = _first_layer(zc, levels)
     omega = fraction(zc, pick(levels, F.col("k") + 1), pick(levels, F.col("k")))
     if layout == "node_levels":
@@ -284,8 +299,7 @@ def sample_variable(points: DataFrame, fields: DataFrame, variables: Sequence[st
     variable whose gaps mark masked levels."""
     n = len(level_depths)
     wanted = {"zeta": 1} | {v: n for v in variables}
-    flat = interp_2d(points, nodes.select("node_id", "h"), "h", "_h")
-    got = gather(flat, fields, wanted, masks=masks is not None)
+    got = gather(points, fields, wanted, masks=masks is not None, nodes=nodes)
     got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0")).drop("_h")
     levels = [F.col("zeta_0") - F.lit(float(d)) for d in level_depths]
     m = [F.col(f"{masks}_{k}_masked") for k in range(n)] if masks else ()
@@ -303,8 +317,7 @@ def sample_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, sigma_
     The level depths ζ + σ(ζ + h) are formed per node and interpolated as fields are; with σ
     uniform in the plane that equals forming them from the interpolated ζ and h."""
     n, m = len(sigma_layers), len(sigma_levels)
-    flat = interp_2d(points, nodes.select("node_id", "h"), "h", "_h")
-    got = gather(flat, fields, {"zeta": 1} | {v: n for v in on_layers} | {v: m for v in on_levels})
+    got = gather(points, fields, {"zeta": 1} | {v: n for v in on_layers} | {v: m for v in on_levels}, nodes=nodes)
     depth = lambda s: geo.sigma_to_depth(F.lit(float(s)), "_h", "zeta_0")
     z_levels, z_layers = [depth(s) for s in sigma_levels], [depth(s) for s in sigma_layers]
     out = locate_level(got, "layers", levels=z_levels, layers=z_layers)
@@ -338,6 +351,56 @@ def sample_velocity_elements(points: DataFrame, elem_fields: DataFrame, mesh: Me
     return got.withColumns(new).select(*points.columns, *names)
 
 
+def sample_velocity_staggered(points: DataFrame, sources: dict[str, tuple[Mesh, DataFrame, int]], layers: Sequence[str] = ("uo", "vo"),
+                              key: str = "point_id") -> DataFrame:
+    """(uo, vo, wo) where each component has its own mesh and fields.
+
+    ``sources``: component → (mesh, fields, number of levels). Points carry their frames and
+    vertical position. Components in ``layers`` lie on layer centres, the others on
+    interfaces. Each mesh is searched once; results meet by the key. Curvilinear grids:
+    unstagger to the centres and ``geo.rotate_vector`` first."""
+    from spark_drift.operators.locate import locate_points
+
+    out = points
+    vertical = ["t_last", "t_next", "t_frac", "k", "omega", "in_surface", "in_bottom", "k_upper", "k_lower", "omega_layers"]
+    for name, (mesh, fields, n) in sources.items():
+        found = locate_points(points.select(key, "x", "y", *vertical), mesh).where("host is not null")
+        got = gather(found, fields, {name: n}, keep=[key, *vertical[3:]])
+        columns = level_columns(name, n)
+        value = at_depth(columns, "layers") if name in layers else on_interfaces(columns)
+        out = out.join(got.select(key, value.alias(name)), key, "left")
+    if "wo" not in sources:
+        out = out.withColumn("wo", F.lit(0.0))
+    return out
+
+
+def vertical_diffusivity(points: DataFrame, fields: DataFrame, nodes: DataFrame | None = None, layout: str = "layers",
+                         variable: str = "kz", gradient: bool = False, **levels) -> DataFrame:
+    """Kz (and dKz/dz) at (t, x, y, z), linear between interfaces.
+
+    layout ``layers``: σ interfaces (sigma_levels, sigma_layers); ``node_levels``: fixed
+    depths (level_depths), no gradient; ``surface``: 0. Columns of one profile:
+    ``profile_diffusivity``."""
+    if layout == "surface":
+        return points.withColumns({variable: F.lit(0.0), f"d{variable}_dz": F.lit(0.0)})
+    if layout == "node_levels":
+        if gradient:
+            raise ValueError("no gradient on fixed levels")
+        return sample_variable(points, fields, [variable], levels["level_depths"], nodes)
+    return sample_layers(points, fields, nodes, on_levels=[variable], gradients=[variable] if gradient else (), **levels)
+
+
+def vertical_diffusivity_gradient(points: DataFrame, fields: DataFrame, nodes: DataFrame, variable: str = "kz", **levels) -> DataFrame:
+    """dKz/dz: centred differences on the interfaces, one-sided in the end layers, linear between."""
+    return vertical_diffusivity(points, fields, nodes, "layers", variable, gradient=True, **levels)
+
+
+def profile_diffusivity(points: DataFrame, profile: DataFrame, by: Sequence[str] = ("time",), spline: bool = False) -> DataFrame:
+    """Kz and its gradient from one column of data; negative values count as 0."""
+    got = profile_spline(points, profile, by[0]) if spline else profile_linear(points, profile, by)
+    return got.withColumn("value", F.greatest("value", F.lit(0.0)))
+
+
 def log_layer_velocity(speed: Column, z: Column, zmin: Column, z_layer: Column, z0: float) -> Column:
     """Velocity below the lowest layer centre by the law of the wall; 0 at or below zmin + z0."""
     height, ref = z - zmin, z_layer - zmin
@@ -349,8 +412,7 @@ def horizontal_diffusivity(points: DataFrame, fields: DataFrame, mesh: Mesh, lev
                            variable: str = "ah") -> DataFrame:
     """Ah and its horizontal gradient at (t, x, y, z)."""
     n = len(level_depths)
-    flat = interp_2d(with_gradients(points, mesh), mesh.nodes.select("node_id", "h"), "h", "_h")
-    got = gather(flat, fields, {"zeta": 1, variable: n}, weights=GRADIENT_WEIGHTS)
+    got = gather(with_gradients(points, mesh), fields, {"zeta": 1, variable: n}, weights=GRADIENT_WEIGHTS, nodes=mesh.nodes)
     got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0"))
     out = locate_level(got, "node_levels", levels=[F.col("zeta_0") - F.lit(float(d)) for d in level_depths])
     new = {variable: at_depth(level_columns(variable, n), "node_levels")}
@@ -363,8 +425,7 @@ def smagorinsky_diffusivity(points: DataFrame, fields: DataFrame, mesh: Mesh, le
     """½·c·A·√(u_x² + v_y² + ½(u_y + v_x)²) per level, linear in depth. Its gradient counts as 0."""
     n = len(level_depths)
     u, v = names
-    flat = interp_2d(with_gradients(points, mesh), mesh.nodes.select("node_id", "h"), "h", "_h")
-    got = gather(flat, fields, {"zeta": 1, u: n, v: n}, weights=GRADIENT_WEIGHTS)
+    got = gather(with_gradients(points, mesh), fields, {"zeta": 1, u: n, v: n}, weights=GRADIENT_WEIGHTS, nodes=mesh.nodes)
     got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0"))
     per_level = []
     for k in range(n):

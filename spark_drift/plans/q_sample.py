@@ -172,22 +172,20 @@ SIGMA_SQL = """
 SIGMA = dict(sigma_levels=(0, -0.2, -0.8, -1), sigma_layers=(-0.1, -0.5, -0.9))
 
 
-def _layers(t, **kw):
-    return ops.sample_layers(framed_fixes(t), t.fields("zeta", "kz"), t.mesh.nodes, **SIGMA, on_levels=["kz"], **kw).where("level_flag = 0")
-
-
 @query("vertical_diffusivity", f"""
     WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s >= -0.2 THEN k1 + (s + 0.2) / 0.2 * (k0 - k1) WHEN s >= -0.8 THEN k2 + (s + 0.8) / 0.6 * (k1 - k2)
       ELSE k3 + (s + 1) / 0.2 * (k2 - k3) END, 6) + 0.0 AS kz FROM g""")
 def vertical_diffusivity(t):
-    return _layers(t).select("fix_id", rd("kz").alias("kz"))
+    out = ops.vertical_diffusivity(framed_fixes(t), t.fields("zeta", "kz"), t.mesh.nodes, **SIGMA)
+    return out.where("level_flag = 0").select("fix_id", rd("kz").alias("kz"))
 
 
 @query("vertical_diffusivity_gradient", f"""
     WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s >= -0.2 THEN g1 + (s + 0.2) / 0.2 * (g0 - g1) WHEN s >= -0.8 THEN g2 + (s + 0.8) / 0.6 * (g1 - g2)
       ELSE g3 + (s + 1) / 0.2 * (g2 - g3) END, 6) + 0.0 AS dkz_dz FROM g""")
 def vertical_diffusivity_gradient(t):
-    return _layers(t, gradients=["kz"]).select("fix_id", rd("dkz_dz").alias("dkz_dz"))
+    out = ops.vertical_diffusivity_gradient(framed_fixes(t), t.fields("zeta", "kz"), t.mesh.nodes, **SIGMA)
+    return out.where("level_flag = 0").select("fix_id", rd("dkz_dz").alias("dkz_dz"))
 
 
 AT_DEPTH = "CASE WHEN p.k = 3 THEN {u} ELSE (1 - omega) * {l} + omega * {u} END"
@@ -343,3 +341,57 @@ def regrid(t):
     out = regrid_op(t.fields("zeta", "uo", "thetao"), t.mesh, targets, ["2024-01-03 05:00:00", "2024-01-11 17:30:00"], ["uo", "thetao"],
                     LEVEL_DEPTHS, t.frame_times)
     return out.select("point_id", "time", "host", rd("uo").alias("uo"), rd("thetao").alias("thetao"))
+
+
+# the same lattice on the sphere: boundary elements take their nearest sea node
+@query("regrid_on_sphere", """
+    WITH tm AS (SELECT unnest([TIMESTAMP '2024-01-03 05:00:00', TIMESTAMP '2024-01-11 17:30:00']) AS time),
+    g AS (SELECT p.point_id, p.z AS depth, l.host, n0, n1, n2, mask_c, phi0, phi1, 1 - phi0 - phi1 AS phi2,
+        CASE WHEN m0 = 0 THEN phi0 ELSE -1 END AS g0, CASE WHEN m1 = 0 THEN phi1 ELSE -1 END AS g1, CASE WHEN m2 = 0 THEN 1 - phi0 - phi1 ELSE -1 END AS g2
+      FROM points p JOIN geo_located l USING (point_id) JOIN tri t ON t.element_id = l.host WHERE mask_c <> 2),
+    b AS (SELECT *, CASE WHEN mask_c <> 1 THEN -1 WHEN g0 >= g1 AND g0 >= g2 THEN 0 WHEN g1 >= g2 THEN 1 ELSE 2 END AS best FROM g),
+    w AS (SELECT point_id, depth, host, tm.time, CASE s.slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS node_id,
+        CASE f.k WHEN 0 THEN TRUNC_DAY(tm.time) ELSE MKTS((DAYNUM(tm.time) + 1) * 86400) END AS ft,
+        CASE WHEN best >= 0 THEN CASE WHEN best = s.slot THEN 1.0::DOUBLE ELSE 0 END WHEN s.slot = 0 THEN phi0 WHEN s.slot = 1 THEN phi1 ELSE phi2 END AS phi,
+        CASE f.k WHEN 0 THEN 1 - CAST(SECS(tm.time) % 86400 AS DOUBLE) / 86400 ELSE CAST(SECS(tm.time) % 86400 AS DOUBLE) / 86400 END AS tw
+      FROM b, tm, (SELECT unnest([0, 1, 2]) AS slot) s, (SELECT unnest([0, 1]) AS k) f),
+    v AS (SELECT point_id, w.time, variable, level, sum(phi * tw * value) AS value FROM w JOIN fields f ON f.node_id = w.node_id AND f.time = w.ft
+      WHERE variable IN ('zeta', 'thetao') GROUP BY ALL),
+    d AS (SELECT point_id, w.time, max(host) AS host, max(depth) AS rel, sum(phi * tw * h) AS h FROM w JOIN nodes n ON n.node_id = w.node_id GROUP BY 1, 2),
+    p AS (SELECT d.*, rel + z.value >= -h AND rel <= 0 AS ok, CASE WHEN rel >= -8 THEN 0 WHEN rel >= -16 THEN 1 WHEN rel >= -24 THEN 2 ELSE 3 END AS k,
+      CASE WHEN rel >= -8 THEN (rel + 8) / 8 WHEN rel >= -16 THEN (rel + 16) / 8 WHEN rel >= -24 THEN (rel + 24) / 8 ELSE 1 END AS omega
+      FROM d JOIN v z ON z.point_id = d.point_id AND z.time = d.time AND z.variable = 'zeta'),
+    o AS (SELECT p.point_id, p.time, host, CASE WHEN ok THEN (1 - omega) * coalesce(l.value, 0) + omega * a.value END AS value
+      FROM p JOIN v a ON a.point_id = p.point_id AND a.time = p.time AND a.level = p.k AND a.variable = 'thetao'
+      LEFT JOIN v l ON l.point_id = p.point_id AND l.time = p.time AND l.level = p.k + 1 AND l.variable = 'thetao')
+    SELECT q.point_id, tm.time, o.host, round(o.value, 6) + 0.0 AS thetao FROM points q CROSS JOIN tm LEFT JOIN o ON o.point_id = q.point_id AND o.time = tm.time""")
+def regrid_on_sphere(t):
+    targets = t.geo_points.select("point_id", "x", "y", C("z").alias("depth"))
+    out = regrid_op(t.fields("zeta", "thetao"), t.geo_mesh, targets, ["2024-01-03 05:00:00", "2024-01-11 17:30:00"], ["thetao"], LEVEL_DEPTHS, t.frame_times)
+    return out.select("point_id", "time", "host", rd("thetao").alias("thetao"))
+
+
+# three components, here on one mesh: the horizontal ones on layers, the vertical one on interfaces
+@query("sample_velocity_staggered", """
+    WITH s AS (SELECT p.fix_id, (z - zeta) / (zeta + h) AS s FROM fix_place p),
+    l AS (SELECT fix_id, variable, max(CASE WHEN level = 0 THEN value END) AS v0, max(CASE WHEN level = 1 THEN value END) AS v1, max(CASE WHEN level = 2 THEN value END) AS v2,
+      max(CASE WHEN level = 3 THEN value END) AS v3 FROM fix_levels WHERE variable IN ('uo', 'wo') GROUP BY 1, 2)
+    SELECT fix_id, round(CASE WHEN s > 0 OR s < -1 THEN NULL WHEN s >= -0.1 THEN u.v0 WHEN s <= -0.9 THEN u.v2 WHEN s >= -0.5 THEN u.v1 + (s + 0.5) / 0.4 * (u.v0 - u.v1)
+        ELSE u.v2 + (s + 0.9) / 0.4 * (u.v1 - u.v2) END, 6) + 0.0 AS uo,
+      round(CASE WHEN s > 0 OR s < -1 THEN NULL WHEN s >= -0.2 THEN w.v1 + (s + 0.2) / 0.2 * (w.v0 - w.v1) WHEN s >= -0.8 THEN w.v2 + (s + 0.8) / 0.6 * (w.v1 - w.v2)
+        ELSE w.v3 + (s + 1) / 0.2 * (w.v2 - w.v3) END, 6) + 0.0 AS wo
+    FROM s JOIN l u USING (fix_id) JOIN l w USING (fix_id) WHERE u.variable = 'uo' AND w.variable = 'wo'""")
+def sample_velocity_staggered(t):
+    placed = ops.sample_layers(framed_fixes(t), t.fields("zeta"), t.mesh.nodes, **SIGMA)
+    sources = {"uo": (t.mesh, t.fields("uo").where("level < 3"), 3), "wo": (t.mesh, t.fields("wo"), 4)}
+    pts = placed.select("fix_id", "x", "y", "t_last", "t_next", "t_frac", "k", "omega", "in_surface", "in_bottom", "k_upper", "k_lower", "omega_layers")
+    return ops.sample_velocity_staggered(pts, sources, key="fix_id").select("fix_id", rd("uo").alias("uo"), rd("wo").alias("wo"))
+
+
+@query("profile_diffusivity", """
+    WITH p AS (SELECT *, value - 35 AS v FROM profiles), l AS (SELECT *, lead(z) OVER w AS z2, lead(v) OVER w AS v2 FROM p WINDOW w AS (PARTITION BY time ORDER BY z)),
+    o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS time, -(o_totalprice % 29) - 1 AS zz FROM orders)
+    SELECT id, round(greatest(0, arg_min(v + (zz - z) / (z2 - z) * (v2 - v), z)), 6) + 0.0 AS value FROM o JOIN l USING (time) WHERE zz >= z AND zz <= z2 GROUP BY id""")
+def profile_diffusivity(t):
+    profile = t.table("profiles").withColumn("value", C("value") - 35)
+    return ops.profile_diffusivity(_profile_points(t), profile).select("id", rd("value").alias("value"))
