@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_drift.schema import EARTH_RADIUS
@@ -88,6 +88,20 @@ def det3(a: Vec, b: Vec, c: Vec) -> Column:
     return dot3(a, cross3(b, c))
 
 
+def stage(df: DataFrame, **vectors: Vec) -> tuple[DataFrame, list[Vec]]:
+    """Keep vectors as columns of ``df`` and refer to them by name from here on.
+
+    An expression that uses a vector many times then holds its name, not its whole formula;
+    without this, chained vector algebra grows exponentially."""
+    names = {n: [f"_{n}{a}" for a in "xyz"[: len(v)]] for n, v in vectors.items()}
+    out = df.withColumns({c: e for n, v in vectors.items() for c, e in zip(names[n], v)})
+    return out, [tuple(F.col(c) for c in names[n]) for n in vectors]
+
+
+def unstage(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[f"_{n}{a}" for n in names for a in "xyz"])
+
+
 def angle_between(a: Vec, b: Vec) -> Column:
     return F.acos(clamp(dot3(a, b) / nonzero(norm3(a) * norm3(b)), -1.0, 1.0))
 
@@ -205,12 +219,16 @@ def arc_intersection(p1: Vec2, p2: Vec2, q1: Vec2, q2: Vec2, tol: float = 1e-12)
 def arc_vector_intersection(a: Vec, b: Vec, c: Vec, d: Vec, tol: float = 1e-12) -> Column:
     """The same for arcs given by the unit vectors of their ends."""
     n1, n2 = cross3(a, b), cross3(c, d)
+    return arc_point(a, b, c, d, n1, n2, cross3(n1, n2), tol)
+
+
+def arc_point(a: Vec, b: Vec, c: Vec, d: Vec, n1: Vec, n2: Vec, line: Vec, tol: float = 1e-12) -> Column:
+    """Crossing of the arcs a–b and c–d from the normals of their planes and their common line."""
 
     def meets(n: Vec, u: Vec, v: Vec) -> Column:
         su, sv = dot3(n, u), dot3(n, v)
         return (F.least(su, sv) <= tol) & (F.greatest(su, sv) >= -tol)
 
-    line = cross3(n1, n2)
     side = dot3(line, tuple(x + y for x, y in zip(a, b)))
     other = dot3(line, tuple(x + y for x, y in zip(c, d)))
     turn = F.signum(side)

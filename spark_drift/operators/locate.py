@@ -21,10 +21,11 @@ def with_host_test(elements: DataFrame, geographic: bool) -> DataFrame:
     Formed once per element, so a candidate pair costs three dot products and no trigonometry."""
     if not geographic:
         return elements
-    v = corner_vectors(True)
-    turn = F.signum(geo.det3(*v))
-    normals = {f"s{k}{a}": turn * c for k, (i, j) in enumerate(SIDE_ENDS) for a, c in zip("xyz", geo.cross3(v[i], v[j]))}
-    return elements.withColumns(normals)
+    a, b, c = corner_vectors(True)
+    out, v = geo.stage(elements, v0=a, v1=b, v2=c)
+    out = out.withColumn("_turn", F.signum(geo.det3(*v)))
+    normals = {f"s{k}{a}": F.col("_turn") * c for k, (i, j) in enumerate(SIDE_ENDS) for a, c in zip("xyz", geo.cross3(v[i], v[j]))}
+    return geo.unstage(out.withColumns(normals), "v0", "v1", "v2").drop("_turn")
 
 
 TEST_COLUMNS = {
@@ -74,8 +75,8 @@ def _boxes(mesh: Mesh) -> DataFrame:
     the unit vectors, widened by the most that the surface bulges over the flat triangle;
     poles and the date line need no care there."""
     g = mesh.geographic
-    corners = element_corners(mesh)
-    p = corner_vectors(g)
+    a, b, c = corner_vectors(g)
+    corners, p = geo.stage(element_corners(mesh), v0=a, v1=b, v2=c)
     axes = range(3 if g else 2)
     lo = [F.least(*[v[a] for v in p]) for a in axes]
     hi = [F.greatest(*[v[a] for v in p]) for a in axes]
@@ -85,7 +86,10 @@ def _boxes(mesh: Mesh) -> DataFrame:
         pad = bulge + F.lit(1e-9)
     else:
         pad = F.greatest(*[h - l for h, l in zip(hi, lo)]) * 1e-9
-    out = with_host_test(corners, g).withColumns({f"_lo{a}": lo[a] - pad for a in axes} | {f"_hi{a}": hi[a] + pad for a in axes})
+    corners = corners.withColumns({f"_lo{a}": lo[a] for a in axes} | {f"_hi{a}": hi[a] for a in axes} | {"_pad": pad})
+    lo, hi, pad = [F.col(f"_lo{a}") for a in axes], [F.col(f"_hi{a}") for a in axes], F.col("_pad")
+    out = corners.withColumns({f"_lo{a}": lo[a] - pad for a in axes} | {f"_hi{a}": hi[a] + pad for a in axes}).drop("_pad")
+    out = with_host_test(geo.unstage(out, "v0", "v1", "v2"), g)
     extent = F.greatest(*[F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in axes])
     out = out.withColumn("_scale", F.ceil(F.log2(extent)).cast("int"))
     side = F.pow(F.lit(2.0), F.col("_scale"))
@@ -248,21 +252,21 @@ def wall_sides(mesh: Mesh) -> DataFrame:
     return rows.withColumn("kind", kind).drop("nb", "_land")
 
 
-def _degrees(p: Column) -> Column:
-    return F.struct(F.degrees(p["x"]).alias("x"), F.degrees(p["y"]).alias("y"))
-
-
-def _cross(p1, p2, q1, q2, geographic: bool) -> Column:
-    if geographic:
-        to_rad = lambda p: (F.radians(p[0]), F.radians(p[1]))
-        return geo.arc_intersection(*[to_rad(p) for p in (p1, p2, q1, q2)])
-    return geo.segment_intersection(p1, p2, q1, q2)
-
-
-def _with_crossing(pairs: DataFrame, hit: Column, geographic: bool) -> DataFrame:
-    """Keep the pairs that cross, with the crossing point _xi (degrees on the sphere)."""
-    out = pairs.withColumn("_xi", hit).where("_xi is not null")
-    return out.withColumn("_xi", _degrees(F.col("_xi"))) if geographic else out
+def with_crossing(pairs: DataFrame, geographic: bool) -> DataFrame:
+    """Keep the pairs whose wall (sx, sy)–(ex, ey) meets the move (x, y)–(x_new, y_new): adds xi, yi."""
+    c = F.col
+    if not geographic:
+        hit = geo.segment_intersection((c("sx"), c("sy")), (c("ex"), c("ey")), (c("x"), c("y")), (c("x_new"), c("y_new")))
+        out = pairs.withColumn("_xi", hit).where("_xi is not null")
+        return out.withColumns({"xi": c("_xi.x"), "yi": c("_xi.y")}).drop("_xi")
+    unit = lambda x, y: geo.to_unit_vector(F.radians(x), F.radians(y))
+    out, ends = geo.stage(pairs, a=unit("sx", "sy"), b=unit("ex", "ey"), c=unit("x", "y"), d=unit("x_new", "y_new"))
+    out, (n1, n2) = geo.stage(out, n1=geo.cross3(ends[0], ends[1]), n2=geo.cross3(ends[2], ends[3]))
+    out, (line,) = geo.stage(out, line=geo.cross3(n1, n2))
+    point = geo.arc_point(*ends, n1, n2, line)
+    out = out.withColumn("_xi", point).where("_xi is not null")
+    out = out.withColumns({"xi": F.degrees(c("_xi.x")), "yi": F.degrees(c("_xi.y"))}).drop("_xi")
+    return geo.unstage(out, "a", "b", "c", "d", "n1", "n2", "line")
 
 
 def first_walls(moves: DataFrame, mesh: Mesh) -> DataFrame:
@@ -281,12 +285,14 @@ def first_walls(moves: DataFrame, mesh: Mesh) -> DataFrame:
             pad = pad + F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - geo.dot3(d, d) / 4))
         return [F.least(p[a], q[a]) - pad for a in axes], [F.greatest(p[a], q[a]) + pad for a in axes]
 
-    wlo, whi = box(_position(F.col("sx"), F.col("sy"), g), _position(F.col("ex"), F.col("ey"), g))
+    walls, (ws, we) = geo.stage(walls, ws=_position(F.col("sx"), F.col("sy"), g), we=_position(F.col("ex"), F.col("ey"), g))
+    moves, (ms, me) = geo.stage(moves, ms=_position(F.col("x"), F.col("y"), g), me=_position(F.col("x_new"), F.col("y_new"), g))
+    wlo, whi = box(ws, we)
     longest = one_row(walls.agg(F.max(F.greatest(*[h - l for h, l in zip(whi, wlo)])).alias("v")))["v"]
     if longest is None:
         longest = 1.0
     side = F.pow(F.lit(2.0), F.ceil(F.log2(F.lit(float(longest)))))
-    mlo, mhi = box(_position(F.col("x"), F.col("y"), g), _position(F.col("x_new"), F.col("y_new"), g))
+    mlo, mhi = box(ms, me)
     left, right = moves, walls
     for a in axes:
         left = left.withColumn(f"_m{a}", F.explode(F.sequence(F.floor(mlo[a] / side).cast("long"), F.floor(mhi[a] / side).cast("long"))))
@@ -295,17 +301,14 @@ def first_walls(moves: DataFrame, mesh: Mesh) -> DataFrame:
     for a in axes:
         on = on & (F.col(f"_m{a}") == F.col(f"_w{a}"))
     right = right.withColumnsRenamed({"element_id": "wall_element", "slot": "wall_slot"})
-    hit = _cross((F.col("sx"), F.col("sy")), (F.col("ex"), F.col("ey")),
-                 (F.col("x"), F.col("y")), (F.col("x_new"), F.col("y_new")), g)
-    pairs = _with_crossing(left.join(right, on), hit, g)
+    pairs = with_crossing(left.join(right, on), g)
     if g:
-        along = geo.haversine(F.radians("x"), F.radians("y"), F.radians(F.col("_xi.x")), F.radians(F.col("_xi.y")))
+        along = geo.haversine(F.radians("x"), F.radians("y"), F.radians("xi"), F.radians("yi"))
     else:
-        along = geo.euclid("x", "y", F.col("_xi.x"), F.col("_xi.y"))
-    best = pairs.withColumn("_d", along).groupBy("move_id").agg(
-        F.min(F.struct("_d", "wall_element", "wall_slot", "kind", "sx", "sy", "ex", "ey", "_xi")).alias("w"))
-    return best.select("move_id", "w.wall_element", "w.wall_slot", "w.kind", "w.sx", "w.sy", "w.ex", "w.ey",
-                       F.col("w._xi.x").alias("xi"), F.col("w._xi.y").alias("yi"))
+        along = geo.euclid("x", "y", "xi", "yi")
+    found = ["wall_element", "wall_slot", "kind", "sx", "sy", "ex", "ey", "xi", "yi"]
+    best = pairs.withColumn("_d", along).groupBy("move_id").agg(F.min(F.struct("_d", *found)).alias("w"))
+    return best.select("move_id", *[f"w.{c}" for c in found])
 
 
 def crossings(moves: DataFrame, mesh: Mesh) -> DataFrame:
@@ -346,11 +349,10 @@ def boundary_intersection(moves: DataFrame, mesh: Mesh, strict: bool = True) ->
         for r, (k, i, j) in enumerate(order)])
     walls = corners.select(F.col("element_id").alias("_e"), F.explode(sides).alias("s")).select("_e", "s.*")
     walls = walls.join(closed, "nb", "left").where("nb = -1 or _closed = 1").drop("nb", "_closed")
-    hit = _cross((F.col("sx"), F.col("sy")), (F.col("ex"), F.col("ey")),
-                 (F.col("x"), F.col("y")), (F.col("x_new"), F.col("y_new")), g)
-    pairs = _with_crossing(moves.join(walls, F.col("host") == F.col("_e")), hit, g)
-    best = pairs.groupBy("move_id").agg(F.min(F.struct("rank", "sx", "sy", "ex", "ey", "_xi")).alias("w"))
-    best = best.select("move_id", "w.sx", "w.sy", "w.ex", "w.ey", F.col("w._xi.x").alias("xi"), F.col("w._xi.y").alias("yi"))
+    pairs = with_crossing(moves.join(walls, F.col("host") == F.col("_e")), g)
+    found = ["sx", "sy", "ex", "ey", "xi", "yi"]
+    best = pairs.groupBy("move_id").agg(F.min(F.struct("rank", *found)).alias("w"))
+    best = best.select("move_id", *[f"w.{c}" for c in found])
     if not strict:
         return moves.join(best, "move_id")
     out = moves.join(best, "move_id", "left")
@@ -370,17 +372,18 @@ def reflect_across_side(crossed: DataFrame, cs: str = "cartesian") -> DataFrame:
         m = F.lit(2.0) * (nx * dx + ny * dy) / (nx * nx + ny * ny)
         return crossed.withColumns({"x_ref": c("xi") + dx - m * nx, "y_ref": c("yi") + dy - m * ny})
     lon, lat = F.radians("xi"), F.radians("yi")
-
-    def tangent(x: str, y: str) -> geo.Vec:
-        return geo.rotate_axes(geo.to_unit_vector(F.radians(x), F.radians(y)), lon, lat)
-
-    pi, pb, p1, p2 = tangent("xi", "yi"), tangent("x_new", "y_new"), tangent("sx", "sy"), tangent("ex", "ey")
-    nx, ny = p2[1] - p1[1], p1[0] - p2[0]
-    dx, dy = pb[0] - pi[0], pb[1] - pi[1]
-    m = F.lit(2.0) * (nx * dx + ny * dy) / (nx * nx + ny * ny)
-    flat = geo.unit3((pi[0] + dx - m * nx, pi[1] + dy - m * ny, F.lit(1.0)))
-    lon_r, lat_r = geo.to_lonlat(geo.reverse_rotate_axes(flat, lon, lat))
-    return crossed.withColumns({"x_ref": F.degrees(lon_r), "y_ref": F.degrees(lat_r)})
+    turned = lambda v: geo.rotate_axes(v, lon, lat)
+    unit = lambda x, y: geo.to_unit_vector(F.radians(x), F.radians(y))
+    out, vectors = geo.stage(crossed, ri=unit("xi", "yi"), rb=unit("x_new", "y_new"), r1=unit("sx", "sy"), r2=unit("ex", "ey"))
+    out, (pi, pb, p1, p2) = geo.stage(out, **{n: turned(v) for n, v in zip(("ti", "tb", "t1", "t2"), vectors)})
+    out, (n, d) = geo.stage(out, rn=(p2[1] - p1[1], p1[0] - p2[0]), rd=(pb[0] - pi[0], pb[1] - pi[1]))
+    out = out.withColumn("_m", F.lit(2.0) * geo.dot2(n, d) / geo.dot2(n, n))
+    out, (flat,) = geo.stage(out, rf=(pi[0] + d[0] - c("_m") * n[0], pi[1] + d[1] - c("_m") * n[1], F.lit(1.0)))
+    out, (sphere,) = geo.stage(out, rs=geo.unit3(flat))
+    out, (back,) = geo.stage(out, rr=geo.reverse_rotate_axes(sphere, lon, lat))
+    lon_r, lat_r = geo.to_lonlat(back)
+    out = out.withColumns({"x_ref": F.degrees(lon_r), "y_ref": F.degrees(lat_r)}).drop("_m")
+    return geo.unstage(out, "ri", "rb", "r1", "r2", "ti", "tb", "t1", "t2", "rn", "rd", "rf", "rs", "rr")
 
 
 def nearest_wet_element(points: DataFrame, mesh: Mesh, wet: DataFrame, host: str = "host", x: str = "x",

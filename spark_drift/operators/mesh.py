@@ -163,12 +163,13 @@ def element_neighbours(elements: DataFrame) -> DataFrame:
 
 
 def element_areas(mesh: Mesh, radius: float = EARTH_RADIUS) -> DataFrame:
-    p = corner_vectors(mesh.geographic)
+    a, b, c = corner_vectors(mesh.geographic)
+    corners, p = geo.stage(element_corners(mesh), v0=a, v1=b, v2=c)
     if mesh.geographic:
         area = geo.spherical_triangle_area(*p, r=radius)
     else:
         area = geo.triangle_area(p[0][:2], p[1][:2], p[2][:2])
-    return element_corners(mesh).select(*mesh.elements.columns, area.alias("area"))
+    return corners.select(*mesh.elements.columns, area.alias("area"))
 
 
 def centre_columns(geographic: bool) -> tuple[Column, Column]:

@@ -128,13 +128,16 @@ def basis_gradients(mesh: Mesh) -> DataFrame:
     if mesh.geographic:
         xc, yc = centre_columns(True)
         corners = corners.withColumns({"_xc": F.radians(xc), "_yc": F.radians(yc)})
-        p = [geo.rotate_axes(v, "_xc", "_yc") for v in corner_vectors(True)]
-        p = [(v[0] * EARTH_RADIUS, v[1] * EARTH_RADIUS) for v in p]
-        area = geo.spherical_triangle_area(*corner_vectors(True))
+        a, b, c = corner_vectors(True)
+        corners, v = geo.stage(corners, v0=a, v1=b, v2=c)
+        corners, p = geo.stage(corners, **{f"p{k}": geo.rotate_axes(v[k], "_xc", "_yc") for k in range(3)})
+        p = [(q[0] * EARTH_RADIUS, q[1] * EARTH_RADIUS) for q in p]
+        area = geo.spherical_triangle_area(*v)
     else:
         p = [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(3)]
         area = geo.triangle_area(*p)
-    twice = geo.twice_signed_area(*p)
+    corners = corners.withColumn("_twice", geo.twice_signed_area(*p))
+    twice = F.col("_twice")
     columns = []
     for k in range(3):
         a, b = p[(k + 1) % 3], p[(k + 2) % 3]
