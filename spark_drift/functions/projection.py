@@ -148,25 +148,28 @@ _HELMERT_S = -20.4894e-6
 _HELMERT_R = (0.1502, 0.2470, 0.8421)
 
 
-def bng_to_lonlat(easting, northing) -> tuple[Column, Column]:
-    """British National Grid to WGS 84 degrees, good to about 5 m (Helmert shift)."""
-    lon, lat = _BNG.inverse(col(easting), col(northing), F.lit(math.radians(-2.0)))
+def bng_to_lonlat(df: DataFrame, easting: str = "easting", northing: str = "northing") -> DataFrame:
+    """Adds WGS 84 lon, lat in degrees to British National Grid points, good to about 5 m (Helmert shift)."""
+    c = F.col
     a, f = _AIRY
     e2 = f * (2 - f)
-    nu = F.lit(a) / F.sqrt(F.lit(1.0) - F.lit(e2) * F.pow(F.sin(lat), 2))
-    x, y, z = nu * F.cos(lat) * F.cos(lon), nu * F.cos(lat) * F.sin(lon), nu * F.lit(1 - e2) * F.sin(lat)
+    lon, lat = _BNG.inverse(c(easting), c(northing), F.lit(math.radians(-2.0)))
+    out = df.withColumns({"_lon": lon, "_lat": lat})
+    out = out.withColumn("_nu", F.lit(a) / F.sqrt(F.lit(1.0) - F.lit(e2) * F.pow(F.sin("_lat"), 2)))
+    x, y, z = c("_nu") * F.cos("_lat") * F.cos("_lon"), c("_nu") * F.cos("_lat") * F.sin("_lon"), c("_nu") * F.lit(1 - e2) * F.sin("_lat")
+    out = out.withColumns({"_x": x, "_y": y, "_z": z})
     rx, ry, rz = (math.radians(r / 3600) for r in _HELMERT_R)
-    s = 1 + _HELMERT_S
-    x2 = F.lit(_HELMERT_T[0]) + F.lit(s) * x - F.lit(rz) * y + F.lit(ry) * z
-    y2 = F.lit(_HELMERT_T[1]) + F.lit(rz) * x + F.lit(s) * y - F.lit(rx) * z
-    z2 = F.lit(_HELMERT_T[2]) - F.lit(ry) * x + F.lit(rx) * y + F.lit(s) * z
+    s = F.lit(1 + _HELMERT_S)
+    out = out.withColumns({
+        "_x2": F.lit(_HELMERT_T[0]) + s * c("_x") - F.lit(rz) * c("_y") + F.lit(ry) * c("_z"),
+        "_y2": F.lit(_HELMERT_T[1]) + F.lit(rz) * c("_x") + s * c("_y") - F.lit(rx) * c("_z"),
+        "_z2": F.lit(_HELMERT_T[2]) - F.lit(ry) * c("_x") + F.lit(rx) * c("_y") + s * c("_z"),
+    })
     a2, f2 = _WGS84
     b2 = a2 * (1 - f2)
     e2w, ep2 = f2 * (2 - f2), (a2 * a2 - b2 * b2) / (b2 * b2)
-    p = F.sqrt(x2 * x2 + y2 * y2)
-    theta = F.atan2(z2 * F.lit(a2), p * F.lit(b2))
-    lat2 = F.atan2(
-        z2 + F.lit(ep2 * b2) * F.pow(F.sin(theta), 3),
-        p - F.lit(e2w * a2) * F.pow(F.cos(theta), 3),
-    )
-    return F.degrees(F.atan2(y2, x2)), F.degrees(lat2)
+    out = out.withColumn("_p", F.sqrt(c("_x2") * c("_x2") + c("_y2") * c("_y2")))
+    out = out.withColumn("_t", F.atan2(c("_z2") * F.lit(a2), c("_p") * F.lit(b2)))
+    lat2 = F.atan2(c("_z2") + F.lit(ep2 * b2) * F.pow(F.sin("_t"), 3), c("_p") - F.lit(e2w * a2) * F.pow(F.cos("_t"), 3))
+    out = out.withColumns({"lon": F.degrees(F.atan2(c("_y2"), c("_x2"))), "lat": F.degrees(lat2)})
+    return out.drop("_lon", "_lat", "_nu", "_x", "_y", "_z", "_x2", "_y2", "_z2", "_p", "_t")

@@ -269,35 +269,60 @@ def with_crossing(pairs: DataFrame, geographic: bool) -> DataFrame:
     return geo.unstage(out, "a", "b", "c", "d", "n1", "n2", "line")
 
 
+def _move_cells(moves: DataFrame, start: geo.Vec, end: geo.Vec, scales: list[int], pad: Column, axes: range) -> DataFrame:
+    """One row per cell that a move runs through, per scale: strip by strip along the first axis.
+
+    Within a strip only the part of the move inside it is followed, so a long move meets
+    cells along its line and not its whole box."""
+    rows = moves.withColumn("_ms", F.explode(F.array(*[F.lit(int(v)) for v in sorted(scales)])))
+    rows = rows.withColumns({"_mside": F.pow(F.lit(2.0), F.col("_ms")), "_mpad": pad})
+    side, pad = F.col("_mside"), F.col("_mpad")
+    cell = lambda v: F.floor(v / side).cast("long")
+    d0 = end[0] - start[0]
+    lo, hi = F.least(start[0], end[0]) - pad, F.greatest(start[0], end[0]) + pad
+    rows = rows.withColumn("_m0", F.explode(F.sequence(cell(lo), cell(hi))))
+    enter = (F.col("_m0") * side - pad - start[0]) / geo.nonzero(d0)
+    leave = ((F.col("_m0") + 1) * side + pad - start[0]) / geo.nonzero(d0)
+    rows = rows.withColumns({"_ta": F.coalesce(geo.clamp(F.least(enter, leave), 0.0, 1.0), F.lit(0.0)),
+                             "_tb": F.coalesce(geo.clamp(F.greatest(enter, leave), 0.0, 1.0), F.lit(1.0))})
+    for a in axes[1:]:
+        p, q = (start[a] + F.col(t) * (end[a] - start[a]) for t in ("_ta", "_tb"))
+        rows = rows.withColumn(f"_m{a}", F.explode(F.sequence(cell(F.least(p, q) - pad), cell(F.greatest(p, q) + pad))))
+    return rows.drop("_mside", "_mpad", "_ta", "_tb")
+
+
 def first_walls(moves: DataFrame, mesh: Mesh) -> DataFrame:
     """First wall side that the straight move (x, y) → (x_new, y_new) crosses, by path length.
 
-    Moves (move_id, …) with their host. Walls and moves meet in grid cells a power of two
-    above the longest wall; a move is cut into as many cells as its box touches."""
+    Moves (move_id, …). Each wall lies in cells of the power of two at or above its own
+    length (two per axis at most), each move in the cells along its line at every scale in
+    use; the two meet by cell."""
     g = mesh.geographic
-    walls = wall_sides(mesh)
     axes = range(3 if g else 2)
 
-    def box(p: geo.Vec, q: geo.Vec) -> tuple[list[Column], list[Column]]:
-        pad = F.lit(1e-9)
-        if g:
-            d = tuple(p[a] - q[a] for a in range(3))
-            pad = pad + F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - geo.dot3(d, d) / 4))
-        return [F.least(p[a], q[a]) - pad for a in axes], [F.greatest(p[a], q[a]) + pad for a in axes]
-
-    walls, (ws, we) = geo.stage(walls, ws=_position(F.col("sx"), F.col("sy"), g), we=_position(F.col("ex"), F.col("ey"), g))
-    moves, (ms, me) = geo.stage(moves, ms=_position(F.col("x"), F.col("y"), g), me=_position(F.col("x_new"), F.col("y_new"), g))
-    wlo, whi = box(ws, we)
-    longest = one_row(walls.agg(F.max(F.greatest(*[h - l for h, l in zip(whi, wlo)])).alias("v")))["v"]
-    if longest is None:
-        longest = 1.0
-    side = F.pow(F.lit(2.0), F.ceil(F.log2(F.lit(float(longest)))))
-    mlo, mhi = box(ms, me)
-    left, right = moves, walls
+    def bulge(p: geo.Vec, q: geo.Vec) -> Column:
+        if not g:
+            return F.lit(1e-9)
+        d = tuple(p[a] - q[a] for a in axes)
+        return F.lit(1e-9) + F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - geo.dot3(d, d) / 4))
+
+    walls, (ws, we) = geo.stage(wall_sides(mesh), ws=_position(F.col("sx"), F.col("sy"), g), we=_position(F.col("ex"), F.col("ey"), g))
+    walls = walls.withColumn("_wpad", bulge(ws, we))
+    walls = walls.withColumns({f"_wlo{a}": F.least(ws[a], we[a]) - F.col("_wpad") for a in axes}
+                              | {f"_whi{a}": F.greatest(ws[a], we[a]) + F.col("_wpad") for a in axes})
+    walls = geo.unstage(walls, "ws", "we").drop("_wpad")
+    extent = F.greatest(*[F.col(f"_whi{a}") - F.col(f"_wlo{a}") for a in axes])
+    walls = walls.withColumn("_ws", F.ceil(F.log2(extent)).cast("int"))
+    scales = one_row(walls.agg(F.collect_set("_ws").alias("s")))["s"] or [0]  # a handful of exponents
+    right = walls
     for a in axes:
-        left = left.withColumn(f"_m{a}", F.explode(F.sequence(F.floor(mlo[a] / side).cast("long"), F.floor(mhi[a] / side).cast("long"))))
-        right = right.withColumn(f"_w{a}", F.explode(F.sequence(F.floor(wlo[a] / side).cast("long"), F.floor(whi[a] / side).cast("long"))))
-    on = F.lit(True)
+        cell = lambda name: F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("_ws"))).cast("long")
+        right = right.withColumn(f"_w{a}", F.explode(F.sequence(cell(f"_wlo{a}"), cell(f"_whi{a}"))))
+    right = right.drop(*[f"_w{b}{a}" for a in axes for b in ("lo", "hi")])
+    staged, (ms, me) = geo.stage(moves, ms=_position(F.col("x"), F.col("y"), g), me=_position(F.col("x_new"), F.col("y_new"), g))
+    left = _move_cells(staged, ms, me, scales, bulge(ms, me), axes)
+    left = geo.unstage(left, "ms", "me")
+    on = F.col("_ms") == F.col("_ws")
     for a in axes:
         on = on & (F.col(f"_m{a}") == F.col(f"_w{a}"))
     right = right.withColumnsRenamed({"element_id": "wall_element", "slot": "wall_slot"})
@@ -311,14 +336,15 @@ def first_walls(moves: DataFrame, mesh: Mesh) -> DataFrame:
     return best.select("move_id", *[f"w.{c}" for c in found])
 
 
-def crossings(moves: DataFrame, mesh: Mesh) -> DataFrame:
+def crossings(moves: DataFrame, mesh: Mesh, walls: DataFrame | None = None) -> DataFrame:
     """Where each move (move_id, x, y, x_new, y_new, host) ends.
 
     flag −1 / −2 with the last sea element when a land or open side is crossed, else 0 with
     the new host. On the sphere an end point that no element accepts is put at the centre
-    of its old host."""
+    of its old host. ``walls``: the result of ``first_walls`` where it is at hand."""
     g = mesh.geographic
-    walls = first_walls(moves, mesh)
+    if walls is None:
+        walls = first_walls(moves, mesh)
     kept = moves.join(walls, "move_id", "left")
     crossed = kept.where("kind is not null").select(
         *moves.columns, F.col("wall_element").alias("new_host"), F.col("kind").alias("flag"))

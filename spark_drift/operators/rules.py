@@ -67,7 +67,8 @@ def apply_land_rule(moves: DataFrame, mesh: Mesh, rule: str) -> DataFrame:
 
     Adds x_end, y_end, flag and land_hits. restoring: back to the start; absorbing: stays at
     the start with flag −6; reflecting: mirrored once at the side crossed."""
-    ended = crossings(moves, mesh)
+    walls = first_walls(moves, mesh)
+    ended = crossings(moves, mesh, walls)
     hit = F.col("flag") == LAND_CROSSED
     if rule in ("restoring", "absorbing"):
         flag = IN_DOMAIN if rule == "restoring" else PERMANENTLY_BEACHED
@@ -79,9 +80,8 @@ def apply_land_rule(moves: DataFrame, mesh: Mesh, rule: str) -> DataFrame:
         }).select(*moves.columns, "x_end", "y_end", "flag", "land_hits")
     if rule != "reflecting":
         raise ValueError(f"unknown land rule {rule!r}")
-    walls = reflect_across_side(
-        moves.join(first_walls(moves, mesh).where(F.col("kind") == LAND_CROSSED), "move_id"), mesh.cs)
-    back = ended.join(walls.select("move_id", "x_ref", "y_ref"), "move_id", "left")
+    mirrored = reflect_across_side(moves.join(walls.where(F.col("kind") == LAND_CROSSED), "move_id"), mesh.cs)
+    back = ended.join(mirrored.select("move_id", "x_ref", "y_ref"), "move_id", "left")
     return back.withColumns({
         "x_end": F.when(hit, F.col("x_ref")).otherwise(F.col("x_new")),
         "y_end": F.when(hit, F.col("y_ref")).otherwise(F.col("y_new")),

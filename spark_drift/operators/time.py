@@ -25,7 +25,8 @@ def find_time(times: DataFrame, refs: DataFrame, tol_s: float = 60, time: str =
     width = int(tol_s * 1_000_000)
     slot = lambda c: F.floor(micros(F.col(c)) / F.lit(width)).cast("long")
     left = refs.select(ref).distinct().withColumn("_s", F.explode(F.array(*[slot(ref) + d for d in (-1, 0, 1)])))
-    right = times.select(F.col(idx), F.col(time), slot(time).alias("_s"))
+    # one row per distinct time: what meets in a slot is bounded by the resolution of the clock
+    right = times.groupBy(time).agg(F.min(idx).alias(idx)).withColumn("_s", slot(time))
     close = F.abs(seconds_between(F.col(time), F.col(ref))) < tol_s
     found = left.join(right, "_s").where(close).groupBy(ref).agg(
         F.min(idx).alias(idx), F.min_by(time, idx).alias(time)

@@ -197,8 +197,7 @@ def utm_from_lonlat(t):
 @query("bng_to_lonlat")
 def bng_to_lonlat(t):
     df = t.table("pairs").select("id", (C("ax") * 60000 + 50000).alias("e"), (C("ay") * 100000 + 20000).alias("n"))
-    lon, lat = proj.bng_to_lonlat("e", "n")
-    return df.select("id", "e", "n", rd(lon).alias("lon"), rd(lat).alias("lat"))
+    return proj.bng_to_lonlat(df, "e", "n").select("id", "e", "n", rd("lon").alias("lon"), rd("lat").alias("lat"))
 
 
 @query("dms_to_decimal", """

@@ -36,8 +36,8 @@ def test_zone_letter_outside_is_an_error(spark):
 
 
 def test_national_grid(spark):
-    lon, lat = projection.bng_to_lonlat(L(651409.903), L(313177.270))  # Caister water tower
-    r = one(spark, lon.alias("lon"), lat.alias("lat"))
+    df = spark.createDataFrame([(651409.903, 313177.270)], "easting double, northing double")  # Caister water tower
+    r = projection.bng_to_lonlat(df).first()
     assert r["lon"] == pytest.approx(1.716073973, abs=1e-4)
     assert r["lat"] == pytest.approx(52.658007833, abs=1e-4)
 

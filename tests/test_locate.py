@@ -167,3 +167,29 @@ def test_plans_hold_no_python_and_no_product(spark):
     pts = spark.range(1000).select(F.col("id").alias("point_id"), (F.col("id") % 29 + 0.3).alias("x"), (F.col("id") % 23 + 0.1).alias("y"))
     plan = locate.locate_points(pts, m)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_long_moves_meet_short_walls(spark):
+    """Against every wall of a mesh with sides from 0.01 to 6 long."""
+    axis = [0, 0.01, 0.05, 0.4, 1, 4, 10]
+    m = lattice(spark, axis, axis)
+    nodes = m.nodes.withColumn("mask", ((F.col("node_id") % 5) < 2).cast("int"))
+    m = Mesh(nodes, mesh.element_mask(m.elements, nodes, 0))
+    rnd = random.Random(6)
+    rows = [(rnd.uniform(0, 10) ** 2 / 10, rnd.uniform(0, 10) ** 2 / 10, rnd.uniform(0, 10), rnd.uniform(-1, 11), 0) for _ in range(60)]
+    rows += [(0.2, 0.3, 0.2, 9.0, 0), (0.2, 0.3, 9.0, 0.3, 0)]
+    walls = [(r["sx"], r["sy"], r["ex"], r["ey"]) for r in locate.wall_sides(m).collect()]
+    want = {}
+    for i, (x, y, xn, yn, _) in enumerate(rows):
+        best = None
+        for sx, sy, ex, ey in walls:
+            d = (ex - sx) * (yn - y) - (ey - sy) * (xn - x)
+            if d:
+                t = ((x - sx) * (yn - y) - (y - sy) * (xn - x)) / d
+                u = ((x - sx) * (ey - sy) - (y - sy) * (ex - sx)) / d
+                if 0 <= t <= 1 and 0 <= u <= 1 and (best is None or u < best):
+                    best = u
+        if best is not None:
+            want[i] = best * math.hypot(xn - x, yn - y)
+    got = {r["move_id"]: math.hypot(r["xi"] - rows[r["move_id"]][0], r["yi"] - rows[r["move_id"]][1]) for r in locate.first_walls(move(spark, *rows), m).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
