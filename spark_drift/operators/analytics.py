@@ -124,7 +124,8 @@ def _kernel_2d(rows: DataFrame, evals: DataFrame, by: Sequence[str], key: Sequen
     shrink = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3))
     stats = stats.withColumns({c: F.col(c) * shrink for c in ("xx", "yy", "xy")})
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    stats = stats.withColumn("det", F.when(det > 0, det)).where("det is not null")
+    # fixes on a line have no plane density; rounding must not decide whether they are
+    stats = stats.withColumn("det", F.when(det > F.lit(1e-9) * F.col("xx") * F.col("yy"), det)).where("det is not null")
     fixes = skew_safe_join(fixes, stats, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
     fixes = skew_safe_join(fixes, wide, [*key, "_block"])
     sums = []

@@ -71,7 +71,7 @@ def _points(t):
 KERNEL_2D = """
     stat AS (SELECT {by}, count(*) AS n, var_samp(x) * pow(count(*), -1.0 / 3) AS xx, var_samp(y) * pow(count(*), -1.0 / 3) AS yy,
       covar_samp(x, y) * pow(count(*), -1.0 / 3) AS xy FROM {rows} GROUP BY ALL),
-    det AS (SELECT *, xx * yy - xy * xy AS d FROM stat WHERE xx * yy - xy * xy > 0),
+    det AS (SELECT *, xx * yy - xy * xy AS d FROM stat WHERE xx * yy - xy * xy > 1e-9 * xx * yy),
     dens AS (SELECT {by}, slot, sum(exp(-0.5 * (yy * pow(ex - x, 2) - 2 * xy * (ex - x) * (ey - y) + xx * pow(ey - y, 2)) / d)) / (max(n) * 2 * pi() * sqrt(max(d))) AS density
       FROM {rows} JOIN det USING ({by}) {evals} GROUP BY ALL)"""
 

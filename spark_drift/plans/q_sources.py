@@ -170,11 +170,12 @@ def _hourly(t):
 HOURLY_SQL = "h AS (SELECT date_trunc('hour', time) AS time, particle_id, max(group_id) AS group_id, max(x) AS x1, max(y) AS x2, min(z) AS x3 FROM fixes GROUP BY 1, 2)"
 
 
-@query("read_snapshot", f"WITH {HOURLY_SQL} SELECT group_id, x1, x2, x3 FROM h WHERE time = TIMESTAMP '2024-01-03'")
+@query("read_snapshot", f"WITH {HOURLY_SQL} SELECT group_id, x1, x2, x3 FROM h WHERE time = (SELECT min(time) FROM h)")
 def read_snapshot(t):
     path = scratch_folder(t.spark, "snapshots")
     wtr.write_snapshot(_hourly(t), path, 86400)
-    return rdr.read_snapshot(t.spark, f"{path}/snapshot_time=20240103T000000", "2024-01-03 00:00:00")
+    first = one_row(_hourly(t).agg(F.min("time").alias("t0")))["t0"]
+    return rdr.read_snapshot(t.spark, f"{path}/snapshot_time={first:%Y%m%dT%H%M%S}", first)
 
 
 @query("write_snapshot", f"""
