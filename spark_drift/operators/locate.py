@@ -389,27 +389,24 @@ def boundary_intersection(moves: DataFrame, mesh: Mesh, strict: bool = True) ->
 def reflect_across_side(crossed: DataFrame, cs: str = "cartesian") -> DataFrame:
     """Mirror the part of each move beyond its crossing point: adds x_ref, y_ref.
 
-    On the sphere this is done in the plane tangent at the crossing point, and the result
-    is scaled back to unit length."""
+    On the sphere this is done in the plane tangent at the crossing point."""
     c = F.col
     if cs != "geographic":
         nx, ny = c("ey") - c("sy"), c("sx") - c("ex")
         dx, dy = c("x_new") - c("xi"), c("y_new") - c("yi")
         m = F.lit(2.0) * (nx * dx + ny * dy) / (nx * nx + ny * ny)
         return crossed.withColumns({"x_ref": c("xi") + dx - m * nx, "y_ref": c("yi") + dy - m * ny})
-    lon, lat = F.radians("xi"), F.radians("yi")
-    turned = lambda v: geo.rotate_axes(v, lon, lat)
+    # In the plane tangent at p, with b the new position and q along the side: the part of b
+    # along q stays, the rest turns over. Multiplied out: p + m·(q − (q·p)p) − (b − (b·p)p).
     unit = lambda x, y: geo.to_unit_vector(F.radians(x), F.radians(y))
-    out, vectors = geo.stage(crossed, ri=unit("xi", "yi"), rb=unit("x_new", "y_new"), r1=unit("sx", "sy"), r2=unit("ex", "ey"))
-    out, (pi, pb, p1, p2) = geo.stage(out, **{n: turned(v) for n, v in zip(("ti", "tb", "t1", "t2"), vectors)})
-    out, (n, d) = geo.stage(out, rn=(p2[1] - p1[1], p1[0] - p2[0]), rd=(pb[0] - pi[0], pb[1] - pi[1]))
-    out = out.withColumn("_m", F.lit(2.0) * geo.dot2(n, d) / geo.dot2(n, n))
-    out, (flat,) = geo.stage(out, rf=(pi[0] + d[0] - c("_m") * n[0], pi[1] + d[1] - c("_m") * n[1], F.lit(1.0)))
-    out, (sphere,) = geo.stage(out, rs=geo.unit3(flat))
-    out, (back,) = geo.stage(out, rr=geo.reverse_rotate_axes(sphere, lon, lat))
-    lon_r, lat_r = geo.to_lonlat(back)
-    out = out.withColumns({"x_ref": F.degrees(lon_r), "y_ref": F.degrees(lat_r)}).drop("_m")
-    return geo.unstage(out, "ri", "rb", "r1", "r2", "ti", "tb", "t1", "t2", "rn", "rd", "rf", "rs", "rr")
+    side = tuple(e - s for e, s in zip(unit("ex", "ey"), unit("sx", "sy")))
+    out, (p, b, q) = geo.stage(crossed, rp=unit("xi", "yi"), rb=unit("x_new", "y_new"), rq=side)
+    out = out.withColumns({"_qp": geo.dot3(q, p), "_bp": geo.dot3(b, p), "_bq": geo.dot3(b, q), "_qq": geo.dot3(q, q)})
+    out = out.withColumn("_m", F.lit(2.0) * (c("_bq") - c("_bp") * c("_qp")) / (c("_qq") - c("_qp") * c("_qp")))
+    v = [(F.lit(1.0) - c("_m") * c("_qp") + c("_bp")) * p[a] + c("_m") * q[a] - b[a] for a in range(3)]
+    out = out.withColumns({"x_ref": F.degrees(F.atan2(v[1], v[0])),
+                           "y_ref": F.degrees(F.atan2(v[2], F.sqrt(v[0] * v[0] + v[1] * v[1])))})
+    return geo.unstage(out, "rp", "rb", "rq").drop("_qp", "_bp", "_bq", "_qq", "_m")
 
 
 def nearest_wet_element(points: DataFrame, mesh: Mesh, wet: DataFrame, host: str = "host", x: str = "x",

@@ -9,7 +9,7 @@ from spark_drift.functions import geo
 from spark_drift.functions.geo import nonzero
 from spark_drift.operators.locate import crossings, first_walls, reflect_across_side
 from spark_drift.schema import (BOTTOM_CROSSED, IN_DOMAIN, LAND_CROSSED, NOT_FOUND, OPEN_CROSSED, PERMANENTLY_BEACHED, Mesh)
-from spark_drift.util import gaussian, seconds_between, skew_safe_join, uniform
+from spark_drift.util import cut_lineage, gaussian, seconds_between, skew_safe_join, uniform
 
 
 def total_velocity(df: DataFrame, wind_factor: float = 0.0, settling: str | None = None) -> DataFrame:
@@ -67,7 +67,11 @@ def apply_land_rule(moves: DataFrame, mesh: Mesh, rule: str) -> DataFrame:
 
     Adds x_end, y_end, flag and land_hits. restoring: back to the start; absorbing: stays at
     the start with flag −6; reflecting: mirrored once at the side crossed."""
+    if rule not in ("restoring", "absorbing", "reflecting"):
+        raise ValueError(f"unknown land rule {rule!r}")
     walls = first_walls(moves, mesh)
+    if rule == "reflecting":
+        walls = cut_lineage(walls)  # used twice: one row per move that meets a wall
     ended = crossings(moves, mesh, walls)
     hit = F.col("flag") == LAND_CROSSED
     if rule in ("restoring", "absorbing"):
@@ -78,8 +82,6 @@ def apply_land_rule(moves: DataFrame, mesh: Mesh, rule: str) -> DataFrame:
             "land_hits": hit.cast("int"),
             "flag": F.when(hit, flag).otherwise(F.col("flag")).cast("int"),
         }).select(*moves.columns, "x_end", "y_end", "flag", "land_hits")
-    if rule != "reflecting":
-        raise ValueError(f"unknown land rule {rule!r}")
     mirrored = reflect_across_side(moves.join(walls.where(F.col("kind") == LAND_CROSSED), "move_id"), mesh.cs)
     back = ended.join(mirrored.select("move_id", "x_ref", "y_ref"), "move_id", "left")
     return back.withColumns({

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     import oracle
 
-    s = oracle.session(4)
+    s = oracle.session(8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

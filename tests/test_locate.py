@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from spark_drift.operators import locate, mesh
 from spark_drift.schema import Mesh
+from spark_drift.util import cut_lineage
 
 PTS = "point_id long, x double, y double"
 
@@ -133,10 +134,11 @@ def test_land_crossing_on_the_sphere(spark):
     moves = move(spark, (1.99, 12.9, 1.99, 13.1, 0))
     hosts = locate.locate_points(moves.select(F.col("move_id").alias("point_id"), "x", "y"), m).first()["host"]
     moves = moves.withColumn("host", F.lit(hosts))
-    w = locate.first_walls(moves, m).first()
+    walls = cut_lineage(locate.first_walls(moves, m))
+    w = walls.first()
     assert (w["xi"], w["yi"]) == pytest.approx((1.99, 13.0), abs=1e-3)
     assert w["kind"] == -1
-    r = locate.reflect_across_side(moves.join(locate.first_walls(moves, m), "move_id"), "geographic").first()
+    r = locate.reflect_across_side(moves.join(walls, "move_id"), "geographic").first()
     assert r["y_ref"] < 13 and abs(r["x_ref"] - 1.99) < 0.01
 
 
@@ -193,3 +195,24 @@ def test_long_moves_meet_short_walls(spark):
             want[i] = best * math.hypot(xn - x, yn - y)
     got = {r["move_id"]: math.hypot(r["xi"] - rows[r["move_id"]][0], r["yi"] - rows[r["move_id"]][1]) for r in locate.first_walls(move(spark, *rows), m).collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_mirror_on_the_sphere_against_the_tangent_plane(spark):
+    """The same mirror written with rotated axes in NumPy."""
+    import numpy as np
+
+    def frame(lon, lat):
+        lon, lat = np.radians((lon, lat))
+        return np.array([[-np.sin(lon), np.cos(lon), 0], [-np.sin(lat) * np.cos(lon), -np.sin(lat) * np.sin(lon), np.cos(lat)],
+                         [np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]])
+
+    unit = lambda lon, lat: frame(lon, lat)[2]
+    row = dict(xi=12.3, yi=51.2, x_new=12.35, y_new=51.27, sx=12.0, sy=51.0, ex=12.9, ey=51.6)
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
+    r = locate.reflect_across_side(df, "geographic").first()
+    m = frame(row["xi"], row["yi"])
+    b, s, e = (m @ unit(row[x], row[y]) for x, y in (("x_new", "y_new"), ("sx", "sy"), ("ex", "ey")))
+    n = np.array([e[1] - s[1], s[0] - e[0]])
+    flat = np.append(b[:2] - 2 * (n @ b[:2]) / (n @ n) * n, 1.0)
+    back = m.T @ (flat / np.linalg.norm(flat))
+    assert (r["x_ref"], r["y_ref"]) == pytest.approx((np.degrees(np.arctan2(back[1], back[0])), np.degrees(np.arcsin(back[2]))), abs=1e-9)
