@@ -148,3 +148,22 @@ def test_smagorinsky_of_pure_shear(spark):
     fields = spark.createDataFrame(rows, "variable string, time timestamp_ntz, level int, node_id long, value double")
     r = sample.smagorinsky_diffusivity(framed(spark, 0, -1.0), fields, m, (0.0, 5.0), 0.2).first()
     assert r["ah"] == pytest.approx(0.5 * 0.2 * 0.5 * np.sqrt(0.5))
+
+
+def test_gradients_on_the_sphere(spark):
+    """A field that rises by one per metre northwards (and eastwards) has unit gradients."""
+    from spark_drift.operators import mesh
+    from spark_drift.schema import EARTH_RADIUS
+
+    x = spark.createDataFrame([(0, 10.0), (1, 10.1), (2, 10.2)], "idx long, v double")
+    y = spark.createDataFrame([(0, 50.0), (1, 50.1), (2, 50.2)], "idx long, v double")
+    m = mesh.lattice_mesh(x, y, geographic=True)
+    corners = mesh.element_corners(m).select("element_id", *[f"{c}{k}" for c in "xy" for k in range(3)])
+    rows = sample.basis_gradients(m).join(corners, "element_id").collect()
+    assert len(rows) == 8
+    for r in rows:
+        north = [EARTH_RADIUS * np.radians(r[f"y{k}"]) for k in range(3)]
+        east = [EARTH_RADIUS * np.cos(np.radians(50.1)) * np.radians(r[f"x{k}"]) for k in range(3)]
+        assert sum(r[f"gy{k}"] * v for k, v in enumerate(north)) == pytest.approx(1, abs=2e-3)
+        assert sum(r[f"gx{k}"] * v for k, v in enumerate(east)) == pytest.approx(1, abs=5e-3)
+        assert abs(sum(r[f"gx{k}"] * v for k, v in enumerate(north))) < 5e-3
