@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_drift.llm import id_store, piece_codec, token_counts
+from spark_drift.llm import id_store, piece_codec, quality, simhash, token_counts, toxicity
 from spark_drift.llm.common import scratch
 from spark_drift.llm.registry import ORACLES, QUERIES, query, table, tokenizer_file
 
@@ -19,12 +19,29 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(docs, tokenizer_file(MERGE_MODEL), ["doc_id"])
 
 
+@query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 @query("op5_token_counts")
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, token_counts.unigram_model(tokenizer_file(MERGE_MODEL)), ["doc_id"])
 
 
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+@query("op8_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_id_store")
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "id_store")
