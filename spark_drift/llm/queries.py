@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_drift.llm import id_store, mixing, piece_codec, quality, simhash, token_counts, toxicity, url_filter
+from spark_drift.llm import id_store, mixing, nearest, piece_codec, quality, simhash, token_counts, toxicity, url_filter
 from spark_drift.llm.common import scratch, stored
 from spark_drift.llm.registry import ORACLES, QUERIES, query, table, tokenizer_file
 
@@ -70,6 +70,11 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_nearest")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_id_store")
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "id_store")
