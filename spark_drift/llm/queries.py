@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_drift.llm import id_store, mixing, nearest, piece_codec, quality, simhash, token_counts, toxicity, url_filter
+from spark_drift.llm import id_store, mixing, near_vectors, nearest, piece_codec, quality, simhash, token_counts, toxicity, url_filter
 from spark_drift.llm.common import scratch, stored
 from spark_drift.llm.registry import ORACLES, QUERIES, query, table, tokenizer_file
 
@@ -65,6 +65,11 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+@query("op7_near_vectors")
+def near_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_simhash")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
