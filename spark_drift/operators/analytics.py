@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import round_time
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.sample import at_depth, gather, level_columns, locate_level
-from spark_drift.operators.time import asof_frames, elapsed_dates
+from spark_drift.operators.sample import adjust_boundary_phi, between_levels, on_levels_of
+from spark_drift.operators.time import asof_frames, elapsed_dates, fields_around
 from spark_drift.schema import Mesh
-from spark_drift.util import broadcast_if_small, cut_lineage, one_row, skew_safe_join, ts_literal
+from spark_drift.util import cut_lineage, one_row, skew_safe_join, ts_literal
 
 BLOCK = 16  # evaluation points summed per row
 
@@ -24,17 +24,18 @@ def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames:
     """h, ζ, 3-D ``variables`` and 2-D ``surface`` fields at every fix (fix_id, time, x, y, z).
 
     Every fix stays; off the mesh the samples are null. Only the key, position and time
-    travel through the joins; wide trajectory rows are joined back by the key."""
-    n = len(level_depths)
+    travel through the joins; wide trajectory rows are joined back by the key. In boundary elements
+    of geographic meshes the nearest sea node is used; over a masked lower level the level above
+    counts alone. Of the fields only the frames around the fixes are read."""
     found = locate_points(fixes.select(key, "time", "x", "y", "z"), mesh).where("host is not null")
+    if mesh.geographic:
+        found = adjust_boundary_phi(found, mesh)
     framed = asof_frames(found.drop("mask_c", "flag"), frames)
-    wanted = {"zeta": 1} | {s: 1 for s in surface if s != "zeta"} | {v: n for v in variables}
-    got = gather(framed, fields, wanted, nodes=mesh.nodes, keep=[key, "z", "host"]).withColumnsRenamed({"_h": "h", "zeta_0": "zeta"})
-    got = got.withColumns({"zmin": -F.col("h"), "zmax": F.col("zeta")})
-    placed = locate_level(got, "node_levels", levels=[F.col("zeta") - F.lit(float(d)) for d in level_depths])
-    new = {v: F.when(F.col("level_flag") == 0, at_depth(level_columns(v, n), "node_levels")) for v in variables}
-    new |= {s: F.col(f"{s}_0") for s in surface if s != "zeta"}
-    samples = placed.select(key, "host", "h", "zeta", *[c.alias(name) for name, c in new.items()])
+    first, last = fixes.agg(F.min("time")).scalar(), fixes.agg(F.max("time")).scalar()
+    flat = [s for s in surface if s != "zeta"]
+    placed = on_levels_of(framed, fields_around(fields, frames, first, last), mesh.nodes, level_depths, variables, surface=flat)
+    new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}
+    samples = placed.select(key, "host", (-F.col("zmin")).alias("h"), F.col("zmax").alias("zeta"), *[c.alias(name) for name, c in new.items()], *flat)
     return fixes.join(samples, key, "left")
 
 
@@ -73,19 +74,20 @@ def member_density_1d(fixes: DataFrame, levels: DataFrame, n_levels: int | None
                       time: str = "time", z: str = "z") -> DataFrame:
     """(release, time, level, z, density): Gaussian kernel density of depth with reflecting ends.
 
-    ``levels``: (time, level, z, lo, hi). The levels of a date ride along with each fix as
-    columns and every fix adds to one running sum per level, so nothing is paired and a hot
-    member is summed before the shuffle. Bandwidth: Silverman, σ·(4/3n)^(1/5)."""
+    ``levels``: (time, level, z, lo, hi). Count, bandwidth and levels of a member's date are one
+    small row; fixes meet it in one join and each adds to one running sum per level, so nothing is
+    paired and a hot member is summed before the shuffle. Bandwidth: Silverman, σ·(4/3n)^(1/5);
+    a member of one depth has no density there (null)."""
     if n_levels is None:
         n_levels = one_row(levels.agg(F.max("level").alias("m")))["m"] + 1
     ks = range(n_levels)
-    wide = levels.groupBy(time).agg(*[F.max(F.when(F.col("level") == k, F.col("z"))).alias(f"e{k}") for k in ks],
-                                    F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    rows = skew_safe_join(fixes.select(release, time, F.col(z).alias("_z")), wide, [time])
-    stats = rows.groupBy(release, time).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_z").alias("s"))
+    known = F.when(F.col("level") < n_levels, F.col("z")).otherwise(F.raise_error(F.lit("a level lies outside the given number of levels")).cast("double"))
+    wide = levels.withColumn("_known", known).groupBy(time).agg(*[F.max(F.when(F.col("level") == k, F.col("_known"))).alias(f"e{k}") for k in ks],
+                                                                F.max("_known").alias("_any"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    stats = fixes.groupBy(release, time).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(z).alias("s"))
     h = F.col("s") * F.pow(F.lit(4.0) / (F.col("n") * 3), F.lit(0.2))
-    stats = stats.select(release, time, "n", F.when(h > 0, h).alias("h"))
-    rows = skew_safe_join(rows, stats, [release, time])
+    stats = stats.select(release, time, "n", F.when(h > 0, h).alias("h")).join(wide.where("_any is not null"), time)
+    rows = skew_safe_join(fixes.select(release, time, F.col(z).alias("_z")), stats, [release, time])
     zc, hc = F.col("_z"), F.col("h")
     sums = []
     for k in ks:
@@ -117,7 +119,6 @@ def _kernel_2d(rows: DataFrame, evals: DataFrame, by: Sequence[str], key: Sequen
     at = lambda k, c: F.max(F.when(F.pmod("slot", F.lit(BLOCK)) == k, F.col(c)))
     wide = evals.withColumn("_block", F.floor(F.col("slot") / BLOCK).cast("int")).groupBy(*key, "_block").agg(
         *[at(k, "ex").alias(f"ex{k}") for k in range(BLOCK)], *[at(k, "ey").alias(f"ey{k}") for k in range(BLOCK)])
-    wide = broadcast_if_small(wide)
     fixes = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     stats = fixes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.var_samp("_x").alias("xx"), F.var_samp("_y").alias("yy"),
                                    F.covar_samp("_x", "_y").alias("xy"))
@@ -142,16 +143,16 @@ def _kernel_2d(rows: DataFrame, evals: DataFrame, by: Sequence[str], key: Sequen
 
 def density_2d(fixes: DataFrame, points: DataFrame, deltas_s: Sequence[float], group: int | None = None,
                rounding_s: int | None = None, release: str = "release", time: str = "time", x: str = "x", y: str = "y") -> DataFrame:
-    """(delta_s, slot, density) at points (slot 0.., ex, ey), mean over the members.
-
-    Members need at least two fixes that do not lie on a line at the elapsed time."""
+    """(delta_s, slot, density, members) at points (slot 0.., ex, ey): mean over the members, and how many
+    they are. A member with one fix, or with all on a line at the elapsed time, has no density in the
+    plane and is not among them."""
     if rounding_s:
         fixes = fixes.withColumn(time, round_time(time, rounding_s))
     rows = positions_at(fixes, list(deltas_s), release, time)
     if group is not None:
         rows = select_group(rows, [group])
     members = _kernel_2d(rows, points, [release, "delta_s"], [], x, y)
-    return members.groupBy("delta_s", "slot").agg(F.avg("density").alias("density"))
+    return members.groupBy("delta_s", "slot").agg(F.avg("density").alias("density"), F.count(F.lit(1)).alias("members"))
 
 
 def density_hovmoller(fixes: DataFrame, levels: DataFrame, start, end, mass: float = 1.0, rounding_s: int | None = None,
@@ -190,13 +191,13 @@ def mixing_check(density: DataFrame, n_particles: int, n_levels: int) -> DataFra
 
 
 def survival_curve(fixes: DataFrame, rate_per_s: float | None = None, time: str = "time") -> DataFrame:
-    """(time, n_alive) and, with a rate, the expected number n·exp(−rate·t)."""
+    """(time, n_alive, n) and, with a rate, the expected number n₀·exp(−rate·t) of the n₀ alive at the first time."""
     out = fixes.groupBy(time).agg(F.sum("is_alive").cast("long").alias("n_alive"), F.count(F.lit(1)).alias("n"))
     if rate_per_s is None:
         return out
-    t0 = one_row(fixes.agg(F.min(time).alias("t0")))["t0"]
-    elapsed = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(ts_literal(t0).cast("timestamp"))) / F.lit(1e6)
-    return out.withColumn("expected", F.col("n") * F.exp(F.lit(-rate_per_s) * elapsed))
+    first = one_row(out.agg(F.min(time).alias("t0"), F.min_by("n_alive", time).alias("n0")))
+    elapsed = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(ts_literal(first["t0"]).cast("timestamp"))) / F.lit(1e6)
+    return out.withColumn("expected", F.lit(first["n0"]) * F.exp(F.lit(-rate_per_s) * elapsed))
 
 
 def status_summary(fixes: DataFrame, time: str = "time", group: str = "group_id") -> DataFrame:
@@ -237,17 +238,19 @@ def rmse_profile(fixes: DataFrame, profile: DataFrame, mass: float = 1.0, n_leve
 
 def rmse_field(fixes: DataFrame, field: DataFrame, n_points: int, mass: float = 1.0, release: str = "release",
                time: str = "time", x: str = "x", y: str = "y") -> DataFrame:
-    """One row: the same in the plane on the n nodes of highest value per date.
+    """One row: the same in the plane on the n nodes of highest value per date, and the number of
+    (member, date, node) terms it rests on (members on a line have none, see ``density_2d``).
 
     ``field``: (time, node_id, x, y, value); the lower node id wins a tie."""
     w = Window.partitionBy(time).orderBy(F.desc("value"), "node_id")
-    # n rows per date, used three times: written once
-    top = cut_lineage(field.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n_points))
+    # filtered on the rank itself, so that each task keeps n rows per date; used three times: written once
+    top = field.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n_points)
+    top = cut_lineage(top.withColumn("slot", F.col("_rank") - 1).drop("_rank"))
     evals = top.select(time, "slot", F.col("x").alias("ex"), F.col("y").alias("ey"))
     members = _kernel_2d(fixes, evals, [release, time], [time], x, y)
     joined = members.join(top.select(time, "slot", "value"), [time, "slot"])
     d = F.col("density") * F.lit(float(mass)) - F.col("value")
-    return joined.agg(F.sqrt(F.avg(d * d)).alias("rmse"))
+    return joined.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
 def plan_extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

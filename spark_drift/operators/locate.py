@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions import geo
 from spark_drift.operators.mesh import SIDE_ENDS, centre_columns, corner_vectors, element_corners, element_sides
 from spark_drift.schema import LAND, LAND_CROSSED, MASKED_ELEMENT, NOT_FOUND, OPEN_CROSSED, PHI_EPS, Mesh
-from spark_drift.util import cut_lineage, one_row
+from spark_drift.util import cut_lineage, one_row, skew_safe_join
 
 HOST_COLUMNS = ["host", "n0", "n1", "n2", "phi0", "phi1", "phi2", "mask_c", "flag"]
 
@@ -40,18 +41,18 @@ def with_position(points: DataFrame, x: str, y: str, geographic: bool) -> DataFr
     return points.withColumns(dict(zip(("_ux", "_uy", "_uz"), p)))
 
 
-def phi_columns(geographic: bool) -> list[Column]:
-    """Barycentric coordinates of (_ux, _uy, _uz) in the triangle of the test columns."""
-    x, y = F.col("_ux"), F.col("_uy")
+def phi_columns(geographic: bool, of: Callable[[str], Column] = F.col) -> list[Column]:
+    """Barycentric coordinates of (_ux, _uy, _uz) in the triangle of the test columns; ``of`` finds a column."""
+    x, y = of("_ux"), of("_uy")
     if not geographic:
-        ax, ay = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-        bx, by = F.col("x2") - F.col("x0"), F.col("y2") - F.col("y0")
+        ax, ay = of("x1") - of("x0"), of("y1") - of("y0")
+        bx, by = of("x2") - of("x0"), of("y2") - of("y0")
         area2 = ax * by - ay * bx
-        phi1 = (by * (x - F.col("x2")) - bx * (y - F.col("y2"))) / area2
-        phi2 = (ax * (y - F.col("y0")) - ay * (x - F.col("x0"))) / area2
+        phi1 = (by * (x - of("x2")) - bx * (y - of("y2"))) / area2
+        phi2 = (ax * (y - of("y0")) - ay * (x - of("x0"))) / area2
         return [F.lit(1.0) - phi1 - phi2, phi1, phi2]
-    p = (x, y, F.col("_uz"))
-    s = [geo.dot3(p, tuple(F.col(f"s{k}{a}") for a in "xyz")) for k in range(3)]
+    p = (x, y, of("_uz"))
+    s = [geo.dot3(p, tuple(of(f"s{k}{a}") for a in "xyz")) for k in range(3)]
     s = [F.when((c < 0) & (c >= -PHI_EPS), F.lit(0.0)).otherwise(c) for c in s]
     total = geo.nonzero(s[0] + s[1] + s[2])
     return [F.when(F.least(*s) < 0, F.lit(-1.0)).otherwise(c / total) for c in s]
@@ -116,6 +117,18 @@ def _candidates(points: DataFrame, mesh: Mesh, x: str, y: str) -> tuple[DataFram
     return left, boxes, on
 
 
+def element_cells(mesh: Mesh) -> tuple[DataFrame, list[int]]:
+    """One row per cell (_scale, _c0…) with the array of its elements (host, nv, mask_c, test columns), and
+    the scales in use."""
+    boxes = _boxes(mesh)
+    if "mask_c" not in boxes.columns:
+        boxes = boxes.withColumn("mask_c", F.lit(0))
+    axes = range(3 if mesh.geographic else 2)
+    element = F.struct(F.col("element_id").alias("host"), "nv", "mask_c", *TEST_COLUMNS[mesh.geographic])
+    cells = boxes.groupBy("_scale", *[f"_c{a}" for a in axes]).agg(F.collect_list(element).alias("elements"))
+    return cells, sorted(one_row(mesh_scales(mesh))["scales"] or [0])
+
+
 def mesh_scales(mesh: Mesh) -> DataFrame:
     return _boxes(mesh).agg(F.collect_set("_scale").alias("scales"))
 
@@ -125,11 +138,11 @@ def locate_points(points: DataFrame, mesh: Mesh, x: str = "x", y: str = "y") ->
 
     The theta join is an equi-join on grid cells with the exact φ test as residual; the
     lowest element id wins on shared sides. A point off the mesh, or whose element is
-    LAND, has a null host and flag −3. Rows of ``points`` must be distinct.
+    LAND, has a null host and flag −3.
 
-    The last step aggregates over whole point rows, so a third of the points in one cell
-    costs one shuffle of those rows at most; the join itself is left to skew handling."""
-    left, boxes, on = _candidates(points, mesh, x, y)
+    Each distinct position is searched once and only the position travels through the search;
+    the point rows meet its result in one join, so equal rows stay separate rows."""
+    left, boxes, on = _candidates(points.select(x, y).distinct(), mesh, x, y)
     phis = phi_columns(mesh.geographic)
     if "mask_c" not in boxes.columns:
         boxes = boxes.withColumn("mask_c", F.lit(0))
@@ -141,13 +154,14 @@ def locate_points(points: DataFrame, mesh: Mesh, x: str = "x", y: str = "y") ->
     hits = left.join(renamed, on & _inside(phis), "left")
     for k in range(3):
         hits = hits.withColumn(f"_phi{k}", phis[k])
-    best = hits.groupBy(*points.columns).agg(
+    best = hits.groupBy(x, y).agg(
         F.min("_e").alias("host"),
         *[F.min_by(f"_n{k}", "_e").alias(f"n{k}") for k in range(3)],
         *[F.min_by(f"_phi{k}", "_e").alias(f"phi{k}") for k in range(3)],
         F.min_by("_mask", "_e").alias("mask_c"),
     )
-    return flag_hosts(best)
+    found = skew_safe_join(points, best, [x, y], "left")
+    return flag_hosts(found.select(*points.columns, "host", "n0", "n1", "n2", "phi0", "phi1", "phi2", "mask_c"))
 
 
 def flag_hosts(df: DataFrame) -> DataFrame:
@@ -414,8 +428,8 @@ def nearest_wet_element(points: DataFrame, mesh: Mesh, wet: DataFrame, host: str
     """Nearest wet element of the first ring of neighbours that holds one (lowest id on ties).
 
     ``wet``: (element_id, wet 0/1). Rings spread over distinct (dry host) sources, not over
-    points, and the loop ends when the frontier is empty. A host with no wet element in its
-    part of the mesh gives no row."""
+    points, and the loop ends when the frontier is empty. Every point stays: on a wet host, off the
+    mesh, or with no wet element in its part of the mesh its wet_host is null."""
     xc, yc = centre_columns(mesh.geographic)
     centres = element_corners(mesh).select("element_id", xc.alias("_xc"), yc.alias("_yc"))
     links = mesh.elements.select(F.col("element_id").alias("_from"), F.explode("nbe").alias("element_id")).where("element_id >= 0").distinct()
@@ -437,10 +451,14 @@ def nearest_wet_element(points: DataFrame, mesh: Mesh, wet: DataFrame, host: str
         if step % 4 == 3:
             seen = cut_lineage(seen)
         ring = open_
-    cand = points.join(hits, F.col(host) == F.col("source")).join(centres, F.col("near") == F.col("element_id"))
+    # each distinct place of a dry host is measured once
+    spots = points.select(host, x, y).distinct()
+    cand = spots.join(hits, F.col(host) == F.col("source")).join(centres, F.col("near") == F.col("element_id"))
     if mesh.geographic:
         d = geo.haversine(F.radians(x), F.radians(y), F.radians("_xc"), F.radians("_yc"))
     else:
         d = geo.euclid(x, y, "_xc", "_yc")
-    best = cand.groupBy(*points.columns).agg(F.min(F.struct(d.alias("d"), F.col("near").alias("e"))).alias("b"))
-    return best.select(*points.columns, F.col("b.e").alias("wet_host"))
+    cand = cand.withColumn("_d", d)
+    least = cand.groupBy(host, x, y).agg(F.min("_d").alias("_d"))
+    best = cand.join(least, [host, x, y, "_d"]).groupBy(host, x, y).agg(F.min("near").alias("wet_host"))
+    return points.join(best, [host, x, y], "left").select(*points.columns, "wet_host")

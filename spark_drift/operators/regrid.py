@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.sample import adjust_boundary_phi, at_depth, gather, is_wet, level_columns, locate_level
-from spark_drift.operators.time import asof_frames
+from spark_drift.operators.sample import adjust_boundary_phi, between_levels, is_wet, on_levels_of
+from spark_drift.operators.time import asof_frames, fields_around
 from spark_drift.schema import PHI_EPS, Mesh
 from spark_drift.util import ts_literal
 
@@ -17,37 +17,26 @@ KNOWN = ("uo", "vo", "thetao", "so")
 
 
 def regrid(fields: DataFrame, mesh: Mesh, targets: DataFrame, times: Sequence, variables: Sequence[str],
-           level_depths: Sequence[float], frames: DataFrame, wet: DataFrame | None = None,
-           check: bool = True) -> DataFrame:
+           level_depths: Sequence[float], frames: DataFrame, wet: DataFrame | None = None) -> DataFrame:
     """Chosen variables at every target (point_id, x, y, depth) for each time.
 
     Depth counts from the moving free surface (0 on top, negative below): z = depth + ζ.
     Null where the point is off the mesh, the host is dry, or z is outside [−h, ζ]. In
-    boundary elements of geographic meshes the nearest sea node is used. Every target is
-    located once, before the times multiply the rows."""
+    boundary elements of geographic meshes the nearest sea node is used; over a masked lower
+    level the level above counts alone. Every target is located once, before the times
+    multiply the rows, and of the fields only the frames around the times are read."""
     unknown = [v for v in variables if v not in KNOWN]
     if unknown:
         raise ValueError(f"unknown variables {unknown}")
     found = locate_points(targets, mesh)
-    if check and found.where("host is not null").isEmpty():
-        raise ValueError("all target points lie outside the mesh")
-    at = F.explode(F.array(*[ts_literal(t) for t in times])).alias("time")
-    inside = found.where("host is not null")
+    at = F.array(*[ts_literal(t) for t in times])
     if mesh.geographic:
-        inside = adjust_boundary_phi(inside, mesh)
-    n = len(level_depths)
-    framed = asof_frames(inside.select("*", at), frames)
-    if wet is not None:
-        framed = is_wet(framed, wet)
-    else:
-        framed = framed.withColumn("wet", F.lit(1))
-    keep = [*targets.columns, "time"]
-    got = gather(framed, fields, {"zeta": 1} | {v: n for v in variables}, nodes=mesh.nodes, keep=[*keep, "host", "wet"])
-    got = got.withColumns({"zmin": -F.col("_h"), "zmax": F.col("zeta_0"), "z": F.col("depth") + F.col("zeta_0")})
-    placed = locate_level(got, "node_levels", levels=[F.col("zeta_0") - F.lit(float(d)) for d in level_depths])
+        found = adjust_boundary_phi(found, mesh)
+    framed = asof_frames(found.select("*", F.explode(at).alias("time")), frames)
+    framed = is_wet(framed, wet) if wet is not None else framed.withColumn("wet", F.lit(1))
+    near = fields_around(fields, frames, F.array_min(at), F.array_max(at))
+    out = on_levels_of(framed.withColumn("z", F.lit(0.0)), near, mesh.nodes, level_depths, variables, z=F.col("depth") + F.col("zmax"), every=True)
     slack = F.lit(PHI_EPS) * F.abs(F.col("zmax") - F.col("zmin"))  # depth 0 is the surface itself
-    valid = (F.col("wet") == 1) & F.col("z").between(F.col("zmin"), F.col("zmax") + slack) & (F.col("level_flag") == 0)
-    values = placed.select(*keep, "host", *[F.when(valid, at_depth(level_columns(v, n), "node_levels")).alias(v) for v in variables])
-    outside = found.where("host is null").select(*targets.columns, at)
-    outside = outside.select(*keep, F.lit(None).cast("long").alias("host"), *[F.lit(None).cast("double").alias(v) for v in variables])
-    return values.unionByName(outside)
+    valid = F.col("host").isNotNull() & (F.col("wet") == 1) & F.col("z").between(F.col("zmin"), F.col("zmax") + slack)
+    values = [F.when(valid, between_levels(F.col(f"{v}_a"), F.col(f"{v}_b"))).alias(v) for v in variables]
+    return out.select(*targets.columns, "time", "host", *values)

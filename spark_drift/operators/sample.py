@@ -6,9 +6,10 @@ join; the vertical rules are then plain expressions over its columns ``<variable
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_drift.functions import geo
@@ -17,7 +18,7 @@ from spark_drift.functions.timecols import lerp
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.operators.time import nearest_time
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, PHI_EPS, SEA, Mesh
-from spark_drift.util import skew_safe_join
+from spark_drift.util import cut_lineage, skew_safe_join
 
 PHI = ("phi0", "phi1", "phi2")
 
@@ -34,59 +35,138 @@ def pick(columns: Sequence[Column], k: Column) -> Column:
 # --- horizontal -------------------------------------------------------------------
 
 
+def _known_levels(fields: DataFrame, variables: dict[str, int]) -> DataFrame:
+    """Rows of the wanted variables; a level beyond a variable's number of levels is an error."""
+    wanted = fields.where(F.col("variable").isin(list(variables)))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in variables.items() for x in pair]), F.col("variable"))
+    checked = F.when(F.col("level") < limit, F.col("value")).otherwise(F.raise_error(F.format_string("%s has a level %d outside the given ones", "variable", "level")).cast("double"))
+    return wanted.withColumn("value", checked)
+
+
 def widen(fields: DataFrame, variables: dict[str, int], key: Sequence[str] = ("node_id", "time")) -> DataFrame:
     """Long rows to one row per (node, time) with a column per variable and level."""
-    wanted = fields.where(F.col("variable").isin(list(variables)))
     cells = []
     for v, n in variables.items():
         for k in range(n):
             at = (F.col("variable") == v) & (F.col("level") == k)
             cells.append(F.max(F.when(at, F.col("value"))).alias(f"{v}_{k}"))
-    return wanted.groupBy(*key).agg(*cells)
+    return _known_levels(fields, variables).groupBy(*key).agg(*cells)
 
 
 def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_time: bool = True,
            weights: dict[str, Sequence[str]] | None = None, masks: bool = False, nodes: DataFrame | None = None,
-           keep: Sequence[str] | None = None) -> DataFrame:
+           keep: Sequence[str] | None = None, every: bool = False) -> DataFrame:
     """Weighted node values of every variable and level at every point.
 
     ``weights`` maps a column suffix to the three weight columns; the default is φ without
     suffix. Masked values count as 0 in the sum; with ``masks``, ``<v>_<k>_masked`` is 1
     where a host node is masked in either frame. ``nodes`` (node_id, h) adds the depth ``_h``
-    in the same pass. ``keep`` names the point columns to carry on (all by default): they
-    travel six times per point, so wide rows are better joined back by their key afterwards.
-    Rows must be distinct in the kept columns."""
+    in the same pass. ``keep`` names the point columns to carry on (all by default).
+
+    The values of a host's nodes in its two frames are brought together once per (host,
+    frames) in use, and each point meets them in one join: no point row is repeated or
+    aggregated, so equal rows stay separate rows. Points without a host drop out, unless ``every``."""
     weights = weights or {"": PHI}
     keep = list(points.columns if keep is None else keep)
-    frames = [("t_last", F.lit(1.0) - F.col("t_frac")), ("t_next", F.col("t_frac"))] if in_time else [(None, F.lit(1.0))]
-    feeds = []
-    for slot in range(3):
-        for frame, share in frames:
-            parts = [F.col(f"n{slot}").alias("node_id")]
-            if frame:
-                parts.append(F.col(frame).alias("time"))
-            parts += [(F.col(cols[slot]) * share).alias(f"w{i}") for i, cols in enumerate(weights.values())]
-            if nodes is not None:
-                parts.append((F.col(PHI[slot]) * share).alias("_wh"))
-            feeds.append(F.struct(*parts))
-    key = ["node_id", "time"] if in_time else ["node_id"]
-    rows = points.select(*[F.col(c).alias(f"_p_{c}") for c in keep], F.explode(F.array(*feeds)).alias("_f"))
-    rows = rows.select(*[f"_p_{c}" for c in keep], "_f.*")
-    wide = widen(fields, variables, key)
-    sums = []
+    key = ["n0", "n1", "n2", *(["t_last", "t_next"] if in_time else [])]
+    frames = ["t_last", "t_next"] if in_time else [None]
+    slots = [(f"n{slot}", frame) for frame in frames for slot in range(3)]
+    feeds = [F.struct(F.lit(i).alias("_i"), F.col(n).alias("node_id"), *([F.col(t).alias("time")] if t else [])) for i, (n, t) in enumerate(slots)]
+    hosts = points.select(*key).distinct().select(*key, F.explode(F.array(*feeds)).alias("_f")).select(*key, "_f.*")
+    at = ["node_id", "time"] if in_time else ["node_id"]
+    wide = widen(fields, variables, at)
+    cells = [f"{v}_{k}" for v, n in variables.items() for k in range(n)]
     if nodes is not None:
         wide = wide.join(nodes.select("node_id", F.col("h").alias("_node_h")), "node_id")
-        sums.append(F.sum(F.col("_node_h") * F.col("_wh")).alias("_h"))
-    joined = skew_safe_join(rows, wide, key)
-    for v, n in variables.items():
-        for k in range(n):
-            value = F.col(f"{v}_{k}")
-            for i, suffix in enumerate(weights):
-                sums.append(F.sum(F.coalesce(value, F.lit(0.0)) * F.col(f"w{i}")).alias(f"{v}_{k}{suffix}"))
-            if masks:
-                sums.append(F.max(value.isNull().cast("int")).alias(f"{v}_{k}_masked"))
-    out = joined.groupBy(*[f"_p_{c}" for c in keep]).agg(*sums)
-    return out.withColumnsRenamed({f"_p_{c}": c for c in keep})
+    values = [F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"_{c}_at{i}") for c in cells for i in range(len(slots))]
+    if nodes is not None:
+        values += [F.max(F.when(F.col("_i") == i, F.col("_node_h"))).alias(f"_h_at{i}") for i in range(3)]
+    around = hosts.join(wide, at).groupBy(*key).agg(*values)
+    joined = skew_safe_join(points, around, key, "left" if every else "inner")
+    shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")] if in_time else [F.lit(1.0)]
+
+    def total(c: str, columns: Sequence[str]) -> Column:
+        parts = [F.coalesce(F.col(f"_{c}_at{3 * f + slot}"), F.lit(0.0)) * (F.col(columns[slot]) * share)
+                 for f, share in enumerate(shares) for slot in range(3)]
+        return functools.reduce(Column.__add__, parts)
+
+    out = [total(c, columns).alias(f"{c}{suffix}") for c in cells for suffix, columns in weights.items()]
+    if masks:
+        out += [F.greatest(*[F.col(f"_{c}_at{i}").isNull().cast("int") for i in range(len(slots))]).alias(f"{c}_masked") for c in cells]
+    if nodes is not None:
+        out.append((F.col("_h_at0") * F.col(PHI[0]) + F.col("_h_at1") * F.col(PHI[1]) + F.col("_h_at2") * F.col(PHI[2])).alias("_h"))
+    return joined.select(*keep, *out)
+
+
+def gather_levels(points: DataFrame, fields: DataFrame, variables: dict[str, int], weights: dict[str, Sequence[str]] | None = None,
+                  keep: Sequence[str] | None = None) -> DataFrame:
+    """Weighted node values on the two levels ``k_a`` and ``k_b`` of every point: ``<v>_a``, ``<v>_b`` (with
+    the suffixes of ``weights``), and masked_a, masked_b: 1 where a host node of any of the variables is
+    masked there in either frame.
+
+    Only these two levels travel, whatever the number of levels of the source. Every point stays."""
+    weights = weights or {"": PHI}
+    keep = list(points.columns if keep is None else keep)
+    key = ["n0", "n1", "n2", "t_last", "t_next", "k_a", "k_b"]
+    slots = [(f"n{slot}", frame, level) for level in ("k_a", "k_b") for frame in ("t_last", "t_next") for slot in range(3)]
+    feeds = [F.struct(F.lit(i).alias("_i"), F.col(n).alias("node_id"), F.col(t).alias("time"), F.col(k).alias("level")) for i, (n, t, k) in enumerate(slots)]
+    hosts = points.select(*key).where("k_a is not null").distinct().select(*key, F.explode(F.array(*feeds)).alias("_f")).select(*key, "_f.*")
+    at = ["node_id", "time", "level"]
+    wide = _known_levels(fields, variables).groupBy(*at).agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
+    around = hosts.join(wide, at).groupBy(*key).agg(*[F.max(F.when(F.col("_i") == i, F.col(v))).alias(f"_{v}_at{i}") for v in variables for i in range(len(slots))])
+    joined = skew_safe_join(points, around, key, "left")
+    shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")]
+    out = []
+    for j, side in enumerate("ab"):
+        for v in variables:
+            for suffix, columns in weights.items():
+                parts = [F.coalesce(F.col(f"_{v}_at{6 * j + 3 * f + slot}"), F.lit(0.0)) * (F.col(columns[slot]) * share)
+                         for f, share in enumerate(shares) for slot in range(3)]
+                out.append(functools.reduce(Column.__add__, parts).alias(f"{v}_{side}{suffix}"))
+        gaps = [F.col(f"_{v}_at{6 * j + i}").isNull() for v in variables for i in range(6)]
+        out.append(functools.reduce(Column.__or__, gaps).cast("int").alias(f"masked_{side}"))
+    return joined.select(*keep, *out)
+
+
+def on_levels_of(points: DataFrame, fields: DataFrame, mesh_nodes: DataFrame, level_depths: Sequence[float], variables: Sequence[str],
+                 weights: dict[str, Sequence[str]] | None = None, surface: Sequence[str] = (), z: Column | None = None, every: bool = False) -> DataFrame:
+    """Points on fixed depth levels: zmin, zmax, z (replaced by ``z`` if given, which may use ζ as zmax),
+    ``surface`` variables, the vertical position, and the two levels' values of ``variables``.
+
+    The free surface and the depth come first, then only the two levels around each point. A point
+    over a masked lower level takes the level above alone; one in a boundary layer whose level is
+    masked has no place. Points without a host or fields drop out, with ``every`` they stay."""
+    n = len(level_depths)
+    flat = {"zeta": 1} | {s: 1 for s in surface if s != "zeta"}
+    got = gather(points, fields, flat, nodes=mesh_nodes, every=every)
+    got = got.withColumn("zmin", -F.col("_h")).withColumnRenamed("zeta_0", "zmax").drop("_h")
+    got = got.withColumnsRenamed({f"{s}_0": s for s in flat if s != "zeta"})
+    if z is not None:
+        got = got.withColumn("z", z)
+    # written once: the next step looks at these rows twice, and depth rules repeat ζ many times
+    got = cut_lineage(got)
+    placed = locate_level(got, "node_levels", levels=[F.col("zmax") - F.lit(float(d)) for d in level_depths])
+    if not variables:
+        return placed
+    edge = F.col("in_surface") | F.col("in_bottom")
+    placed = placed.withColumn("k_a", F.col("k")).withColumn("k_b", F.when(edge, F.col("k")).otherwise(F.col("k") + 1))
+    out = gather_levels(placed, fields, {v: n for v in variables}, weights)
+    lost = edge & (F.col("masked_a") == 1)
+    over = ~edge & (F.col("masked_a") == 0) & (F.col("masked_b") == 1)
+    out = out.withColumns({"_lost": F.coalesce(lost, F.lit(False)), "_over": F.coalesce(over, F.lit(False))})
+    out = out.withColumns({
+        "k": F.when(~F.col("_lost"), F.col("k")),
+        "in_surface": F.col("in_surface") & ~F.col("_lost"),
+        "in_bottom": (F.col("in_bottom") & ~F.col("_lost")) | F.col("_over"),
+        "level_flag": F.when(F.col("_lost"), NOT_FOUND).otherwise(F.col("level_flag")).cast("int"),
+    })
+    return out.drop("_lost", "_over", "masked_a", "masked_b", "k_a", "k_b")
+
+
+def between_levels(a: Column, b: Column) -> Column:
+    """Value in the host layer from the values on its two levels; null without a place."""
+    inner = lerp(F.col("omega"), b, a)
+    return F.when(F.col("level_flag") == 0, F.when(F.col("in_surface") | F.col("in_bottom"), a).otherwise(inner))
 
 
 def interp_2d(points: DataFrame, field: DataFrame, value: str = "value", out: str = "value") -> DataFrame:
@@ -169,31 +249,49 @@ def idw_neighbours(points: DataFrame, elem_values: DataFrame, mesh: Mesh, values
     frames of a point are weighted by their share of the time."""
     xc, yc = centre_columns(mesh.geographic)
     centres = element_corners(mesh).select(F.col("element_id").alias("_near"), xc.alias("_xc"), yc.alias("_yc"))
-    around = mesh.elements.select(F.col("element_id").alias("_e"), F.explode(
-        F.concat(F.array("element_id"), F.filter("nbe", lambda e: e >= 0))).alias("_near"))
-    rows = points.join(around.join(centres, "_near"), F.col("host") == F.col("_e"))
-    if mesh.geographic:
-        r = geo.haversine(F.radians(x), F.radians(y), F.radians("_xc"), F.radians("_yc"))
+    around = mesh.elements.select(F.col("element_id").alias("host"), F.posexplode(
+        F.concat(F.array("element_id"), F.filter("nbe", lambda e: e >= 0))).alias("_i", "_near"))
+    frames = ["t_last", "t_next"] if in_time else [None]
+    key = ["host", *(f for f in frames if f)]
+    spots = around.join(points.select(*key).distinct(), "host").join(centres, "_near")
+    if in_time:
+        spots = spots.select("*", F.posexplode(F.array(*frames)).alias("_f", "_time"))
     else:
-        r = geo.euclid(x, y, "_xc", "_yc")
-    rows = rows.withColumns({"_r": r, "_share": F.lit(1.0)})
+        spots = spots.withColumn("_f", F.lit(0))
     vals = elem_values.withColumnRenamed("element_id", "_near").withColumnsRenamed({v: f"_v_{v}" for v in values})
-    key = ["_near"]
     if in_time:
-        frames = F.array(F.struct(F.col("t_last").alias("t"), (F.lit(1.0) - F.col("t_frac")).alias("w")),
-                         F.struct(F.col("t_next").alias("t"), F.col("t_frac").alias("w")))
-        rows = rows.withColumn("_f", F.explode(frames)).withColumns({"_time": F.col("_f.t"), "_share": F.col("_f.w")}).drop("_f")
         vals = vals.withColumnRenamed("time", "_time")
-        key.append("_time")
-    rows = skew_safe_join(rows, vals, key)
-    exact = F.col("_r") == 0
-    w = F.col("_share") / nonzero(F.col("_r") * F.col("_r"))
-    sums = []
+    spots = spots.join(vals, ["_near", "_time"] if in_time else ["_near"])
+    # at most four spots per host: itself and its neighbours
+    cells = []
+    for i in range(4):
+        here = F.col("_i") == i
+        cells += [F.max(F.when(here, F.col(c))).alias(f"{c}{i}") for c in ("_xc", "_yc")]
+        cells += [F.max(F.when(here & (F.col("_f") == f), F.col(f"_v_{v}"))).alias(f"_v_{v}_{i}_{f}") for v in values for f in range(len(frames))]
+        cells += [F.max((here & (F.col("_f") == f)).cast("int")).alias(f"_has_{i}_{f}") for f in range(len(frames))]
+    rows = skew_safe_join(points, spots.groupBy(*key).agg(*cells), key)
+    for i in range(4):
+        if mesh.geographic:
+            r = geo.haversine(F.radians(x), F.radians(y), F.radians(f"_xc{i}"), F.radians(f"_yc{i}"))
+        else:
+            r = geo.euclid(x, y, f"_xc{i}", f"_yc{i}")
+        rows = rows.withColumn(f"_r{i}", r)
+    shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")] if in_time else [F.lit(1.0)]
+    spot = [(i, f) for i in range(4) for f in range(len(frames))]
+    weigh = lambda i, f: shares[f] / nonzero(F.col(f"_r{i}") * F.col(f"_r{i}"))
+    add = lambda parts: functools.reduce(Column.__add__, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    # a point on a centre takes that spot's value
+    on = F.coalesce(F.least(*[F.when(F.col(f"_r{i}") == 0, F.lit(i)) for i in range(4)]), F.lit(-1))
+    rows = rows.withColumn("_on", on)
+    out = []
     for v in values:
-        value = F.col(f"_v_{v}")
-        hit = F.sum(F.when(exact, F.col("_share") * value))
-        sums.append(F.coalesce(hit, F.sum(w * value) / nonzero(F.sum(w))).alias(v))
-    return rows.groupBy(*points.columns).agg(*sums)
+        value = lambda i, f: F.col(f"_v_{v}_{i}_{f}")
+        mean = add([weigh(i, f) * value(i, f) for i, f in spot]) / nonzero(add([F.when(F.col(f"_has_{i}_{f}") == 1, weigh(i, f)) for i, f in spot]))
+        best = F.lit(None).cast("double")
+        for i in range(4):
+            best = F.when(F.col("_on") == i, functools.reduce(Column.__add__, [shares[f] * value(i, f) for f in range(len(frames))])).otherwise(best)
+        out.append(F.coalesce(best, mean).alias(v))
+    return rows.select(*points.columns, *out)
 
 
 # --- vertical -----------------------------------------------------------------------
@@ -295,20 +393,16 @@ def interface_gradient(values: Sequence[Column], z: Sequence[Column]) -> Column:
 
 
 def sample_variable(points: DataFrame, fields: DataFrame, variables: Sequence[str], level_depths: Sequence[float],
-                    nodes: DataFrame, layout: str = "node_levels", masks: str | None = None) -> DataFrame:
+                    nodes: DataFrame, layout: str = "node_levels") -> DataFrame:
     """Values of 3-D variables at (t, x, y, z) for sources on fixed depth levels.
 
-    Adds zmin, zmax, the vertical position and one column per variable. ``masks`` names the
-    variable whose gaps mark masked levels."""
-    n = len(level_depths)
-    wanted = {"zeta": 1} | {v: n for v in variables}
-    got = gather(points, fields, wanted, masks=masks is not None, nodes=nodes)
-    got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0")).drop("_h")
-    levels = [F.col("zeta_0") - F.lit(float(d)) for d in level_depths]
-    m = [F.col(f"{masks}_{k}_masked") for k in range(n)] if masks else ()
-    out = locate_level(got, layout, levels=levels, masked=m)
-    for v in variables:
-        out = out.withColumn(v, F.when(F.col("level_flag") == 0, at_depth(level_columns(v, n), layout)))
+    Adds zmin, zmax, the vertical position and one column per variable. Gaps of the variables
+    mark masked levels (``on_levels_of``)."""
+    if layout != "node_levels":
+        raise ValueError(f"unknown layout {layout!r}")
+    out = on_levels_of(points, fields, nodes, level_depths, variables)
+    new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}
+    out = out.withColumns(new)
     return out.select(*points.columns, "zmin", "zmax", "k", "omega", "in_surface", "in_bottom", "level_flag", *variables)
 
 
@@ -342,9 +436,9 @@ def sample_velocity(points: DataFrame, fields: DataFrame, level_depths: Sequence
     return out.withColumn(names[2], F.when(F.col("level_flag") == 0, F.coalesce(F.col(names[2]), F.lit(0.0))))
 
 
-def sample_velocity_elements(points: DataFrame, elem_fields: DataFrame, mesh: Mesh, names: Sequence[str] = ("uo", "vo", "wo"),
-                             n_layers: int = 1) -> DataFrame:
-    """(uo, vo, wo) from element data: Shepard weights on each layer, linear in time and between layers.
+def sample_velocity_elements(points: DataFrame, elem_fields: DataFrame, mesh: Mesh, n_layers: int, names: Sequence[str] = ("uo", "vo", "wo")) -> DataFrame:
+    """(uo, vo, wo) from element data on ``n_layers`` layers: Shepard weights on each layer, linear in time
+    and between layers.
 
     Points carry their host, frames and vertical position (``locate_level`` with layers)."""
     wide = widen(elem_fields, {v: n_layers for v in names}, ("element_id", "time"))
@@ -401,7 +495,7 @@ def vertical_diffusivity_gradient(points: DataFrame, fields: DataFrame, nodes: D
 def profile_diffusivity(points: DataFrame, profile: DataFrame, by: Sequence[str] = ("time",), spline: bool = False) -> DataFrame:
     """Kz and its gradient from one column of data; negative values count as 0."""
     got = profile_spline(points, profile, by[0]) if spline else profile_linear(points, profile, by)
-    return got.withColumn("value", F.greatest("value", F.lit(0.0)))
+    return got.withColumn("value", F.when(F.col("value").isNotNull(), F.greatest("value", F.lit(0.0))))
 
 
 def log_layer_velocity(speed: Column, z: Column, zmin: Column, z_layer: Column, z0: float) -> Column:
@@ -414,30 +508,25 @@ def log_layer_velocity(speed: Column, z: Column, zmin: Column, z_layer: Column,
 def horizontal_diffusivity(points: DataFrame, fields: DataFrame, mesh: Mesh, level_depths: Sequence[float],
                            variable: str = "ah") -> DataFrame:
     """Ah and its horizontal gradient at (t, x, y, z)."""
-    n = len(level_depths)
-    got = gather(with_gradients(points, mesh), fields, {"zeta": 1, variable: n}, weights=GRADIENT_WEIGHTS, nodes=mesh.nodes)
-    got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0"))
-    out = locate_level(got, "node_levels", levels=[F.col("zeta_0") - F.lit(float(d)) for d in level_depths])
-    new = {variable: at_depth(level_columns(variable, n), "node_levels")}
-    new |= {f"d{variable}_d{a}": at_depth(level_columns(variable, n, f"_d{a}"), "node_levels") for a in "xy"}
-    return out.withColumns({c: F.when(F.col("level_flag") == 0, e) for c, e in new.items()}).select(*points.columns, *new)
+    out = on_levels_of(with_gradients(points, mesh), fields, mesh.nodes, level_depths, [variable], GRADIENT_WEIGHTS)
+    new = {variable: between_levels(F.col(f"{variable}_a"), F.col(f"{variable}_b"))}
+    new |= {f"d{variable}_d{a}": between_levels(F.col(f"{variable}_a_d{a}"), F.col(f"{variable}_b_d{a}")) for a in "xy"}
+    return out.withColumns(new).select(*points.columns, *new)
 
 
 def smagorinsky_diffusivity(points: DataFrame, fields: DataFrame, mesh: Mesh, level_depths: Sequence[float],
                             constant: float = 0.2, names: Sequence[str] = ("uo", "vo")) -> DataFrame:
     """½·c·A·√(u_x² + v_y² + ½(u_y + v_x)²) per level, linear in depth. Its gradient counts as 0."""
-    n = len(level_depths)
     u, v = names
-    got = gather(with_gradients(points, mesh), fields, {"zeta": 1, u: n, v: n}, weights=GRADIENT_WEIGHTS, nodes=mesh.nodes)
-    got = got.withColumn("zmin", -F.col("_h")).withColumn("zmax", F.col("zeta_0"))
-    per_level = []
-    for k in range(n):
-        ux, uy = F.col(f"{u}_{k}_dx"), F.col(f"{u}_{k}_dy")
-        vx, vy = F.col(f"{v}_{k}_dx"), F.col(f"{v}_{k}_dy")
+    out = on_levels_of(with_gradients(points, mesh), fields, mesh.nodes, level_depths, names, GRADIENT_WEIGHTS)
+    on_level = {}
+    for side in "ab":
+        ux, uy = F.col(f"{u}_{side}_dx"), F.col(f"{u}_{side}_dy")
+        vx, vy = F.col(f"{v}_{side}_dx"), F.col(f"{v}_{side}_dy")
         shear = ux * ux + vy * vy + F.lit(0.5) * (uy + vx) * (uy + vx)
-        per_level.append(F.lit(0.5 * constant) * F.col("area") * F.sqrt(shear))
-    out = locate_level(got, "node_levels", levels=[F.col("zeta_0") - F.lit(float(d)) for d in level_depths])
-    value = F.when(F.col("level_flag") == 0, at_depth(per_level, "node_levels"))
+        on_level[f"_s_{side}"] = F.lit(0.5 * constant) * F.col("area") * F.sqrt(shear)
+    out = out.withColumns(on_level)
+    value = between_levels(F.col("_s_a"), F.col("_s_b"))
     return out.withColumns({"ah": value, "dah_dx": F.lit(0.0), "dah_dy": F.lit(0.0)}).select(*points.columns, "ah", "dah_dx", "dah_dy")
 
 
@@ -452,10 +541,12 @@ def is_wet(points: DataFrame, wet: DataFrame, surface: bool = False) -> DataFram
     """Adds ``wet``: the host is wet in both frames (and zmax ≥ zmin where those columns exist)."""
     if surface:
         return points.withColumn("wet", F.lit(1))
-    frames = points.withColumn("_f", F.explode(F.array("t_last", "t_next")))
-    w = wet.select(F.col("element_id").alias("host"), F.col("time").alias("_f"), F.col("wet").alias("_w"))
-    rows = skew_safe_join(frames, w, ["host", "_f"], "left")
-    out = rows.groupBy(*points.columns).agg(F.min(F.coalesce("_w", F.lit(0))).alias("wet"))
+    out = points
+    for c in ("t_last", "t_next"):
+        w = wet.select(F.col("element_id").alias("host"), F.col("time").alias(c), F.col("wet").alias(f"_wet_{c}"))
+        out = out.join(w, ["host", c], "left")
+    both = F.least(F.coalesce("_wet_t_last", F.lit(0)), F.coalesce("_wet_t_next", F.lit(0)))
+    out = out.select(*points.columns, both.alias("wet"))
     if {"zmin", "zmax"} <= set(points.columns):
         out = out.withColumn("wet", F.when(F.col("zmax") >= F.col("zmin"), F.col("wet")).otherwise(0))
     return out
@@ -475,65 +566,71 @@ def sample_stokes(points: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def profile_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
-    """Layers between adjacent levels: z_lo, z_hi, v_lo, v_hi and nodal slopes g_lo, g_hi.
+    """One row per profile with its layers from the bottom up: an array of (k, z_lo, z_hi, v_lo, v_hi,
+    g_lo, g_hi), g being nodal slopes, centred inside and one-sided at the ends.
+
+    A profile is as long as its column has levels."""
+    rows = profile.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), F.col(value).alias("v")))).alias("p"))
+    n = F.size("p")
+    at = lambda i: F.get("p", i)
+    slope = lambda i: (at(F.least(i + 1, n - 1))["v"] - at(F.greatest(i - 1, F.lit(0)))["v"]) / nonzero(at(F.least(i + 1, n - 1))["z"] - at(F.greatest(i - 1, F.lit(0)))["z"])
+    layer = lambda i: F.struct(i.alias("k"), at(i)["z"].alias("z_lo"), at(i + 1)["z"].alias("z_hi"), at(i)["v"].alias("v_lo"),
+                               at(i + 1)["v"].alias("v_hi"), slope(i).alias("g_lo"), slope(i + 1).alias("g_hi"))
+    return rows.where(n > 1).select(*by, F.transform(F.sequence(F.lit(0), n - 2), layer).alias("layers"))
 
-    A window per profile: its size is the number of levels. Slopes are centred, one-sided at the ends."""
-    w = Window.partitionBy(*by).orderBy(z)
-    prev = F.lag(z).over(w), F.lag(value).over(w)
-    nxt = F.lead(z).over(w), F.lead(value).over(w)
-    lo_z, lo_v = F.coalesce(prev[0], F.col(z)), F.coalesce(prev[1], F.col(value))
-    hi_z, hi_v = F.coalesce(nxt[0], F.col(z)), F.coalesce(nxt[1], F.col(value))
-    rows = profile.withColumns({"g_lo": (hi_v - lo_v) / nonzero(hi_z - lo_z), "z_hi": nxt[0], "v_hi": nxt[1]})
-    rows = rows.withColumn("g_hi", F.lead("g_lo").over(w)).where("z_hi is not null")
-    first = F.row_number().over(w) - 1
-    return rows.select(*by, first.alias("k"), F.col(z).alias("z_lo"), "z_hi", F.col(value).alias("v_lo"), "v_hi", "g_lo", "g_hi")
+
+def _own_layer(points: DataFrame, layers: DataFrame, by: Sequence[str], z: str) -> DataFrame:
+    """Points with ``_l``, the first layer of their profile that holds z; null outside the profile."""
+    rows = skew_safe_join(points, layers, by, "left")
+    return rows.withColumn("_l", F.get(F.filter("layers", lambda layer: F.col(z).between(layer["z_lo"], layer["z_hi"])), F.lit(0))).drop("layers")
 
 
 def profile_linear(points: DataFrame, profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z") -> DataFrame:
-    """Value and derivative of a 1-D column at each point; the first layer from the bottom wins on an interface."""
-    layers = profile_layers(profile, by)
-    rows = skew_safe_join(points, layers, by)
-    rows = rows.where((F.col(z) >= F.col("z_lo")) & (F.col(z) <= F.col("z_hi")))
-    omega = fraction(F.col(z), F.col("z_lo"), F.col("z_hi"))
-    new = rows.select(*points.columns, "k", lerp(omega, "v_lo", "v_hi").alias("value"), lerp(omega, "g_lo", "g_hi").alias("gradient"))
-    best = new.groupBy(*points.columns).agg(F.min(F.struct("k", "value", "gradient")).alias("b"))
-    return best.select(*points.columns, "b.k", "b.value", "b.gradient")
+    """Layer k, value and derivative of a 1-D column at each point; the first layer from the bottom wins
+    on an interface. Points outside their profile, or without one, stay with nulls."""
+    rows = _own_layer(points, profile_layers(profile, by), by, z)
+    omega = fraction(F.col(z), F.col("_l.z_lo"), F.col("_l.z_hi"))
+    return rows.select(*points.columns, F.col("_l.k").alias("k"), lerp(omega, F.col("_l.v_lo"), F.col("_l.v_hi")).alias("value"),
+                       lerp(omega, F.col("_l.g_lo"), F.col("_l.g_hi")).alias("gradient"))
+
+
+def spline_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
+    """One row per profile: its layers with the second derivatives m_lo, m_hi of the natural cubic spline.
+
+    The tridiagonal system is swept along the sorted arrays: once upwards for the pivots, once
+    downwards for the derivatives."""
+    rows = profile.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), F.col(value).alias("v")))).alias("p"))
+    rows = rows.where(F.size("p") > 1)
+    n = F.size("p")
+    at = lambda i: F.get("p", i)
+    h = lambda i: at(i + 1)["z"] - at(i)["z"]
+    inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+    side = lambda i: F.lit(6.0) * ((at(i + 1)["v"] - at(i)["v"]) / h(i) - (at(i)["v"] - at(i - 1)["v"]) / h(i - 1))
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
+
+    def up(swept: Column, i: Column) -> Column:
+        last = F.element_at(swept, -1)
+        pivot = F.lit(2.0) * (h(i - 1) + h(i)) - h(i - 1) * last["c"]
+        return F.concat(swept, F.array(F.struct((h(i) / pivot).alias("c"), ((side(i) - h(i - 1) * last["d"]) / pivot).alias("d"))))
+
+    rows = rows.withColumn("_s", F.aggregate(inner, F.array(zero), up))
+    down = F.when(n > 2, F.sequence(n - 2, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    back = F.aggregate(down, F.array(F.lit(0.0)), lambda m, i: F.concat(F.array(F.get("_s", i)["d"] - F.get("_s", i)["c"] * F.element_at(m, 1)), m))
+    rows = rows.withColumn("_m", F.concat(F.array(F.lit(0.0)), back))
+    layer = lambda i: F.struct(at(i)["z"].alias("z_lo"), at(i + 1)["z"].alias("z_hi"), at(i)["v"].alias("v_lo"), at(i + 1)["v"].alias("v_hi"),
+                               F.get("_m", i).alias("m_lo"), F.get("_m", i + 1).alias("m_hi"))
+    return rows.select(*by, F.transform(F.sequence(F.lit(0), n - 2), layer).alias("layers"))
 
 
 def profile_spline(points: DataFrame, profile: DataFrame, by: str = "time", z: str = "z") -> DataFrame:
-    """Natural cubic spline value and first derivative per (profile, point).
-
-    One level row feeds one small tridiagonal system: second derivatives are solved per
-    profile in NumPy, where a group is the levels of one profile; points then join by layer."""
-    import numpy as np
-    import pandas as pd
-
-    schema = f"{by} {dict(profile.dtypes)[by]}, z_lo double, z_hi double, v_lo double, v_hi double, m_lo double, m_hi double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("z")
-        zs, v = pdf["z"].to_numpy(), pdf["value"].to_numpy()
-        n = len(zs)
-        m = np.zeros(n)
-        if n > 2:
-            h = np.diff(zs)
-            a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-            m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(v) / h))
-        return pd.DataFrame({by: pdf[by].iloc[0], "z_lo": zs[:-1], "z_hi": zs[1:], "v_lo": v[:-1], "v_hi": v[1:],
-                             "m_lo": m[:-1], "m_hi": m[1:]})
-
-    layers = profile.select(by, F.col(z).alias("z"), "value").groupBy(by).applyInPandas(solve, schema)
-    rows = skew_safe_join(points, layers, [by])
-    zc = F.col(z)
-    # half-open layers, closed at the very top of the profile by the inclusive test and the minimum below
-    rows = rows.where((zc >= F.col("z_lo")) & (zc <= F.col("z_hi")))
-    h, a, b = F.col("z_hi") - F.col("z_lo"), F.col("z_hi") - zc, zc - F.col("z_lo")
-    value = (F.col("m_lo") * a * a * a + F.col("m_hi") * b * b * b) / (h * 6) \
-        + (F.col("v_lo") / h - F.col("m_lo") * h / 6) * a + (F.col("v_hi") / h - F.col("m_hi") * h / 6) * b
-    slope = (F.col("m_hi") * b * b - F.col("m_lo") * a * a) / (h * 2) + (F.col("v_hi") - F.col("v_lo")) / h \
-        - (F.col("m_hi") - F.col("m_lo")) * h / 6
-    best = rows.groupBy(*points.columns).agg(F.min(F.struct(F.col("z_lo"), value.alias("value"), slope.alias("gradient"))).alias("b"))
-    return best.select(*points.columns, "b.value", "b.gradient")
+    """Value and first derivative of the natural cubic spline of each point's profile; null outside it."""
+    rows = _own_layer(points, spline_layers(profile, [by]), [by], z)
+    c = lambda name: F.col(f"_l.{name}")
+    h, a, b = c("z_hi") - c("z_lo"), c("z_hi") - F.col(z), F.col(z) - c("z_lo")
+    value = (c("m_lo") * a * a * a + c("m_hi") * b * b * b) / (h * 6) \
+        + (c("v_lo") / h - c("m_lo") * h / 6) * a + (c("v_hi") / h - c("m_hi") * h / 6) * b
+    slope = (c("m_hi") * b * b - c("m_lo") * a * a) / (h * 2) + (c("v_hi") - c("v_lo")) / h - (c("m_hi") - c("m_lo")) * h / 6
+    return rows.select(*points.columns, value.alias("value"), slope.alias("gradient"))
 
 
 def time_series_at_depth(profile: DataFrame, depth: float, zeta: DataFrame | None = None, by: str = "time") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spark_drift.functions.timecols import due, lerp
-from spark_drift.util import broadcast_if_small, cut_lineage, from_micros, micros, one_row, order_neighbours, seconds_between, skew_safe_join, ts_literal
+from spark_drift.util import from_micros, micros, one_row, order_neighbours, seconds_between, skew_safe_join, ts_literal
 
 
 def _require_empty(missing: DataFrame, what: str) -> None:
@@ -79,24 +79,24 @@ def asof_frames(points: DataFrame, frames: DataFrame, direction: int = 1, by: Se
     """Add the bracketing frames (t_last, t_next) and the fraction between them.
 
     Forward brackets are [last, next), backward ones (last, next]. The interval join is an
-    equi-join on the day, with the exact bounds as a residual. The intervals are written once,
-    and broadcast when counted to be few. ``missing`` = error | null | drop."""
-    day = F.unix_date(F.col(time).cast("date"))
-    spans = frame_intervals(frames, by, time).withColumn(
-        "_day", F.explode(F.sequence(F.unix_date(F.col("t_last").cast("date")), F.unix_date(F.col("t_next").cast("date"))))
-    )
-    spans = broadcast_if_small(cut_lineage(spans))
+    equi-join on buckets as wide as the mean spacing of the frames, with the exact bounds as a
+    residual: an interval lies in about two buckets and a bucket holds about one interval.
+    ``missing`` = error | null | drop."""
+    span = frames.agg(F.greatest(F.lit(1), ((micros(F.max(time)) - micros(F.min(time))) / F.greatest(F.countDistinct(time) - 1, F.lit(1))).cast("long"))).scalar()
+    bucket = lambda c: F.floor(micros(F.col(c)) / span).cast("long")
+    spans = frame_intervals(frames, by, time)
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket("t_last"), bucket("t_next"))))
     t = F.col(time)
     inside = (t >= F.col("t_last")) & (t < F.col("t_next"))
     if direction < 0:
         inside = (t > F.col("t_last")) & (t <= F.col("t_next"))
-    left = points.withColumn("_pday", day)
-    on = F.col("_pday") == F.col("_day")
+    left = points.withColumn("_at", bucket(time))
+    on = F.col("_at") == F.col("_bucket")
     for b in by:
         spans = spans.withColumnRenamed(b, f"_{b}")
         on = on & (F.col(b) == F.col(f"_{b}"))
     out = left.join(spans, on & inside, "inner" if missing == "drop" else "left")
-    out = out.drop("_pday", "_day", *[f"_{b}" for b in by])
+    out = out.drop("_at", "_bucket", *[f"_{b}" for b in by])
     if missing == "error":
         outside = F.raise_error(F.lit("time outside the frames")).cast("timestamp_ntz")
         out = out.withColumn("t_last", F.coalesce(F.col("t_last"), outside))
@@ -104,6 +104,19 @@ def asof_frames(points: DataFrame, frames: DataFrame, direction: int = 1, by: Se
     return out.withColumn("t_frac", f)
 
 
+def fields_around(fields: DataFrame, frames: DataFrame, first: Column, last: Column, time: str = "time") -> DataFrame:
+    """Field rows from the frame before ``first`` to the frame after ``last``.
+
+    The bounds are scalar subqueries over the frames, evaluated before the scan: they prune the
+    folders of a table partitioned by date and the row groups of the others."""
+    before = frames.agg(F.coalesce(F.max(F.when(F.col(time) < first, F.col(time))), F.max(F.when(F.col(time) <= first, F.col(time))))).scalar()
+    after = frames.agg(F.coalesce(F.min(F.when(F.col(time) > last, F.col(time))), F.min(F.when(F.col(time) >= last, F.col(time))))).scalar()
+    rows = fields.where((F.col(time) >= before) & (F.col(time) <= after))
+    if "date" in fields.columns:
+        rows = rows.where((F.col("date") >= before.cast("date")) & (F.col("date") <= after.cast("date")))
+    return rows
+
+
 def thin_output(df: DataFrame, every_s: int, start=None, time: str = "time") -> DataFrame:
     """Rows whose whole seconds since the start are a multiple of the period."""
     if start is None:

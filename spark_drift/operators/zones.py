@@ -187,24 +187,30 @@ def zones_around_polygon(vertices: DataFrame, starts: DataFrame, radius: float,
 
 
 def zone_overlaps(zones: DataFrame, tol: float = 0.0) -> DataFrame:
-    """(a, b, overlap) for zone pairs that overlap by more than ``tol`` of the touching distance.
-
-    One side sits in its own cell, the other in the 3 × 3 cells around it; the cell side is
-    the largest diameter, so no overlapping pair is missed."""
-    widest = one_row(zones.agg(F.max("radius").alias("r")))["r"] or 1.0
-    side = F.lit(2.0 * float(widest))
-    cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    a = zones.select(F.col("group_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("radius").alias("ar"),
-                     cell("cx").alias("i"), cell("cy").alias("j"))
-    b = zones.select(F.col("group_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("radius").alias("br"),
-                     cell("cx").alias("i0"), cell("cy").alias("j0"))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    b = b.withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near))
-    b = b.withColumns({"i": F.col("i0") + F.col("_di"), "j": F.col("j0") + F.col("_dj")}).drop("i0", "j0", "_di", "_dj")
-    touch = F.col("ar") + F.col("br")
-    overlap = (touch - geo.euclid("ax", "ay", "bx", "by")) / touch
-    pairs = a.join(b, ["i", "j"]).where(F.col("a") < F.col("b")).withColumn("overlap", overlap)
-    return pairs.where(F.col("overlap") > tol).select("a", "b", "overlap")
+    """(a, b, overlap) for zone pairs that overlap by more than ``tol`` (from 0) of the touching distance.
+
+    Zones lie in the cells their box touches at a cell side of the power of two at or above their
+    own diameter, and look into the cells they touch at every larger side in use: a pair meets at
+    the side of its larger zone, and one wide zone does not bring all others together."""
+    scale = F.ceil(F.log2(F.greatest(F.lit(2.0) * F.col("radius"), F.lit(1e-9)))).cast("int")
+    rows = zones.select("group_id", "cx", "cy", "radius", scale.alias("_own"))
+    scales = sorted(one_row(rows.agg(F.collect_set("_own").alias("s")))["s"] or [0])  # a few exponents
+
+    def cells(df: DataFrame) -> DataFrame:
+        side = F.pow(F.lit(2.0), F.col("_scale"))
+        for name, c in (("_i", "cx"), ("_j", "cy")):
+            lo, hi = F.floor((F.col(c) - F.col("radius")) / side), F.floor((F.col(c) + F.col("radius")) / side)
+            df = df.withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+        return df
+
+    wide = cells(rows.withColumn("_scale", F.col("_own")))
+    every = F.filter(F.array(*[F.lit(int(s)) for s in scales]), lambda s: s >= F.col("_own"))
+    small = cells(rows.withColumn("_scale", F.explode(every))).withColumnsRenamed({"group_id": "a", "cx": "ax", "cy": "ay", "radius": "ar", "_own": "_small"})
+    pairs = small.join(wide, ["_scale", "_i", "_j"])
+    pairs = pairs.where((F.col("_small") < F.col("_own")) | ((F.col("_small") == F.col("_own")) & (F.col("a") < F.col("group_id"))))
+    touch = F.col("ar") + F.col("radius")
+    pairs = pairs.withColumn("overlap", (touch - geo.euclid("ax", "ay", "cx", "cy")) / touch).where(F.col("overlap") > tol)
+    return pairs.select(F.least("a", "group_id").alias("a"), F.greatest("a", "group_id").alias("b"), "overlap").distinct()
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:
@@ -218,7 +224,8 @@ def _hull(xy: np.ndarray) -> np.ndarray:
         for p in seq:
             while len(chain) > 1:
                 u, v = chain[-1] - chain[-2], p - chain[-2]
-                if u[0] * v[1] - u[1] * v[0] > 0:
+                one, two = u[0] * v[1], u[1] * v[0]
+                if one - two > 1e-12 * (abs(one) + abs(two)):  # on a line up to rounding: no corner
                     break
                 chain.pop()
             chain.append(p)
@@ -230,9 +237,13 @@ def _hull(xy: np.ndarray) -> np.ndarray:
 def zone_hull(points: DataFrame, salts: int = 64) -> DataFrame:
     """(group_id, idx, x, y): convex hull of each group.
 
-    The hull of a group is the hull of the hulls of its parts: each batch is reduced where
-    it lies, then parts of a group, then the group, so a hot group never meets in one task."""
+    Only the lowest and highest point of each x can be corners; an aggregate leaves those. The hull
+    of a group is the hull of the hulls of its parts: each batch is reduced where it lies, then
+    parts of a group, then the group, so a hot group never meets in one task. Points on a line
+    between corners, up to rounding, are none."""
     rows = points.select("group_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = rows.groupBy("group_id", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    rows = rows.select("group_id", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
     kind = dict(rows.dtypes)["group_id"]
 
     def reduce_batch(batches):

@@ -18,6 +18,24 @@ def sample_along_paths(t):
     return out.select("fix_id", "particle_id", *[rd(c).alias(c) for c in ("h", "zeta", "thetao", "u10")])
 
 
+# every eleventh node and level of thetao is masked: over a masked lower level the level above counts alone
+@query("sample_along_paths_masked", """
+    WITH w AS (SELECT h.fix_id, CASE s.slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS node_id, CASE f.k WHEN 0 THEN t_last ELSE t_next END AS time,
+        CASE s.slot WHEN 0 THEN phi0 WHEN 1 THEN phi1 ELSE phi2 END * CASE f.k WHEN 0 THEN 1 - tf ELSE tf END AS wt
+      FROM fix_hosts h, (SELECT unnest([0, 1, 2]) AS slot) s, (SELECT unnest([0, 1]) AS k) f),
+    m AS (SELECT w.fix_id, f.level, sum(CASE WHEN (f.node_id + f.level) % 11 = 0 THEN 0 ELSE wt * f.value END) AS value,
+        max(CASE WHEN (f.node_id + f.level) % 11 = 0 THEN 1 ELSE 0 END) AS gap
+      FROM w JOIN fields f ON f.node_id = w.node_id AND f.time = w.time WHERE f.variable = 'thetao' GROUP BY 1, 2)
+    SELECT f.fix_id, round(p.zeta, 6) + 0.0 AS zeta, round(CASE WHEN p.k = 3 THEN CASE WHEN a.gap = 0 THEN a.value END WHEN a.gap = 0 AND b.gap = 1 THEN a.value
+      ELSE (1 - omega) * b.value + omega * a.value END, 6) + 0.0 AS thetao
+    FROM fixes f LEFT JOIN fix_place p ON p.fix_id = f.fix_id LEFT JOIN m a ON a.fix_id = f.fix_id AND a.level = p.k LEFT JOIN m b ON b.fix_id = f.fix_id AND b.level = p.k + 1""")
+def sample_along_paths_masked(t):
+    hole = (C("variable") == "thetao") & ((C("node_id") + C("level")) % 11 == 0)
+    fields = t.fields("zeta", "thetao").withColumn("value", F.when(~hole, C("value")))
+    out = ops.sample_along_paths(t.fixes, fields, t.mesh, t.frame_times, LEVEL_DEPTHS, ["thetao"])
+    return out.select("fix_id", rd("zeta").alias("zeta"), rd("thetao").alias("thetao"))
+
+
 @query("select_group", "SELECT fix_id, group_id FROM fixes WHERE group_id IN (3, 22)")
 def select_group(t):
     return ops.select_group(t.fixes, [3, 22]).select("fix_id", "group_id")
@@ -81,10 +99,10 @@ KERNEL_2D = """
     sel AS (SELECT f.release, d AS delta_s, x, y FROM day_fixes f JOIN first USING (release), (SELECT unnest([0.0::DOUBLE, 86400, 864000]) AS d) q
       WHERE f.time = t0 + to_seconds(CAST(d AS BIGINT))),
     {KERNEL_2D.format(by='release, delta_s', rows='sel', evals='CROSS JOIN eval_points').strip()}
-    SELECT delta_s, slot, round(avg(density), 8) + 0.0 AS density FROM dens GROUP BY 1, 2""")
+    SELECT delta_s, slot, round(avg(density), 8) + 0.0 AS density, count(*) AS members FROM dens GROUP BY 1, 2""")
 def density_2d(t):
     out = ops.density_2d(t.table("day_fixes"), _points(t), [0, 86400, 864000])
-    return out.select("delta_s", "slot", rd("density", 8).alias("density"))
+    return out.select("delta_s", "slot", rd("density", 8).alias("density"), "members")
 
 
 @query("density_hovmoller", """
@@ -112,7 +130,7 @@ def mixing_check(t):
 
 @query("survival_curve", """
     SELECT time, sum(CASE WHEN particle_id % 30 > DAYNUM(time) - 19723 THEN 1 ELSE 0 END)::BIGINT AS n_alive, count(*) AS n,
-      round(count(*) * exp(-1e-6 * (DAYNUM(time) - (SELECT min(DAYNUM(time)) FROM day_fixes)) * 86400), 6) + 0.0 AS expected FROM day_fixes GROUP BY time""")
+      round((SELECT sum(CASE WHEN particle_id % 30 > DAYNUM(time) - 19723 THEN 1 ELSE 0 END) FROM day_fixes WHERE time = (SELECT min(time) FROM day_fixes)) * exp(-1e-6 * (DAYNUM(time) - (SELECT min(DAYNUM(time)) FROM day_fixes)) * 86400), 6) + 0.0 AS expected FROM day_fixes GROUP BY time""")
 def survival_curve(t):
     day = F.unix_date(C("time").cast("date")) - 19723
     fixes = t.table("day_fixes").withColumn("is_alive", (C("particle_id") % 30 > day).cast("int"))
@@ -155,10 +173,10 @@ def rmse_profile(t):
     WITH {INTEGRAL_SQL.strip()}, top AS (SELECT * FROM (SELECT i.*, x AS ex, y AS ey, row_number() OVER (PARTITION BY time ORDER BY round(value, 5) DESC, node_id) - 1 AS slot
       FROM integral i JOIN nodes USING (node_id)) q WHERE slot < 20),
     {KERNEL_2D.format(by='release, time', rows='day_fixes', evals='JOIN top ev USING (time)').strip()}
-    SELECT round(sqrt(avg(pow(density * 1000 - round(value, 5), 2))), 5) + 0.0 AS rmse FROM dens JOIN top USING (time, slot)""")
+    SELECT round(sqrt(avg(pow(density * 1000 - round(value, 5), 2))), 5) + 0.0 AS rmse, count(*) AS n FROM dens JOIN top USING (time, slot)""")
 def rmse_field(t):
     field = _integral(t).join(t.mesh.nodes.select("node_id", "x", "y"), "node_id").withColumn("value", F.round("value", 5))
-    return ops.rmse_field(t.table("day_fixes"), field, 20, 1000.0).select(rd("rmse", 5).alias("rmse"))
+    return ops.rmse_field(t.table("day_fixes"), field, 20, 1000.0).select(rd("rmse", 5).alias("rmse"), "n")
 
 
 @query("plan_extent", "SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM fixes")

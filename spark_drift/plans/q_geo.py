@@ -1,5 +1,7 @@
 """Queries: coordinate and geometry scalars."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from spark_drift.functions import geo
@@ -194,7 +196,32 @@ def utm_from_lonlat(t):
     return back.select("id", rd("easting", 1).alias("easting"), rd("northing", 1).alias("northing"), rd("lat").alias("lat"), rd("lon").alias("lon"))
 
 
-@query("bng_to_lonlat")
+def _bng_sql() -> str:
+    """Series, Helmert shift and closed form of the latitude in SQL, over the same fixed values."""
+    b, (a, f), (a2, f2) = proj._BNG, proj._AIRY, proj._WGS84
+    scale, e2 = b.k0 * b.radius, f * (2 - f)
+    xi = "".join(f" - ({c!r}) * sin({2 * j + 2} * x0) * cosh({2 * j + 2} * y0)" for j, c in enumerate(b.beta))
+    eta = "".join(f" - ({c!r}) * cos({2 * j + 2} * x0) * sinh({2 * j + 2} * y0)" for j, c in enumerate(b.beta))
+    lat = "".join(f" + ({c!r}) * sin({2 * j + 2} * chi)" for j, c in enumerate(b.delta))
+    (tx, ty, tz), (rx, ry, rz), sc = proj._HELMERT_T, (math.radians(r / 3600) for r in proj._HELMERT_R), 1 + proj._HELMERT_S
+    b2 = a2 * (1 - f2)
+    e2w, ep2 = f2 * (2 - f2), (a2 * a2 - b2 * b2) / (b2 * b2)
+    return f"""
+    WITH q0 AS (SELECT id, ax * 60000 + 50000 AS e, ay * 100000 + 20000 AS n FROM pairs),
+    q1 AS (SELECT *, (n - ({b.fn!r})) / {scale!r} AS x0, (e - {b.fe!r}) / {scale!r} AS y0 FROM q0),
+    q2 AS (SELECT *, x0{xi} AS xi, y0{eta} AS eta FROM q1),
+    q3 AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi, radians(-2) + atan2(sinh(eta), cos(xi)) AS lon0 FROM q2),
+    q4 AS (SELECT *, chi{lat} AS lat0 FROM q3),
+    q5 AS (SELECT *, {a!r} / sqrt(1 - {e2!r} * pow(sin(lat0), 2)) AS nu FROM q4),
+    q6 AS (SELECT *, nu * cos(lat0) * cos(lon0) AS x, nu * cos(lat0) * sin(lon0) AS y, nu * {1 - e2!r} * sin(lat0) AS z FROM q5),
+    q7 AS (SELECT *, {tx!r} + {sc!r} * x - {rz!r} * y + {ry!r} * z AS x2, {ty!r} + {rz!r} * x + {sc!r} * y - {rx!r} * z AS y2,
+      {tz!r} - {ry!r} * x + {rx!r} * y + {sc!r} * z AS z2 FROM q6),
+    q8 AS (SELECT *, sqrt(x2 * x2 + y2 * y2) AS p, atan2(z2 * {a2!r}, sqrt(x2 * x2 + y2 * y2) * {b2!r}) AS t FROM q7)
+    SELECT id, e, n, round(degrees(atan2(y2, x2)), 6) + 0.0 AS lon,
+      round(degrees(atan2(z2 + {ep2 * b2!r} * pow(sin(t), 3), p - {e2w * a2!r} * pow(cos(t), 3))), 6) + 0.0 AS lat FROM q8"""
+
+
+@query("bng_to_lonlat", _bng_sql())
 def bng_to_lonlat(t):
     df = t.table("pairs").select("id", (C("ax") * 60000 + 50000).alias("e"), (C("ay") * 100000 + 20000).alias("n"))
     return proj.bng_to_lonlat(df, "e", "n").select("id", "e", "n", rd("lon").alias("lon"), rd("lat").alias("lat"))

@@ -186,8 +186,10 @@ def local_coordinates(t):
     first AS (SELECT s, e, min(d) AS d FROM bfs GROUP BY 1, 2),
     ring AS (SELECT f.s, min(f.d) AS d FROM first f JOIN w ON w.element_id = f.e WHERE wet = 1 GROUP BY 1),
     cand AS (SELECT f.s, f.e FROM first f JOIN ring r ON r.s = f.s AND r.d = f.d JOIN w ON w.element_id = f.e WHERE wet = 1)
-    SELECT point_id, arg_min(e, struct_pack(r := sqrt(pow(h.x - (x0+x1+x2)/3, 2) + pow(h.y - (y0+y1+y2)/3, 2)), k := e)) AS wet_host
-    FROM hosts h JOIN cand ON s = host JOIN tri t ON t.element_id = e GROUP BY point_id""")
+    SELECT h.point_id, max(b.wet_host) AS wet_host FROM hosts h LEFT JOIN (
+      SELECT point_id, arg_min(e, struct_pack(r := sqrt(pow(h.x - (x0+x1+x2)/3, 2) + pow(h.y - (y0+y1+y2)/3, 2)), k := e)) AS wet_host
+      FROM hosts h JOIN cand ON s = host JOIN tri t ON t.element_id = e GROUP BY point_id) b ON b.point_id = h.point_id
+    WHERE h.host IS NOT NULL GROUP BY 1""")
 def nearest_wet_element(t):
     pts = ops.locate_points(t.points.select("point_id", "x", "y"), t.mesh).where("host is not null").select("point_id", "host", "x", "y")
     wet = t.mesh.elements.select("element_id", F.when(F.floor(C("element_id") / 8) % 3 == 0, 0).otherwise(1).alias("wet"))

@@ -153,7 +153,7 @@ def sample_velocity_elements(t):
     value = (e % 13) * F.lit(0.1) + day * F.lit(0.05) * (k + 1) - k * (e % 7) * F.lit(0.2)
     rows = rows.select("element_id", "time", "level", F.lit("uo").alias("variable"), value.alias("value"))
     pts = placed.select("fix_id", "x", "y", "host", "t_last", "t_next", "t_frac", "k", "in_surface", "in_bottom", "k_upper", "k_lower", "omega_layers")
-    return ops.sample_velocity_elements(pts, rows, t.mesh, ["uo"], 2).select("fix_id", rd("uo").alias("uo"))
+    return ops.sample_velocity_elements(pts, rows, t.mesh, 2, ["uo"]).select("fix_id", rd("uo").alias("uo"))
 
 
 @query("log_layer_velocity", """
@@ -259,13 +259,25 @@ def _profile_points(t):
     l AS (SELECT *, lead(g) OVER (PARTITION BY time ORDER BY z) AS g2 FROM g),
     o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS time, -(o_totalprice % 29) - 1 AS zz FROM orders)
     SELECT id, round(arg_min(value + (zz - z) / (z2 - z) * (v2 - value), z), 6) + 0.0 AS value, round(arg_min(g + (zz - z) / (z2 - z) * (g2 - g), z), 6) + 0.0 AS gradient
-    FROM o JOIN l USING (time) WHERE zz >= z AND zz <= z2 GROUP BY id""")
+    FROM o LEFT JOIN l ON l.time = o.time AND zz >= z AND zz <= z2 GROUP BY id""")
 def profile_linear(t):
     out = ops.profile_linear(_profile_points(t), t.table("profiles"))
     return out.select("id", rd("value").alias("value"), rd("gradient").alias("gradient"))
 
 
-@query("profile_spline")
+@query("profile_spline", """
+    WITH RECURSIVE p AS (SELECT time, z, value AS v, row_number() OVER (PARTITION BY time ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY time) AS n FROM profiles),
+    q AS (SELECT a.*, b.z - a.z AS h, b.v AS v2, b.z AS z2 FROM p a LEFT JOIN p b ON b.time = a.time AND b.i = a.i + 1),
+    up AS (SELECT time, i, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d FROM q WHERE i = 0
+      UNION ALL SELECT q.time, q.i, q.h / (2 * (l.h + q.h) - l.h * f.c), (6 * ((q.v2 - q.v) / q.h - (q.v - l.v) / l.h) - l.h * f.d) / (2 * (l.h + q.h) - l.h * f.c)
+      FROM up f JOIN q ON q.time = f.time AND q.i = f.i + 1 JOIN q l ON l.time = f.time AND l.i = f.i WHERE q.i <= q.n - 2),
+    down AS (SELECT time, n - 1 AS i, CAST(0 AS DOUBLE) AS m FROM q WHERE i = 0
+      UNION ALL SELECT b.time, b.i - 1, f.d - f.c * b.m FROM down b JOIN up f ON f.time = b.time AND f.i = b.i - 1),
+    l AS (SELECT q.*, a.m AS ma, b.m AS mb FROM q JOIN down a ON a.time = q.time AND a.i = q.i JOIN down b ON b.time = q.time AND b.i = q.i + 1),
+    o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS time, -(o_totalprice % 29) - 1 AS zz FROM orders)
+    SELECT id, round(arg_min((ma * pow(z2 - zz, 3) + mb * pow(zz - z, 3)) / (6 * h) + (v / h - ma * h / 6) * (z2 - zz) + (v2 / h - mb * h / 6) * (zz - z), z), 6) + 0.0 AS value,
+      round(arg_min((mb * pow(zz - z, 2) - ma * pow(z2 - zz, 2)) / (2 * h) + (v2 - v) / h - (mb - ma) * h / 6, z), 6) + 0.0 AS gradient
+    FROM o LEFT JOIN l ON l.time = o.time AND zz >= z AND zz <= z2 GROUP BY id""")
 def profile_spline(t):
     out = ops.profile_spline(_profile_points(t), t.table("profiles"))
     return out.select("id", rd("value").alias("value"), rd("gradient").alias("gradient"))
@@ -391,7 +403,8 @@ def sample_velocity_staggered(t):
 @query("profile_diffusivity", """
     WITH p AS (SELECT *, value - 35 AS v FROM profiles), l AS (SELECT *, lead(z) OVER w AS z2, lead(v) OVER w AS v2 FROM p WINDOW w AS (PARTITION BY time ORDER BY z)),
     o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS time, -(o_totalprice % 29) - 1 AS zz FROM orders)
-    SELECT id, round(greatest(0, arg_min(v + (zz - z) / (z2 - z) * (v2 - v), z)), 6) + 0.0 AS value FROM o JOIN l USING (time) WHERE zz >= z AND zz <= z2 GROUP BY id""")
+    SELECT id, round(CASE WHEN max(z) IS NOT NULL THEN greatest(0, arg_min(v + (zz - z) / (z2 - z) * (v2 - v), z)) END, 6) + 0.0 AS value
+    FROM o LEFT JOIN l ON l.time = o.time AND zz >= z AND zz <= z2 GROUP BY id""")
 def profile_diffusivity(t):
     profile = t.table("profiles").withColumn("value", C("value") - 35)
     return ops.profile_diffusivity(_profile_points(t), profile).select("id", rd("value").alias("value"))

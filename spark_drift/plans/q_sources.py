@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from spark_drift.plans.registry import query, rd
+from spark_drift.operators.locate import locate_points
+from spark_drift.plans import q_locate  # noqa: F401  (its comparison SQL is used again)
+from spark_drift.plans.registry import ORACLES, query, rd
 from spark_drift.plans.tables import LEVEL_DEPTHS
 from spark_drift.sources import readers as rdr
 from spark_drift.sources import writers as wtr
@@ -28,7 +30,7 @@ def read_fields(t):
 
 @query("read_mesh", """
     SELECT node_id, round(x - (SELECT min(x) FROM nodes), 6) + 0.0 AS x, round(y - (SELECT min(y) FROM nodes), 6) + 0.0 AS y,
-      round(radians(x), 6) + 0.0 AS lon, round(radians(y), 6) + 0.0 AS lat,
+      round(x, 6) + 0.0 AS lon, round(y, 6) + 0.0 AS lat,
       (SELECT count(*) FROM elems) AS n_elements, CAST(-24 AS DOUBLE) AS deepest FROM nodes""")
 def read_mesh(t):
     path = scratch_folder(t.spark, "mesh")
@@ -42,6 +44,15 @@ def read_mesh(t):
         "*", F.lit(n).cast("long").alias("n_elements"), rd(F.lit(deepest), 1).alias("deepest"))
 
 
+# a mesh that was written and read again finds the same hosts
+@query("read_mesh_and_locate", ORACLES["locate_points_on_sphere"])
+def read_mesh_and_locate(t):
+    path = scratch_folder(t.spark, "mesh")
+    wtr.write_mesh(t.geo_mesh.nodes, t.geo_mesh.elements, path)
+    out = locate_points(t.geo_points.select("point_id", "x", "y"), rdr.read_mesh(t.spark, path, "geographic"))
+    return out.select("point_id", "host", "flag", rd("phi0").alias("phi0"), rd("phi1").alias("phi1"))
+
+
 @query("read_frames_at", """
     SELECT a.variable, a.level, a.node_id, round(a.value, 6) + 0.0 AS last, round(b.value, 6) + 0.0 AS next
     FROM fields a JOIN fields b ON a.variable = b.variable AND a.level = b.level AND a.node_id = b.node_id
@@ -142,14 +153,16 @@ def invalid_to_null(t):
 
 
 def _seeds(t):
-    return t.points.select((C("point_id") % 17).cast("int").alias("group_id"), C("x").alias("x1"), C("y").alias("x2"), C("z").alias("x3"))
+    return t.points.select((C("point_id") % 17).cast("int").alias("group_id"), C("x").alias("x1"), C("y").alias("x2"), C("z").alias("x3"), C("point_id").alias("line"))
 
 
-@query("read_seeds", "SELECT CAST(point_id % 17 AS INT) AS group_id, x AS x1, y AS x2, z AS x3 FROM points")
+# the line of the count is line 0; seeds follow by group, in the order given inside a group, over many files
+@query("read_seeds", """
+    SELECT row_number() OVER (ORDER BY point_id % 17, point_id) AS line, CAST(point_id % 17 AS INT) AS group_id, x AS x1, y AS x2, z AS x3 FROM points""")
 def read_seeds(t):
     path = scratch_folder(t.spark, "seeds")
     wtr.write_seeds(_seeds(t), path)
-    return rdr.read_seeds(t.spark, path).select("group_id", "x1", "x2", "x3")
+    return rdr.read_seeds(t.spark, path).select("line", "group_id", "x1", "x2", "x3")
 
 
 @query("write_seeds", """

@@ -9,13 +9,10 @@ from spark_drift.util import scratch_folder
 C = F.col
 
 
-# a fix is final once the watermark, ten minutes behind the newest fix, has passed it
 @query("stream_sample", """
-    SELECT h.fix_id, h.time, h.host, round(v.value, 6) + 0.0 AS value FROM fix_hosts h JOIN fix_levels v ON v.fix_id = h.fix_id AND v.variable = 'zeta'
-    WHERE h.time <= (SELECT max(time) FROM fixes) - INTERVAL 10 MINUTE""")
+    SELECT h.fix_id, h.time, h.host, round(v.value, 6) + 0.0 AS value FROM fix_hosts h JOIN fix_levels v ON v.fix_id = h.fix_id AND v.variable = 'zeta'""")
 def stream_sample(t):
-    sea = t.mesh.__class__(t.mesh.nodes, t.mesh.elements.where("mask_c <> 2"), "cartesian")
-    out = ops.stream_sample(t.stream_fixes(), t.fields("zeta"), t.frame_times, sea, "zeta")
+    out = ops.stream_sample(t.stream_fixes(), t.fields("zeta"), t.frame_times, t.mesh, "zeta")
     return ops.run_to_parquet(out, scratch_folder(t.spark, "stream")).select("fix_id", "time", "host", rd("value").alias("value"))
 
 
@@ -26,23 +23,21 @@ def stream_sample(t):
     FROM fixes GROUP BY particle_id""")
 def stream_status(t):
     out = ops.stream_status(t.stream_fixes(), 2500000, 2400000)
-    return ops.run_to_parquet(out, scratch_folder(t.spark, "stream"), "update").select(*out.columns)
+    return ops.run_to_parquet(out, scratch_folder(t.spark, "stream"), "update", ["particle_id"])
 
 
 @query("stream_counts", """
     SELECT date_trunc('hour', time) AS t_start, date_trunc('hour', time) + INTERVAL 1 HOUR AS t_end, count(*) AS n, sum(in_domain)::BIGINT AS n_in_domain,
-      sum(is_beached)::BIGINT AS n_beached, sum(error_status)::BIGINT AS n_error FROM fixes GROUP BY 1, 2
-    HAVING date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM fixes) - INTERVAL 1 HOUR""")
+      sum(is_beached)::BIGINT AS n_beached, sum(error_status)::BIGINT AS n_error FROM fixes GROUP BY 1, 2""")
 def stream_counts(t):
-    return ops.run_to_parquet(ops.stream_counts(t.stream_fixes()), scratch_folder(t.spark, "stream"))
+    return ops.run_to_parquet(ops.stream_counts(t.stream_fixes()), scratch_folder(t.spark, "stream"), "update", ["t_start", "t_end"])
 
 
 @query("stream_counts_sliding", """
     SELECT s AS t_start, s + INTERVAL 2 HOUR AS t_end, count(*) AS n, sum(in_domain)::BIGINT AS n_in_domain, sum(is_beached)::BIGINT AS n_beached, sum(error_status)::BIGINT AS n_error
-    FROM (SELECT *, date_trunc('hour', time) - to_hours(CAST(k AS BIGINT)) AS s FROM fixes, range(2) r(k)) q GROUP BY 1, 2
-    HAVING s + INTERVAL 2 HOUR <= (SELECT max(time) FROM fixes) - INTERVAL 1 HOUR""")
+    FROM (SELECT *, date_trunc('hour', time) - to_hours(CAST(k AS BIGINT)) AS s FROM fixes, range(2) r(k)) q GROUP BY 1, 2""")
 def stream_counts_sliding(t):
-    return ops.run_to_parquet(ops.stream_counts(t.stream_fixes(), "2 hours", slide="1 hour"), scratch_folder(t.spark, "stream"))
+    return ops.run_to_parquet(ops.stream_counts(t.stream_fixes(), "2 hours", slide="1 hour"), scratch_folder(t.spark, "stream"), "update", ["t_start", "t_end"])
 
 
 @query("stream_counts_session", """

@@ -100,7 +100,19 @@ def zone_overlaps(t):
     return ops.zone_overlaps(t.table("zones"), 0.05).select("a", "b", rd("overlap").alias("overlap"))
 
 
-@query("zone_hull")
+# the lower and the upper chain by exact integer cross products: fixes lie on a grid of tenths
+@query("zone_hull", """
+    WITH e AS (SELECT group_id, x, min(y) AS lo, max(y) AS hi, CAST(round((x - 0.013721357) * 10) AS BIGINT) AS i,
+        min(CAST(round((y - 0.007193751) * 10) AS BIGINT)) AS a, max(CAST(round((y - 0.007193751) * 10) AS BIGINT)) AS b FROM fixes GROUP BY group_id, x),
+    g AS (SELECT group_id, min(i) AS i0, max(i) AS i1 FROM e GROUP BY 1),
+    below AS (SELECT DISTINCT p.group_id, p.i FROM e p JOIN e l ON l.group_id = p.group_id AND l.i < p.i JOIN e r ON r.group_id = p.group_id AND r.i > p.i
+      WHERE (p.i - l.i) * (r.a - l.a) - (p.a - l.a) * (r.i - l.i) <= 0),
+    above AS (SELECT DISTINCT p.group_id, p.i FROM e p JOIN e l ON l.group_id = p.group_id AND l.i < p.i JOIN e r ON r.group_id = p.group_id AND r.i > p.i
+      WHERE (p.i - l.i) * (r.b - l.b) - (p.b - l.b) * (r.i - l.i) >= 0),
+    c AS (SELECT group_id, 0 AS up, i AS o, x, lo AS y FROM e WHERE (group_id, i) NOT IN (SELECT group_id, i FROM below)
+      UNION ALL SELECT e.group_id, 1, -i, x, hi FROM e JOIN g ON g.group_id = e.group_id
+        WHERE (e.group_id, i) NOT IN (SELECT group_id, i FROM above) AND NOT ((i = i0 OR i = i1) AND a = b))
+    SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY up, o) - 1 AS idx, x, y FROM c""")
 def zone_hull(t):
     return ops.zone_hull(t.fixes.select("group_id", "x", "y"))
 

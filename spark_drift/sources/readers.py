@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,9 @@ def read_fields(spark: SparkSession, path: str, variables: Sequence[str] | None
     return df
 
 
-def read_mesh(spark: SparkSession, path: str, cs: str = "cartesian", shift: bool = True, radians: bool = True) -> Mesh:
-    """Mesh tables under a folder: geographic nodes to radians, plane nodes less their minimum."""
+def read_mesh(spark: SparkSession, path: str, cs: str = "cartesian", shift: bool = True, radians: bool = False) -> Mesh:
+    """Mesh tables under a folder: plane nodes less their minimum, geographic nodes in degrees, as all
+    operators take them; ``radians`` for other use."""
     nodes, elements = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/elements")
     if cs == "geographic":
         if radians:
@@ -189,8 +190,15 @@ def null_to_invalid(df: DataFrame) -> DataFrame:
 
 
 def _counted_rows(spark: SparkSession, path: str, pattern: str, width: int, what: str) -> DataFrame:
-    """Rows of a text list whose first line gives their number."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    """Rows of a text list whose first line gives their number; ``line`` rises in the order of the files'
+    names and of the lines in each.
+
+    A file's split starts at a byte of it, and lines of a split are read in order by one task: the
+    place in the task tells the order within the split. Lines are numbered file by file."""
+    order = ["file", "start", "at"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                         F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value"))
+    lines = number_splits(lines, order)
     parts = lines.where(F.col("value") != "").withColumn("p", F.split("value", pattern))
     check = one_row(parts.agg(
         F.max(F.when(F.size("p") == 1, F.expr("try_cast(p[0] AS BIGINT)"))).alias("n"),
@@ -205,6 +213,17 @@ def _counted_rows(spark: SparkSession, path: str, pattern: str, width: int, what
     return parts.where(F.size("p") == width)
 
 
+def number_splits(lines: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds ``line``, numbered from 0 along file, split and place: ranks within splits and the sizes of
+    the splits before, of which there is one row each."""
+    file, start, at = order
+    inside = F.row_number().over(Window.partitionBy(file, start).orderBy(at)) - 1
+    sizes = lines.groupBy(file, start).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(file, start, before.alias("_before"))
+    return lines.withColumn("_in", inside).join(sizes, [file, start]).withColumn("line", (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", *order)
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """(line, group_id, x1, x2, x3) from space-separated text headed by the number of rows."""
     rows = _counted_rows(spark, path, r"\s+", 4, "seed file")
@@ -229,11 +248,16 @@ def read_open_boundary_nodes(spark: SparkSession, path: str, delimiter: str = r"
 def describe_variables(fields: DataFrame) -> DataFrame:
     """(variable, n, n_times, n_levels, n_nodes, dtype, units, long_name).
 
-    Distinct counts run over (variable, item) pairs, so each is combined before the shuffle."""
-    sizes = fields.groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
-    for c, name in (("time", "n_times"), ("level", "n_levels"), ("node_id", "n_nodes")):
-        part = fields.select("variable", c).distinct().groupBy("variable").agg(F.count(F.lit(1)).alias(name))
-        sizes = sizes.join(part, "variable")
+    One scan: counts per cell are folded into counts per (variable, item) before the items are counted."""
+    # one scan: counts by (variable, item), then the items of each kind are counted
+    cells = fields.groupBy("variable", "time", "level", "node_id").agg(F.count(F.lit(1)).alias("_n"))
+    items = cells.select("variable", "_n", F.explode(F.array(
+        F.struct(F.lit("n_times").alias("kind"), F.col("time").cast("string").alias("item")),
+        F.struct(F.lit("n_levels").alias("kind"), F.col("level").cast("string").alias("item")),
+        F.struct(F.lit("n_nodes").alias("kind"), F.col("node_id").cast("string").alias("item")))).alias("i"))
+    counted = items.groupBy("variable", "i.kind", "i.item").agg(F.sum("_n").alias("_n"))
+    kind = lambda name: F.col("kind") == name
+    sizes = counted.groupBy("variable").agg(F.sum(F.when(kind("n_times"), F.col("_n"))).alias("n"), *[F.count_if(kind(k)).alias(k) for k in ("n_times", "n_levels", "n_nodes")])
     pairs = [F.struct(F.lit(k).alias("k"), F.struct(F.lit(v.units).alias("units"), F.lit(v.long_name).alias("long_name")).alias("v"))
              for k, v in VARIABLES.items()]
     about = F.map_from_entries(F.array(*pairs))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,18 @@ def write_snapshot(df: DataFrame, path: str, every_s: int, start=None, mode: str
     rows.hint("rebalance", "snapshot_time").write.mode(mode).partitionBy("snapshot_time").parquet(path)
 
 
-def write_seeds(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists") -> None:
-    """Seed text: the number of rows, then ``group x1 x2 x3`` ordered by group."""
+def write_seeds(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists", order: Sequence[str] = ()) -> None:
+    """Seed text: the number of rows, then ``group x1 x2 x3`` by group and, inside a group, in the order of
+    ``line`` (or the columns ``order``), as ``read_seeds`` gives it."""
     found = df.count()
     if n is not None and n != found:
         raise ValueError(f"{n} seeds declared, {found} given")
-    head = df.sparkSession.range(1).select(F.lit(0).alias("_o"), F.lit(None).cast("int").alias("group_id"), F.lit(str(found)).alias("value"))
+    order = list(order) or (["line"] if "line" in df.columns else ["x1", "x2", "x3"])
+    head = df.sparkSession.range(1).select(F.lit(str(found)).alias("value"), F.lit(0).alias("_o"), F.lit(None).cast("int").alias("group_id"),
+                                           *[F.lit(None).cast(df.schema[c].dataType).alias(f"_{c}") for c in order])
     text = F.concat_ws(" ", F.col("group_id").cast("string"), *[F.col(c).cast("string") for c in ("x1", "x2", "x3")])
-    rows = df.select(F.lit(1).alias("_o"), F.col("group_id").cast("int").alias("group_id"), text.alias("value"))
-    head.unionByName(rows).orderBy("_o", "group_id", "value").select("value").write.mode(mode).text(path)
+    rows = df.select(text.alias("value"), F.lit(1).alias("_o"), F.col("group_id").cast("int").alias("group_id"), *[F.col(c).alias(f"_{c}") for c in order])
+    head.unionByName(rows).orderBy("_o", "group_id", *[f"_{c}" for c in order]).select("value").write.mode(mode).text(path)
 
 
 def write_mesh(nodes: DataFrame, elements: DataFrame, path: str, levels: DataFrame | None = None, is_global: bool = False,

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from spark_drift.operators.locate import _candidates, phi_columns
-from spark_drift.operators.time import frame_intervals
-from spark_drift.schema import Mesh
+from spark_drift.operators.locate import TEST_COLUMNS, element_cells, phi_columns, with_position
+from spark_drift.operators.time import asof_frames
+from spark_drift.schema import LAND, Mesh
 
 
 def stream_locate(fixes: DataFrame, mesh: Mesh, keep: list[str]) -> DataFrame:
-    """Host candidates of streamed fixes by a stream–static join (inner): element_id, n0..n2, φ0..φ2."""
-    left, boxes, on = _candidates(fixes, mesh, "x", "y")
-    phis = phi_columns(mesh.geographic)
-    boxes = boxes.withColumnRenamed("element_id", "host")
-    rows = left.join(boxes, on).where((phis[0] >= 0) & (phis[1] >= 0) & (phis[2] >= 0))
-    return rows.select(*keep, "host", *[F.col("nv")[k].alias(f"n{k}") for k in range(3)], *[phis[k].alias(f"phi{k}") for k in range(3)])
+    """Hosts of streamed fixes by stream–static joins: host, n0..n2, φ0..φ2; fixes off the mesh drop out.
+
+    The static side is one row per grid cell with the cell's elements (a cell is at most twice as
+    wide as they are, so there are few), the element of lowest id is picked among them in place: a
+    fix comes out once, whatever the number of elements that share its position."""
+    cells, scales = element_cells(mesh)
+    left = fixes
+    g = mesh.geographic
+    left = with_position(left, "x", "y", g)
+    axes = range(3 if g else 2)
+    found = None
+    for s in scales:
+        side = F.pow(F.lit(2.0), F.lit(s))
+        at = [F.floor(F.col(f"_u{'xyz'[a]}") / side).cast("long").alias(f"_p{a}") for a in axes]
+        own = cells.where(F.col("_scale") == s).select(*[F.col(f"_c{a}").alias(f"_c{a}_{s}") for a in axes], F.col("elements").alias(f"_elements_{s}"))
+        left = left.select("*", *[c.alias(f"_p{a}_{s}") for a, c in enumerate(at)])
+        on = functools.reduce(lambda p, q: p & q, [F.col(f"_p{a}_{s}") == F.col(f"_c{a}_{s}") for a in axes])
+        left = left.join(own, on, "left")
+    several = F.concat(*[F.coalesce(F.col(f"_elements_{s}"), F.array().cast(cells.schema["elements"].dataType)) for s in scales])
+    rows = left.select(*keep, *[c for c in left.columns if c.startswith("_u")], F.array_sort(several, lambda a, b: (a["host"] - b["host"]).cast("int")).alias("_e"))
+    names = TEST_COLUMNS[g]
+
+    def hit(e: Column) -> Column:
+        phis = phi_columns(g, lambda c: e[c] if c in names else F.col(c))
+        return (phis[0] >= 0) & (phis[1] >= 0) & (phis[2] >= 0)
+
+    rows = rows.withColumn("_h", F.get(F.filter("_e", hit), F.lit(0))).where("_h is not null")
+    phis = phi_columns(g, lambda c: F.col(f"_h.{c}") if c in names else F.col(c))
+    return rows.select(*keep, F.col("_h.host").alias("host"), *[F.col("_h.nv")[k].alias(f"n{k}") for k in range(3)], *[p.alias(f"phi{k}") for k, p in enumerate(phis)],
+                       F.col("_h.mask_c").alias("mask_c"))
 
 
 def _watermarked(fixes: DataFrame, late: str) -> DataFrame:
@@ -26,49 +54,39 @@ def _watermarked(fixes: DataFrame, late: str) -> DataFrame:
     return fixes.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
 
 
-def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh: Mesh, variable: str, late: str = "10 minutes",
-                  key: str = "fix_id") -> DataFrame:
-    """(fix_id, time, host, value): a surface field at each streamed fix, inside sea elements.
+def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh: Mesh, variable: str, key: str = "fix_id") -> DataFrame:
+    """(fix_id, time, host, value): a surface field at each streamed fix in a sea or boundary element.
 
-    Mesh, frames and fields are static for the run. Every join is stream–static, so the only
-    state is that of the final sum per fix, dropped once the watermark has passed. Element
-    ids rise along a side, so a fix on a shared side takes the lowest id by its minimum."""
-    w = _watermarked(fixes, late)
-    hosts = stream_locate(w.select(key, "time", "x", "y"), mesh, [key, "time"])
-    spans = frame_intervals(frames).withColumns({c: F.col(c).cast("timestamp") for c in ("t_last", "t_next")}).withColumn("_day", F.explode(F.sequence(
-        F.unix_date(F.col("t_last").cast("date")), F.unix_date(F.col("t_next").cast("date")))))
-    hosts = hosts.withColumn("_pday", F.unix_date(F.col("time").cast("date")))
-    inside = (F.col("_pday") == F.col("_day")) & (F.col("time") >= F.col("t_last")) & (F.col("time") < F.col("t_next"))
-    rows = hosts.join(spans, inside)
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    f = (us("time") - us("t_last")) / (us("t_next") - us("t_last"))
-    feeds = [F.struct(F.col(f"n{k}").alias("node_id"), F.col(t).alias("ft"), (F.col(f"phi{k}") * share).alias("w"))
-             for k in range(3) for t, share in (("t_last", F.lit(1.0) - f), ("t_next", f))]
-    rows = rows.select(key, "time", "host", F.explode(F.array(*feeds)).alias("s")).select(key, "time", "host", "s.*")
-    values = fields.where((F.col("variable") == variable) & (F.col("level") == 0)).select(
-        "node_id", F.col("time").cast("timestamp").alias("ft"), "value")
-    rows = rows.join(values, ["node_id", "ft"])
-    out = rows.groupBy(key, "time", "host").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    return out.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    Mesh, frames and fields are static for the run. Every join is stream–static and each fix meets
+    one row in each, so there is no state, no watermark, and every fix comes out once, at once. On a
+    shared side the lowest element id is the host, and a land host is none, as in ``locate_points``."""
+    hosts = stream_locate(fixes.select(key, "time", "x", "y"), mesh, [key, "time"]).where(F.col("mask_c") != LAND)
+    rows = asof_frames(hosts, frames, missing="drop")
+    node = fields.where((F.col("variable") == variable) & (F.col("level") == 0)).select("node_id", F.col("time").alias("_frame"), "value")
+    corners = mesh.elements.select(F.col("element_id").alias("host"), F.posexplode("nv").alias("_slot", "node_id"))
+    # an element's three values in a frame, once for all fixes
+    values = corners.join(node, "node_id").groupBy("host", "_frame").agg(*[F.max(F.when(F.col("_slot") == k, F.col("value"))).alias(f"_v{k}") for k in range(3)])
+    parts = []
+    for frame, share in (("t_last", F.lit(1.0) - F.col("t_frac")), ("t_next", F.col("t_frac"))):
+        own = values.withColumnsRenamed({"_frame": frame} | {f"_v{k}": f"_{frame}{k}" for k in range(3)})
+        rows = rows.join(own, ["host", frame])
+        parts += [F.coalesce(F.col(f"_{frame}{k}"), F.lit(0.0)) * F.col(f"phi{k}") * share for k in range(3)]
+    return rows.select(key, "time", "host", functools.reduce(lambda a, b: a + b, parts).alias("value"))
 
 
 STATUS_COLUMNS = "particle_id long, age_s double, land_encounters long, is_beached int, in_domain int, is_alive int, settling int"
 _STATE = "first double, last double, land long, beached int, domain int, alive int"
 
 
-def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float, late: str = "1 hour",
-                  keep: str = "30 days") -> DataFrame:
-    """Running state per particle, emitted once per batch in which it has fixes.
+def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float) -> DataFrame:
+    """Running state per particle, emitted once per batch in which it has fixes (``run_to_parquet``
+    keeps the newest by ``particle_id``).
 
     Age, land encounters, beaching, domain, life and start of settling. A particle that left
-    the domain stays out, a dead one stays dead. Rows of a particle come in pieces, so a hot
-    particle is folded and never held; state ends ``keep`` after its last fix."""
-    ttl = int(pd.Timedelta(keep).total_seconds() * 1000)
+    the domain stays out, a dead one stays dead: states never expire. Rows of a particle come in
+    pieces, so a hot particle is folded and never held."""
 
     def update(key, pieces, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         first, last, land, beached, domain, alive = state.get if state.exists else (None, None, 0, 0, 1, 1)
         for pdf in pieces:
             t = pdf["t_us"] / 1e6
@@ -84,17 +102,14 @@ def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float,
         if age >= death_age_s:
             alive = 0
         state.update((first, last, land, beached, domain, alive))
-        now = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(int(last * 1000), now) + ttl)
         yield pd.DataFrame({
             "particle_id": [key[0]], "age_s": [age], "land_encounters": [land], "is_beached": [beached], "in_domain": [domain],
             "is_alive": [alive], "settling": [int(age >= settling_delay_s)],
         })
 
-    rows = _watermarked(fixes, late).select("particle_id", "time", F.unix_micros("time").alias("t_us"), "is_beached", "in_domain",
-                                            "land_boundary_encounters")
-    return rows.groupBy("particle_id").applyInPandasWithState(
-        update, STATUS_COLUMNS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    us = F.unix_micros(F.col("time").cast("timestamp"))
+    rows = fixes.select("particle_id", us.alias("t_us"), "is_beached", "in_domain", "land_boundary_encounters")
+    return rows.groupBy("particle_id").applyInPandasWithState(update, STATUS_COLUMNS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_counts(fixes: DataFrame, every: str = "1 hour", late: str = "1 hour", slide: str | None = None,
@@ -114,11 +129,12 @@ def stream_counts(fixes: DataFrame, every: str = "1 hour", late: str = "1 hour",
                       "n", "n_in_domain", "n_beached", "n_error")
 
 
-def run_to_parquet(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def run_to_parquet(stream: DataFrame, path: str, mode: str = "append", newest_by: Sequence[str] = ()) -> DataFrame:
     """Drain what the source holds into Parquet and read it back.
 
     ``update`` output is written by batch, each batch to its own folder so that a retried
-    batch replaces itself."""
+    batch replaces itself; with ``newest_by`` the last value of each key is returned, so that
+    windows still open at the end are there too."""
     spark = stream.sparkSession
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_state")
     if mode == "append":
@@ -129,4 +145,10 @@ def run_to_parquet(stream: DataFrame, path: str, mode: str = "append") -> DataFr
 
         query = writer.outputMode(mode).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if newest_by:
+        last = rows.groupBy(*newest_by).agg(F.max("batch").alias("batch"))
+        rows = rows.join(last, [*newest_by, "batch"], "left_semi")
+    return rows.select(*stream.columns)
