@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spark_drift.util import ensure_checkpoint_dir
 
-#: Rows turned into Python objects at a time, so that a batch of very long texts stays small.
-ROWS_AT_ONCE = 256
+#: Rows handled at a time, so that a batch of very long texts stays small: as Python objects, and as Arrow arrays.
+ROWS_AT_ONCE, ARROW_ROWS = 256, 1024
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,30 +41,52 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def append_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[T.StructField],
-                   make: Callable[[], Callable[[list], Iterable[Sequence]]]) -> DataFrame:
+def append_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[T.StructField], make: Callable, arrow: bool = False) -> DataFrame:
     """The columns ``keep`` of ``df`` and new ``fields`` made from the column ``text``, in the order of the rows.
 
-    ``make()`` runs once per task and returns a function from a list of texts (nulls included) to
-    one list of values per field. A kept column that has a new field's name gives way to it."""
+    ``make()`` runs once per task and returns a function from a list of texts (nulls included; with
+    ``arrow`` an Arrow array) to one list or array of values per field. A kept column that has a new
+    field's name gives way to it."""
     new = {f.name for f in fields}
     kept = [c for c in dict.fromkeys(keep) if c not in new]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
-    arrow = to_arrow_schema(T.StructType(list(fields)))
+    types = [f.type for f in to_arrow_schema(T.StructType(list(fields)))]
     source = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
+    step = ARROW_ROWS if arrow else ROWS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
             at = whole.schema.get_field_index(text)
-            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
-                part = whole.slice(low, ROWS_AT_ONCE)
-                made = [pa.array(v, f.type) for v, f in zip(work(part.column(at).to_pylist()), arrow, strict=True)]
+            for low in range(0, whole.num_rows, step):
+                part = whole.slice(low, step)
+                made = work(part.column(at) if arrow else part.column(at).to_pylist())
+                made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], *made], [*kept, *[f.name for f in fields]])
 
     return source.mapInArrow(run, schema)
 
 
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut at each space (a null as an empty text): the distinct words, each word's number
+    among them, and where the words of each text start (with the end of the last)."""
+    cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    words = cut.flatten().dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+
+
+def gathered(values: Sequence[bytes], number: np.ndarray, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The packed arrays ``values[number[0]]``, ``values[number[1]]``, … one after another, and where
+    each ends."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) // width.itemsize
+    flat, first = np.frombuffer(b"".join(values), width), np.cumsum(size) - size
+    length = size[number]
+    ends = np.cumsum(length)
+    source = np.repeat(first[number] - ends + length, length)
+    source += np.arange(len(source))
+    return flat[source], ends
+
+
 class WordCache(dict):
     """Results by word, kept until ``most`` words are held; later words are worked out anew.
 

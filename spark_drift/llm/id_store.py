@@ -12,15 +12,16 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spark_drift.llm.common import append_columns, remove, scratch
+from spark_drift.llm.common import append_columns, gathered, remove, scratch, words_of
 
 #: Longest code; 2**MAX_BITS table entries must hold the vocabulary.
 MAX_BITS = 18
@@ -31,13 +32,16 @@ CHECKPOINT = 64
 
 # White space as the tokenizer's pattern takes it (Python's also has four control characters).
 _SPACE, _OTHER, _LETTER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
-CHUNK = re.compile(f" ?{_LETTER}+(?![^\\W\\d_])|{_SPACE}*{_OTHER}+|{_SPACE}+")
-#: Chunks whose ids a Python worker keeps.
-KEPT_CHUNKS = 1_000_000
+CHUNK = re.compile(f"{_SPACE}*{_OTHER}+|{_SPACE}+")
+LETTERS_FIRST = re.compile(f"{_LETTER}+(?![^\\W\\d_])")
+#: A space after white space, or white space that is rare (for Arrow's regular expressions).
+UNEVEN = r"[ \t\n\r] |[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Words, and other chunks, whose ids a Python worker keeps.
+KEPT_WORDS, KEPT_CHUNKS = 800_000, 200_000
 
 
 class ByteBpe:
-    """Ids by the tokenizers library, which gets each distinct chunk of a text once.
+    """Ids by the tokenizers library, which gets each distinct word and other chunk once.
 
     The byte-level pattern takes letters in runs with at most one space before them and never joins
     white space to what stands before it: texts cut where white space starts, or after a run of
@@ -50,19 +54,82 @@ class ByteBpe:
         self.library = Tokenizer.from_str(model.decode())
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.kept: dict[str, bytes] = {}
-
-    def encode_packed(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of whole texts, ``width`` bytes each; a null counts as empty."""
-        cut = [CHUNK.findall(t) if t else [] for t in texts]
-        got = [list(map(self.kept.get, chunks)) for chunks in cut]
-        new = list({c for chunks, found in zip(cut, got) if None in found for c, v in zip(chunks, found) if v is None})
-        made = self.library.encode_batch_fast(new, add_special_tokens=False)
-        known = {c: array(self.width.char, e.ids).tobytes() for c, e in zip(new, made)}
-        if len(self.kept) < KEPT_CHUNKS:
-            self.kept.update((c, v) for c, v in known.items() if len(c) <= 64)
-        return [b"".join(found if None not in found else [known[c] if v is None else v for c, v in zip(chunks, found)])
-                for chunks, found in zip(cut, got)]
+        # the vocabulary spells a printable byte as itself and the others as the symbols from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.spelling = {b: b if b in printable else next(others) for b in range(256)}
+        self.words: dict[str, bytes] = {}  # ids of a space and the word
+        self.chunks: dict[str, bytes] = {}  # ids of the chunk as it stands
+
+    def _made(self, parts: list[str], before: str) -> dict[str, bytes]:
+        made = self.library.encode_batch_fast([before + p for p in parts], add_special_tokens=False)
+        return {p: array(self.width.char, e.ids).tobytes() for p, e in zip(parts, made)}
+
+    def _of_letters(self, words: Iterable[str]) -> dict[str, bytes]:
+        """As ``_made`` for words of letters, each of which is one piece of the pattern with its space:
+        the merges are all that is left to do."""
+        merged, char, spelling, space = self.library.model.tokenize, self.width.char, self.spelling, chr(self.spelling[32])
+        return {w: array(char, [t.id for t in merged(space + (w if w.isascii() else w.encode().decode("latin-1").translate(spelling)))]).tobytes() for w in words}
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.chunks.get, chunks))
+        if None not in found:
+            return found
+        new = self._made(list({c for c, v in zip(chunks, found) if v is None}), "")
+        if len(self.chunks) < KEPT_CHUNKS:
+            self.chunks.update((c, v) for c, v in new.items() if len(c) <= 64)
+        return [new[c] if v is None else v for c, v in zip(chunks, found)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each; the words are distinct."""
+        kept, match = self.words, LETTERS_FIRST.match
+        found = list(map(kept.get, words))
+        letters, others, parts = set(), [], []
+        for w in (w for w, v in zip(words, found) if v is None):
+            m = match(w)
+            end = m.end() if m else 0
+            if end == len(w) and end:
+                letters.add(w)
+            elif end:  # its letters may be known as a word, and what follows them as a chunk
+                parts.append((w, w[:end], w[end:]))
+                if w[:end] not in kept:
+                    letters.add(w[:end])
+            else:
+                others.append(w)
+        made = self._of_letters(letters) | self._made(others, " ")
+        tails = list({b for _, _, b in parts})
+        tail = dict(zip(tails, self._of_chunks(tails)))
+        whole = {w: (made[a] if a in letters else kept[a]) + tail[b] for w, a, b in parts}
+        made.update(whole)
+        if len(kept) < KEPT_WORDS:
+            kept.update(made)
+            for w in [w for w in made if len(w) > 64]:
+                del kept[w]
+        return [made[w] if v is None else v for w, v in zip(words, found)]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and where each text's ids end. A null counts as
+        empty; ``end`` is put after each text."""
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        words, number, starts = words_of(pc.if_else(uneven, "", texts))
+        # the first word of a text has no space before it; uneven texts are cut with care
+        begin = starts[:-1]
+        values = self._of_words(words)
+        first = [words[i] for i in number[begin]]
+        distinct = list(dict.fromkeys(first))
+        at = {w: len(values) + i for i, w in enumerate(distinct)}
+        values += self._of_chunks(distinct)
+        number = number.astype(np.int64)
+        number[begin] = [at[w] for w in first]
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False).astype(bool)):
+            number[begin[i]] = len(values)
+            values.append(b"".join(self._of_chunks(CHUNK.findall(texts[i].as_py()))))
+        last = starts[1:]
+        if end is not None:
+            values.append(np.array([end], self.width).tobytes())
+            number, last = np.insert(number, last, len(values) - 1), last + np.arange(1, len(last) + 1)
+        ids, ends = gathered(values, number, self.width)
+        return ids, ends[last - 1]
 
 
 _LOADED: dict[bytes, ByteBpe] = {}
@@ -82,10 +149,15 @@ def encode_corpus(docs: DataFrame, model: bytes, end_id: int, key: str = "doc_id
 
     def make():
         enc = byte_bpe(shared.value)
-        end = np.array([end_id], enc.width).tobytes()
-        return lambda texts: [[packed + end for packed in enc.encode_packed(texts)]]
 
-    return append_columns(docs, text, [key], [T.StructField("ids", T.BinaryType())], make)
+        def work(texts: pa.Array) -> list[pa.Array]:
+            ids, ends = enc.encode(texts, end_id)
+            offsets = np.concatenate([[0], ends * enc.width.itemsize]).astype(np.int32)
+            return [pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])]
+
+        return work
+
+    return append_columns(docs, text, [key], [T.StructField("ids", T.BinaryType())], make, arrow=True)
 
 
 def id_counts(rows: DataFrame, width: np.dtype) -> DataFrame:
