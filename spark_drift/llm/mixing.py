@@ -30,8 +30,8 @@ def word_count(text: Column) -> Column:
 
 
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, last: int = LAST_WORDS) -> list[int]:
-    """How many documents of each size to take, at most ``counts``, for words as near under ``budget``
-    as the programme gets; ``budget`` is at most their sum."""
+    """How many documents of each size to take, at most ``counts``, for words as near to ``budget`` as
+    the programme gets (of two as near, the fewer); ``budget`` is at most the sum of all."""
     total = sum(s * c for s, c in zip(sizes, counts))
     take = [c * budget // total for c in counts] if total else [0] * len(counts)
     rest = budget - sum(s * t for s, t in zip(sizes, take))
@@ -43,9 +43,10 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, last: i
     # sums reachable with each bundle (a power of two copies of a size); via: the first bundle that reaches a sum
     bundles: list[tuple[int, int]] = []
     via: dict[int, int] = {}
-    reached, mask = 1, (1 << (rest + 1)) - 1
+    limit = 2 * rest
+    reached, mask = 1, (1 << (limit + 1)) - 1
     for i in order:
-        left, size = min(counts[i] - take[i], rest // sizes[i]), 1
+        left, size = min(counts[i] - take[i], limit // sizes[i]), 1
         while left > 0 and not reached >> rest & 1:
             n = min(size, left)
             new = (reached << n * sizes[i]) & mask & ~reached
@@ -56,7 +57,7 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, last: i
                 new ^= low
             bundles.append((i, n))
             left, size = left - n, size * 2
-    at = reached.bit_length() - 1
+    at = min((abs(x - rest), x) for x in [0, *via])[1]
     while at:
         i, n = bundles[via[at]]
         take[i] += n
