@@ -9,26 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000
-
-
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate."""
     return df.first().asDict()
 
 
-def row_count_up_to(df: DataFrame, bound: int) -> int:
-    """Number of rows, counted no further than ``bound + 1``."""
-    return df.limit(bound + 1).count()
-
-
-def broadcast_if_small(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is counted to hold at most ``bound`` rows.
-
-    Beyond the bound the plan is left to Spark, which then shuffles."""
-    return F.broadcast(df) if row_count_up_to(df, bound) <= bound else df
-
-
 def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a hot key of ``left`` can be split although ``right`` was grouped by the keys.
 
