@@ -31,7 +31,8 @@ def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames:
     if mesh.geographic:
         found = adjust_boundary_phi(found, mesh)
     framed = asof_frames(found.drop("mask_c", "flag"), frames)
-    first, last = fixes.agg(F.min("time")).scalar(), fixes.agg(F.max("time")).scalar()
+    span = one_row(fixes.agg(F.min("time").alias("first"), F.max("time").alias("last")))  # of the time column alone
+    first, last = (F.lit(span[c]).cast("timestamp_ntz") for c in ("first", "last"))
     flat = [s for s in surface if s != "zeta"]
     placed = on_levels_of(framed, fields_around(fields, frames, first, last), mesh.nodes, level_depths, variables, surface=flat)
     new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}

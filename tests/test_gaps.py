@@ -175,6 +175,6 @@ def test_rank_limits_reach_the_window(spark):
     """The nodes of highest value are cut to n per date inside each task."""
     from pyspark.sql import Window
 
-    field = spark.range(100).select(F.lit(0).alias("time"), F.col("id").alias("node_id"), F.rand(1).alias("value"))
+    field = spark.range(100).select((F.col("id") % 3).alias("time"), F.col("id").alias("node_id"), F.rand(1).alias("value"))
     top = field.withColumn("_rank", F.row_number().over(Window.partitionBy("time").orderBy(F.desc("value"), "node_id"))).where(F.col("_rank") <= 5)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
