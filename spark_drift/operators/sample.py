@@ -406,18 +406,53 @@ def sample_variable(points: DataFrame, fields: DataFrame, variables: Sequence[st
     return out.select(*points.columns, "zmin", "zmax", "k", "omega", "in_surface", "in_bottom", "level_flag", *variables)
 
 
-def sample_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, sigma_levels: Sequence[float],
-                  sigma_layers: Sequence[float], on_layers: Sequence[str] = (), on_levels: Sequence[str] = (),
-                  gradients: Sequence[str] = ()) -> DataFrame:
-    """Values on σ layers or interfaces at (t, x, y, z) for terrain-following sources.
-
-    The level depths ζ + σ(ζ + h) are formed per node and interpolated as fields are; with σ
-    uniform in the plane that equals forming them from the interpolated ζ and h."""
-    n, m = len(sigma_layers), len(sigma_levels)
-    got = gather(points, fields, {"zeta": 1} | {v: n for v in on_layers} | {v: m for v in on_levels}, nodes=nodes)
-    depth = lambda s: geo.sigma_to_depth(F.lit(float(s)), "_h", "zeta_0")
-    z_levels, z_layers = [depth(s) for s in sigma_levels], [depth(s) for s in sigma_layers]
-    out = locate_level(got, "layers", levels=z_levels, layers=z_layers)
+def depth_fields(fields: DataFrame, nodes: DataFrame, levels: DataFrame | Sequence[tuple[float, float]], variable: str = "z_level",
+                 hc: float | None = None, vtransform: int = 2) -> DataFrame:
+    """Level depths as a field (variable, time, level, node_id, value), formed at each node from its ζ and h.
+
+    ``levels``: σ of each node as a table (node_id, level, sigma), or the s-levels (s, C(s)) of the
+    source as a list, with their critical depth ``hc``."""
+    surface = fields.where((F.col("variable") == "zeta") & (F.col("level") == 0)).select("node_id", "time", F.col("value").alias("_zeta"))
+    rows = surface.join(nodes.select("node_id", F.col("h").alias("_h")), "node_id")
+    if isinstance(levels, DataFrame):
+        rows = rows.join(levels.select("node_id", "level", F.col("sigma").alias("_sigma")), "node_id")
+        value = geo.sigma_to_depth("_sigma", "_h", "_zeta")
+    else:
+        listed = F.array(*[F.struct(F.lit(float(a)).alias("s"), F.lit(float(b)).alias("cs")) for a, b in levels])
+        rows = rows.select("*", F.posexplode(listed).alias("level", "_l"))
+        value = geo.s_level_to_depth(F.col("_l.s"), F.col("_l.cs"), F.lit(float(hc)), "_h", "_zeta", vtransform)
+    return rows.select(F.lit(variable).alias("variable"), "time", F.col("level").cast("int").alias("level"), "node_id", value.alias("value"))
+
+
+def _layer_depths(n_levels: int, n_layers: int, sigma_levels: Sequence[float], sigma_layers: Sequence[float]) -> tuple[list[Column], list[Column]]:
+    """Depths of interfaces and layer centres: gathered with the fields, or by σ uniform in the plane."""
+    if sigma_levels:
+        depth = lambda s: geo.sigma_to_depth(F.lit(float(s)), "_h", "zeta_0")
+        return [depth(s) for s in sigma_levels], [depth(s) for s in sigma_layers]
+    return level_columns("z_level", n_levels), level_columns("z_layer", n_layers)
+
+
+def _on_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, wanted: dict[str, int], sigma_levels: Sequence[float], sigma_layers: Sequence[float],
+               n_levels: int, n_layers: int, weights: dict[str, Sequence[str]] | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Points with the wanted columns and their place between layers, and the depths of both kinds of level."""
+    if not sigma_levels:
+        wanted = wanted | {"z_level": n_levels} | ({"z_layer": n_layers} if n_layers else {})
+    # written once: the depth rules repeat these columns many times
+    got = cut_lineage(gather(points, fields, {"zeta": 1} | wanted, weights=weights, nodes=nodes))
+    z_levels, z_layers = _layer_depths(n_levels, n_layers, sigma_levels, sigma_layers)
+    return locate_level(got, "layers", levels=z_levels, layers=z_layers or z_levels[:-1]), z_levels, z_layers
+
+
+def sample_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, sigma_levels: Sequence[float] = (),
+                  sigma_layers: Sequence[float] = (), on_layers: Sequence[str] = (), on_levels: Sequence[str] = (),
+                  gradients: Sequence[str] = (), n_levels: int = 0, n_layers: int = 0) -> DataFrame:
+    """Values on layers or interfaces at (t, x, y, z) for terrain-following sources.
+
+    With σ uniform in the plane the level depths follow from the interpolated ζ and h. Otherwise the
+    fields hold them as z_level (``n_levels``) and z_layer (``n_layers``), see ``depth_fields``, and
+    they are interpolated as other fields are. Without layers only values on interfaces are to be had."""
+    n, m = len(sigma_layers) or n_layers, len(sigma_levels) or n_levels
+    out, z_levels, _ = _on_layers(points, fields, nodes, {v: n for v in on_layers} | {v: m for v in on_levels}, sigma_levels, sigma_layers, m, n)
     new = {v: at_depth(level_columns(v, n), "layers") for v in on_layers}
     new |= {v: on_interfaces(level_columns(v, m)) for v in on_levels}
     new |= {f"d{v}_dz": interface_gradient(level_columns(v, m), z_levels) for v in gradients}
@@ -426,6 +461,16 @@ def sample_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, sigma_
                       "omega_layers", "level_flag", *new)
 
 
+def horizontal_diffusivity_layers(points: DataFrame, fields: DataFrame, mesh: Mesh, sigma_levels: Sequence[float] = (), sigma_layers: Sequence[float] = (),
+                                  variable: str = "ah", n_levels: int = 0, n_layers: int = 0) -> DataFrame:
+    """Ah on the layers of a terrain-following source and its horizontal gradient at (t, x, y, z)."""
+    n, m = len(sigma_layers) or n_layers, len(sigma_levels) or n_levels
+    out, _, _ = _on_layers(with_gradients(points, mesh), fields, mesh.nodes, {variable: n}, sigma_levels, sigma_layers, m, n, GRADIENT_WEIGHTS)
+    new = {variable: at_depth(level_columns(variable, n), "layers")}
+    new |= {f"d{variable}_d{a}": at_depth(level_columns(variable, n, f"_d{a}"), "layers") for a in "xy"}
+    return out.withColumns(new).select(*points.columns, "level_flag", *new)
+
+
 def sample_velocity(points: DataFrame, fields: DataFrame, level_depths: Sequence[float], nodes: DataFrame,
                     names: Sequence[str] = ("uo", "vo", "wo"), has_w: bool = True) -> DataFrame:
     """(uo, vo, wo) from node data; a missing vertical part is 0."""

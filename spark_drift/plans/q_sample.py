@@ -188,6 +188,57 @@ def vertical_diffusivity_gradient(t):
     return out.where("level_flag = 0").select("fix_id", rd("dkz_dz").alias("dkz_dz"))
 
 
+# interfaces whose depths are fields: σ of each node, or s-levels with a critical depth
+def _interfaces_sql(depths):
+    z = ", ".join(f"sum(wt * ({d})) AS z{k}" for k, d in enumerate(depths))
+    return f"""
+    WITH w AS (SELECT h.fix_id, CASE s.slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS node_id, CASE f.k WHEN 0 THEN t_last ELSE t_next END AS time,
+        CASE s.slot WHEN 0 THEN phi0 WHEN 1 THEN phi1 ELSE phi2 END * CASE f.k WHEN 0 THEN 1 - tf ELSE tf END AS wt
+      FROM fix_hosts h, (SELECT unnest([0, 1, 2]) AS slot) s, (SELECT unnest([0, 1]) AS k) f),
+    d AS (SELECT w.fix_id, {z} FROM w JOIN (SELECT node_id, time, value AS zeta FROM fields WHERE variable = 'zeta') f ON f.node_id = w.node_id AND f.time = w.time
+      JOIN nodes n ON n.node_id = w.node_id GROUP BY 1),
+    k AS (SELECT fix_id, max(CASE WHEN level = 0 THEN value END) AS k0, max(CASE WHEN level = 1 THEN value END) AS k1, max(CASE WHEN level = 2 THEN value END) AS k2,
+        max(CASE WHEN level = 3 THEN value END) AS k3 FROM fix_levels WHERE variable = 'kz' GROUP BY 1)
+    SELECT h.fix_id, round(CASE WHEN z > z0 OR z < z3 THEN NULL WHEN z >= z1 THEN k1 + (z - z1) / (z0 - z1) * (k0 - k1) WHEN z >= z2 THEN k2 + (z - z2) / (z1 - z2) * (k1 - k2)
+      ELSE k3 + (z - z3) / (z2 - z3) * (k2 - k3) END, 6) + 0.0 AS kz FROM fix_hosts h JOIN d ON d.fix_id = h.fix_id JOIN k ON k.fix_id = h.fix_id"""
+
+
+def _on_depth_fields(t, levels, **kw):
+    fields = t.fields("zeta", "kz")
+    depths = ops.depth_fields(fields, t.mesh.nodes, levels, **kw)
+    out = ops.sample_layers(framed_fixes(t), fields.unionByName(depths.select(fields.columns)), t.mesh.nodes, on_levels=["kz"], n_levels=4)
+    return out.select("fix_id", rd("kz").alias("kz"))
+
+
+@query("sample_sigma_by_node", _interfaces_sql([f"zeta + ({s}) * (zeta + h)" for s in ("0", "-0.2 - (n.node_id % 5) / 100.0::DOUBLE", "-0.8 + (n.node_id % 7) / 100.0::DOUBLE", "-1")]))
+def sample_sigma_by_node(t):
+    sigma = F.array(F.lit(0.0), F.lit(-0.2) - (C("node_id") % 5) / 100.0, F.lit(-0.8) + (C("node_id") % 7) / 100.0, F.lit(-1.0))
+    return _on_depth_fields(t, t.mesh.nodes.select("node_id", F.posexplode(sigma).alias("level", "sigma")))
+
+
+S_LEVELS = ((0.0, 0.0), (-0.3, -0.1), (-0.7, -0.5), (-1.0, -1.0))
+
+
+@query("sample_s_levels", _interfaces_sql([f"zeta + (zeta + h) * ((5 * ({a}::DOUBLE) + ({b}::DOUBLE) * h) / (5 + h))" for a, b in S_LEVELS]))
+def sample_s_levels(t):
+    return _on_depth_fields(t, S_LEVELS, hc=5.0)
+
+
+# layer centres at σ −0.1, −0.3, −0.6, −0.9
+@query("horizontal_diffusivity_layers", """
+    WITH s AS (SELECT fix_id, (z - zeta) / (zeta + h) AS s FROM fix_place),
+    g AS (SELECT fix_id, level, dx, dy FROM fix_grads WHERE variable = 'kz'), v AS (SELECT fix_id, level, value FROM fix_levels WHERE variable = 'kz'),
+    p AS (SELECT *, CASE WHEN s >= -0.1 THEN 0 WHEN s >= -0.3 THEN 0 WHEN s >= -0.6 THEN 1 WHEN s > -0.9 THEN 2 ELSE 3 END AS a,
+      CASE WHEN s >= -0.1 OR s <= -0.9 THEN 1 WHEN s >= -0.3 THEN (s + 0.3) / 0.2 WHEN s >= -0.6 THEN (s + 0.6) / 0.3 ELSE (s + 0.9) / 0.3 END AS o FROM s WHERE s <= 0 AND s >= -1)
+    SELECT p.fix_id, round(o * a.value + (1 - o) * coalesce(b.value, 0), 6) + 0.0 AS kz, round(o * c.dx + (1 - o) * coalesce(d.dx, 0), 5) + 0.0 AS dx,
+      round(o * c.dy + (1 - o) * coalesce(d.dy, 0), 5) + 0.0 AS dy
+    FROM p JOIN v a ON a.fix_id = p.fix_id AND a.level = p.a LEFT JOIN v b ON b.fix_id = p.fix_id AND b.level = p.a + 1
+    JOIN g c ON c.fix_id = p.fix_id AND c.level = p.a LEFT JOIN g d ON d.fix_id = p.fix_id AND d.level = p.a + 1""")
+def horizontal_diffusivity_layers(t):
+    out = ops.horizontal_diffusivity_layers(framed_fixes(t), t.fields("zeta", "kz"), t.mesh, (0, -0.2, -0.4, -0.8, -1), (-0.1, -0.3, -0.6, -0.9), "kz")
+    return out.where("level_flag = 0").select("fix_id", rd("kz").alias("kz"), rd("dkz_dx", 5).alias("dx"), rd("dkz_dy", 5).alias("dy"))
+
+
 AT_DEPTH = "CASE WHEN p.k = 3 THEN {u} ELSE (1 - omega) * {l} + omega * {u} END"
 
 
