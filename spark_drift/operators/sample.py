@@ -610,46 +610,77 @@ def sample_stokes(points: DataFrame, fields: DataFrame) -> DataFrame:
 # --- column profiles ------------------------------------------------------------------
 
 
-def profile_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
-    """One row per profile with its layers from the bottom up: an array of (k, z_lo, z_hi, v_lo, v_hi,
-    g_lo, g_hi), g being nodal slopes, centred inside and one-sided at the ends.
+def _profiles(profile: DataFrame, by: Sequence[str], z: str = "z", value: str = "value") -> DataFrame:
+    """One row per profile: p, its (z, v) from the bottom up. A profile is as long as its column has levels."""
+    return profile.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), F.col(value).alias("v")))).alias("p"))
+
 
-    A profile is as long as its column has levels."""
-    rows = profile.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), F.col(value).alias("v")))).alias("p"))
+def _linear_layers(rows: DataFrame) -> DataFrame:
+    """Adds ``layers`` to rows with a profile p: (k, z_lo, z_hi, v_lo, v_hi, g_lo, g_hi), g being nodal
+    slopes, centred inside and one-sided at the ends. Null without two levels."""
     n = F.size("p")
     at = lambda i: F.get("p", i)
     slope = lambda i: (at(F.least(i + 1, n - 1))["v"] - at(F.greatest(i - 1, F.lit(0)))["v"]) / nonzero(at(F.least(i + 1, n - 1))["z"] - at(F.greatest(i - 1, F.lit(0)))["z"])
     layer = lambda i: F.struct(i.alias("k"), at(i)["z"].alias("z_lo"), at(i + 1)["z"].alias("z_hi"), at(i)["v"].alias("v_lo"),
                                at(i + 1)["v"].alias("v_hi"), slope(i).alias("g_lo"), slope(i + 1).alias("g_hi"))
-    return rows.where(n > 1).select(*by, F.transform(F.sequence(F.lit(0), n - 2), layer).alias("layers"))
+    return rows.withColumn("layers", F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), layer)))
+
+
+def profile_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
+    """One row per profile with the array of its layers from the bottom up."""
+    return _linear_layers(_profiles(profile, by, z, value)).select(*by, "layers")
 
 
 def _own_layer(points: DataFrame, layers: DataFrame, by: Sequence[str], z: str) -> DataFrame:
     """Points with ``_l``, the first layer of their profile that holds z; null outside the profile."""
-    rows = skew_safe_join(points, layers, by, "left")
+    return _pick_layer(skew_safe_join(points, layers, by, "left"), z)
+
+
+def _pick_layer(rows: DataFrame, z: str) -> DataFrame:
     return rows.withColumn("_l", F.get(F.filter("layers", lambda layer: F.col(z).between(layer["z_lo"], layer["z_hi"])), F.lit(0))).drop("layers")
 
 
+def _linear_values(rows: DataFrame, columns: Sequence[str], z: str) -> DataFrame:
+    omega = fraction(F.col(z), F.col("_l.z_lo"), F.col("_l.z_hi"))
+    return rows.select(*columns, F.col("_l.k").alias("k"), lerp(omega, F.col("_l.v_lo"), F.col("_l.v_hi")).alias("value"),
+                       lerp(omega, F.col("_l.g_lo"), F.col("_l.g_hi")).alias("gradient"))
+
+
 def profile_linear(points: DataFrame, profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z") -> DataFrame:
     """Layer k, value and derivative of a 1-D column at each point; the first layer from the bottom wins
     on an interface. Points outside their profile, or without one, stay with nulls."""
-    rows = _own_layer(points, profile_layers(profile, by), by, z)
-    omega = fraction(F.col(z), F.col("_l.z_lo"), F.col("_l.z_hi"))
-    return rows.select(*points.columns, F.col("_l.k").alias("k"), lerp(omega, F.col("_l.v_lo"), F.col("_l.v_hi")).alias("value"),
-                       lerp(omega, F.col("_l.g_lo"), F.col("_l.g_hi")).alias("gradient"))
+    return _linear_values(_own_layer(points, profile_layers(profile, by), by, z), points.columns, z)
 
 
-def spline_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
-    """One row per profile: its layers with the second derivatives m_lo, m_hi of the natural cubic spline.
+def profile_in_time(points: DataFrame, profile: DataFrame, z: str = "z", spline: bool = False) -> DataFrame:
+    """Value and derivative of the column at each point's time, which may lie between frames.
+
+    Levels and values of the two frames around a point (t_last, t_next, t_frac) are interpolated in
+    time first, level by level (``profile``: time, level, z, value; levels of both frames count), and
+    the profile so made is sampled at z. Points without frames or outside the profile have nulls."""
+    pairs = points.select("t_last", "t_next").where("t_last is not null").distinct()
+    last, nxt = (profile.select(F.col("time").alias(t), "level", F.col("z").alias(f"z{i}"), F.col("value").alias(f"v{i}")) for i, t in enumerate(("t_last", "t_next")))
+    both = pairs.join(last, "t_last").join(nxt, ["t_next", "level"])
+    both = both.groupBy("t_last", "t_next").agg(F.collect_list(F.struct("z0", "z1", "v0", "v1")).alias("_b"))
+    rows = skew_safe_join(points, both, ["t_last", "t_next"], "left")
+    between = F.transform("_b", lambda b: F.struct(lerp(F.col("t_frac"), b["z0"], b["z1"]).alias("z"), lerp(F.col("t_frac"), b["v0"], b["v1"]).alias("v")))
+    rows = rows.withColumn("p", F.array_sort(between)).drop("_b")
+    if spline:
+        return _spline_values(_pick_layer(_spline_layers(rows), z), points.columns, z)
+    return _linear_values(_pick_layer(_linear_layers(rows), z), points.columns, z)
+
+
+def _spline_layers(rows: DataFrame) -> DataFrame:
+    """Adds ``layers`` to rows with a profile p: (z_lo, z_hi, v_lo, v_hi, m_lo, m_hi), m being the second
+    derivatives of the natural cubic spline.
 
     The tridiagonal system is swept along the sorted arrays: once upwards for the pivots, once
     downwards for the derivatives."""
-    rows = profile.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(z).alias("z"), F.col(value).alias("v")))).alias("p"))
-    rows = rows.where(F.size("p") > 1)
     n = F.size("p")
     at = lambda i: F.get("p", i)
     h = lambda i: at(i + 1)["z"] - at(i)["z"]
-    inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    inner = F.when(n > 2, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(none)
     side = lambda i: F.lit(6.0) * ((at(i + 1)["v"] - at(i)["v"]) / h(i) - (at(i)["v"] - at(i - 1)["v"]) / h(i - 1))
     zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
 
@@ -659,23 +690,31 @@ def spline_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z
         return F.concat(swept, F.array(F.struct((h(i) / pivot).alias("c"), ((side(i) - h(i - 1) * last["d"]) / pivot).alias("d"))))
 
     rows = rows.withColumn("_s", F.aggregate(inner, F.array(zero), up))
-    down = F.when(n > 2, F.sequence(n - 2, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    down = F.when(n > 2, F.sequence(F.greatest(n - 2, F.lit(1)), F.lit(1), F.lit(-1))).otherwise(none)
     back = F.aggregate(down, F.array(F.lit(0.0)), lambda m, i: F.concat(F.array(F.get("_s", i)["d"] - F.get("_s", i)["c"] * F.element_at(m, 1)), m))
     rows = rows.withColumn("_m", F.concat(F.array(F.lit(0.0)), back))
     layer = lambda i: F.struct(at(i)["z"].alias("z_lo"), at(i + 1)["z"].alias("z_hi"), at(i)["v"].alias("v_lo"), at(i + 1)["v"].alias("v_hi"),
                                F.get("_m", i).alias("m_lo"), F.get("_m", i + 1).alias("m_hi"))
-    return rows.select(*by, F.transform(F.sequence(F.lit(0), n - 2), layer).alias("layers"))
+    return rows.withColumn("layers", F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), layer))).drop("_s", "_m")
 
 
-def profile_spline(points: DataFrame, profile: DataFrame, by: str = "time", z: str = "z") -> DataFrame:
-    """Value and first derivative of the natural cubic spline of each point's profile; null outside it."""
-    rows = _own_layer(points, spline_layers(profile, [by]), [by], z)
+def spline_layers(profile: DataFrame, by: Sequence[str] = ("time",), z: str = "z", value: str = "value") -> DataFrame:
+    """One row per profile with the array of its spline's layers."""
+    return _spline_layers(_profiles(profile, by, z, value)).select(*by, "layers")
+
+
+def _spline_values(rows: DataFrame, columns: Sequence[str], z: str) -> DataFrame:
     c = lambda name: F.col(f"_l.{name}")
     h, a, b = c("z_hi") - c("z_lo"), c("z_hi") - F.col(z), F.col(z) - c("z_lo")
     value = (c("m_lo") * a * a * a + c("m_hi") * b * b * b) / (h * 6) \
         + (c("v_lo") / h - c("m_lo") * h / 6) * a + (c("v_hi") / h - c("m_hi") * h / 6) * b
     slope = (c("m_hi") * b * b - c("m_lo") * a * a) / (h * 2) + (c("v_hi") - c("v_lo")) / h - (c("m_hi") - c("m_lo")) * h / 6
-    return rows.select(*points.columns, value.alias("value"), slope.alias("gradient"))
+    return rows.select(*columns, value.alias("value"), slope.alias("gradient"))
+
+
+def profile_spline(points: DataFrame, profile: DataFrame, by: str = "time", z: str = "z") -> DataFrame:
+    """Value and first derivative of the natural cubic spline of each point's profile; null outside it."""
+    return _spline_values(_own_layer(points, spline_layers(profile, [by]), [by], z), points.columns, z)
 
 
 def time_series_at_depth(profile: DataFrame, depth: float, zeta: DataFrame | None = None, by: str = "time") -> DataFrame:

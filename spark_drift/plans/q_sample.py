@@ -316,6 +316,22 @@ def profile_linear(t):
     return out.select("id", rd("value").alias("value"), rd("gradient").alias("gradient"))
 
 
+# levels and values of the months around an order's day, interpolated in time before depth
+@query("profile_in_time", """
+    WITH o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS t0, -(o_totalprice % 29) - 1 AS zz, CAST(SECS(o_orderdate) AS DOUBLE) AS s FROM orders),
+    n AS (SELECT t0, (SELECT min(time) FROM profiles WHERE time > t0) AS t1 FROM (SELECT DISTINCT time AS t0 FROM profiles) q),
+    f AS (SELECT o.id, o.zz, n.t0, n.t1, (s - SECS(n.t0)) / (SECS(n.t1) - SECS(n.t0)) AS f FROM o JOIN n ON n.t0 = o.t0 WHERE n.t1 IS NOT NULL),
+    p AS (SELECT id, zz, (1 - f) * a.z + f * b.z AS z, (1 - f) * a.value + f * b.value AS v FROM f JOIN profiles a ON a.time = t0 JOIN profiles b ON b.time = t1 AND b.level = a.level),
+    l AS (SELECT *, lead(z) OVER w AS z2, lead(v) OVER w AS v2 FROM p WINDOW w AS (PARTITION BY id ORDER BY z)),
+    v AS (SELECT id, arg_min(v + (zz - z) / (z2 - z) * (v2 - v), z) AS value FROM l WHERE zz >= z AND zz <= z2 GROUP BY id)
+    SELECT f.id, round(v.value, 6) + 0.0 AS value FROM f LEFT JOIN v ON v.id = f.id""")
+def profile_in_time(t):
+    profile = t.table("profiles")
+    pts = t.sql("SELECT o_orderkey AS id, o_orderdate, -(o_totalprice % 29) - 1 AS z FROM orders").withColumn("time", C("o_orderdate").cast("timestamp_ntz"))
+    framed = asof_frames(pts.select("id", "time", "z"), profile.select("time").distinct(), missing="drop")
+    return ops.profile_in_time(framed, profile).select("id", rd("value").alias("value"))
+
+
 @query("profile_spline", """
     WITH RECURSIVE p AS (SELECT time, z, value AS v, row_number() OVER (PARTITION BY time ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY time) AS n FROM profiles),
     q AS (SELECT a.*, b.z - a.z AS h, b.v AS v2, b.z AS z2 FROM p a LEFT JOIN p b ON b.time = a.time AND b.i = a.i + 1),

@@ -141,6 +141,18 @@ def test_points_outside_a_profile_stay(spark):
     assert exact == [pytest.approx(4.0)] * 2
 
 
+@pytest.mark.parametrize("spline", [False, True])
+def test_profile_between_frames(spark, spline):
+    """Kz on interfaces −4, −3, −1, 0: 0, 1, 1, 0 at 0 s and 0, 2, 2, 0 at 3600 s."""
+    rows = [(t, k, z, v * w) for t, w in ((fx.T0, 1.0), (fx.T1, 2.0)) for k, (z, v) in enumerate([(0.0, 0.0), (-1.0, 1.0), (-3.0, 1.0), (-4.0, 0.0)])]
+    profile = spark.createDataFrame(rows, "time timestamp_ntz, level int, z double, value double")
+    pts = spark.createDataFrame([(fx.T0 + timedelta(seconds=s), -2.0) for s in (0, 1800, 3599)], "time timestamp_ntz, z double")
+    got = sample.profile_in_time(time.asof_frames(pts, fx.frames(spark)), profile, spline=spline).orderBy("time").collect()
+    top = 1.0 if not spline else got[0]["value"]
+    assert [r["value"] for r in got] == pytest.approx([top, 1.5 * top, top * (1 + 3599 / 3600)])
+    assert [r["gradient"] for r in got] == pytest.approx([0, 0, 0], abs=1e-12)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 9])
 def test_spline_against_a_dense_solve(spark, n):
     rng = np.random.default_rng(n)
