@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import round_time
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.sample import adjust_boundary_phi, between_levels, on_levels_of
+from spark_drift.operators.sample import adjust_boundary_phi, between_levels, on_levels_of, values_on_layers
 from spark_drift.operators.time import asof_frames, elapsed_dates, fields_around
 from spark_drift.schema import Mesh
 from spark_drift.util import cut_lineage, one_row, skew_safe_join, ts_literal
@@ -19,14 +19,15 @@ from spark_drift.util import cut_lineage, one_row, skew_safe_join, ts_literal
 BLOCK = 16  # evaluation points summed per row
 
 
-def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames: DataFrame, level_depths: Sequence[float],
-                       variables: Sequence[str] = (), surface: Sequence[str] = (), key: str = "fix_id") -> DataFrame:
+def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames: DataFrame, level_depths: Sequence[float] | None,
+                       variables: Sequence[str] = (), surface: Sequence[str] = (), key: str = "fix_id", layers: dict | None = None) -> DataFrame:
     """h, ζ, 3-D ``variables`` and 2-D ``surface`` fields at every fix (fix_id, time, x, y, z).
 
     Every fix stays; off the mesh the samples are null. Only the key, position and time
     travel through the joins; wide trajectory rows are joined back by the key. In boundary elements
     of geographic meshes the nearest sea node is used; over a masked lower level the level above
-    counts alone. Of the fields only the frames around the fixes are read."""
+    counts alone. Of the fields only the frames around the fixes are read. ``layers`` describes a
+    terrain-following source instead of ``level_depths``, as in ``regrid``."""
     found = locate_points(fixes.select(key, "time", "x", "y", "z"), mesh).where("host is not null")
     if mesh.geographic:
         found = adjust_boundary_phi(found, mesh)
@@ -34,8 +35,13 @@ def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames:
     span = one_row(fixes.agg(F.min("time").alias("first"), F.max("time").alias("last")))  # of the time column alone
     first, last = (F.lit(span[c]).cast("timestamp_ntz") for c in ("first", "last"))
     flat = [s for s in surface if s != "zeta"]
-    placed = on_levels_of(framed, fields_around(fields, frames, first, last), mesh.nodes, level_depths, variables, surface=flat)
-    new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}
+    near = fields_around(fields, frames, first, last)
+    if layers:
+        placed = values_on_layers(framed, near, mesh.nodes, variables, flat, **layers)
+        new = {v: F.col(v) for v in variables}
+    else:
+        placed = on_levels_of(framed, near, mesh.nodes, level_depths, variables, surface=flat)
+        new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}
     samples = placed.select(key, "host", (-F.col("zmin")).alias("h"), F.col("zmax").alias("zeta"), *[c.alias(name) for name, c in new.items()], *flat)
     return fixes.join(samples, key, "left")
 

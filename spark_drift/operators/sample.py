@@ -433,12 +433,16 @@ def _layer_depths(n_levels: int, n_layers: int, sigma_levels: Sequence[float], s
 
 
 def _on_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, wanted: dict[str, int], sigma_levels: Sequence[float], sigma_layers: Sequence[float],
-               n_levels: int, n_layers: int, weights: dict[str, Sequence[str]] | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
-    """Points with the wanted columns and their place between layers, and the depths of both kinds of level."""
+               n_levels: int, n_layers: int, weights: dict[str, Sequence[str]] | None = None, z: Column | None = None,
+               every: bool = False) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Points with the wanted columns and their place between layers, and the depths of both kinds of level.
+
+    ``z`` replaces the points' z and may use ζ as zeta_0; with ``every`` points without a host stay."""
     if not sigma_levels:
         wanted = wanted | {"z_level": n_levels} | ({"z_layer": n_layers} if n_layers else {})
     # written once: the depth rules repeat these columns many times
-    got = cut_lineage(gather(points, fields, {"zeta": 1} | wanted, weights=weights, nodes=nodes))
+    got = gather(points, fields, {"zeta": 1} | wanted, weights=weights, nodes=nodes, every=every)
+    got = cut_lineage(got if z is None else got.withColumn("z", z))
     z_levels, z_layers = _layer_depths(n_levels, n_layers, sigma_levels, sigma_layers)
     return locate_level(got, "layers", levels=z_levels, layers=z_layers or z_levels[:-1]), z_levels, z_layers
 
@@ -461,6 +465,16 @@ def sample_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, sigma_
                       "omega_layers", "level_flag", *new)
 
 
+def values_on_layers(points: DataFrame, fields: DataFrame, nodes: DataFrame, variables: Sequence[str], surface: Sequence[str] = (), z: Column | None = None,
+                     every: bool = False, sigma_levels: Sequence[float] = (), sigma_layers: Sequence[float] = (), n_levels: int = 0, n_layers: int = 0) -> DataFrame:
+    """Points with zmin, zmax, z, ``surface`` fields and the variables' values on layer centres at z."""
+    n, m = len(sigma_layers) or n_layers, len(sigma_levels) or n_levels
+    out, _, _ = _on_layers(points, fields, nodes, {s: 1 for s in surface} | {v: n for v in variables}, sigma_levels, sigma_layers, m, n, z=z, every=every)
+    new = {v: F.when(F.col("level_flag") == 0, at_depth(level_columns(v, n), "layers")) for v in variables}
+    new |= {s: F.col(f"{s}_0") for s in surface} | {"zmin": -F.col("_h"), "zmax": F.col("zeta_0")}
+    return out.withColumns(new)
+
+
 def horizontal_diffusivity_layers(points: DataFrame, fields: DataFrame, mesh: Mesh, sigma_levels: Sequence[float] = (), sigma_layers: Sequence[float] = (),
                                   variable: str = "ah", n_levels: int = 0, n_layers: int = 0) -> DataFrame:
     """Ah on the layers of a terrain-following source and its horizontal gradient at (t, x, y, z)."""

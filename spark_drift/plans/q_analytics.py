@@ -18,6 +18,21 @@ def sample_along_paths(t):
     return out.select("fix_id", "particle_id", *[rd(c).alias(c) for c in ("h", "zeta", "thetao", "u10")])
 
 
+# layer centres at σ −0.1, −0.3, −0.6, −0.9 between interfaces at 0, −0.2, −0.4, −0.8, −1
+LAYERS = dict(sigma_levels=(0, -0.2, -0.4, -0.8, -1), sigma_layers=(-0.1, -0.3, -0.6, -0.9))
+
+
+@query("sample_along_paths_layers", """
+    WITH s AS (SELECT fix_id, (z - zeta) / (zeta + h) AS s FROM fix_place), v AS (SELECT fix_id, level, value FROM fix_levels WHERE variable = 'thetao'),
+    p AS (SELECT *, CASE WHEN s >= -0.3 THEN 0 WHEN s >= -0.6 THEN 1 WHEN s > -0.9 THEN 2 ELSE 3 END AS a,
+      CASE WHEN s >= -0.1 OR s <= -0.9 THEN 1 WHEN s >= -0.3 THEN (s + 0.3) / 0.2 WHEN s >= -0.6 THEN (s + 0.6) / 0.3 ELSE (s + 0.9) / 0.3 END AS o FROM s WHERE s <= 0 AND s >= -1)
+    SELECT f.fix_id, round(q.zeta, 6) + 0.0 AS zeta, round(o * a.value + (1 - o) * coalesce(b.value, 0), 6) + 0.0 AS thetao FROM fixes f LEFT JOIN fix_place q ON q.fix_id = f.fix_id
+    LEFT JOIN p ON p.fix_id = f.fix_id LEFT JOIN v a ON a.fix_id = p.fix_id AND a.level = p.a LEFT JOIN v b ON b.fix_id = p.fix_id AND b.level = p.a + 1""")
+def sample_along_paths_layers(t):
+    out = ops.sample_along_paths(t.fixes, t.fields("zeta", "thetao"), t.mesh, t.frame_times, None, ["thetao"], layers=LAYERS)
+    return out.select("fix_id", rd("zeta").alias("zeta"), rd("thetao").alias("thetao"))
+
+
 # every eleventh node and level of thetao is masked: over a masked lower level the level above counts alone
 @query("sample_along_paths_masked", """
     WITH w AS (SELECT h.fix_id, CASE s.slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS node_id, CASE f.k WHEN 0 THEN t_last ELSE t_next END AS time,

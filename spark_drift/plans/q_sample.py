@@ -422,6 +422,29 @@ def regrid(t):
     return out.select("point_id", "time", "host", rd("uo").alias("uo"), rd("thetao").alias("thetao"))
 
 
+@query("regrid_layers", f"""
+    WITH {HOSTS_SQL.strip()}, tm AS (SELECT unnest([TIMESTAMP '2024-01-03 05:00:00', TIMESTAMP '2024-01-11 17:30:00']) AS time),
+    w AS (SELECT point_id, z AS depth, host, tm.time, n.node_id, CASE f.k WHEN 0 THEN TRUNC_DAY(tm.time) ELSE MKTS((DAYNUM(tm.time) + 1) * 86400) END AS ft,
+        CASE s.slot WHEN 0 THEN 1 - f1 - f2 WHEN 1 THEN f1 ELSE f2 END AS phi,
+        CASE f.k WHEN 0 THEN 1 - CAST(SECS(tm.time) % 86400 AS DOUBLE) / 86400 ELSE CAST(SECS(tm.time) % 86400 AS DOUBLE) / 86400 END AS tw, n.h
+      FROM hosts JOIN tri t ON t.element_id = host, tm, (SELECT unnest([0, 1, 2]) AS slot) s, (SELECT unnest([0, 1]) AS k) f, nodes n
+      WHERE n.node_id = CASE s.slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END),
+    v AS (SELECT point_id, w.time, variable, level, sum(phi * tw * value) AS value FROM w JOIN fields f ON f.node_id = w.node_id AND f.time = w.ft
+      WHERE variable IN ('zeta', 'thetao') GROUP BY ALL),
+    b AS (SELECT point_id, time, max(depth) AS rel, sum(phi * tw * h) AS h FROM w GROUP BY 1, 2),
+    p AS (SELECT b.*, z.value AS zeta, rel / (z.value + h) AS s FROM b JOIN v z ON z.point_id = b.point_id AND z.time = b.time AND z.variable = 'zeta'),
+    q AS (SELECT *, CASE WHEN s >= -0.3 THEN 0 WHEN s >= -0.6 THEN 1 WHEN s > -0.9 THEN 2 ELSE 3 END AS a,
+      CASE WHEN s >= -0.1 OR s <= -0.9 THEN 1 WHEN s >= -0.3 THEN (s + 0.3) / 0.2 WHEN s >= -0.6 THEN (s + 0.6) / 0.3 ELSE (s + 0.9) / 0.3 END AS o FROM p WHERE s <= 0 AND s >= -1),
+    r AS (SELECT q.point_id, q.time, o * a.value + (1 - o) * coalesce(l.value, 0) AS value FROM q JOIN v a ON a.point_id = q.point_id AND a.time = q.time AND a.level = q.a AND a.variable = 'thetao'
+      LEFT JOIN v l ON l.point_id = q.point_id AND l.time = q.time AND l.level = q.a + 1 AND l.variable = 'thetao')
+    SELECT h.point_id, tm.time, h.host, round(c.value, 6) + 0.0 AS thetao FROM hosts h CROSS JOIN tm LEFT JOIN r c ON c.point_id = h.point_id AND c.time = tm.time""")
+def regrid_layers(t):
+    targets = t.points.select("point_id", "x", "y", C("z").alias("depth"))
+    out = regrid_op(t.fields("zeta", "thetao"), t.mesh, targets, ["2024-01-03 05:00:00", "2024-01-11 17:30:00"], ["thetao"], None, t.frame_times,
+                    layers=dict(sigma_levels=(0, -0.2, -0.4, -0.8, -1), sigma_layers=(-0.1, -0.3, -0.6, -0.9)))
+    return out.select("point_id", "time", "host", rd("thetao").alias("thetao"))
+
+
 # the same lattice on the sphere: boundary elements take their nearest sea node
 @query("regrid_on_sphere", """
     WITH tm AS (SELECT unnest([TIMESTAMP '2024-01-03 05:00:00', TIMESTAMP '2024-01-11 17:30:00']) AS time),
