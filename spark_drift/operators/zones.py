@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,26 @@ def create_release_zones(zones: DataFrame, cs: str = "cartesian") -> DataFrame:
     return out.withColumns({"ux": east, "uy": north})
 
 
-def disc_points_random(zones: DataFrame, seed: int = 0) -> DataFrame:
-    """Exactly n points per zone, uniform over the disc: (group_id, index, x, y, z)."""
+def zone_particles(zones: DataFrame, seed: int = 0, cs: str = "cartesian") -> DataFrame:
+    """Particles of release zones: (group_id, index, x, y, z), n per zone, uniform over its disc.
+
+    Geographic zones (centres in degrees, radii in metres) are drawn in the UTM zone of their centre
+    and turned back to longitude and latitude."""
+    out = create_release_zones(zones, cs)
+    if cs != "geographic":
+        return disc_points_random(out, seed)
+    drawn = disc_points_random(out.withColumns({"cx": F.col("ux"), "cy": F.col("uy")}), seed, ["epsg"])
+    lon, lat = lonlat_from_utm_cols("x", "y", "epsg")
+    return drawn.select("group_id", "index", lon.alias("x"), lat.alias("y"), "z")
+
+
+def disc_points_random(zones: DataFrame, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """Exactly n points per zone, uniform over the disc: (group_id, index, x, y, z), and zone columns to ``keep``."""
     rows = explode_count(zones, "n", "index")
     r = F.col("radius") * F.sqrt(uniform("r", seed, F.col("group_id"), F.col("index")))
     theta = F.lit(2 * math.pi) * uniform("t", seed, F.col("group_id"), F.col("index"))
     return rows.select("group_id", "index", (F.col("cx") + r * F.cos(theta)).alias("x"),
-                       (F.col("cy") + r * F.sin(theta)).alias("y"), F.col("depth").alias("z"))
+                       (F.col("cy") + r * F.sin(theta)).alias("y"), F.col("depth").alias("z"), *keep)
 
 
 def disc_points_regular(zones: DataFrame) -> DataFrame:

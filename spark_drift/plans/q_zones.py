@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spark_drift.functions import projection as proj
 from spark_drift.operators import seeds as seed_ops
 from spark_drift.operators import zones as ops
 from spark_drift.plans.registry import query, rd
@@ -48,6 +49,32 @@ def create_release_zones(t):
     return ops.create_release_zones(z, "geographic").select("group_id", rd("area").alias("area"), "epsg")
 
 
+def _series(coefficients, a, b):
+    """Terms of the projection's series: coefficient · a(2j·x) · b(2j·y)."""
+    return "".join(f" + ({c!r}) * {a}({2 * j + 2} * x0) * {b}({2 * j + 2} * y0)" for j, c in enumerate(coefficients))
+
+
+TM = proj._NORTH
+SCALE = repr(TM.k0 * TM.radius)
+
+# centres to UTM, draws in metres, and back to degrees, with the projection's fixed coefficients
+@query("zone_particles", f"""
+    WITH z AS (SELECT group_id, cx - 4 AS lon, cy - 5 AS lat, radius * 1000 AS radius, n, depth, floor((cx - 4 + 180) / 6) + 1 AS zone, CASE WHEN cy - 5 >= 0 THEN 0 ELSE 1e7 END AS shift FROM zones),
+    a AS (SELECT *, radians(lon) - radians(zone * 6 - 183) AS d, sinh(atanh(sin(radians(lat))) - {TM.e!r} * atanh({TM.e!r} * sin(radians(lat)))) AS t FROM z),
+    b AS (SELECT *, atan2(t, cos(d)) AS x0, atanh(sin(d) / sqrt(t * t + 1)) AS y0 FROM a),
+    c AS (SELECT group_id, radius, n, depth, zone, {TM.fe!r} + {SCALE} * (y0{_series(TM.alpha, 'cos', 'sinh')}) AS ux, {TM.fn!r} + {SCALE} * (x0{_series(TM.alpha, 'sin', 'cosh')}) AS uy FROM b),
+    p AS (SELECT group_id, i, depth, zone, ux + radius * sqrt({draw("'r'", "'3'", 'group_id', 'i')}) * cos(2 * pi() * {draw("'t'", "'3'", 'group_id', 'i')}) AS e,
+      uy + radius * sqrt({draw("'r'", "'3'", 'group_id', 'i')}) * sin(2 * pi() * {draw("'t'", "'3'", 'group_id', 'i')}) AS n FROM c, LATERAL (SELECT unnest(range(n)) AS i) r),
+    q AS (SELECT *, (n - {TM.fn!r}) / {SCALE} AS x0, (e - {TM.fe!r}) / {SCALE} AS y0 FROM p),
+    r AS (SELECT *, x0{_series([-v for v in TM.beta], 'sin', 'cosh')} AS xi, y0{_series([-v for v in TM.beta], 'cos', 'sinh')} AS eta FROM q),
+    s AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM r)
+    SELECT group_id, i AS index, round(degrees(radians(zone * 6 - 183) + atan2(sinh(eta), cos(xi))), 6) + 0.0 AS x,
+      round(degrees(chi{"".join(f" + ({v!r}) * sin({2 * j + 2} * chi)" for j, v in enumerate(TM.delta))}), 6) + 0.0 AS y, depth AS z FROM s""")
+def zone_particles(t):
+    z = t.table("zones").withColumns({"cx": C("cx") - 4, "cy": C("cy") - 5, "radius": C("radius") * 1000})
+    return ops.zone_particles(z, 3, "geographic").select("group_id", "index", rd("x").alias("x"), rd("y").alias("y"), "z")
+
+
 SHARED["lines"] = """
     SELECT o_orderkey AS line_id, CAST(o_orderkey % 97 AS DOUBLE) AS x1, CAST(o_orderkey % 89 AS DOUBLE) AS y1,
       CAST(o_custkey % 83 AS DOUBLE) + CAST(0.317 AS DOUBLE) AS x2, CAST(o_custkey % 79 AS DOUBLE) + CAST(0.719 AS DOUBLE) AS y2 FROM orders"""
