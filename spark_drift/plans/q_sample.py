@@ -342,12 +342,12 @@ def profile_in_time(t):
       UNION ALL SELECT b.time, b.i - 1, f.d - f.c * b.m FROM down b JOIN up f ON f.time = b.time AND f.i = b.i - 1),
     l AS (SELECT q.*, a.m AS ma, b.m AS mb FROM q JOIN down a ON a.time = q.time AND a.i = q.i JOIN down b ON b.time = q.time AND b.i = q.i + 1),
     o AS (SELECT o_orderkey AS id, TRUNC_MONTH(o_orderdate) AS time, -(o_totalprice % 29) - 1 AS zz FROM orders)
-    SELECT id, round(arg_min((ma * pow(z2 - zz, 3) + mb * pow(zz - z, 3)) / (6 * h) + (v / h - ma * h / 6) * (z2 - zz) + (v2 / h - mb * h / 6) * (zz - z), z), 6) + 0.0 AS value,
-      round(arg_min((mb * pow(zz - z, 2) - ma * pow(z2 - zz, 2)) / (2 * h) + (v2 - v) / h - (mb - ma) * h / 6, z), 6) + 0.0 AS gradient
+    SELECT id, round(arg_min((ma * pow(z2 - zz, 3) + mb * pow(zz - z, 3)) / (6 * h) + (v / h - ma * h / 6) * (z2 - zz) + (v2 / h - mb * h / 6) * (zz - z), z), 5) + 0.0 AS value,
+      round(arg_min((mb * pow(zz - z, 2) - ma * pow(z2 - zz, 2)) / (2 * h) + (v2 - v) / h - (mb - ma) * h / 6, z), 4) + 0.0 AS gradient
     FROM o LEFT JOIN l ON l.time = o.time AND zz >= z AND zz <= z2 GROUP BY id""")
 def profile_spline(t):
     out = ops.profile_spline(_profile_points(t), t.table("profiles"))
-    return out.select("id", rd("value").alias("value"), rd("gradient").alias("gradient"))
+    return out.select("id", rd("value", 5).alias("value"), rd("gradient", 4).alias("gradient"))
 
 
 @query("time_series_at_depth", """
