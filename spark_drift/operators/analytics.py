@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import round_time
 from spark_drift.operators.locate import locate_points
 from spark_drift.operators.sample import adjust_boundary_phi, between_levels, on_levels_of, values_on_layers

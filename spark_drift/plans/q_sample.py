@@ -9,7 +9,6 @@ from spark_drift.operators.time import asof_frames
 from spark_drift.plans.q_locate import HOSTS_SQL
 from spark_drift.plans.registry import query, rd
 from spark_drift.plans.tables import LEVEL_DEPTHS, ORACLE_ONLY
-from spark_drift.schema import Mesh
 
 C = F.col
 
