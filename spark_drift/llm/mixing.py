@@ -31,9 +31,13 @@ def word_count(text: Column) -> Column:
 
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, last: int = LAST_WORDS) -> list[int]:
     """How many documents of each size to take, at most ``counts``, for words as near to ``budget`` as
-    the programme gets (of two as near, the fewer); ``budget`` is at most the sum of all."""
+    the programme gets (of two as near, the fewer); ``budget`` is at most the sum of all.
+
+    What exceeds the ``last`` words is shared out over all sizes alike and then filled from the
+    longest; a budget within them is left to the programme alone, which is then the best there is."""
     total = sum(s * c for s, c in zip(sizes, counts))
-    take = [c * budget // total for c in counts] if total else [0] * len(counts)
+    ahead = max(0, budget - last)
+    take = [c * ahead // total for c in counts] if total else [0] * len(counts)
     rest = budget - sum(s * t for s, t in zip(sizes, take))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:  # from the longest down to the last words

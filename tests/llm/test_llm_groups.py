@@ -97,12 +97,10 @@ def test_fit_budget_reaches_the_best_sum():
         budget = rnd.randint(0, total)
         take = mixing.fit_budget(sizes, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts))
-        base = [c * budget // total for c in counts]
-        rest = budget - sum(s * b for s, b in zip(sizes, base))
         sums = {0}
-        for s, c, b in zip(sizes, counts, base):
-            sums = {x + k * s for x in sums for k in range(c - b + 1)}
-        assert abs(budget - sum(s * t for s, t in zip(sizes, take))) == min(abs(rest - x) for x in sums)
+        for s, c in zip(sizes, counts):
+            sums = {x + k * s for x in sums for k in range(c + 1)}
+        assert abs(budget - sum(s * t for s, t in zip(sizes, take))) == min(abs(budget - x) for x in sums)
 
 
 def test_fit_budget_with_little_left_to_fit():
