@@ -1,6 +1,7 @@
 """Quality of documents by regularised quadratic discriminant analysis of their statistics.
 
-Each class has the mean and the shrunken covariance of transformed statistics. A document's score
+Each class has the mean and the shrunken covariance of transformed statistics, widened for texts of
+few words, whose statistics are left to chance. A document's score
 is the logistic of the difference of the two Gaussian log-densities (and the log prior odds); the
 Mahalanobis terms use Cholesky factors that are inverted once."""
 
@@ -18,8 +19,11 @@ from pyspark.sql import types as T
 from spark_drift.llm.common import append_columns
 from spark_drift.llm.labels import held_out, training_labels
 
-#: Share of the covariance that gives way to its diagonal, and the least variance kept.
-SHRINKAGE, FLOOR = 0.05, 1e-3
+#: Share of the covariance that gives way to its diagonal, the least variance kept, and the variance that
+#: statistics of one word have by chance (a text of n words: one n-th of it).
+SHRINKAGE, FLOOR, CHANCE = 0.05, 1e-3, 1.0
+#: Texts are told apart by the power of two of their number of words, up to this.
+LENGTHS = 16
 
 FEATURES = ("log_words", "log_word_length", "word_length_spread", "symbols", "uppercase", "exclamations", "digits", "full_stops",
             "commas", "non_ascii", "log_line_words", "distinct_lines", "distinct_words", "ends_in_symbol", "shortest_words")
@@ -77,24 +81,30 @@ def statistics_of(text: str | None) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """Means, inverted Cholesky factors and log determinants of the classes 0 and 1, and the log prior
-    odds. Without two rows of both classes the model is ``constant``."""
+    """Means of the classes 0 and 1, for each power of two of the number of words the inverted Cholesky
+    factors and log determinants of both classes, and the log prior odds. Without two rows of both
+    classes the model is ``constant``."""
 
     mean: np.ndarray
-    factor: np.ndarray
-    log_det: np.ndarray
+    factor: np.ndarray  # (length, class, d, d)
+    log_det: np.ndarray  # (length, class)
     log_odds: float
     constant: float | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for rows of statistics."""
+        """Probability of label 1 for rows of statistics, the first of which is log(1 + words)."""
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        density = []
-        for c in (0, 1):
-            z = (x - self.mean[c]) @ self.factor[c].T
-            density.append(-0.5 * ((z * z).sum(1) + self.log_det[c]))
-        return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -30, 30)))
+        length = np.clip(np.log2(np.maximum(np.expm1(x[:, 0]), 1)).astype(int), 0, LENGTHS - 1)
+        odds = np.zeros(len(x))
+        for n in np.unique(length):
+            own = length == n
+            density = []
+            for c in (0, 1):
+                z = (x[own] - self.mean[c]) @ self.factor[n, c].T
+                density.append(-0.5 * ((z * z).sum(1) + self.log_det[n, c]))
+            odds[own] = density[1] - density[0] + self.log_odds
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def model_of(n: Sequence[float], total: Sequence[np.ndarray], square: Sequence[np.ndarray], shrinkage: float = SHRINKAGE) -> QualityModel:
@@ -102,17 +112,17 @@ def model_of(n: Sequence[float], total: Sequence[np.ndarray], square: Sequence[n
     if min(n) < 2:
         share = n[1] / (n[0] + n[1]) if sum(n) else 0.0
         return QualityModel(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, float(share))
-    mean, factor, log_det = [], [], []
+    d = len(total[0])
+    mean, factor, log_det = np.zeros((2, d)), np.zeros((LENGTHS, 2, d, d)), np.zeros((LENGTHS, 2))
     for c in (0, 1):
-        m = total[c] / n[c]
-        cov = square[c] / n[c] - np.outer(m, m)
-        own = np.diag(np.maximum(np.diag(cov), 0))
-        cov = (1 - shrinkage) * cov + shrinkage * own + FLOOR * np.eye(len(m))
-        low = np.linalg.cholesky(cov)
-        mean.append(m)
-        factor.append(np.linalg.inv(low))
-        log_det.append(2 * np.log(np.diag(low)).sum())
-    return QualityModel(np.array(mean), np.array(factor), np.array(log_det), float(np.log(n[1] / n[0])))
+        mean[c] = total[c] / n[c]
+        cov = square[c] / n[c] - np.outer(mean[c], mean[c])
+        cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.maximum(np.diag(cov), 0))
+        for length in range(LENGTHS):
+            low = np.linalg.cholesky(cov + (FLOOR + CHANCE / 2**length) * np.eye(d))
+            factor[length, c] = np.linalg.inv(low)
+            log_det[length, c] = 2 * np.log(np.diag(low)).sum()
+    return QualityModel(mean, factor, log_det, float(np.log(n[1] / n[0])))
 
 
 def features(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
