@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ DIMENSION = 8
 WINDOW = 4
 #: Training documents of each label: a bounded sample, the ids of least hash.
 SAMPLE = 1000
-EPOCHS, BATCH, RATE, SEED = 8, 100, 1.0, 17
+EPOCHS, BATCH, RATE, SEED = 12, 50, 1.5, 17
 
 
 def grams_of(word: str) -> list[int]:
@@ -76,19 +77,27 @@ def train(texts: Sequence[str | None], y: Sequence[int], share: float) -> ToxicM
 
     In the first two rounds every window has its document's label, later only a document's most
     toxic window takes part. Adagrad on the touched vectors, in an order drawn from SEED."""
-    docs = [WORD.findall((t or "").lower()) for t in texts]
-    kept = [i for i, d in enumerate(docs) if d]
-    if len({int(y[i]) for i in kept}) < 2:
-        return ToxicModel(np.zeros(0), 0.0, float(share))
+    # texts as numbers of distinct words, and the buckets of all words one after another: the lists are not kept
     number: dict[str, int] = {}
-    rows = [np.fromiter((number.setdefault(w, len(number)) for w in docs[i]), np.int64) for i in kept]
-    grams = [np.array(grams_of(w), np.int64) for w in number]
-    size = np.array([len(g) for g in grams])
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat = np.concatenate(grams)
-    label = np.array([int(y[i]) for i in kept])
+    rows, label = [], []
+    for t, one in zip(texts, y):
+        found = WORD.findall((t or "").lower())
+        if found:
+            rows.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+            label.append(int(one))
+    if len(set(label)) < 2:
+        return ToxicModel(np.zeros(0), 0.0, float(share))
+    label = np.array(label)
+    flat, size = array("i"), np.zeros(len(number), np.int64)
+    for i, w in enumerate(number):
+        grams = grams_of(w)
+        flat.extend(grams)
+        size[i] = len(grams)
+    flat = np.frombuffer(flat, np.int32)
+    begin = np.cumsum(size) - size
+    del number
     rnd = np.random.default_rng(SEED)
-    vectors = rnd.uniform(-1, 1, (BUCKETS, DIMENSION)) / DIMENSION
+    vectors = (rnd.uniform(-1, 1, (BUCKETS, DIMENSION)) / DIMENSION).astype(np.float32)
     soft, bias = rnd.normal(0, 0.5, (DIMENSION, 2)), np.zeros(2)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-8), np.full((DIMENSION, 2), 1e-8), np.full(2, 1e-8)
     for epoch in range(EPOCHS):
@@ -103,9 +112,10 @@ def train(texts: Sequence[str | None], y: Sequence[int], share: float) -> ToxicM
             of = np.repeat(np.arange(len(batch)), n_windows)
             length = np.diff(np.append(starts, ends[-1]))
             # forward: buckets → words → windows → softmax
-            at = np.concatenate([flat[begin[w]:begin[w] + size[w]] for w in used])
-            cut = np.concatenate([[0], np.cumsum(size[used])[:-1]])
-            word_vectors = np.add.reduceat(vectors[at], cut) / size[used][:, None]
+            own = size[used]
+            cut = np.cumsum(own) - own
+            at = flat[np.repeat(begin[used] - cut, own) + np.arange(int(own.sum()))]
+            word_vectors = np.add.reduceat(vectors[at], cut) / own[:, None]
             window_vectors = np.add.reduceat(word_vectors[place], starts) / length[:, None]
             logits = window_vectors @ soft + bias
             logits -= logits.max(1, keepdims=True)
@@ -124,14 +134,14 @@ def train(texts: Sequence[str | None], y: Sequence[int], share: float) -> ToxicM
             per_window = slope @ soft.T / length[:, None]
             live = weight > 0
             spread = np.repeat(np.where(live[:, None], per_window, 0), length, axis=0)
-            word_grad = np.stack([np.bincount(place, spread[:, d], len(used)) for d in range(DIMENSION)], 1) / size[used][:, None]
-            gram_grad = np.repeat(word_grad, size[used], axis=0)
+            word_grad = np.stack([np.bincount(place, spread[:, d], len(used)) for d in range(DIMENSION)], 1) / own[:, None]
+            word_of = np.repeat(np.arange(len(used)), own)
             touched, back = np.unique(at, return_inverse=True)
-            grad_v = np.stack([np.bincount(back, gram_grad[:, d], len(touched)) for d in range(DIMENSION)], 1)
+            grad_v = np.stack([np.bincount(back, word_grad[word_of, d], len(touched)) for d in range(DIMENSION)], 1)
             seen_v[touched] += (grad_v**2).mean(1)
             seen_s += grad_s**2
             seen_b += grad_b**2
-            vectors[touched] -= RATE * grad_v / np.sqrt(seen_v[touched])[:, None]
+            vectors[touched] -= (RATE * grad_v / np.sqrt(seen_v[touched])[:, None]).astype(np.float32)
             soft -= RATE / 3 * grad_s / np.sqrt(seen_s)
             bias -= RATE / 3 * grad_b / np.sqrt(seen_b)
     # the sample holds both labels alike: back to their share among all rows
