@@ -26,7 +26,7 @@ NEIGHBOURS, TREES, BLOCK, MEMBERS = 10, 4, 64, 256
 #: Rounds end when fewer than SETTLED of all list entries change, or after ROUNDS.
 SETTLED, ROUNDS = 0.02, 6
 #: Rows of a side when a component is compared in full.
-SIDE = 1024
+SIDE = 256
 #: Vectors of the audit, share of their links that must be found, and the most passes to reach it.
 AUDITED, RECALL, PASSES = 256, 0.995, 3
 #: Similarities in the graph are products of 8-bit components; an edge is verified from this much under the threshold on.
