@@ -16,6 +16,8 @@ from spark_drift.util import ensure_checkpoint_dir
 
 #: Rows handled at a time, so that a batch of very long texts stays small: as Python objects, and as Arrow arrays.
 ROWS_AT_ONCE, ARROW_ROWS = 256, 1024
+#: Most rows of an Arrow batch between Spark and a Python worker; whole texts are long.
+BATCH_ROWS = 2000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,6 +49,9 @@ def append_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequen
     ``make()`` runs once per task and returns a function from a list of texts (nulls included; with
     ``arrow`` an Arrow array) to one list or array of values per field. A kept column that has a new
     field's name gives way to it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     new = {f.name for f in fields}
     kept = [c for c in dict.fromkeys(keep) if c not in new]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
@@ -92,7 +97,7 @@ class WordCache(dict):
 
     Frequent words come early, so they are the ones that stay."""
 
-    def __init__(self, work: Callable[[str], object], most: int = 400_000):
+    def __init__(self, work: Callable[[str], object], most: int = 200_000):
         super().__init__()
         self.work, self.most = work, most
 

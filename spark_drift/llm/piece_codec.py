@@ -21,6 +21,8 @@ from spark_drift.llm.common import WordCache, append_columns
 
 #: Symbols that are no piece are numbered from here by their code point.
 LOOSE = 1 << 20
+#: Tested pairs that a Python worker keeps.
+KEPT_PAIRS = 300_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A text cut before spaces, and cut after letters too where no letter or digit follows.
 WORDS = re.compile(" +[^ ]*|[^ ]+")
@@ -107,7 +109,7 @@ class PieceCodec:
             if before >= 0:
                 pair = last[before] << 21 | token
                 if pair not in fits:
-                    if len(fits) >= 1_000_000:
+                    if len(fits) >= KEPT_PAIRS:
                         fits.clear()
                     fits[pair] = self._pair_fits(last[before], token)
                 if not fits[pair]:
