@@ -2,10 +2,12 @@
 
 A graph of each vector's best known neighbours starts from small blocks of random hyperplanes and is
 refined by joins of neighbours with neighbours of neighbours, in 8-bit precision. Edges near the
-threshold are then verified on the original vectors. A vector whose whole list lies above the
-threshold may have more neighbours than the list holds: its component is compared in full, in
-blocks, and only the numbers of links are kept. An audit compares a bounded sample with all rows;
-while too many links are missing, the graph goes on from new blocks."""
+threshold are then verified on the original vectors; once verified, a link stays, whatever becomes of
+the lists. A vector whose whole list lies above the threshold may have more neighbours than the list
+holds: its component gets further lists, of neighbours outside the component alone, until no
+component joins another; then it is compared in full, in blocks, and only the numbers of links are
+kept. An audit compares vectors that have links with all rows; while too many links are missing, the
+graph goes on from new blocks."""
 
 from __future__ import annotations
 
@@ -29,6 +31,8 @@ SETTLED, ROUNDS = 0.02, 6
 SIDE = 256
 #: Vectors of the audit, share of their links that must be found, and the most passes to reach it.
 AUDITED, RECALL, PASSES = 256, 0.995, 3
+#: Most vectors drawn for the audit, and most of them at a time.
+DRAWN, AT_ONCE = AUDITED, AUDITED
 #: Similarities in the graph are products of 8-bit components; an edge is verified from this much under the threshold on.
 SCALE, SLACK = 127, 0.03
 SEED = 23
@@ -46,11 +50,12 @@ def _entries(lists: DataFrame) -> DataFrame:
     return lists.select("label", "v", F.explode("near").alias("n")).select("label", "v", F.col("n.u").alias("u"), F.col("n.s").alias("s"))
 
 
-def _compare(block: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int):
-    """(v, u, s) for each member's at most ``k`` best others of the block that exceed its ``floor``."""
+def _compare(block: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
+    """(v, u, s) for each member's at most ``k`` best others of the block that exceed its ``floor``;
+    members with the same ``own`` are not each other's."""
     x = block.astype(np.float32)
     s = (x @ x.T).astype(np.int64)  # exact: products of 8-bit numbers
-    s[ids[:, None] == ids[None]] = -(1 << 30)
+    s[own[:, None] == own[None]] = -(1 << 30)
     if len(ids) > k:
         floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k] - 1)
     v, u = np.nonzero(s > floor[:, None])
@@ -58,7 +63,7 @@ def _compare(block: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int):
 
 
 def _stream(rows: DataFrame, keys: list[str], width: int, k: int) -> DataFrame:
-    """Compare the members of each group (columns label, v, q, floor), at most MEMBERS at a time."""
+    """Compare the members of each group (columns label, v, own, q, floor), at most MEMBERS at a time."""
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "v")
     at = {c: i for i, c in enumerate(rows.columns)}
 
@@ -70,7 +75,7 @@ def _stream(rows: DataFrame, keys: list[str], width: int, k: int) -> DataFrame:
             table = pa.Table.from_batches(held)
             ids = table.column(at["v"]).to_numpy()
             if len(ids) > 1:
-                v, u, s = _compare(packed(table, "q", np.int8, width), ids, table.column(at["floor"]).to_numpy(), k)
+                v, u, s = _compare(packed(table, "q", np.int8, width), ids, table.column(at["own"]).to_numpy(), table.column(at["floor"]).to_numpy(), k)
                 out.append((np.full(len(v), table.column(at["label"])[0].as_py()), v, u, s))
             held.clear()
 
@@ -110,23 +115,26 @@ def _start(items: DataFrame, width: int, n: int, turn: int, k: int) -> DataFrame
         x = packed(b, "q", np.int8, width).astype(np.float32)
         side = (x @ planes.T > 0).reshape(len(x), TREES, bits)
         code = side.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(x), TREES), np.int64)
-        return {"label": b.column(0), "v": b.column(1), "q": b.column(2), "codes": pa.array(list(code))}
+        return {"label": b.column(0), "v": b.column(1), "own": b.column(2), "q": b.column(3), "codes": pa.array(list(code))}
 
-    coded = map_vectors(items.select("label", "v", "q"), keys, "label int, v long, q binary, codes array<long>")
-    rows = coded.select("label", "v", "q", F.posexplode("codes").alias("tree", "code"))
+    coded = map_vectors(items.select("label", "v", "own", "q"), keys, "label int, v long, own long, q binary, codes array<long>")
+    rows = coded.select("label", "v", "own", "q", F.posexplode("codes").alias("tree", "code"))
     sizes = rows.groupBy("label", "tree", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
     rows = rows.join(sizes, ["label", "tree", "code"], "left")
-    rows = rows.withColumn("cut", F.pmod(F.xxhash64("v", "tree"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)))
-    return _stream(rows.select("label", "tree", "code", "cut", "v", "q", F.lit(-(1 << 30)).alias("floor")), ["label", "tree", "code", "cut"], width, k)
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("v", "tree", F.lit(turn)), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)))
+    return _stream(rows.select("label", "tree", "code", "cut", "v", "own", "q", F.lit(-(1 << 30)).alias("floor")), ["label", "tree", "code", "cut"], width, k)
 
 
-def _refine(items: DataFrame, lists: DataFrame, width: int, k: int) -> DataFrame:
-    """One round: for each vector, all that list it and all in its list are compared with each other."""
-    edges = _entries(lists).select("label", F.col("v").alias("host"), F.col("u").alias("v"))
+def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, beside: DataFrame | None = None) -> DataFrame:
+    """One round: for each vector, all that list it and all in its list are compared with each other.
+    The lists ``beside`` bring members together too."""
+    entries = _entries(lists) if beside is None else _entries(lists).union(_entries(beside))
+    edges = entries.select("label", F.col("v").alias("host"), F.col("u").alias("v"))
     both = edges.union(edges.select("label", F.col("v").alias("host"), F.col("host").alias("v"))).distinct()
     floors = lists.select("v", F.when(F.size("near") < k, F.lit(-(1 << 30))).otherwise(F.element_at("near", -1)["s"]).alias("floor"))
-    members = items.select("v", "q").join(floors, "v")
-    return _stream(both.join(members, "v").select("label", "host", "v", "q", "floor"), ["label", "host"], width, k)
+    members = items.select("v", "own", "q").join(floors, "v", "left")
+    members = members.withColumn("floor", F.coalesce("floor", F.lit(-(1 << 30))))
+    return _stream(both.join(members, "v").select("label", "host", "v", "own", "q", "floor"), ["label", "host"], width, k)
 
 
 def _cosines(pairs: DataFrame, vectors: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -198,13 +206,15 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     packed_rows = stored(map_vectors(base.where(takes_part).select("id", "label", "e"), pack, "id long, label int, e binary, q binary"), "packed")
     items = stored(packed_rows.groupBy("label", "e").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("m"), F.min("q").alias("q")), "items")
-    n = items.groupBy("label").count().agg(F.max("count")).first()[0]
-    sample = items.orderBy(F.xxhash64("v"), "v").limit(AUDITED).select("label", "v", "e").toPandas()
-    lists = None
+    items = items.withColumn("own", F.col("v"))
+    n = _most(items)
+    audited = _audited(items, width, threshold)
+    lists, known, recall = None, None, 0.0
     for turn in range(PASSES):
-        lists = _graph(items, lists, width, n, turn)
-        found, total, got = _links(items, lists, sample, width, threshold)
-        if got >= RECALL * total:
+        lists, near = _graph(items, lists, width, n, turn, threshold)
+        found, known = _links(items, lists, near, known, width, threshold, turn)
+        recall = _recall(found, audited)
+        if recall >= RECALL:
             break
     members = packed_rows.select("id", "label", "e").join(found, ["label", "e"]).select("id", F.col("links").alias("links"), "component")
     aside = base.where(~takes_part).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
@@ -216,57 +226,114 @@ def _result(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def _graph(items: DataFrame, lists: DataFrame | None, width: int, n: int, turn: int) -> DataFrame:
-    """The graph after new blocks and as many rounds as change it."""
+def _most(items: DataFrame) -> int:
+    """Items of the largest label."""
+    return items.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+
+
+def _near(lists: DataFrame, threshold: float) -> DataFrame:
+    """a > b of the entries that can be links."""
+    near = _entries(lists).where(F.col("s") >= int((threshold - SLACK) * SCALE * SCALE))
+    return near.select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()
+
+
+def _graph(items: DataFrame, lists: DataFrame | None, width: int, n: int, turn: int, threshold: float, beside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph after new blocks and as many rounds as change it; and the pairs that can be links of
+    all its rounds, since later rounds may push them out of the lists."""
     k = NEIGHBOURS
     pairs = _start(items, width, n, turn, k)
     lists = stored(_top(pairs if lists is None else pairs.union(_entries(lists)), k), "lists")
+    near = _near(lists, threshold)
     entries = lists.agg(F.sum(F.size("near"))).first()[0] or 0
     for _ in range(ROUNDS):
-        new = stored(_top(_refine(items, lists, width, k).union(_entries(lists)), k), "lists")
+        new = stored(_top(_refine(items, lists, width, k, beside).union(_entries(lists)), k), "lists")
+        near = near.union(_near(new, threshold))
         old = lists.select("v", F.col("near").alias("old"))
         changed = new.join(old, "v", "left").agg(F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<struct<s:int,u:bigint>>")))))).first()[0] or 0
         lists = new
         if changed <= SETTLED * entries:
             break
-    return lists
+    return lists, near.distinct()
 
 
-def _links(items: DataFrame, lists: DataFrame, sample, width: int, threshold: float) -> tuple[DataFrame, int, int]:
-    """label, e, links and component of all items; and of the audited ones the links there are and those found."""
-    spark = items.sparkSession
-    near = _entries(lists).where(F.col("s") >= int((threshold - SLACK) * SCALE * SCALE))
-    pairs = near.select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()
-    links = stored(_cosines(pairs, items, width, threshold), "links")
-    comp = stored(components(links), "components")
+def _links(items: DataFrame, lists: DataFrame, near: DataFrame, known: DataFrame | None, width: int, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """v, label, e, links and component of all items; and the verified links, with those ``known`` before."""
+    links = _cosines(near, items, width, threshold)
+    links = stored(links if known is None else links.union(known).distinct(), "links")
     # full: every entry of the list lies near or above the threshold
-    full = lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["s"] >= int((threshold - SLACK) * SCALE * SCALE))).select("v")
-    wide = full.join(comp.withColumnRenamed("node", "v"), "v").select("component").distinct()
-    inside = comp.join(wide, "component", "left_semi").withColumnRenamed("node", "v").join(items.select("v", "e", "m"), "v")
+    full = stored(lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["s"] >= int((threshold - SLACK) * SCALE * SCALE))).select("v"), "full")
+    step = 0
+    while True:
+        comp = stored(components(links), "components")
+        wide = full.join(comp.withColumnRenamed("node", "v"), "v").select("component").distinct()
+        inside = comp.join(wide, "component", "left_semi").withColumnRenamed("node", "v").join(items.drop("own"), "v")
+        # a link that no list holds lies between two full lists: look for it between components, where the
+        # comparison in full does not, until none is found
+        shared = inside.groupBy("label").agg(F.count_distinct("component").alias("n")).where(F.col("n") > 1)
+        apart = stored(inside.join(shared, "label", "left_semi").withColumn("own", F.col("component")), "apart")
+        n = _most(apart)
+        if not n:
+            break
+        # planes of its own for each search
+        _, across = _graph(apart, None, width, n, PASSES + turn + PASSES * step, threshold, beside=lists)
+        more = stored(_cosines(across, items, width, threshold), "across")
+        if not more.take(1):
+            break
+        links = stored(links.union(more).distinct(), "links")
+        step += 1
     counted = _in_full(inside, width, threshold)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = both.join(items.select(F.col("v").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("listed")).withColumnRenamed("a", "v")
     of = items.join(comp.withColumnRenamed("node", "v"), "v", "left").join(listed, "v", "left").join(counted, "v", "left")
     # items are named by their least id, so a component's least node is its least id
-    found = of.select("label", "e", "v", (F.coalesce("links", "listed", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "v").alias("component"))
-    found = stored(found, "found")
-    wanted = np.stack([np.frombuffer(e, np.float32) for e in sample["e"]]).astype(np.float64)
-    wanted /= np.sqrt((wanted**2).sum(1, keepdims=True))
-    labels, ids = sample["label"].to_numpy(), sample["v"].to_numpy()
-    shared = spark.sparkContext.broadcast((wanted, labels))  # at most AUDITED rows
-
-    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, own = shared.value
-        total = np.zeros(len(x), np.int64)
-        for b in batches:
-            y = packed(b, "e", np.float32, width).astype(np.float64)
-            y /= np.sqrt((y * y).sum(1, keepdims=True))
-            same = own[:, None] == b.column(0).to_numpy()[None]
-            total += ((x @ y.T >= threshold) & same) @ b.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(total)], ["i", "n"])
-
-    true = {r.i: r.n for r in items.select("label", "e", "m").mapInArrow(audit, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    asked = spark.createDataFrame([(int(v),) for v in ids], "v long")
+    found = of.select("v", "label", "e", (F.coalesce("links", "listed", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "v").alias("component"))
+    return stored(found, "found"), links
+
+
+def _audited(items: DataFrame, width: int, threshold: float) -> dict[int, tuple[int, int]]:
+    """Of vectors drawn by hashes, those with links: their links to others and to copies of themselves.
+
+    Each draw is compared with all rows. Draws go on until AUDITED vectors with links are there, all
+    are drawn, or DRAWN are."""
+    spark = items.sparkSession
+    order = F.xxhash64("v")
+    drawn, size, after, out = 0, AUDITED, None, {}
+    while len(out) < AUDITED and drawn < DRAWN:
+        rest = items if after is None else items.where((order > after[0]) | ((order == after[0]) & (F.col("v") > after[1])))
+        sample = rest.select("label", "v", "e", "m", order.alias("h")).orderBy("h", "v").limit(size).toPandas()
+        if not len(sample):
+            break
+        wanted = np.stack([np.frombuffer(e, np.float32) for e in sample["e"]])
+        shared = spark.sparkContext.broadcast((wanted, sample["label"].to_numpy()))  # at most AT_ONCE rows
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            x, own = shared.value
+            x = x.astype(np.float64)
+            x /= np.sqrt((x**2).sum(1, keepdims=True))
+            total = np.zeros(len(x), np.int64)
+            for whole in batches:
+                for low in range(0, whole.num_rows, 1024):
+                    b = whole.slice(low, 1024)
+                    y = packed(b, "e", np.float32, width).astype(np.float64)
+                    y /= np.sqrt((y * y).sum(1, keepdims=True))
+                    for label in np.unique(labels := b.column(0).to_numpy()):
+                        at, of = np.flatnonzero(own == label), labels == label
+                        total[at] += (x[at] @ y[of].T >= threshold) @ b.column(2).to_numpy()[of]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(total)], ["i", "n"])
+
+        true = {r.i: r.n for r in items.select("label", "e", "m").mapInArrow(compare, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+        shared.unpersist()
+        out |= {int(v): (true[i] - int(m), int(m) - 1) for i, (v, m) in enumerate(zip(sample["v"], sample["m"])) if true[i] > m}
+        drawn += len(sample)
+        after = int(sample["h"].iloc[-1]), int(sample["v"].iloc[-1])
+        size = min(4 * size, AT_ONCE)
+    return out
+
+
+def _recall(found: DataFrame, audited: dict[int, tuple[int, int]]) -> float:
+    """Mean over the audited vectors of the share of their links to others that is found."""
+    if not audited:
+        return 1.0
+    asked = found.sparkSession.createDataFrame([(v,) for v in audited], "v long")
     have = {r.v: r.links for r in found.join(F.broadcast(asked), "v").select("v", "links").collect()}
-    there = {int(v): true[i] - 1 for i, v in enumerate(ids)}
-    return found.drop("v"), sum(there.values()), sum(min(have[v], t) for v, t in there.items())
+    return sum(min(1.0, (have[v] - copies) / others) for v, (others, copies) in audited.items()) / len(audited)

@@ -280,6 +280,27 @@ def test_wide_component_in_blocks(spark, monkeypatch):
     test_near_vectors(spark)
 
 
+@pytest.mark.parametrize("groups", [2, 3])
+def test_tight_groups_with_links_across(spark, groups):
+    """Groups that fill their own lists: the links across are in no list of 10."""
+    rnd = np.random.default_rng(9)
+    d = 64
+    axes = np.linalg.qr(rnd.normal(size=(d, d)))[0]
+    x = []
+    for g in range(groups):  # a chain: the first and the last of three groups are linked by the middle one alone
+        angle = g * np.arccos(0.96)
+        centre = np.cos(angle) * axes[0] + np.sin(angle) * axes[1]
+        x += [centre + 0.06 * axes[2 + 12 * g + i] for i in range(12)]
+    x = np.array(x, np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= near_vectors.THRESHOLD
+    np.fill_diagonal(linked, False)
+    rows = [(i + 1, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert linked[0].sum() == 23 and {k: r.n_links for k, r in got.items()} == {i + 1: n for i, n in enumerate(linked.sum(1))}
+    assert {r.component_id for r in got.values()} == {1}
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(nearest, "CELL", 64)
     monkeypatch.setattr(nearest, "LEAF", 8)
