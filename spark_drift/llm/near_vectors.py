@@ -29,10 +29,10 @@ NEIGHBOURS, TREES, BLOCK, MEMBERS = 10, 4, 64, 256
 SETTLED, ROUNDS = 0.02, 6
 #: Rows of a side when a component is compared in full.
 SIDE = 256
-#: Vectors of the audit, share of their links that must be found, and the most passes to reach it.
-AUDITED, RECALL, PASSES = 256, 0.995, 3
+#: Vectors with links in the audit, share of each one's links that must be found on average, and the passes after which it is an error.
+AUDITED, RECALL, PASSES = 256, 0.995, 40
 #: Most vectors drawn for the audit, and most of them at a time.
-DRAWN, AT_ONCE = AUDITED, AUDITED
+DRAWN, AT_ONCE = 1 << 16, 1 << 12
 #: Similarities in the graph are products of 8-bit components; an edge is verified from this much under the threshold on.
 SCALE, SLACK = 127, 0.03
 SEED = 23
@@ -216,6 +216,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", embedding: str = "embe
         recall = _recall(found, audited)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"after {PASSES} passes {recall:.4f} of the links of the audited vectors are found, {RECALL} are asked for")
     members = packed_rows.select("id", "label", "e").join(found, ["label", "e"]).select("id", F.col("links").alias("links"), "component")
     aside = base.where(~takes_part).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     return _result(members.union(aside))

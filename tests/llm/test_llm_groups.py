@@ -301,6 +301,34 @@ def test_tight_groups_with_links_across(spark, groups):
     assert {r.component_id for r in got.values()} == {1}
 
 
+def isolated_pairs(n, d=16):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(n, d))
+    for i in range(0, 40, 2):  # 20 pairs at a cosine of 0.935
+        a = x[i] / np.linalg.norm(x[i])
+        b = x[i + 1] - (x[i + 1] @ a) * a
+        x[i + 1] = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b)
+    return [(i, v.tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_audit_goes_on_until_the_links_are_found(spark, monkeypatch):
+    """Few vectors have links, and one tree of small blocks misses most: passes go on until they are found."""
+    monkeypatch.setattr(near_vectors, "TREES", 1)
+    monkeypatch.setattr(near_vectors, "BLOCK", 4)
+    monkeypatch.setattr(near_vectors, "ROUNDS", 0)
+    got = near_vectors.near_duplicates(spark.createDataFrame(isolated_pairs(700), VECTORS)).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: int(i < 40) for i in range(700)}
+
+
+def test_audit_that_fails_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "TREES", 1)
+    monkeypatch.setattr(near_vectors, "BLOCK", 4)
+    monkeypatch.setattr(near_vectors, "ROUNDS", 0)
+    monkeypatch.setattr(near_vectors, "PASSES", 1)
+    with pytest.raises(RuntimeError, match="audited"):
+        near_vectors.near_duplicates(spark.createDataFrame(isolated_pairs(700), VECTORS))
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(nearest, "CELL", 64)
     monkeypatch.setattr(nearest, "LEAF", 8)
