@@ -1,14 +1,15 @@
 """Mixing sources to target weights by fitting word budgets.
 
 Targets are shares by weight under a ceiling per source. A source's budget is filled by counts of
-documents by exact length: whole rounds, then a like share of every length, then a bounded-knapsack
-dynamic programme over the lengths left for the last words. Which documents of a length are taken
-is decided by seeded hashes."""
+documents by exact length: whole rounds, then the long documents by a bounded-knapsack dynamic
+programme in coarse units, a like share of every short length, and an exact programme over the
+lengths left for the last words. Which documents of a length are taken is decided by seeded hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from spark_drift.llm.common import stored
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 #: Words that the dynamic programme fits at the end of a source's budget.
 LAST_WORDS = 1 << 14
+#: Bundles and units of the programme over longer documents; choices of them that are filled up and compared.
+LONG_BUNDLES, LONG_UNITS, LONG_CHOICES = 512, 1 << 20, 16
 SEED = 11
 #: Rows of a group of equal length that are ranked together.
 RANKED = 1000
@@ -29,21 +32,98 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _bundles(numbers: Sequence[int], counts: Sequence[int]) -> list[tuple[int, int]]:
+    """(i, n): the counts of ``numbers`` in powers of two and a rest."""
+    out = []
+    for i in numbers:
+        left, size = counts[i], 1
+        while left > 0:
+            n = min(size, left)
+            out.append((i, n))
+            left, size = left - n, size * 2
+    return out
+
+
+def _long_takes(sizes: Sequence[int], counts: Sequence[int], budget: int, last: int) -> Iterator[list[int]]:
+    """Choices of the documents of more than ``last`` words, the likeliest to fit first: sums that the
+    short documents can complete, from the nearest to the like share on; then the nearest others.
+
+    Bundles beyond LONG_BUNDLES are shared out evenly over the lengths, for a sum in the middle of
+    what the programme can reach. Its words are in units such that it has at most LONG_UNITS."""
+    long = sorted((i for i, s in enumerate(sizes) if s > last), key=lambda i: -sizes[i])
+    total = sum(s * c for s, c in zip(sizes, counts))
+    own = sum(sizes[i] * counts[i] for i in long)
+    least = max(0, budget - (total - own))  # what the short ones cannot cover
+    aim = min(max(budget * own // total, least), budget)
+    bundles, ahead = _bundles(long, counts), [0] * len(sizes)
+    if len(bundles) > LONG_BUNDLES:
+        chosen = {k * (len(bundles) - 1) // (LONG_BUNDLES - 1) for k in range(LONG_BUNDLES)}
+        others = [b for k, b in enumerate(bundles) if k not in chosen]
+        bundles = [b for k, b in enumerate(bundles) if k in chosen]
+        rest = sum(sizes[i] * n for i, n in others)
+        share = min(rest, max(0, aim - sum(sizes[i] * n for i, n in bundles) // 2))
+        seen = 0
+        for i, n in others:
+            ahead[i] += (seen + n) * share // rest - seen * share // rest
+            seen += n
+    spent = sum(s * t for s, t in zip(sizes, ahead))
+    limit = min(sum(sizes[i] * n for i, n in bundles), max(0, budget - spent) + sizes[long[0]])
+    unit = -(-limit // LONG_UNITS) or 1
+    mask = (1 << (limit // unit + 1)) - 1
+    before, reached = [], 1
+    for i, n in bundles:
+        before.append(reached)
+        reached |= (reached << (sizes[i] * n + unit // 2) // unit) & mask
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(reached.to_bytes(limit // unit // 8 + 1, "little"), np.uint8), bitorder="little"))
+    words = at * unit + spent
+    outside = np.maximum(np.maximum(least - words, words - budget), 0)
+    for x in at[np.lexsort((np.abs(words - aim), outside))[:LONG_CHOICES]].tolist():
+        take = list(ahead)
+        for (i, n), without in zip(reversed(bundles), reversed(before)):
+            if not without >> x & 1:
+                take[i] += n
+                x -= (sizes[i] * n + unit // 2) // unit
+        yield take
+
+
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, last: int = LAST_WORDS) -> list[int]:
     """How many documents of each size to take, at most ``counts``, for words as near to ``budget`` as
     the programme gets (of two as near, the fewer); ``budget`` is at most the sum of all.
 
-    What exceeds the ``last`` words is shared out over all sizes alike and then filled from the
-    longest; a budget within them is left to the programme alone, which is then the best there is."""
-    total = sum(s * c for s, c in zip(sizes, counts))
-    ahead = max(0, budget - last)
-    take = [c * ahead // total for c in counts] if total else [0] * len(counts)
+    Documents longer than ``last`` words are decided first. What the budget then has beyond the
+    ``last`` words is shared out over the short sizes alike and filled from the longest of them; the
+    programme fits the rest. A budget within the ``last`` words is left to the programme alone, which
+    is then the best there is."""
+    if budget <= last or max(sizes, default=0) <= last:
+        return _fill(sizes, counts, budget, last, [0] * len(sizes))
+    best, nearest = [0] * len(sizes), budget
+    for chosen in _long_takes(sizes, counts, budget, last):
+        take = _fill(sizes, counts, budget, last, chosen)
+        off = abs(budget - sum(s * t for s, t in zip(sizes, take)))
+        if off < nearest:
+            best, nearest = take, off
+        if not off:
+            break
+    return best
+
+
+def _fill(sizes: Sequence[int], counts: Sequence[int], budget: int, last: int, chosen: Sequence[int]) -> list[int]:
+    """``chosen`` (of the long sizes) and what brings it to the budget."""
+    take = list(chosen)
     rest = budget - sum(s * t for s, t in zip(sizes, take))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in order:  # from the longest down to the last words
+    short = [i for i in order if sizes[i] <= last]
+    total = sum(sizes[i] * counts[i] for i in short)
+    ahead = min(total, max(0, rest - last))
+    for i in short:
+        take[i] = counts[i] * ahead // total if total else 0
+        rest -= take[i] * sizes[i]
+    for i in short:  # from the longest down to the last words
         more = min(counts[i] - take[i], max(0, rest - last) // sizes[i])
         take[i] += more
         rest -= more * sizes[i]
+    if rest <= 0 or rest >= 2 * last:  # no short document is left, and the long ones are decided
+        return take
     # sums reachable with each bundle (a power of two copies of a size); via: the first bundle that reaches a sum
     bundles: list[tuple[int, int]] = []
     via: dict[int, int] = {}

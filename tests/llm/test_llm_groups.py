@@ -108,6 +108,24 @@ def test_fit_budget_with_little_left_to_fit():
     assert all(t <= 1000 for t in take) and abs(41_234 - (3 * take[0] + 7 * take[1] + 50 * take[2])) <= 1
 
 
+@pytest.mark.parametrize("sizes,counts,budget", [([1000, 1_000_000], [500, 1], 1_050_000), ([1000, 300_000], [300, 3], 1_080_000)])
+def test_fit_budget_with_long_documents(sizes, counts, budget):
+    take = mixing.fit_budget(sizes, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(s * t for s, t in zip(sizes, take)) == budget
+
+
+def test_fit_budget_with_many_long_documents():
+    rnd = random.Random(12)
+    for n_long, n_short in [(3000, 0), (3000, 2000), (40, 300)]:
+        sizes = rnd.sample(range(20_000, 900_000), n_long) + rnd.sample(range(1, 16_000), n_short)
+        counts = [rnd.randint(1, 3) for _ in sizes]
+        total = sum(s * c for s, c in zip(sizes, counts))
+        for budget in (total // 50, total // 3, total * 9 // 10):
+            take = mixing.fit_budget(sizes, counts, budget)
+            assert all(0 <= t <= c for t, c in zip(take, counts))
+            assert abs(budget - sum(s * t for s, t in zip(sizes, take))) <= (0 if n_short else 20_000)
+
+
 def water(sizes):
     """Targets by repeated resharing of the excess."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
