@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_drift.llm import id_store, mixing, near_vectors, nearest, piece_codec, quality, simhash, token_counts, toxicity, url_filter
+from spark_drift.llm import id_store, mixing, near_vectors, nearest, piece_codec, q_words, quality, simhash, token_counts, toxicity, url_filter  # noqa: F401
 from spark_drift.llm.common import scratch, stored
 from spark_drift.llm.registry import ORACLES, QUERIES, query, table, tokenizer_file
 
