@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spark_drift.llm import filter_audit
+from spark_drift.llm import filter_audit, spelling
 from spark_drift.llm.registry import query, table
 
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 AUDIT_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
@@ -41,3 +40,34 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = filter_audit.text_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filter_audit.interactions(masks)
+
+
+# crc32 byte by byte over the distinct (document, run); near words by equal deletions at equal places
+SPELLING_SQL = r"""
+WITH RECURSIVE t8(i, k, c) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM t8 WHERE k < 8),
+tab AS (SELECT i, c FROM t8 WHERE k = 8),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS MATERIALIZED (SELECT id, run, hex(encode(id || ':' || run)) AS x, count(*) AS n FROM r GROUP BY ALL),
+h(id, run, n, x, i, c) AS (SELECT id, run, n, x, 0, 4294967295::BIGINT FROM d
+  UNION ALL SELECT id, run, n, x, h.i + 1, xor(h.c >> 8, tab.c) FROM h JOIN tab ON tab.i = xor(h.c & 255, ('0x' || substr(x, 2 * h.i + 1, 2))::BIGINT) WHERE 2 * h.i < length(x)),
+s AS (SELECT run, n, xor(c, 4294967295::BIGINT) AS h FROM h WHERE 2 * i = length(x)),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM s)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.rest = w.word UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS top FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN (SELECT min(other) FROM p WHERE p.word = w.word AND p.m = top) END AS form,
+  CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+z(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION SELECT z.word, f.form FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL),
+e AS (SELECT z.word, z.root FROM z JOIN f ON f.word = z.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e ON e.word = f.word
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    words = found.select(spelling.misspelt(F.col("key"), F.col("run")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words))
