@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_drift.llm import filter_audit, spelling
+from spark_drift.llm import filter_audit, licenses, spelling
 from spark_drift.llm.registry import query, table
 
 AUDIT_SQL = r"""
@@ -71,3 +71,30 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(table(spark, sf_dir, "documents"))
     words = found.select(spelling.misspelt(F.col("key"), F.col("run")).alias("word"))
     return spelling.variants(spelling.vocabulary(words))
+
+
+def _license_sql() -> str:
+    """Every block of every text against every template, without an order or a filter."""
+    tests = "\n  UNION ALL ".join(
+        f"SELECT {i}, '{t['label']}', {t['reach']}, {t['need']}, {t['tokens']!r}::VARCHAR[]" for i, t in enumerate(licenses.template_table(licenses.TEMPLATES)))
+    return r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT id, w, unnest(range(0, length(w))) AS i FROM d WHERE list_contains(w, 'license')),
+p AS (SELECT id, i, CASE WHEN w[i + 1] = 'mit' AND w[i + 2] = 'license' THEN 'mit' WHEN w[i + 1] = 'apache' AND w[i + 2] = 'license' THEN 'apache'
+  WHEN w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license' THEN 'gpl' END AS label FROM u),
+b AS (SELECT id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM p WHERE label IS NOT NULL GROUP BY id),
+t(k, label, reach, need, tokens) AS (""" + tests + r"""),
+c AS (SELECT id, reach, w[s * reach + 1:(s + 2) * reach] AS held FROM (SELECT id, w, reach, unnest(range(0, (length(w) + reach - 1) // reach)) AS s FROM d, (SELECT DISTINCT reach FROM t))),
+f AS (SELECT id, label, length(list_intersect(tokens, held)) AS shared, length(tokens) AS size, need FROM c JOIN t USING (reach)),
+h AS (SELECT id, list(DISTINCT label) AS found, max(shared / size) AS best FROM f WHERE shared >= need GROUP BY id)
+SELECT doc_id, length(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (id) LEFT JOIN h USING (id)
+"""
+
+
+@query("op11_license_scan", _license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
