@@ -32,16 +32,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates.
-
-    Rows with one id are one document: that of the least hash stays. Documents without an id are
-    compared with each other only, and as exact copies."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    groups = simhash.near_duplicates(named)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    stay = named.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(same)).where(F.col("_row") == 1)
-    return stay.select(docs.columns).union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """One document of each group of near-duplicates: the row of least id (rows without an id last), then
+    of least hash. Rows are told apart by all their columns, so rows with one id and different texts are
+    compared like any others; rows equal in every column are one document."""
+    sign = F.lit(-(1 << 63))
+    rank = F.when(F.col("doc_id").isNull(), "none").otherwise(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(sign)), 16, "0"))
+    rows = docs.withColumn("_row", F.concat(rank, F.lit("-"), F.hex(F.xxhash64(*docs.columns))))
+    groups = simhash.near_duplicates(rows, key="_row")
+    first = groups.where(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    same = Window.partitionBy("_row").orderBy("_row")
+    stay = rows.join(first, "_row", "left_semi").withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") == 1)
+    return stay.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
