@@ -21,6 +21,8 @@ from spark_drift.llm.common import WordCache, append_columns
 
 #: Symbols that are no piece are numbered from here by their code point.
 LOOSE = 1 << 20
+#: Bits of the largest token: a loose symbol of the last plane.
+PAIR_BITS = (LOOSE + 0x10FFFF).bit_length()
 #: Tested pairs that a Python worker keeps.
 KEPT_PAIRS = 300_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -107,7 +109,7 @@ class PieceCodec:
                 continue
             before = end - length
             if before >= 0:
-                pair = last[before] << 21 | token
+                pair = last[before] << PAIR_BITS | token
                 if pair not in fits:
                     if len(fits) >= KEPT_PAIRS:
                         fits.clear()

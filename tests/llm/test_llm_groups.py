@@ -408,9 +408,13 @@ def test_pipeline(spark, monkeypatch):
     clean = [r for r in clean if good.score(np.array([quality.statistics_of(r.text)]))[0] >= 0.3]
     assert order(after.collect()) == order(clean)
     single = pipeline.drop_near_duplicates(spark, after, SF).cache()
-    named = {r.doc_id: r for r in clean if r.doc_id is not None}
-    root = roots(named, [(a, b) for a, b in itertools.combinations(named, 2) if (plain_fingerprint(named[a].text) ^ plain_fingerprint(named[b].text)).bit_count() <= 3])
-    want = [r for k, r in named.items() if root[k] == k] + [r for r in clean if r.doc_id is None][:1]
+    alone = list({repr(r): r for r in clean}.values())
+    prints = [plain_fingerprint(r.text or "") for r in alone]
+    root = roots(range(len(alone)), [(a, b) for a, b in itertools.combinations(range(len(alone)), 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    groups = {}
+    for i, r in enumerate(alone):
+        groups.setdefault(root[i], []).append(r)
+    want = [min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in groups.values()]
     assert order(single.collect()) == order(want)
     mixed = pipeline.mix_sources(spark, single, SF).cache()
     assert mixed.columns == docs.columns
@@ -436,6 +440,23 @@ def test_pipeline(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.ids_sha256) for r in digests) == sorted((r.doc_id or 0, hashlib.sha256(",".join(map(str, library.encode(r.text or ""))).encode()).hexdigest()) for r in mixed.collect())
 
 
+def test_near_duplicate_rows_are_told_apart_by_all_columns(spark):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 99)) for _ in range(n))
+    one, two, three, four = text(4000), text(60), text(60), text(5)
+    near = one.replace(" ", "  ", 1) + " more"
+    rows = [(1, one, "a"), (1, two, "a"), (1, two, "a"), (2, two, "a"), (-3, near, "b"), (None, one, "a"), (None, three, "a"), (None, three, "a"), (None, three, "b"),
+            (7, four, "a"), (7, four, "b"), (8, None, "a"), (9, "", "a"), (None, " ", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in got if r[0] is not None and r[0] != 7) == [(-3, near, "b"), (1, two, "a"), (8, None, "a")]
+    assert len(got) == 5 and sum(r[1] == three for r in got) == 1 and sum(r[1] == four for r in got) == 1
+
+
 def test_pipeline_empty(spark):
     import corpus_pipeline as pipeline
 

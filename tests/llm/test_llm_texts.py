@@ -44,6 +44,18 @@ def test_pieces_like_library():
         assert c.encode(t) == c.library.encode(t), repr(t)
 
 
+def test_pieces_of_all_planes_in_any_order():
+    rnd = random.Random(3)
+    starts = ["  ", " a", "the", "\n", ""]
+    texts = ["  " + chr(0x102D15), "  atie"]
+    texts += [rnd.choice(starts) + "".join(rnd.choice(["a", " ", "tie", chr(rnd.randint(0x100000, 0x10FFFF)), chr(rnd.randint(0x10000, 0x1FFFF))]) for _ in range(6))
+              for _ in range(2000)]
+    for order in (texts, texts[::-1]):
+        c = piece_codec.PieceCodec(MERGES)
+        for t in order:
+            assert c.encode(t) == c.library.encode(t), repr(t)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_pieces_any_text(t):
