@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spark_drift.plans.registry import query, rd
+from spark_drift.streaming import state
 from spark_drift.streaming import streams as ops
 from spark_drift.util import scratch_folder
 
@@ -22,8 +23,8 @@ def stream_sample(t):
       CAST(epoch(max(time)) - epoch(min(time)) < 2500000 AS INT) AS is_alive, CAST(epoch(max(time)) - epoch(min(time)) >= 2400000 AS INT) AS settling
     FROM fixes GROUP BY particle_id""")
 def stream_status(t):
-    out = ops.stream_status(t.stream_fixes(), 2500000, 2400000)
-    return ops.run_to_parquet(out, scratch_folder(t.spark, "stream"), "update", ["particle_id"])
+    out = state.stream_status(t.stream_fixes(), 2500000, 2400000)
+    return ops.run_to_parquet(out, scratch_folder(t.spark, "stream"), "update", ["particle_id"]).drop("t_first_us", "t_last_us")
 
 
 @query("stream_counts", """
@@ -44,7 +45,8 @@ def stream_counts_sliding(t):
     WITH g AS (SELECT *, CASE WHEN time <= lag(time) OVER (PARTITION BY particle_id ORDER BY time, fix_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM fixes),
     s AS (SELECT *, sum(new) OVER (PARTITION BY particle_id ORDER BY time, fix_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
     SELECT min(time) AS t_start, max(time) + INTERVAL 6 HOUR AS t_end, particle_id, count(*) AS n, sum(in_domain)::BIGINT AS n_in_domain,
-      sum(is_beached)::BIGINT AS n_beached, sum(error_status)::BIGINT AS n_error FROM s GROUP BY particle_id, sid
-    HAVING max(time) + INTERVAL 6 HOUR <= (SELECT max(time) FROM fixes) - INTERVAL 1 HOUR""")
+      sum(is_beached)::BIGINT AS n_beached, sum(error_status)::BIGINT AS n_error FROM s GROUP BY particle_id, sid""")
 def stream_counts_session(t):
-    return ops.run_to_parquet(ops.stream_counts(t.stream_fixes(), gap="6 hours"), scratch_folder(t.spark, "stream"))
+    out = state.stream_sessions(t.stream_fixes(), 6 * 3600)
+    rows = ops.run_to_parquet(out, scratch_folder(t.spark, "stream"), "update", batches=True)
+    return state.newest_sessions(rows).drop("is_open", "batch")

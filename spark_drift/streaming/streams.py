@@ -1,19 +1,19 @@
-"""Streams of fixes: sampling, per-particle state and periodic counts."""
+"""Streams of fixes: sampling, periodic counts, and draining a stream (state per particle: ``state``)."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from spark_drift.operators.locate import TEST_COLUMNS, element_cells, phi_columns, with_position
 from spark_drift.operators.time import asof_frames
 from spark_drift.schema import LAND, Mesh
+from spark_drift.streaming.state import STORE
 
 
 def stream_locate(fixes: DataFrame, mesh: Mesh, keep: list[str]) -> DataFrame:
@@ -74,81 +74,66 @@ def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh:
     return rows.select(key, "time", "host", functools.reduce(lambda a, b: a + b, parts).alias("value"))
 
 
-STATUS_COLUMNS = "particle_id long, age_s double, land_encounters long, is_beached int, in_domain int, is_alive int, settling int"
-_STATE = "first double, last double, land long, beached int, domain int, alive int"
-
-
-def stream_status(fixes: DataFrame, death_age_s: float, settling_delay_s: float) -> DataFrame:
-    """Running state per particle, emitted once per batch in which it has fixes (``run_to_parquet``
-    keeps the newest by ``particle_id``).
-
-    Age, land encounters, beaching, domain, life and start of settling. A particle that left
-    the domain stays out, a dead one stays dead: states never expire. Rows of a particle come in
-    pieces, so a hot particle is folded and never held."""
-
-    def update(key, pieces, state):
-        first, last, land, beached, domain, alive = state.get if state.exists else (None, None, 0, 0, 1, 1)
-        for pdf in pieces:
-            t = pdf["t_us"] / 1e6
-            first = float(t.min()) if first is None else min(first, float(t.min()))
-            newest = float(t.max())
-            if last is None or newest >= last:
-                last = newest
-                beached = int(pdf["is_beached"].iloc[int(t.to_numpy().argmax())])
-            land += int(pdf["land_boundary_encounters"].sum())
-            if (pdf["in_domain"] == 0).any():
-                domain = 0
-        age = last - first
-        if age >= death_age_s:
-            alive = 0
-        state.update((first, last, land, beached, domain, alive))
-        yield pd.DataFrame({
-            "particle_id": [key[0]], "age_s": [age], "land_encounters": [land], "is_beached": [beached], "in_domain": [domain],
-            "is_alive": [alive], "settling": [int(age >= settling_delay_s)],
-        })
-
-    us = F.unix_micros(F.col("time").cast("timestamp"))
-    rows = fixes.select("particle_id", us.alias("t_us"), "is_beached", "in_domain", "land_boundary_encounters")
-    return rows.groupBy("particle_id").applyInPandasWithState(update, STATUS_COLUMNS, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def stream_counts(fixes: DataFrame, every: str = "1 hour", late: str = "1 hour", slide: str | None = None,
-                  gap: str | None = None, key: str = "particle_id") -> DataFrame:
-    """Status counts per output period: tumbling, sliding with ``slide``, or sessions of each
-    ``key`` closed by a ``gap``."""
+def stream_counts(fixes: DataFrame, every: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Status counts per output period: tumbling, or sliding with ``slide`` (sessions: ``state.stream_sessions``).
+
+    Rows later than ``late`` behind the newest one are dropped; the progress of the query counts them
+    (numRowsDroppedByWatermark)."""
     w = _watermarked(fixes, late)
-    span = F.session_window("time", gap) if gap else F.window("time", every, slide) if slide else F.window("time", every)
-    by = [key] if gap else []
-    out = w.groupBy(span.alias("w"), *by).agg(
+    span = F.window("time", every, slide) if slide else F.window("time", every)
+    out = w.groupBy(span.alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("in_domain").alias("n_in_domain"),
         F.sum("is_beached").alias("n_beached"),
         F.sum("error_status").alias("n_error"),
     )
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("t_start"), F.col("w.end").cast("timestamp_ntz").alias("t_end"), *by,
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("t_start"), F.col("w.end").cast("timestamp_ntz").alias("t_end"),
                       "n", "n_in_domain", "n_beached", "n_error")
 
 
-def run_to_parquet(stream: DataFrame, path: str, mode: str = "append", newest_by: Sequence[str] = ()) -> DataFrame:
+def run_to_parquet(stream: DataFrame, path: str, mode: str = "append", newest_by: Sequence[str] = (), batches: bool = False,
+                   idle: bool = True) -> DataFrame:
     """Drain what the source holds into Parquet and read it back.
 
     ``update`` output is written by batch, each batch to its own folder so that a retried
     batch replaces itself; with ``newest_by`` the last value of each key is returned, so that
-    windows still open at the end are there too."""
+    windows still open at the end are there too; with ``batches`` the rows of all batches and their column
+    ``batch``. State lives in the RocksDB store, which processors need and large states fit.
+    Without ``idle`` there are no batches without rows: state that expires by the clock (``ttl_s``) would
+    ask for them without end."""
     spark = stream.sparkSession
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_state")
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{path}/rows").start()
+        writer = writer.outputMode("append").format("parquet").option("path", f"{path}/rows")
     else:
         def save(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-        query = writer.outputMode(mode).foreachBatch(save).start()
+        writer = writer.outputMode(mode).foreachBatch(save)
+    with state_store(spark, idle):
+        query = writer.start()
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{path}/rows")
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if batches:
+        return rows
     if newest_by:
         last = rows.groupBy(*newest_by).agg(F.max("batch").alias("batch"))
         rows = rows.join(last, [*newest_by, "batch"], "left_semi")
     return rows.select(*stream.columns)
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Queries started inside keep their state in the RocksDB store, without ``idle`` they run no batches
+    without rows; the session's own settings come back after."""
+    own = dict([STORE, ("spark.sql.streaming.noDataMicroBatches.enabled", str(idle).lower())])
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

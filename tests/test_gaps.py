@@ -11,7 +11,7 @@ from spark_drift.operators import analytics, locate, sample, time, zones
 from spark_drift.operators.regrid import regrid
 from spark_drift.schema import Mesh
 from spark_drift.sources import readers, writers
-from spark_drift.streaming import streams
+from spark_drift.streaming import state, streams
 
 DEPTHS = (0.0, 4.0, 8.0)
 
@@ -98,7 +98,7 @@ def test_status_over_batches(spark, tmp_path):
     for d in range(4):
         fixes.where(F.col("time") == F.lit(str(rows[d][1])).cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = streams.run_to_parquet(streams.stream_status(stream, 1e9, 1e9), str(tmp_path / "out"), "update", ["particle_id"]).collect()
+    out = streams.run_to_parquet(state.stream_status(stream, 1e9, 1e9), str(tmp_path / "out"), "update", ["particle_id"]).collect()
     assert len(out) == 1 and out[0]["in_domain"] == 0 and out[0]["land_encounters"] == 4 and out[0]["age_s"] == 270 * 86400
 
 
