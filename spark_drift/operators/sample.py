@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions import geo
 from spark_drift.functions.geo import nonzero
 from spark_drift.functions.timecols import lerp
+from spark_drift.operators.archive import is_archive, pruned
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.operators.time import nearest_time
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, PHI_EPS, SEA, Mesh
@@ -53,6 +54,16 @@ def widen(fields: DataFrame, variables: dict[str, int], key: Sequence[str] = ("n
     return _known_levels(fields, variables).groupBy(*key).agg(*cells)
 
 
+def _in_use(fields: DataFrame, feeds: DataFrame, at: Sequence[str]) -> DataFrame:
+    """The field rows that the feeds look at, before anything is grouped.
+
+    An archive (``archive.write_archive``) is first cut to the days and blocks of nodes in use; a
+    constant field is as small as the mesh and is taken whole."""
+    if "time" not in at:
+        return fields
+    return pruned(fields, feeds).join(feeds.select(*at).distinct(), list(at), "left_semi")
+
+
 def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_time: bool = True,
            weights: dict[str, Sequence[str]] | None = None, masks: bool = False, nodes: DataFrame | None = None,
            keep: Sequence[str] | None = None, every: bool = False) -> DataFrame:
@@ -67,6 +78,8 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
     frames) in use, and each point meets them in one join: no point row is repeated or
     aggregated, so equal rows stay separate rows. Points without a host drop out, unless ``every``."""
     weights = weights or {"": PHI}
+    if in_time and is_archive(fields):
+        points = cut_lineage(points)  # the folders in use, the hosts and the values are looked up from them
     keep = list(points.columns if keep is None else keep)
     key = ["n0", "n1", "n2", *(["t_last", "t_next"] if in_time else [])]
     frames = ["t_last", "t_next"] if in_time else [None]
@@ -74,7 +87,7 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
     feeds = [F.struct(F.lit(i).alias("_i"), F.col(n).alias("node_id"), *([F.col(t).alias("time")] if t else [])) for i, (n, t) in enumerate(slots)]
     hosts = points.select(*key).distinct().select(*key, F.explode(F.array(*feeds)).alias("_f")).select(*key, "_f.*")
     at = ["node_id", "time"] if in_time else ["node_id"]
-    wide = widen(fields, variables, at)
+    wide = widen(_in_use(fields, hosts, at), variables, at)
     cells = [f"{v}_{k}" for v, n in variables.items() for k in range(n)]
     if nodes is not None:
         wide = wide.join(nodes.select("node_id", F.col("h").alias("_node_h")), "node_id")
@@ -112,7 +125,7 @@ def gather_levels(points: DataFrame, fields: DataFrame, variables: dict[str, int
     feeds = [F.struct(F.lit(i).alias("_i"), F.col(n).alias("node_id"), F.col(t).alias("time"), F.col(k).alias("level")) for i, (n, t, k) in enumerate(slots)]
     hosts = points.select(*key).where("k_a is not null").distinct().select(*key, F.explode(F.array(*feeds)).alias("_f")).select(*key, "_f.*")
     at = ["node_id", "time", "level"]
-    wide = _known_levels(fields, variables).groupBy(*at).agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
+    wide = _known_levels(_in_use(fields, hosts, at), variables).groupBy(*at).agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
     around = hosts.join(wide, at).groupBy(*key).agg(*[F.max(F.when(F.col("_i") == i, F.col(v))).alias(f"_{v}_at{i}") for v in variables for i in range(len(slots))])
     joined = skew_safe_join(points, around, key, "left")
     shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")]

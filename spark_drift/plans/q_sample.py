@@ -1,7 +1,10 @@
 """Queries: field interpolation joins and regridding."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from spark_drift.operators import archive
 from spark_drift.operators import sample as ops
 from spark_drift.operators.locate import locate_points
 from spark_drift.operators.regrid import regrid as regrid_op
@@ -9,6 +12,7 @@ from spark_drift.operators.time import asof_frames
 from spark_drift.plans.q_locate import HOSTS_SQL
 from spark_drift.plans.registry import query, rd
 from spark_drift.plans.tables import LEVEL_DEPTHS, ORACLE_ONLY
+from spark_drift.util import scratch_folder
 
 C = F.col
 
@@ -67,6 +71,17 @@ def interp_2d_time(t):
     return ops.interp_2d_time(framed_fixes(t), t.fields("zeta"), "zeta").select("fix_id", rd("zeta").alias("zeta"))
 
 
+@query("interp_2d_time_archive", "SELECT fix_id, round(value, 6) + 0.0 AS zeta FROM fix_levels WHERE variable = 'zeta'")
+def interp_2d_time_archive(t):
+    order = archive.curve_permutation(t.mesh.nodes)
+    mesh = archive.renumber_mesh(t.mesh, order)
+    fields = archive.permute_nodes(t.fields("zeta"), order)
+    stored = archive.write_archive(fields, f"fields_{uuid.uuid4().hex}", scratch_folder(t.spark, "archive"), 65_536, 16)
+    found = locate_points(t.fixes.select("fix_id", "time", "x", "y"), mesh).where("host is not null")
+    framed = asof_frames(found, t.frame_times)
+    return ops.interp_2d_time(framed, stored, "zeta").select("fix_id", rd("zeta").alias("zeta"))
+
+
 @query("interp_level_time", "SELECT fix_id, round(value, 6) + 0.0 AS thetao FROM fix_levels WHERE variable = 'thetao' AND level = 2")
 def interp_level_time(t):
     return ops.interp_level_time(framed_fixes(t), t.fields("thetao"), "thetao", 2).select("fix_id", rd("thetao").alias("thetao"))
