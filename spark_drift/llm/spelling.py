@@ -1,8 +1,9 @@
 """Spelling variants: words one edit apart, and the frequent word that a rare one stands for.
 
 Of two words the shorter (of equal ones the lesser) is cut into two disjoint chunks; one edit leaves
-one of them whole, at a place shifted by at most one. The other word contributes its positional
-grams of the chunks' lengths, and the two meet where a chunk equals a gram within that shift."""
+one of them whole, at a place shifted by at most one, and half of the other chunk too. The other word
+contributes its positional grams of those lengths; the two meet where chunk and half equal its gram
+within that shift, and are verified."""
 
 from __future__ import annotations
 
@@ -41,32 +42,35 @@ def vocabulary(words: DataFrame, word: str = "word", least: int = LEAST_LENGTH,
     return words.where(F.length(word) >= least).groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
 
 
-def _cut(length: Column) -> Column:
-    """Length of the first chunk of a word; the second is the rest."""
-    return F.floor(length / 2).cast("int")
+def _ends(m: Column) -> list[tuple[Column, Column]]:
+    """For a word of m letters, what one edit leaves: how many letters at its start and at its end.
+
+    The edit leaves the first chunk (of two halves) or the second, and of the other chunk again a half."""
+    first = F.floor(m / 2).cast("int")
+    second, lead = m - first, F.floor(first / 2).cast("int")
+    trail = F.floor(second / 2).cast("int")
+    none = F.lit(0)
+    return [(first + trail, none), (first, second - trail), (lead, second), (none, second + first - lead)]
+
+
+def _grams(m: Column) -> Column:
+    """length, part and gram of ``word`` for partners of m letters, the word itself having m or m + 1."""
+    left = lambda n: F.substring("word", F.lit(1), n)
+    right = lambda n: F.substring("word", F.length("word") - n + 1, n)
+    return F.array(*[F.struct(m.alias("length"), F.lit(i).alias("part"), F.concat(left(p), right(s)).alias("gram")) for i, (p, s) in enumerate(_ends(m))])
 
 
 def links(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: each pair of the distinct ``word`` that one insertion, deletion or replacement
     of a code point turns into each other, once; a is the shorter, or the lesser of equal length.
 
-    All pairs are found: nothing that meets in a chunk is capped. Words need at least two code points."""
+    A chunk's shift is 0 at the start of the words and their difference in length at the end; other shifts
+    within one find no further pair. All pairs are found: nothing that meets in a key is capped. Words
+    need at least two code points."""
     m = F.length("word")
     words = words.where(m >= 2)
-    chunk = lambda i, text: F.struct(F.lit(i).alias("part"), text.alias("gram"))
-    short = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"), m.alias("length"),
-                         F.explode(F.array(chunk(0, F.substring("word", F.lit(1), _cut(m))), chunk(1, F.substring("word", _cut(m) + 1, m)))).alias("c"))
-    short = short.select("a", "n_a", "length", "c.part", "c.gram")
-
-    def grams(part: int, of: Column) -> Column:
-        """Grams of the word for a chunk of a partner of length ``of``, at places within one of the chunk's."""
-        size, place = (_cut(of), F.lit(0)) if part == 0 else (of - _cut(of), _cut(of))
-        places = F.sequence(F.greatest(place - 1, F.lit(0)), F.least(place + 1, m - size))
-        return F.transform(places, lambda p: F.struct(of.alias("length"), F.lit(part).alias("part"), F.substring("word", p + 1, size).alias("gram")))
-
-    long = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"),
-                        F.explode(F.array_distinct(F.concat(*[grams(i, of) for of in (m, m - 1) for i in (0, 1)]))).alias("g"))
-    long = long.select("b", "n_b", "g.*")
+    short = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.inline(_grams(m)))
+    long = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.inline(F.concat(_grams(m), _grams(m - 1))))
     order = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
     met = short.join(long, ["length", "part", "gram"]).where(order & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "n_a", "b", "n_b").distinct()
