@@ -25,10 +25,13 @@ def utm_zone_number(lon, lat) -> Column:
     )
 
 
-def utm_zone_letter(lat) -> Column:
+def utm_zone_letter(lat, missing: str = "error") -> Column:
+    """Letter of the band; outside the bands an error, or null with ``missing`` = null."""
     lat = col(lat)
     index = F.floor((lat + 80) / 8).cast("int") + 1
     letter = F.lit(BANDS).substr(index, F.lit(1))
+    if missing == "null":
+        return F.when(lat.between(-80, 84), letter)
     return F.when(lat.between(-80, 84), letter).otherwise(
         F.raise_error(F.lit("latitude outside -80..84 has no zone letter")).cast("string")
     )

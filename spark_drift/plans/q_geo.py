@@ -156,11 +156,9 @@ def utm_zone_number(t):
 
 
 @query("utm_zone_letter", """
-    SELECT id, substr('CDEFGHJKLMNPQRSTUVWXX', (CAST(floor(lat1 * 0.9 + 80) AS INT) >> 3) + 1, 1) AS letter FROM pairs
-    WHERE lat1 * 0.9 BETWEEN -80 AND 84""")
+    SELECT id, CASE WHEN lat1 BETWEEN -80 AND 84 THEN substr('CDEFGHJKLMNPQRSTUVWXX', CAST(floor((lat1 + 80) / 8) AS INT) + 1, 1) END AS letter FROM pairs""")
 def utm_zone_letter(t):
-    lat = C("lat1") * F.lit(0.9)
-    return t.table("pairs").where(lat.between(-80, 84)).select("id", proj.utm_zone_letter(lat).alias("letter"))
+    return t.table("pairs").select("id", proj.utm_zone_letter("lat1", missing="null").alias("letter"))
 
 
 @query("valid_utm_zone", """

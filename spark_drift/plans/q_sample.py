@@ -182,24 +182,24 @@ SIGMA_SQL = """
     s AS (SELECT p.fix_id, z, zeta, h, (z - zeta) / (zeta + h) AS s, zeta + h AS d, max(CASE WHEN l.level = 0 THEN l.value END) AS k0, max(CASE WHEN l.level = 1 THEN l.value END) AS k1,
         max(CASE WHEN l.level = 2 THEN l.value END) AS k2, max(CASE WHEN l.level = 3 THEN l.value END) AS k3
       FROM fix_place p JOIN fix_levels l ON l.fix_id = p.fix_id AND l.variable = 'kz' GROUP BY ALL),
-    g AS (SELECT *, (k0 - k1) / (0.2 * d) AS g0, (k0 - k2) / (0.8 * d) AS g1, (k1 - k3) / (0.8 * d) AS g2, (k2 - k3) / (0.2 * d) AS g3 FROM s WHERE s <= 0 AND s >= -1)"""
+    g AS (SELECT *, (k0 - k1) / (0.2 * d) AS g0, (k0 - k2) / (0.8 * d) AS g1, (k1 - k3) / (0.8 * d) AS g2, (k2 - k3) / (0.2 * d) AS g3 FROM s)"""
 SIGMA = dict(sigma_levels=(0, -0.2, -0.8, -1), sigma_layers=(-0.1, -0.5, -0.9))
 
 
 @query("vertical_diffusivity", f"""
-    WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s >= -0.2 THEN k1 + (s + 0.2) / 0.2 * (k0 - k1) WHEN s >= -0.8 THEN k2 + (s + 0.8) / 0.6 * (k1 - k2)
+    WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s > 0 OR s < -1 THEN NULL WHEN s >= -0.2 THEN k1 + (s + 0.2) / 0.2 * (k0 - k1) WHEN s >= -0.8 THEN k2 + (s + 0.8) / 0.6 * (k1 - k2)
       ELSE k3 + (s + 1) / 0.2 * (k2 - k3) END, 6) + 0.0 AS kz FROM g""")
 def vertical_diffusivity(t):
     out = ops.vertical_diffusivity(framed_fixes(t), t.fields("zeta", "kz"), t.mesh.nodes, **SIGMA)
-    return out.where("level_flag = 0").select("fix_id", rd("kz").alias("kz"))
+    return out.select("fix_id", rd("kz").alias("kz"))
 
 
 @query("vertical_diffusivity_gradient", f"""
-    WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s >= -0.2 THEN g1 + (s + 0.2) / 0.2 * (g0 - g1) WHEN s >= -0.8 THEN g2 + (s + 0.8) / 0.6 * (g1 - g2)
+    WITH {SIGMA_SQL.strip()} SELECT fix_id, round(CASE WHEN s > 0 OR s < -1 THEN NULL WHEN s >= -0.2 THEN g1 + (s + 0.2) / 0.2 * (g0 - g1) WHEN s >= -0.8 THEN g2 + (s + 0.8) / 0.6 * (g1 - g2)
       ELSE g3 + (s + 1) / 0.2 * (g2 - g3) END, 6) + 0.0 AS dkz_dz FROM g""")
 def vertical_diffusivity_gradient(t):
     out = ops.vertical_diffusivity_gradient(framed_fixes(t), t.fields("zeta", "kz"), t.mesh.nodes, **SIGMA)
-    return out.where("level_flag = 0").select("fix_id", rd("dkz_dz").alias("dkz_dz"))
+    return out.select("fix_id", rd("dkz_dz").alias("dkz_dz"))
 
 
 # interfaces whose depths are fields: σ of each node, or s-levels with a critical depth
@@ -242,15 +242,15 @@ def sample_s_levels(t):
 @query("horizontal_diffusivity_layers", """
     WITH s AS (SELECT fix_id, (z - zeta) / (zeta + h) AS s FROM fix_place),
     g AS (SELECT fix_id, level, dx, dy FROM fix_grads WHERE variable = 'kz'), v AS (SELECT fix_id, level, value FROM fix_levels WHERE variable = 'kz'),
-    p AS (SELECT *, CASE WHEN s >= -0.1 THEN 0 WHEN s >= -0.3 THEN 0 WHEN s >= -0.6 THEN 1 WHEN s > -0.9 THEN 2 ELSE 3 END AS a,
-      CASE WHEN s >= -0.1 OR s <= -0.9 THEN 1 WHEN s >= -0.3 THEN (s + 0.3) / 0.2 WHEN s >= -0.6 THEN (s + 0.6) / 0.3 ELSE (s + 0.9) / 0.3 END AS o FROM s WHERE s <= 0 AND s >= -1)
+    p AS (SELECT *, CASE WHEN s > 0 OR s < -1 THEN NULL WHEN s >= -0.1 THEN 0 WHEN s >= -0.3 THEN 0 WHEN s >= -0.6 THEN 1 WHEN s > -0.9 THEN 2 ELSE 3 END AS a,
+      CASE WHEN s >= -0.1 OR s <= -0.9 THEN 1 WHEN s >= -0.3 THEN (s + 0.3) / 0.2 WHEN s >= -0.6 THEN (s + 0.6) / 0.3 ELSE (s + 0.9) / 0.3 END AS o FROM s)
     SELECT p.fix_id, round(o * a.value + (1 - o) * coalesce(b.value, 0), 6) + 0.0 AS kz, round(o * c.dx + (1 - o) * coalesce(d.dx, 0), 5) + 0.0 AS dx,
       round(o * c.dy + (1 - o) * coalesce(d.dy, 0), 5) + 0.0 AS dy
-    FROM p JOIN v a ON a.fix_id = p.fix_id AND a.level = p.a LEFT JOIN v b ON b.fix_id = p.fix_id AND b.level = p.a + 1
-    JOIN g c ON c.fix_id = p.fix_id AND c.level = p.a LEFT JOIN g d ON d.fix_id = p.fix_id AND d.level = p.a + 1""")
+    FROM p LEFT JOIN v a ON a.fix_id = p.fix_id AND a.level = p.a LEFT JOIN v b ON b.fix_id = p.fix_id AND b.level = p.a + 1
+    LEFT JOIN g c ON c.fix_id = p.fix_id AND c.level = p.a LEFT JOIN g d ON d.fix_id = p.fix_id AND d.level = p.a + 1""")
 def horizontal_diffusivity_layers(t):
     out = ops.horizontal_diffusivity_layers(framed_fixes(t), t.fields("zeta", "kz"), t.mesh, (0, -0.2, -0.4, -0.8, -1), (-0.1, -0.3, -0.6, -0.9), "kz")
-    return out.where("level_flag = 0").select("fix_id", rd("kz").alias("kz"), rd("dkz_dx", 5).alias("dx"), rd("dkz_dy", 5).alias("dy"))
+    return out.select("fix_id", rd("kz").alias("kz"), rd("dkz_dx", 5).alias("dx"), rd("dkz_dy", 5).alias("dy"))
 
 
 AT_DEPTH = "CASE WHEN p.k = 3 THEN {u} ELSE (1 - omega) * {l} + omega * {u} END"
