@@ -57,9 +57,10 @@ def widen(fields: DataFrame, variables: dict[str, int], key: Sequence[str] = ("n
 def _in_use(fields: DataFrame, feeds: DataFrame, at: Sequence[str]) -> DataFrame:
     """The field rows that the feeds look at, before anything is grouped.
 
-    An archive (``archive.write_archive``) is first cut to the days and blocks of nodes in use; a
-    constant field is as small as the mesh and is taken whole."""
-    if "time" not in at:
+    An archive (``archive.write_archive``, or a table with a ``date``) is cut to the days and blocks of nodes in
+    use and to their frames. Other tables, and constant fields, are taken whole: choosing rows of a
+    table without folders costs one more shuffle and saves no reading."""
+    if "time" not in at or not is_archive(fields):
         return fields
     return pruned(fields, feeds).join(feeds.select(*at).distinct(), list(at), "left_semi")
 
