@@ -74,29 +74,61 @@ def frame_intervals(times: DataFrame, by: Sequence[str] = (), time: str = "time"
     return rows.where(F.col("t_next").isNotNull()).select(*by, F.col(time).alias("t_last"), "t_next")
 
 
+def interval_level(start: Column, end: Column) -> Column:
+    """Exponent of the power of two (of microseconds) at or above the length of an interval."""
+    return F.ceil(F.log2(F.greatest(micros(end) - micros(start), F.lit(1)).cast("double"))).cast("int")
+
+
+def interval_cells(spans: DataFrame) -> DataFrame:
+    """Intervals (t_last, t_next) with their _level, one row per cell (_cell) of that level they touch.
+
+    Cells are as wide as the level's power of two, so an interval lies in one cell or two. All intervals of a
+    level are at least half a cell long: a cell meets at most four of one series, however unevenly its frames
+    are spread."""
+    out = spans.withColumn("_level", interval_level(F.col("t_last"), F.col("t_next")))
+    return out.withColumn("_cell", F.explode(F.sequence(_cell(F.col("t_last"), F.col("_level")), _cell(F.col("t_next"), F.col("_level")))))
+
+
+def _cell(t: Column, level: Column) -> Column:
+    # an arithmetic shift rounds down before 1970 too
+    return F.call_function("shiftright", micros(t), level)
+
+
 def asof_frames(points: DataFrame, frames: DataFrame, direction: int = 1, by: Sequence[str] = (),
                 time: str = "time", missing: str = "error") -> DataFrame:
     """Add the bracketing frames (t_last, t_next) and the fraction between them.
 
     Forward brackets are [last, next), backward ones (last, next]. The interval join is an
-    equi-join on buckets as wide as the mean spacing of the frames, with the exact bounds as a
-    residual: an interval lies in about two buckets and a bucket holds about one interval.
+    equi-join on cells as wide as the power of two at or above an interval's own length, with the
+    exact bounds as a residual. A point looks once into each such level that its series has: once where
+    frames are regular, a few times where minutes, days and gaps of years mix. Points outside
+    the frames, of a series without frames or without a time are known before the join and look nowhere.
     ``missing`` = error | null | drop."""
-    span = frames.agg(F.greatest(F.lit(1), ((micros(F.max(time)) - micros(F.min(time))) / F.greatest(F.countDistinct(time) - 1, F.lit(1))).cast("long"))).scalar()
-    bucket = lambda c: F.floor(micros(F.col(c)) / span).cast("long")
     spans = frame_intervals(frames, by, time)
-    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket("t_last"), bucket("t_next"))))
-    t = F.col(time)
-    inside = (t >= F.col("t_last")) & (t < F.col("t_next"))
-    if direction < 0:
-        inside = (t > F.col("t_last")) & (t <= F.col("t_next"))
-    left = points.withColumn("_at", bucket(time))
-    on = F.col("_at") == F.col("_bucket")
+    t, by = F.col(time), list(by)
+    whole = [F.min("t_last").alias("_t_first"), F.max("t_next").alias("_t_end"),
+             F.collect_set(interval_level(F.col("t_last"), F.col("t_next"))).alias("_levels")]
+    if by:
+        # one row per series
+        left = skew_safe_join(points, spans.groupBy(*by).agg(*whole), by, "left").select(*points.columns, "_t_first", "_t_end", "_levels")
+    else:
+        left = points.withColumn("_series", spans.agg(F.struct(*whole)).scalar())
+        left = left.select(*points.columns, "_series.*")
+    inside = lambda first, end: (t >= first) & (t < end) if direction > 0 else (t > first) & (t <= end)
+    covered = F.coalesce(inside(F.col("_t_first"), F.col("_t_end")), F.lit(False))
+    left = left.withColumn("_levels", F.when(covered, F.col("_levels")).otherwise(F.array(F.lit(None).cast("int"))))
+    left = left.withColumn("_look", F.explode("_levels")).drop("_levels", "_t_first", "_t_end")
+    left = left.withColumn("_at", _cell(t, F.col("_look")))
+    cells = interval_cells(spans)
+    on = (F.col("_look") == F.col("_level")) & (F.col("_at") == F.col("_cell"))
     for b in by:
-        spans = spans.withColumnRenamed(b, f"_{b}")
+        cells = cells.withColumnRenamed(b, f"_{b}")
         on = on & (F.col(b) == F.col(f"_{b}"))
-    out = left.join(spans, on & inside, "inner" if missing == "drop" else "left")
-    out = out.drop("_at", "_bucket", *[f"_{b}" for b in by])
+    out = left.join(cells, on & inside(F.col("t_last"), F.col("t_next")), "inner" if missing == "drop" else "left")
+    if missing != "drop":
+        # the intervals tile the series: of a covered point's looks exactly one finds its bracket
+        out = out.where(F.col("t_last").isNotNull() | F.col("_look").isNull())
+    out = out.drop("_look", "_at", "_level", "_cell", *[f"_{b}" for b in by])
     if missing == "error":
         outside = F.raise_error(F.lit("time outside the frames")).cast("timestamp_ntz")
         out = out.withColumn("t_last", F.coalesce(F.col("t_last"), outside))

@@ -110,6 +110,36 @@ def test_frames_across_files(spark):
         time.asof_frames(frames(spark, 480), f).collect()
 
 
+def test_frames_of_very_different_spacing(spark):
+    """10⁵ frames a minute apart, one a century before: no cell holds more than a few intervals."""
+    dense = spark.range(100_000).select((F.col("id") * 60).alias("s"))
+    f = dense.unionByName(spark.createDataFrame([(-100 * 31_557_600,)], "s long")).select(F.timestamp_seconds(F.lit(946684800) + F.col("s")).cast("timestamp_ntz").alias("time"))
+    cells = time.interval_cells(time.frame_intervals(f)).groupBy("_level", "_cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 4
+    p = frames(spark, -50 * 31_557_600, -1, 0, 59, 60, 5_999_939, 5_999_940, -101 * 31_557_600)
+    got = {r["time"].isoformat(): r for r in time.asof_frames(p, f, missing="null").collect()}
+    assert len(got) == 8
+    assert sorted(t[:4] for t, r in got.items() if r["t_last"] is None) == ["1898", "2000"]
+    assert got["2000-03-10T10:39:00"]["t_last"] is None  # the last frame itself
+    assert got["2000-01-01T00:00:59"]["t_last"].second == 0 and got["1999-12-31T23:59:59"]["t_last"].year == 1899
+    back = {r["time"].isoformat(): r["t_next"] for r in time.asof_frames(p, f, -1, missing="null").collect()}
+    assert back["2000-01-01T00:00:00"].year == 2000 and back["2000-01-01T00:01:00"].minute == 1
+    assert time.asof_frames(p, f, missing="drop").count() == 6
+
+
+def test_frames_of_several_series(spark):
+    """Each series looks into its own levels; unknown series, null series and null times stay, repeated rows too."""
+    at = lambda s: F.timestamp_seconds(F.lit(946684800) + F.col(s)).cast("timestamp_ntz").alias("time")
+    f = spark.createDataFrame([("a", s) for s in (0, 1, 100, 100_000)] + [("b", 0), ("b", 60), (None, 0), (None, 5)], "k string, s long").select("k", at("s"))
+    rows = [(0, "a", 0), (1, "a", 50), (2, "a", 50_000), (3, "b", 59), (4, "b", 60), (5, "c", 0), (6, None, 0), (7, "a", None), (3, "b", 59), (8, "a", 100_000)]
+    p = spark.createDataFrame(rows, "id int, k string, s long").select("id", "k", at("s"))
+    got = sorted((r["id"], r["t_last"] and r["t_last"].second) for r in time.asof_frames(p, f, by=["k"], missing="null").collect())
+    assert got == [(0, 0), (1, 1), (2, 40), (3, 0), (3, 0), (4, None), (5, None), (6, None), (7, None), (8, None)]
+    assert time.asof_frames(p, f.where("false"), by=["k"], missing="null").count() == len(rows)
+    assert time.asof_frames(p, f.where("false"), missing="null").where("t_last is null").count() == len(rows)
+    assert time.asof_frames(p, f, by=["k"], missing="drop").count() == 5
+
+
 def test_frames_over_days(spark):
     """Neighbouring frames days apart meet over the bucket edge."""
     f = frames(spark, 0, 10 * 86400, 10 * 86400 + 5, 25 * 86400)
