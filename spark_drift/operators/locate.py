@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -423,34 +422,65 @@ def reflect_across_side(crossed: DataFrame, cs: str = "cartesian") -> DataFrame:
     return geo.unstage(out, "rp", "rb", "rq").drop("_qp", "_bp", "_bq", "_qq", "_m")
 
 
+def wet_distances(mesh: Mesh, wet: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
+    """Elements by their number of steps to the nearest wet element, one table (element_id) per number.
+
+    The first holds the wet elements, the k-th what reaches one through k − 1 dry neighbours. All wet elements
+    spread at once, so each dry element is labelled a single time whatever the number of sources, and since
+    neighbours differ by one step at most, a new ring is checked against the last two alone. Each ring is a
+    checkpointed table. ``sources`` (element_id): stop when all that can be reached are labelled.
+    Elements missing in ``wet`` (element_id, wet) are walls."""
+    links = _links(mesh)
+    status = wet.select("element_id", "wet")
+    rings = [status.where("wet = 1").select("element_id").distinct()]
+    dry = status.where(~F.col("wet").eqNullSafe(1)).select("element_id").distinct()
+    left = None if sources is None else sources.select("element_id").distinct().join(dry, "element_id", "left_semi").count()
+    while left is None or left > 0:
+        ring = rings[-1].withColumnRenamed("element_id", "_from").join(links, "_from").select("element_id").distinct().join(dry, "element_id", "left_semi")
+        for known in rings[1:][-2:]:
+            ring = ring.join(known, "element_id", "left_anti")
+        ring = cut_lineage(ring)
+        if ring.isEmpty():
+            break
+        rings.append(ring)
+        if sources is not None:
+            left -= sources.select("element_id").distinct().join(ring, "element_id", "left_semi").count()
+    return rings
+
+
+def _links(mesh: Mesh) -> DataFrame:
+    return mesh.elements.select(F.col("element_id").alias("_from"), F.explode("nbe").alias("element_id")).where("element_id >= 0").distinct()
+
+
+def first_wet_ring(mesh: Mesh, wet: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, near): the wet elements at the fewest steps from each dry source (element_id).
+
+    Every shortest way runs along falling distances, so a source walks down through the rings and keeps
+    only the elements of its present ring: no list of visited elements."""
+    rings = wet_distances(mesh, wet, sources)
+    links = _links(mesh)
+    own = sources.select("element_id").distinct()
+    at = own.where("false").select(F.col("element_id").alias("source"), "element_id")
+    for k in range(len(rings) - 1, 0, -1):
+        at = at.unionByName(own.join(rings[k], "element_id", "left_semi").select(F.col("element_id").alias("source"), "element_id"))
+        down = at.withColumnRenamed("element_id", "_from").join(links, "_from").select("source", "element_id").distinct()
+        at = down.join(rings[k - 1], "element_id", "left_semi")
+        if k % 4 == 1:
+            at = cut_lineage(at)
+    return at.select("source", F.col("element_id").alias("near"))
+
+
 def nearest_wet_element(points: DataFrame, mesh: Mesh, wet: DataFrame, host: str = "host", x: str = "x",
                         y: str = "y") -> DataFrame:
     """Nearest wet element of the first ring of neighbours that holds one (lowest id on ties).
 
-    ``wet``: (element_id, wet 0/1). Rings spread over distinct (dry host) sources, not over
-    points, and the loop ends when the frontier is empty. Every point stays: on a wet host, off the
+    ``wet``: (element_id, wet 0/1). Distances spread from all wet elements at once and hosts walk down along
+    them (``first_wet_ring``). Every point stays: on a wet host, off the
     mesh, or with no wet element in its part of the mesh its wet_host is null."""
     xc, yc = centre_columns(mesh.geographic)
     centres = element_corners(mesh).select("element_id", xc.alias("_xc"), yc.alias("_yc"))
-    links = mesh.elements.select(F.col("element_id").alias("_from"), F.explode("nbe").alias("element_id")).where("element_id >= 0").distinct()
-    status = wet.select("element_id", "wet")
-    source = points.select(F.col(host).alias("source")).distinct()
-    dry = source.join(status, F.col("source") == F.col("element_id")).where("wet = 0").select("source")
-    seen = cut_lineage(dry.select("source", F.col("source").alias("element_id")))
-    ring, hits = seen, None
-    for step in itertools.count():
-        ring = ring.select("source", F.col("element_id").alias("_from")).join(links, "_from").select("source", "element_id").distinct()
-        ring = ring.join(seen, ["source", "element_id"], "left_anti").join(status, "element_id")
-        ring = cut_lineage(ring)
-        found = ring.where("wet = 1").select("source", F.col("element_id").alias("near"))
-        hits = found if hits is None else hits.unionByName(found)
-        open_ = ring.join(found.select("source").distinct(), "source", "left_anti").select("source", "element_id")
-        if open_.isEmpty():
-            break
-        seen = seen.unionByName(open_)
-        if step % 4 == 3:
-            seen = cut_lineage(seen)
-        ring = open_
+    hosts = points.select(F.col(host).alias("element_id")).distinct()
+    hits = first_wet_ring(mesh, wet, cut_lineage(hosts.join(wet.where("wet = 0").select("element_id").distinct(), "element_id", "left_semi")))
     # each distinct place of a dry host is measured once
     spots = points.select(host, x, y).distinct()
     cand = spots.join(hits, F.col(host) == F.col("source")).join(centres, F.col("near") == F.col("element_id"))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,46 @@ def test_rings_reach_the_nearest_wet_element(spark):
     assert got[1] in (40, 41, 47, 48, 49)
 
 
+def _rings_by_hand(m, wet, source):
+    """Elements of the first ring with a wet one, by a plain search from one source."""
+    near = {r["element_id"]: [n for n in r["nbe"] if n >= 0] for r in m.elements.select("element_id", "nbe").collect()}
+    seen, ring = {source}, {source}
+    while ring:
+        ring = {n for e in ring for n in near[e] if n in wet and n not in seen}
+        hit = {e for e in ring if wet[e] == 1}
+        if hit:
+            return hit
+        seen |= ring
+    return set()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_falling_distances_find_the_first_ring(spark, seed):
+    """Few wet elements, some of unknown state, walls of unlisted elements: as a search from every source."""
+    m = lattice(spark, range(9), range(8))
+    rng = np.random.default_rng(seed)
+    ids = sorted(r["element_id"] for r in m.elements.select("element_id").collect())
+    state = {e: (1 if rng.random() < 0.04 else None if rng.random() < 0.1 else 0) for e in ids if rng.random() > 0.15}
+    wet = spark.createDataFrame(list(state.items()), "element_id long, wet int")
+    dry = [e for e, w in state.items() if w == 0]
+    got = {}
+    for r in locate.first_wet_ring(m, wet, spark.createDataFrame([(e,) for e in dry * 2], "element_id long")).collect():
+        assert r["near"] not in got.setdefault(r["source"], set())
+        got[r["source"]].add(r["near"])
+    assert got == {e: hit for e in dry if (hit := _rings_by_hand(m, state, e))}
+
+
+def test_distances_label_each_dry_element_once(spark):
+    m = lattice(spark, range(7), range(7))
+    wet = m.elements.select("element_id", (F.col("element_id") < 3).cast("int").alias("wet"))
+    rings = [[r["element_id"] for r in ring.collect()] for ring in locate.wet_distances(m, wet)]
+    flat = [e for ring in rings for e in ring]
+    assert len(flat) == len(set(flat)) == m.elements.count() and all(rings)
+    # only as far as the sources ask
+    some = spark.createDataFrame([(rings[2][0],)], "element_id long")
+    assert len(locate.wet_distances(m, wet, some)) == 3
+
+
 def test_boundary_weights_on_the_sphere(spark):
     from spark_drift.operators.sample import adjust_boundary_phi, interp_2d
 
