@@ -78,6 +78,23 @@ def test_url_rules(spark):
         (i is None, i or 0, *(x or "" for x in judge(u, RULES))) for i, u in [*enumerate(urls), (0, None), (None, urls[4])])
 
 
+def test_url_rules_met_by_short_digests_alone(spark, monkeypatch):
+    """The join has one key and builds the rules' side; shuffled sides and colliding digests give the same rows."""
+    urls = ["http://net/a", "http://u.example.net/en/b", "http://u.example.net/fr/", "http://example.com/de/x", "http://org/fr/", None] * 3
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.rules_table(spark, [*RULES, ("allow", *RULES[0][1:]), ("allow", "com", ""), ("odd", "org", "/fr/")])
+    judged = lambda: url_filter.filter_urls(rows, rules, keep=["page_id"])
+    plan = judged()._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "HashJoin [short" in line]
+    assert met and all(re.search(r"BroadcastHashJoin \[short#\d+\], \[short#\d+\], Inner, BuildRight", line) for line in met)
+    assert "SortAggregate" not in plan
+    first = sorted(map(str, judged().collect()))
+    monkeypatch.setattr(url_filter, "SHORT", 1)
+    assert sorted(map(str, judged().collect())) == first
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, judged().collect())) == first
+
+
 def test_url_empty_tables(spark):
     rows = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     none = url_filter.rules_table(spark, RULES).limit(0)
