@@ -11,6 +11,7 @@ graph goes on from new blocks."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from spark_drift.llm.common import stored
 from spark_drift.llm.components import components
 from spark_drift.llm.vectors import by_group, dimension_of, map_vectors, packed, usable
+from spark_drift.util import skew_safe_join
 
 THRESHOLD = 0.93
 #: Neighbours of a list, sets of starting blocks, rows wanted in a block, most members compared at once.
@@ -62,9 +64,12 @@ def _compare(block: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndar
     return ids[v], ids[u], s[v, u]
 
 
-def _stream(rows: DataFrame, keys: list[str], width: int, k: int) -> DataFrame:
-    """Compare the members of each group (columns label, v, own, q, floor), at most MEMBERS at a time."""
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "v")
+def _stream(rows: DataFrame, keys: list[str], width: int, k: int, mix: int) -> DataFrame:
+    """Compare the members of each group (columns label, v, own, q, floor), at most MEMBERS at a time.
+
+    A larger group is cut in the order of a hash that ``mix`` changes, so members that one round keeps apart
+    meet in another."""
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("v", F.lit(mix)), "v")
     at = {c: i for i, c in enumerate(rows.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +110,14 @@ def _stream(rows: DataFrame, keys: list[str], width: int, k: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, LISTS)
 
 
+def _sized(items: DataFrame) -> DataFrame:
+    """Items with the number of items of their label, ``n_label``."""
+    return skew_safe_join(items, items.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")), ["label"])
+
+
 def _start(items: DataFrame, width: int, n: int, turn: int, k: int) -> DataFrame:
-    """Neighbours within blocks: rows of a label on the same side of random hyperplanes. A block that
+    """Neighbours within blocks: rows of a label on the same side of random hyperplanes, of as many as the
+    label's own number of rows asks for (``n``: that of the largest label). A block that
     comes out large is cut by hashes, so that no task gets an unbounded group."""
     bits = max(0, int(np.ceil(np.log2(max(1.0, n / BLOCK)))))
     planes = np.random.default_rng(SEED + turn).standard_normal((TREES * bits, width)) if bits else np.zeros((0, width))
@@ -115,17 +126,20 @@ def _start(items: DataFrame, width: int, n: int, turn: int, k: int) -> DataFrame
         x = packed(b, "q", np.int8, width).astype(np.float32)
         side = (x @ planes.T > 0).reshape(len(x), TREES, bits)
         code = side.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(x), TREES), np.int64)
+        needed = np.ceil(np.log2(np.maximum(1.0, b.column(4).to_numpy() / BLOCK))).astype(np.int64)
+        code &= ((1 << needed) - 1)[:, None]
         return {"label": b.column(0), "v": b.column(1), "own": b.column(2), "q": b.column(3), "codes": pa.array(list(code))}
 
-    coded = map_vectors(items.select("label", "v", "own", "q"), keys, "label int, v long, own long, q binary, codes array<long>")
+    coded = map_vectors(_sized(items.select("label", "v", "own", "q")).select("label", "v", "own", "q", "n_label"), keys,
+                        "label int, v long, own long, q binary, codes array<long>")
     rows = coded.select("label", "v", "own", "q", F.posexplode("codes").alias("tree", "code"))
     sizes = rows.groupBy("label", "tree", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
     rows = rows.join(sizes, ["label", "tree", "code"], "left")
     rows = rows.withColumn("cut", F.pmod(F.xxhash64("v", "tree", F.lit(turn)), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)))
-    return _stream(rows.select("label", "tree", "code", "cut", "v", "own", "q", F.lit(-(1 << 30)).alias("floor")), ["label", "tree", "code", "cut"], width, k)
+    return _stream(rows.select("label", "tree", "code", "cut", "v", "own", "q", F.lit(-(1 << 30)).alias("floor")), ["label", "tree", "code", "cut"], width, k, turn)
 
 
-def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, beside: DataFrame | None = None) -> DataFrame:
+def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, mix: int, beside: DataFrame | None = None) -> DataFrame:
     """One round: for each vector, all that list it and all in its list are compared with each other.
     The lists ``beside`` bring members together too."""
     entries = _entries(lists) if beside is None else _entries(lists).union(_entries(beside))
@@ -134,7 +148,7 @@ def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, beside: Data
     floors = lists.select("v", F.when(F.size("near") < k, F.lit(-(1 << 30))).otherwise(F.element_at("near", -1)["s"]).alias("floor"))
     members = items.select("v", "own", "q").join(floors, "v", "left")
     members = members.withColumn("floor", F.coalesce("floor", F.lit(-(1 << 30))))
-    return _stream(both.join(members, "v").select("label", "host", "v", "own", "q", "floor"), ["label", "host"], width, k)
+    return _stream(both.join(members, "v").select("label", "host", "v", "own", "q", "floor"), ["label", "host"], width, k, mix)
 
 
 def _cosines(pairs: DataFrame, vectors: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -209,6 +223,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", embedding: str = "embe
     items = items.withColumn("own", F.col("v"))
     n = _most(items)
     audited = _audited(items, width, threshold)
+    if not audited and items.count() > DRAWN:
+        warnings.warn(f"none of {DRAWN} vectors drawn has a link: the recall of rarer links is not measured", stacklevel=2)
     lists, known, recall = None, None, 0.0
     for turn in range(PASSES):
         lists, near = _graph(items, lists, width, n, turn, threshold)
@@ -247,8 +263,8 @@ def _graph(items: DataFrame, lists: DataFrame | None, width: int, n: int, turn:
     lists = stored(_top(pairs if lists is None else pairs.union(_entries(lists)), k), "lists")
     near = _near(lists, threshold)
     entries = lists.agg(F.sum(F.size("near"))).first()[0] or 0
-    for _ in range(ROUNDS):
-        new = stored(_top(_refine(items, lists, width, k, beside).union(_entries(lists)), k), "lists")
+    for step in range(ROUNDS):
+        new = stored(_top(_refine(items, lists, width, k, ROUNDS * turn + step, beside).union(_entries(lists)), k), "lists")
         near = near.union(_near(new, threshold))
         old = lists.select("v", F.col("near").alias("old"))
         changed = new.join(old, "v", "left").agg(F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<struct<s:int,u:bigint>>")))))).first()[0] or 0
@@ -292,16 +308,20 @@ def _links(items: DataFrame, lists: DataFrame, near: DataFrame, known: DataFrame
     return stored(found, "found"), links
 
 
-def _audited(items: DataFrame, width: int, threshold: float) -> dict[int, tuple[int, int]]:
-    """Of vectors drawn by hashes, those with links: their links to others and to copies of themselves.
+def _audited(items: DataFrame, width: int, threshold: float) -> dict[int, tuple[int, int, int]]:
+    """Of vectors drawn by hashes, those with links: their links to others and to copies of themselves,
+    and their label.
 
-    Each draw is compared with all rows. Draws go on until AUDITED vectors with links are there, all
+    The hash is stretched by the root of the label's size, so a label is drawn from by the root of its size
+    and small ones are seen beside a large one. Each draw is compared with all rows. Draws go on until AUDITED vectors with links are there, all
     are drawn, or DRAWN are."""
     spark = items.sparkSession
-    order = F.xxhash64("v")
+    # a number from 0 to 1 by the vector, times the root; a vector alone in its label has no links
+    order = F.shiftrightunsigned(F.xxhash64("v"), 11).cast("double") / F.lit(float(1 << 53)) * F.sqrt("n_label")
+    sized = _sized(items.select("label", "v", "e", "m")).where("n_label > 1")
     drawn, size, after, out = 0, AUDITED, None, {}
     while len(out) < AUDITED and drawn < DRAWN:
-        rest = items if after is None else items.where((order > after[0]) | ((order == after[0]) & (F.col("v") > after[1])))
+        rest = sized if after is None else sized.where((order > after[0]) | ((order == after[0]) & (F.col("v") > after[1])))
         sample = rest.select("label", "v", "e", "m", order.alias("h")).orderBy("h", "v").limit(size).toPandas()
         if not len(sample):
             break
@@ -325,17 +345,21 @@ def _audited(items: DataFrame, width: int, threshold: float) -> dict[int, tuple[
 
         true = {r.i: r.n for r in items.select("label", "e", "m").mapInArrow(compare, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
         shared.unpersist()
-        out |= {int(v): (true[i] - int(m), int(m) - 1) for i, (v, m) in enumerate(zip(sample["v"], sample["m"])) if true[i] > m}
+        out |= {int(v): (true[i] - int(m), int(m) - 1, int(of)) for i, (v, m, of) in enumerate(zip(sample["v"], sample["m"], sample["label"])) if true[i] > m}
         drawn += len(sample)
-        after = int(sample["h"].iloc[-1]), int(sample["v"].iloc[-1])
+        after = float(sample["h"].iloc[-1]), int(sample["v"].iloc[-1])
         size = min(4 * size, AT_ONCE)
     return out
 
 
-def _recall(found: DataFrame, audited: dict[int, tuple[int, int]]) -> float:
-    """Mean over the audited vectors of the share of their links to others that is found."""
+def _recall(found: DataFrame, audited: dict[int, tuple[int, int, int]]) -> float:
+    """Share of their links to others that is found, as the mean of the audited vectors of each label and
+    then of the labels."""
     if not audited:
         return 1.0
     asked = found.sparkSession.createDataFrame([(v,) for v in audited], "v long")
     have = {r.v: r.links for r in found.join(F.broadcast(asked), "v").select("v", "links").collect()}
-    return sum(min(1.0, (have[v] - copies) / others) for v, (others, copies) in audited.items()) / len(audited)
+    shares: dict[int, list[float]] = {}
+    for v, (others, copies, label) in audited.items():
+        shares.setdefault(label, []).append(min(1.0, (have[v] - copies) / others))
+    return float(np.mean([np.mean(of) for of in shares.values()]))

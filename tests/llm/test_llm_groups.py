@@ -336,10 +336,10 @@ def test_tight_groups_with_links_across(spark, groups):
     assert {r.component_id for r in got.values()} == {1}
 
 
-def isolated_pairs(n, d=16):
+def isolated_pairs(n, d=16, pairs=20):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(n, d))
-    for i in range(0, 40, 2):  # 20 pairs at a cosine of 0.935
+    for i in range(0, 2 * pairs, 2):  # at a cosine of 0.935
         a = x[i] / np.linalg.norm(x[i])
         b = x[i + 1] - (x[i + 1] @ a) * a
         x[i + 1] = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b)
@@ -364,6 +364,20 @@ def test_audit_that_fails_is_an_error(spark, monkeypatch):
         near_vectors.near_duplicates(spark.createDataFrame(isolated_pairs(700), VECTORS))
 
 
+def test_small_label_beside_a_large_one(spark):
+    """Blocks are sized by each label, and the audit sees both: pairs of the small one are not scattered."""
+    large = np.random.default_rng(4).normal(size=(6000, 64))
+    rows = [(i, x, 1) for i, x, _ in isolated_pairs(300, 64, 150)] + [(300 + i, x.tolist(), 2) for i, x in enumerate(large)]
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    linked = ((x @ x.T >= near_vectors.THRESHOLD) & (label[:, None] == label[None])).sum(1) - 1
+    assert sum(linked[label == 1]) == 300
+    assert sum(got[r[0]] for r, n in zip(rows, linked) if r[2] == 1) >= 0.98 * sum(linked[label == 1])
+    assert all(got[r[0]] <= n for r, n in zip(rows, linked))
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(nearest, "CELL", 64)
     monkeypatch.setattr(nearest, "LEAF", 8)
