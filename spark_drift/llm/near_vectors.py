@@ -3,11 +3,13 @@
 A graph of each vector's best known neighbours starts from small blocks of random hyperplanes and is
 refined by joins of neighbours with neighbours of neighbours, in 8-bit precision. Edges near the
 threshold are then verified on the original vectors; once verified, a link stays, whatever becomes of
-the lists. A vector whose whole list lies above the threshold may have more neighbours than the list
-holds: its component gets further lists, of neighbours outside the component alone, until no
-component joins another; then it is compared in full, in blocks, and only the numbers of links are
-kept. An audit compares vectors that have links with all rows; while too many links are missing, the
-graph goes on from new blocks."""
+the lists. A vector whose whole list lies above the threshold is saturated: it may have more neighbours
+than the list holds. Components of saturated vectors get further lists, of neighbours outside the
+component alone, until none joins another; then the lists of saturated vectors, and of these alone,
+are doubled and refined until their last entry lies under the threshold. Where a list of LONGEST is
+still saturated, the exact way for the rest is to compare its component in blocks, of which only the
+numbers of links are kept. An audit compares vectors that have links with all rows; while too many
+links are missing, the graph goes on from new blocks."""
 
 from __future__ import annotations
 
@@ -27,6 +29,8 @@ from spark_drift.util import skew_safe_join
 THRESHOLD = 0.93
 #: Neighbours of a list, sets of starting blocks, rows wanted in a block, most members compared at once.
 NEIGHBOURS, TREES, BLOCK, MEMBERS = 10, 4, 64, 256
+#: Lists of saturated vectors are doubled up to this many neighbours.
+LONGEST = 40
 #: Rounds end when fewer than SETTLED of all list entries change, or after ROUNDS.
 SETTLED, ROUNDS = 0.02, 6
 #: Rows of a side when a component is compared in full.
@@ -139,12 +143,17 @@ def _start(items: DataFrame, width: int, n: int, turn: int, k: int) -> DataFrame
     return _stream(rows.select("label", "tree", "code", "cut", "v", "own", "q", F.lit(-(1 << 30)).alias("floor")), ["label", "tree", "code", "cut"], width, k, turn)
 
 
-def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, mix: int, beside: DataFrame | None = None) -> DataFrame:
-    """One round: for each vector, all that list it and all in its list are compared with each other.
-    The lists ``beside`` bring members together too."""
+def _met(lists: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """label, host and v: all in the lists of a host and all that list it. The lists ``beside`` bring
+    members together too."""
     entries = _entries(lists) if beside is None else _entries(lists).union(_entries(beside))
     edges = entries.select("label", F.col("v").alias("host"), F.col("u").alias("v"))
-    both = edges.union(edges.select("label", F.col("v").alias("host"), F.col("host").alias("v"))).distinct()
+    return edges.union(edges.select("label", F.col("v").alias("host"), F.col("host").alias("v"))).distinct()
+
+
+def _refine(items: DataFrame, lists: DataFrame, width: int, k: int, mix: int, beside: DataFrame | None = None) -> DataFrame:
+    """One round: for each vector, all that list it and all in its list are compared with each other."""
+    both = _met(lists, beside)
     floors = lists.select("v", F.when(F.size("near") < k, F.lit(-(1 << 30))).otherwise(F.element_at("near", -1)["s"]).alias("floor"))
     members = items.select("v", "own", "q").join(floors, "v", "left")
     members = members.withColumn("floor", F.coalesce("floor", F.lit(-(1 << 30))))
@@ -249,10 +258,54 @@ def _most(items: DataFrame) -> int:
     return items.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
 
+def _least(threshold: float) -> int:
+    """The least product of 8-bit components that can be a link."""
+    return int((threshold - SLACK) * SCALE * SCALE)
+
+
 def _near(lists: DataFrame, threshold: float) -> DataFrame:
-    """a > b of the entries that can be links."""
-    near = _entries(lists).where(F.col("s") >= int((threshold - SLACK) * SCALE * SCALE))
-    return near.select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()
+    """label, a > b and s of the entries that can be links."""
+    near = _entries(lists).where(F.col("s") >= _least(threshold))
+    return near.select("label", F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b"), "s").distinct()
+
+
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """v of the lists of ``k`` entries whose last one can still be a link."""
+    return lists.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= _least(threshold))).select("v")
+
+
+def _grown(items: DataFrame, lists: DataFrame, across: DataFrame, full: DataFrame, width: int, threshold: float, mix: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that can be links out of the lists of the saturated vectors ``full``, doubled until they are not,
+    or hold LONGEST; and the v that are saturated still.
+
+    They start from the ``lists`` and the pairs found ``across`` components. Only hosts that bring a saturated vector
+    together with others are looked at, and only saturated vectors collect, of those that can be links."""
+    k, open_ = NEIGHBOURS, full
+    entries = _entries(lists).where(F.col("s") >= _least(threshold)).union(
+        across.select("label", F.col("a").alias("v"), F.col("b").alias("u"), "s")).union(
+        across.select("label", F.col("b").alias("v"), F.col("a").alias("u"), "s"))
+    wide = stored(_top(entries, NEIGHBOURS + LONGEST), "wide")
+    near = _near(wide, threshold)
+    turn = 0
+    while k < LONGEST and open_.take(1):
+        k = min(2 * k, LONGEST)
+        for _ in range(max(1, ROUNDS)):
+            both = _met(wide)
+            hosts = both.join(open_, "v", "left_semi").select("host").distinct()
+            floors = open_.select("v", F.lit(_least(threshold) - 1).alias("floor"))
+            members = items.select("v", "own", "q").join(floors, "v", "left").withColumn("floor", F.coalesce("floor", F.lit(1 << 30)))
+            rows = both.join(hosts, "host", "left_semi").join(members, "v").select("label", "host", "v", "own", "q", "floor")
+            new = stored(_top(_stream(rows, ["label", "host"], width, k, mix + turn).union(_entries(wide).join(open_, "v", "left_semi").select("label", "v", "u", "s")), k), "grown")
+            before = wide.join(open_, "v", "left_semi").select(F.slice("near", 1, k).alias("near"))
+            size = [d.agg(F.sum(F.size("near")).alias("n"), F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda a, e: a + e["s"])).alias("s")).first() for d in (before, new)]
+            wide = stored(wide.join(open_, "v", "left_anti").select("label", "v", "near").union(new.select("label", "v", "near")), "wide")
+            near = near.union(_near(new, threshold))
+            turn += 1
+            # entries only come or give way to nearer ones
+            if size[1].n - size[0].n <= SETTLED * size[0].n and size[1].s - size[0].s <= SETTLED * size[0].s:
+                break
+        open_ = stored(_saturated(new, k, threshold), "open")
+    return near.distinct(), open_
 
 
 def _graph(items: DataFrame, lists: DataFrame | None, width: int, n: int, turn: int, threshold: float, beside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -274,32 +327,40 @@ def _graph(items: DataFrame, lists: DataFrame | None, width: int, n: int, turn:
     return lists, near.distinct()
 
 
+def _members(items: DataFrame, comp: DataFrame, of: DataFrame) -> DataFrame:
+    """The items of the components that hold one of the vectors ``of``, with their component."""
+    wide = of.join(comp.withColumnRenamed("node", "v"), "v").select("component").distinct()
+    return comp.join(wide, "component", "left_semi").withColumnRenamed("node", "v").join(items.drop("own"), "v")
+
+
 def _links(items: DataFrame, lists: DataFrame, near: DataFrame, known: DataFrame | None, width: int, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
     """v, label, e, links and component of all items; and the verified links, with those ``known`` before."""
     links = _cosines(near, items, width, threshold)
     links = stored(links if known is None else links.union(known).distinct(), "links")
-    # full: every entry of the list lies near or above the threshold
-    full = stored(lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["s"] >= int((threshold - SLACK) * SCALE * SCALE))).select("v"), "full")
-    step = 0
+    full = stored(_saturated(lists, NEIGHBOURS, threshold), "full")
+    step, pairs = 0, near.limit(0)
     while True:
         comp = stored(components(links), "components")
-        wide = full.join(comp.withColumnRenamed("node", "v"), "v").select("component").distinct()
-        inside = comp.join(wide, "component", "left_semi").withColumnRenamed("node", "v").join(items.drop("own"), "v")
-        # a link that no list holds lies between two full lists: look for it between components, where the
-        # comparison in full does not, until none is found
+        inside = _members(items, comp, full)
+        # a link that no list holds lies between two saturated ones: look for it between components, where no list
+        # grows to, until none is found
         shared = inside.groupBy("label").agg(F.count_distinct("component").alias("n")).where(F.col("n") > 1)
         apart = stored(inside.join(shared, "label", "left_semi").withColumn("own", F.col("component")), "apart")
         n = _most(apart)
         if not n:
             break
         # planes of its own for each search
-        _, across = _graph(apart, None, width, n, PASSES + turn + PASSES * step, threshold, beside=lists)
-        more = stored(_cosines(across, items, width, threshold), "across")
+        across = stored(_graph(apart, None, width, n, PASSES + turn + PASSES * step, threshold, beside=lists)[1], "across")
+        more = stored(_cosines(across, items, width, threshold), "more")
         if not more.take(1):
             break
         links = stored(links.union(more).distinct(), "links")
+        pairs = stored(pairs.union(across.join(more, ["a", "b"], "left_semi").select("label", "a", "b", "s")).distinct(), "pairs")
         step += 1
-    counted = _in_full(inside, width, threshold)
+    grown, open_ = _grown(items, lists, pairs, full, width, threshold, PASSES * ROUNDS + LONGEST * turn)
+    links = stored(links.union(_cosines(grown.join(links, ["a", "b"], "left_anti"), items, width, threshold)), "links")
+    comp = stored(components(links), "components")
+    counted = _in_full(_members(items, comp, open_), width, threshold)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = both.join(items.select(F.col("v").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("listed")).withColumnRenamed("a", "v")
     of = items.join(comp.withColumnRenamed("node", "v"), "v", "left").join(listed, "v", "left").join(counted, "v", "left")

@@ -312,9 +312,23 @@ def test_near_vectors_cases(spark):
 
 def test_wide_component_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "SIDE", 40)
+    monkeypatch.setattr(near_vectors, "LONGEST", near_vectors.NEIGHBOURS)
     test_near_vectors(spark)
 
 
+def test_lists_grow_until_they_hold_all_links(spark, monkeypatch):
+    """A group of 30 different vectors, all linked, saturates lists of 10 and 20; lists of 40 hold them all."""
+    rnd = np.random.default_rng(12)
+    centre = rnd.normal(size=32)
+    x = np.vstack([centre + 0.1 * rnd.normal(size=(30, 32)), rnd.normal(size=(40, 32))])
+    compared = []
+    in_full = near_vectors._in_full
+    monkeypatch.setattr(near_vectors, "_in_full", lambda members, *a: compared.append(members.count()) or in_full(members, *a))
+    got = near_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: 29 if i < 30 else 0 for i in range(70)}
+    assert compared == [0]  # nothing was left to compare in full
+
+
 @pytest.mark.parametrize("groups", [2, 3])
 def test_tight_groups_with_links_across(spark, groups):
     """Groups that fill their own lists: the links across are in no list of 10."""
