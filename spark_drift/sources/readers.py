@@ -246,18 +246,23 @@ def read_open_boundary_nodes(spark: SparkSession, path: str, delimiter: str = r"
 
 
 def describe_variables(fields: DataFrame) -> DataFrame:
-    """(variable, n, n_times, n_levels, n_nodes, dtype, units, long_name).
-
-    One scan: counts per cell are folded into counts per (variable, item) before the items are counted."""
-    # one scan: counts by (variable, item), then the items of each kind are counted
-    cells = fields.groupBy("variable", "time", "level", "node_id").agg(F.count(F.lit(1)).alias("_n"))
-    items = cells.select("variable", "_n", F.explode(F.array(
-        F.struct(F.lit("n_times").alias("kind"), F.col("time").cast("string").alias("item")),
-        F.struct(F.lit("n_levels").alias("kind"), F.col("level").cast("string").alias("item")),
-        F.struct(F.lit("n_nodes").alias("kind"), F.col("node_id").cast("string").alias("item")))).alias("i"))
-    counted = items.groupBy("variable", "i.kind", "i.item").agg(F.sum("_n").alias("_n"))
-    kind = lambda name: F.col("kind") == name
-    sizes = counted.groupBy("variable").agg(F.sum(F.when(kind("n_times"), F.col("_n"))).alias("n"), *[F.count_if(kind(k)).alias(k) for k in ("n_times", "n_levels", "n_nodes")])
+    """(variable, n, n_times, n_levels, n_nodes, dtype, units, long_name); nulls are no item.
+
+    One scan: the nodes and levels of a time are bits of words of 64, so that a task folds the cells of a block into
+    one small row before anything is shuffled, and distinct items are counted as bits of merged words."""
+    word = lambda c: F.shiftright(F.col(c).cast("long"), 6)
+    bits = lambda c: F.bit_or(F.when(F.col(c).isNotNull(), F.expr(f"shiftleft(1L, cast({c} & 63 AS INT))")))
+    blocks = fields.groupBy("variable", "time", word("level").alias("_l"), word("node_id").alias("_i")).agg(
+        F.count(F.lit(1)).alias("_n"), bits("level").alias("_levels"), bits("node_id").alias("_nodes"))
+    item = lambda kind, at, held, n: F.struct(F.lit(kind).alias("kind"), F.col(at).cast("string").alias("at"), held.cast("long").alias("bits"), n.cast("long").alias("n"))
+    # n is carried by one of the three kinds
+    items = blocks.select("variable", F.explode(F.array(
+        item("n_times", "time", F.when(F.col("time").isNotNull(), 1), F.col("_n")),
+        item("n_levels", "_l", F.col("_levels"), F.lit(0)),
+        item("n_nodes", "_i", F.col("_nodes"), F.lit(0)))).alias("i")).select("variable", "i.*")
+    words = items.groupBy("variable", "kind", "at").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+    counted = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.bit_count("bits").cast("long"))), F.lit(0)).alias(k)
+    sizes = words.groupBy("variable").agg(F.sum("n").alias("n"), *[counted(k) for k in ("n_times", "n_levels", "n_nodes")])
     pairs = [F.struct(F.lit(k).alias("k"), F.struct(F.lit(v.units).alias("units"), F.lit(v.long_name).alias("long_name")).alias("v"))
              for k, v in VARIABLES.items()]
     about = F.map_from_entries(F.array(*pairs))

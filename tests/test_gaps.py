@@ -190,3 +190,18 @@ def test_rank_limits_reach_the_window(spark):
     field = spark.range(100).select((F.col("id") % 3).alias("time"), F.col("id").alias("node_id"), F.rand(1).alias("value"))
     top = field.withColumn("_rank", F.row_number().over(Window.partitionBy("time").orderBy(F.desc("value"), "node_id"))).where(F.col("_rank") <= 5)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variables_are_described_by_words_of_bits(spark):
+    """Counts of distinct items across words of 64, negative numbers and nulls; cells are not shuffled."""
+    rows = [("a", t, lev, node, 1.0) for t in (1, 2, 3) for lev in (-70, -1, 0, 63, 64) for node in (*range(0, 200, 3), 10**12, 10**12 + 63)]
+    rows += rows[:50] + [("a", None, 5, 1, 1.0), ("a", 1, None, None, 1.0), ("b", None, None, None, 1.0)]
+    fields = spark.createDataFrame(rows, "variable string, time long, level long, node_id long, value double")
+    out = readers.describe_variables(fields)
+    of = lambda v, i: len({r[i] for r in rows if r[0] == v and r[i] is not None})
+    got = {r.variable: (r.n, r.n_times, r.n_levels, r.n_nodes) for r in out.collect()}
+    assert got == {v: (sum(r[0] == v for r in rows), of(v, 1), of(v, 2), of(v, 3)) for v in ("a", "b")}
+    dense = spark.range(100_000, numPartitions=1).selectExpr("'a' AS variable", "1 AS time", "0 AS level", "id AS node_id", "1.0 AS value")
+    described = readers.describe_variables(dense)
+    assert described.first().n_nodes == 100_000
+    assert "SortAggregate" not in described._jdf.queryExecution().executedPlan().toString()
