@@ -13,7 +13,7 @@ from spark_drift.operators.locate import locate_points
 from spark_drift.operators.sample import adjust_boundary_phi, between_levels, on_levels_of, values_on_layers
 from spark_drift.operators.time import asof_frames, elapsed_dates, fields_around
 from spark_drift.schema import Mesh
-from spark_drift.util import cut_lineage, one_row, skew_safe_join, ts_literal
+from spark_drift.util import cut_lineage, one_row, shuffled, skew_safe_join, ts_literal
 
 BLOCK = 16  # evaluation points summed per row
 
@@ -42,7 +42,7 @@ def sample_along_paths(fixes: DataFrame, fields: DataFrame, mesh: Mesh, frames:
         placed = on_levels_of(framed, near, mesh.nodes, level_depths, variables, surface=flat)
         new = {v: between_levels(F.col(f"{v}_a"), F.col(f"{v}_b")) for v in variables}
     samples = placed.select(key, "host", (-F.col("zmin")).alias("h"), F.col("zmax").alias("zeta"), *[c.alias(name) for name, c in new.items()], *flat)
-    return fixes.join(samples, key, "left")
+    return fixes.join(shuffled(samples), key, "left")
 
 
 def select_group(fixes: DataFrame, group_ids: Sequence[int] | DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -224,8 +224,9 @@ def depth_integral(field: DataFrame, interfaces: DataFrame, surface: DataFrame,
     node_id, zeta), ``nodes`` (node_id, h). One aggregate over the layers, then one join."""
     below = interfaces.select((F.col("level") - 1).cast("int").alias("level"), F.col("sigma").alias("_s"))
     thick = interfaces.join(below, "level").select("level", F.abs(F.col("_s") - F.col("sigma")).alias("_ds"))
-    sums = field.join(thick, "level").groupBy("time", "node_id").agg(F.sum(F.col("_ds") * F.col("value")).alias("_v"))
-    out = sums.join(surface, ["time", "node_id"]).join(nodes.select("node_id", "h"), "node_id")
+    # one row per level; without the hint the field itself may be judged the smaller side
+    sums = field.join(F.broadcast(thick), "level").groupBy("time", "node_id").agg(F.sum(F.col("_ds") * F.col("value")).alias("_v"))
+    out = sums.join(shuffled(surface), ["time", "node_id"]).join(shuffled(nodes.select("node_id", "h")), "node_id")
     return out.select("time", "node_id", (F.col("_v") * (F.col("zeta") + F.col("h"))).alias("value"))
 
 

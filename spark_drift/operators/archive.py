@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spark_drift.operators.mesh import permute_nodes
 from spark_drift.schema import Mesh
-from spark_drift.util import cut_lineage
+from spark_drift.util import cut_lineage, shuffled
 
 #: Bits of a coordinate on the curve, and of a row's number inside its task (as Spark numbers rows).
 CURVE_BITS, ROW_BITS = 16, 33
@@ -54,7 +54,7 @@ def renumber_mesh(mesh: Mesh, permutation: DataFrame) -> Mesh:
     kept = [c for c in mesh.elements.columns if c != "nv"]
     corners = mesh.elements.select("element_id", F.posexplode("nv").alias("_slot", "node_id"))
     corners = permute_nodes(corners, permutation).groupBy("element_id").agg(*[F.max(F.when(F.col("_slot") == k, F.col("node_id"))).alias(f"_n{k}") for k in range(3)])
-    elements = mesh.elements.select(*kept).join(corners, "element_id").withColumn("nv", F.array("_n0", "_n1", "_n2"))
+    elements = mesh.elements.select(*kept).join(shuffled(corners), "element_id").withColumn("nv", F.array("_n0", "_n1", "_n2"))
     return Mesh(nodes, elements.select(*mesh.elements.columns), mesh.cs)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spark_drift.functions import geo
 from spark_drift.operators.mesh import SIDE_ENDS, centre_columns, corner_vectors, element_corners, element_sides
 from spark_drift.schema import LAND, LAND_CROSSED, MASKED_ELEMENT, NOT_FOUND, OPEN_CROSSED, PHI_EPS, Mesh
-from spark_drift.util import cut_lineage, one_row, skew_safe_join
+from spark_drift.util import cut_lineage, one_row, shuffled, skew_safe_join
 
 HOST_COLUMNS = ["host", "n0", "n1", "n2", "phi0", "phi1", "phi2", "mask_c", "flag"]
 
@@ -150,7 +150,7 @@ def locate_points(points: DataFrame, mesh: Mesh, x: str = "x", y: str = "y") ->
         F.col("element_id").alias("_e"), F.col("mask_c").alias("_mask"), *[F.col("nv")[k].alias(f"_n{k}") for k in range(3)],
         *TEST_COLUMNS[mesh.geographic], "_scale", *[f"_c{a}" for a in axes],
     )
-    hits = left.join(renamed, on & _inside(phis), "left")
+    hits = left.join(shuffled(renamed), on & _inside(phis), "left")
     for k in range(3):
         hits = hits.withColumn(f"_phi{k}", phis[k])
     best = hits.groupBy(x, y).agg(
@@ -159,7 +159,7 @@ def locate_points(points: DataFrame, mesh: Mesh, x: str = "x", y: str = "y") ->
         *[F.min_by(f"_phi{k}", "_e").alias(f"phi{k}") for k in range(3)],
         F.min_by("_mask", "_e").alias("mask_c"),
     )
-    found = skew_safe_join(points, best, [x, y], "left")
+    found = skew_safe_join(shuffled(points), best, [x, y], "left")
     return flag_hosts(found.select(*points.columns, "host", "n0", "n1", "n2", "phi0", "phi1", "phi2", "mask_c"))
 
 

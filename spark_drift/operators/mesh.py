@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_drift.functions import geo
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, SEA, Mesh
-from spark_drift.util import one_row
+from spark_drift.util import one_row, shuffled
 
 # (from, to) vertex positions of the side that lies opposite vertex 0, 1, 2.
 SIDE_ENDS = ((1, 2), (2, 0), (0, 1))
@@ -71,7 +71,7 @@ def attach_nodes(elements: DataFrame, nodes: DataFrame, columns: dict[str, str])
     out = elements
     for k in range(3):
         side = nodes.select(F.col("node_id").alias("_n"), *[F.col(c).alias(f"{name}{k}") for c, name in columns.items()])
-        out = out.withColumn("_k", F.col("nv")[k]).join(side, F.col("_k") == F.col("_n")).drop("_k", "_n")
+        out = out.withColumn("_k", F.col("nv")[k]).join(shuffled(side), F.col("_k") == F.col("_n")).drop("_k", "_n")
     return out
 
 
@@ -319,4 +319,4 @@ def unstagger_v(df: DataFrame, line: Sequence[str], index: str = "y_index", valu
 
 def permute_nodes(df: DataFrame, permutation: DataFrame, node: str = "node_id") -> DataFrame:
     """Replace node ids by their place in a stored permutation (place, node_id)."""
-    return df.join(permutation.select(F.col(node), F.col("place")), node).withColumn(node, F.col("place")).drop("place")
+    return df.join(shuffled(permutation.select(F.col(node), F.col("place"))), node).withColumn(node, F.col("place")).drop("place")

@@ -19,7 +19,7 @@ from spark_drift.operators.archive import is_archive, pruned
 from spark_drift.operators.mesh import centre_columns, corner_vectors, element_corners, element_masks
 from spark_drift.operators.time import nearest_time
 from spark_drift.schema import BOUNDARY, EARTH_RADIUS, LAND, NOT_FOUND, PHI_EPS, SEA, Mesh
-from spark_drift.util import cut_lineage, skew_safe_join
+from spark_drift.util import cut_lineage, shuffled, skew_safe_join
 
 PHI = ("phi0", "phi1", "phi2")
 
@@ -62,7 +62,7 @@ def _in_use(fields: DataFrame, feeds: DataFrame, at: Sequence[str]) -> DataFrame
     table without folders costs one more shuffle and saves no reading."""
     if "time" not in at or not is_archive(fields):
         return fields
-    return pruned(fields, feeds).join(feeds.select(*at).distinct(), list(at), "left_semi")
+    return pruned(fields, feeds).join(shuffled(feeds.select(*at).distinct()), list(at), "left_semi")
 
 
 def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_time: bool = True,
@@ -91,12 +91,12 @@ def gather(points: DataFrame, fields: DataFrame, variables: dict[str, int], in_t
     wide = widen(_in_use(fields, hosts, at), variables, at)
     cells = [f"{v}_{k}" for v, n in variables.items() for k in range(n)]
     if nodes is not None:
-        wide = wide.join(nodes.select("node_id", F.col("h").alias("_node_h")), "node_id")
+        wide = wide.join(shuffled(nodes.select("node_id", F.col("h").alias("_node_h"))), "node_id")
     values = [F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"_{c}_at{i}") for c in cells for i in range(len(slots))]
     if nodes is not None:
         values += [F.max(F.when(F.col("_i") == i, F.col("_node_h"))).alias(f"_h_at{i}") for i in range(3)]
-    around = hosts.join(wide, at).groupBy(*key).agg(*values)
-    joined = skew_safe_join(points, around, key, "left" if every else "inner")
+    around = hosts.join(shuffled(wide), at).groupBy(*key).agg(*values)
+    joined = skew_safe_join(shuffled(points), around, key, "left" if every else "inner")
     shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")] if in_time else [F.lit(1.0)]
 
     def total(c: str, columns: Sequence[str]) -> Column:
@@ -127,8 +127,8 @@ def gather_levels(points: DataFrame, fields: DataFrame, variables: dict[str, int
     hosts = points.select(*key).where("k_a is not null").distinct().select(*key, F.explode(F.array(*feeds)).alias("_f")).select(*key, "_f.*")
     at = ["node_id", "time", "level"]
     wide = _known_levels(_in_use(fields, hosts, at), variables).groupBy(*at).agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
-    around = hosts.join(wide, at).groupBy(*key).agg(*[F.max(F.when(F.col("_i") == i, F.col(v))).alias(f"_{v}_at{i}") for v in variables for i in range(len(slots))])
-    joined = skew_safe_join(points, around, key, "left")
+    around = hosts.join(shuffled(wide), at).groupBy(*key).agg(*[F.max(F.when(F.col("_i") == i, F.col(v))).alias(f"_{v}_at{i}") for v in variables for i in range(len(slots))])
+    joined = skew_safe_join(shuffled(points), around, key, "left")
     shares = [F.lit(1.0) - F.col("t_frac"), F.col("t_frac")]
     out = []
     for j, side in enumerate("ab"):
@@ -203,7 +203,7 @@ def adjust_boundary_phi(points: DataFrame, mesh: Mesh) -> DataFrame:
 
     With every sea φ at 0 the first sea node is taken. LAND hosts are an error."""
     masks = element_masks(mesh).select("element_id", *[F.col(f"m{k}").alias(f"_m{k}") for k in range(3)])
-    joined = points.join(masks, F.col("host") == F.col("element_id"), "left").drop("element_id")
+    joined = points.join(shuffled(masks), F.col("host") == F.col("element_id"), "left").drop("element_id")
     sea_phi = [F.when(F.col(f"_m{k}") == SEA, F.col(f"phi{k}")).otherwise(F.lit(-1.0)) for k in range(3)]
     best = F.greatest(*sea_phi)
     bad = F.raise_error(F.lit("host element is land, or has no sea node")).cast("int")
@@ -240,7 +240,7 @@ def basis_gradients(mesh: Mesh) -> DataFrame:
 
 
 def with_gradients(points: DataFrame, mesh: Mesh) -> DataFrame:
-    return points.join(basis_gradients(mesh), F.col("host") == F.col("element_id")).drop("element_id")
+    return points.join(shuffled(basis_gradients(mesh)), F.col("host") == F.col("element_id")).drop("element_id")
 
 
 GRADIENT_WEIGHTS = {"": PHI, "_dx": ("gx0", "gx1", "gx2"), "_dy": ("gy0", "gy1", "gy2")}
@@ -267,7 +267,7 @@ def idw_neighbours(points: DataFrame, elem_values: DataFrame, mesh: Mesh, values
         F.concat(F.array("element_id"), F.filter("nbe", lambda e: e >= 0))).alias("_i", "_near"))
     frames = ["t_last", "t_next"] if in_time else [None]
     key = ["host", *(f for f in frames if f)]
-    spots = around.join(points.select(*key).distinct(), "host").join(centres, "_near")
+    spots = around.join(shuffled(points.select(*key).distinct()), "host").join(shuffled(centres), "_near")
     if in_time:
         spots = spots.select("*", F.posexplode(F.array(*frames)).alias("_f", "_time"))
     else:
@@ -275,7 +275,7 @@ def idw_neighbours(points: DataFrame, elem_values: DataFrame, mesh: Mesh, values
     vals = elem_values.withColumnRenamed("element_id", "_near").withColumnsRenamed({v: f"_v_{v}" for v in values})
     if in_time:
         vals = vals.withColumnRenamed("time", "_time")
-    spots = spots.join(vals, ["_near", "_time"] if in_time else ["_near"])
+    spots = spots.join(shuffled(vals), ["_near", "_time"] if in_time else ["_near"])
     # at most four spots per host: itself and its neighbours
     cells = []
     for i in range(4):
@@ -283,7 +283,7 @@ def idw_neighbours(points: DataFrame, elem_values: DataFrame, mesh: Mesh, values
         cells += [F.max(F.when(here, F.col(c))).alias(f"{c}{i}") for c in ("_xc", "_yc")]
         cells += [F.max(F.when(here & (F.col("_f") == f), F.col(f"_v_{v}"))).alias(f"_v_{v}_{i}_{f}") for v in values for f in range(len(frames))]
         cells += [F.max((here & (F.col("_f") == f)).cast("int")).alias(f"_has_{i}_{f}") for f in range(len(frames))]
-    rows = skew_safe_join(points, spots.groupBy(*key).agg(*cells), key)
+    rows = skew_safe_join(shuffled(points), spots.groupBy(*key).agg(*cells), key)
     for i in range(4):
         if mesh.geographic:
             r = geo.haversine(F.radians(x), F.radians(y), F.radians(f"_xc{i}"), F.radians(f"_yc{i}"))
@@ -427,9 +427,9 @@ def depth_fields(fields: DataFrame, nodes: DataFrame, levels: DataFrame | Sequen
     ``levels``: σ of each node as a table (node_id, level, sigma), or the s-levels (s, C(s)) of the
     source as a list, with their critical depth ``hc``."""
     surface = fields.where((F.col("variable") == "zeta") & (F.col("level") == 0)).select("node_id", "time", F.col("value").alias("_zeta"))
-    rows = surface.join(nodes.select("node_id", F.col("h").alias("_h")), "node_id")
+    rows = surface.join(shuffled(nodes.select("node_id", F.col("h").alias("_h"))), "node_id")
     if isinstance(levels, DataFrame):
-        rows = rows.join(levels.select("node_id", "level", F.col("sigma").alias("_sigma")), "node_id")
+        rows = rows.join(shuffled(levels.select("node_id", "level", F.col("sigma").alias("_sigma"))), "node_id")
         value = geo.sigma_to_depth("_sigma", "_h", "_zeta")
     else:
         listed = F.array(*[F.struct(F.lit(float(a)).alias("s"), F.lit(float(b)).alias("cs")) for a, b in levels])
@@ -538,7 +538,7 @@ def sample_velocity_staggered(points: DataFrame, sources: dict[str, tuple[Mesh,
         got = gather(found, fields, {name: n}, keep=[key, *vertical[3:]])
         columns = level_columns(name, n)
         value = at_depth(columns, "layers") if name in layers else on_interfaces(columns)
-        out = out.join(got.select(key, value.alias(name)), key, "left")
+        out = out.join(shuffled(got.select(key, value.alias(name))), key, "left")
     if "wo" not in sources:
         out = out.withColumn("wo", F.lit(0.0))
     return out
@@ -607,7 +607,7 @@ def wet_elements(elements: DataFrame, level_mask: DataFrame) -> DataFrame:
     """(element_id, time, wet): a sea element is dry where a vertex is masked on the top level."""
     corners = elements.where(F.col("mask_c") != LAND).select("element_id", F.explode("nv").alias("node_id"))
     top = level_mask.where(F.col("level") == 0).select("node_id", "time", "masked")
-    return corners.join(top, "node_id").groupBy("element_id", "time").agg((F.lit(1) - F.max("masked")).cast("int").alias("wet"))
+    return corners.join(shuffled(top), "node_id").groupBy("element_id", "time").agg((F.lit(1) - F.max("masked")).cast("int").alias("wet"))
 
 
 def is_wet(points: DataFrame, wet: DataFrame, surface: bool = False) -> DataFrame:
@@ -617,7 +617,7 @@ def is_wet(points: DataFrame, wet: DataFrame, surface: bool = False) -> DataFram
     out = points
     for c in ("t_last", "t_next"):
         w = wet.select(F.col("element_id").alias("host"), F.col("time").alias(c), F.col("wet").alias(f"_wet_{c}"))
-        out = out.join(w, ["host", c], "left")
+        out = out.join(shuffled(w), ["host", c], "left")
     both = F.least(F.coalesce("_wet_t_last", F.lit(0)), F.coalesce("_wet_t_next", F.lit(0)))
     out = out.select(*points.columns, both.alias("wet"))
     if {"zmin", "zmax"} <= set(points.columns):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spark_drift.operators import analytics as ops
 from spark_drift.plans.registry import query, rd
 from spark_drift.plans.tables import LEVEL_DEPTHS, ORACLE_ONLY
+from spark_drift.util import shuffled
 
 C = F.col
 
@@ -190,7 +191,7 @@ def rmse_profile(t):
     {KERNEL_2D.format(by='release, time', rows='day_fixes', evals='JOIN top ev USING (time)').strip()}
     SELECT round(sqrt(avg(pow(density * 1000 - round(value, 5), 2))), 5) + 0.0 AS rmse, count(*) AS n FROM dens JOIN top USING (time, slot)""")
 def rmse_field(t):
-    field = _integral(t).join(t.mesh.nodes.select("node_id", "x", "y"), "node_id").withColumn("value", F.round("value", 5))
+    field = _integral(t).join(shuffled(t.mesh.nodes.select("node_id", "x", "y")), "node_id").withColumn("value", F.round("value", 5))
     return ops.rmse_field(t.table("day_fixes"), field, 20, 1000.0).select(rd("rmse", 5).alias("rmse"), "n")
 
 

@@ -14,6 +14,7 @@ from spark_drift.operators.locate import TEST_COLUMNS, element_cells, phi_column
 from spark_drift.operators.time import asof_frames
 from spark_drift.schema import LAND, Mesh
 from spark_drift.streaming.state import STORE
+from spark_drift.util import shuffled
 
 
 def stream_locate(fixes: DataFrame, mesh: Mesh, keep: list[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def stream_locate(fixes: DataFrame, mesh: Mesh, keep: list[str]) -> DataFrame:
         own = cells.where(F.col("_scale") == s).select(*[F.col(f"_c{a}").alias(f"_c{a}_{s}") for a in axes], F.col("elements").alias(f"_elements_{s}"))
         left = left.select("*", *[c.alias(f"_p{a}_{s}") for a, c in enumerate(at)])
         on = functools.reduce(lambda p, q: p & q, [F.col(f"_p{a}_{s}") == F.col(f"_c{a}_{s}") for a in axes])
-        left = left.join(own, on, "left")
+        left = left.join(shuffled(own), on, "left")
     several = F.concat(*[F.coalesce(F.col(f"_elements_{s}"), F.array().cast(cells.schema["elements"].dataType)) for s in scales])
     rows = left.select(*keep, *[c for c in left.columns if c.startswith("_u")], F.array_sort(several, lambda a, b: (a["host"] - b["host"]).cast("int")).alias("_e"))
     names = TEST_COLUMNS[g]
@@ -65,11 +66,11 @@ def stream_sample(fixes: DataFrame, fields: DataFrame, frames: DataFrame, mesh:
     node = fields.where((F.col("variable") == variable) & (F.col("level") == 0)).select("node_id", F.col("time").alias("_frame"), "value")
     corners = mesh.elements.select(F.col("element_id").alias("host"), F.posexplode("nv").alias("_slot", "node_id"))
     # an element's three values in a frame, once for all fixes
-    values = corners.join(node, "node_id").groupBy("host", "_frame").agg(*[F.max(F.when(F.col("_slot") == k, F.col("value"))).alias(f"_v{k}") for k in range(3)])
+    values = corners.join(shuffled(node), "node_id").groupBy("host", "_frame").agg(*[F.max(F.when(F.col("_slot") == k, F.col("value"))).alias(f"_v{k}") for k in range(3)])
     parts = []
     for frame, share in (("t_last", F.lit(1.0) - F.col("t_frac")), ("t_next", F.col("t_frac"))):
         own = values.withColumnsRenamed({"_frame": frame} | {f"_v{k}": f"_{frame}{k}" for k in range(3)})
-        rows = rows.join(own, ["host", frame])
+        rows = rows.join(shuffled(own), ["host", frame])
         parts += [F.coalesce(F.col(f"_{frame}{k}"), F.lit(0.0)) * F.col(f"phi{k}") * share for k in range(3)]
     return rows.select(key, "time", "host", functools.reduce(lambda a, b: a + b, parts).alias("value"))
 

@@ -26,6 +26,44 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.withColumn("_same", same).join(right.withColumn("_same", same), [*keys, "_same"], how).drop("_same")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join that meets the other by a shuffle, never by a broadcast through the driver.
+
+    Spark judges a side by its compressed files and doesn't count the rows that an ``explode`` adds. Once a
+    broadcast is planned, adaptive execution keeps it when it sees the true size, since the other plan has
+    more shuffles. Sides that grow with the mesh, its frames or the points are named by this."""
+    return df.hint("merge")
+
+
+#: Rows of a block and pairs of a task in ``join_in_blocks``.
+BLOCK_ROWS, TASK_PAIRS, MOST_TASKS = 2048, 4_000_000, 20_000
+
+
+def join_in_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join on whole-numbered ``keys`` whose tasks get a like share of the pairs, not of the rows or bytes.
+
+    The rows of a key are dealt into blocks on both sides by a hash of the whole row, and every block of one
+    side meets every block of the other in a place of its own: a key that many rows share is spread over as
+    many tasks as its pairs need, which byte sizes don't show. Keys of one side alone are left out first."""
+    keys = list(keys)
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), keys)
+    sizes = cut_lineage(sizes)
+    pairs = one_row(sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")).alias("n")))["n"] or 0
+    tasks = int(min(max(1, -(-pairs // TASK_PAIRS)), MOST_TASKS))
+    blocks = sizes.select(*keys, *[F.ceil(F.col(n) / BLOCK_ROWS).cast("int").alias(b) for n, b in (("_nl", "_bl"), ("_nr", "_br"))])
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        row = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+        rows = skew_safe_join(shuffled(df), blocks, keys).withColumn(own, F.pmod(row, F.col(n_own)))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other).cast("long") - 1)))
+        # one column: of several, a constant one would drop out of the join's keys, and with it what is dealt here
+        return rows.withColumn("_place", F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "_l", "_r")])).drop("_bl", "_br", "_l", "_r").repartition(tasks, "_place")
+
+    a = dealt(left, "_l", "_bl", "_r", "_br")
+    b = dealt(right, "_r", "_br", "_l", "_bl").drop(*keys)
+    return a.join(shuffled(b), "_place").drop("_place")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only a local session gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir():
