@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spark_drift.functions import geo
 from spark_drift.functions.projection import epsg_code, lonlat_from_utm_cols, utm_from_lonlat_cols
-from spark_drift.util import one_row, skew_safe_join, uniform
+from spark_drift.util import join_in_blocks, one_row, shuffled, skew_safe_join, uniform
 
 CHUNK = 4096
 
@@ -87,9 +87,10 @@ def disc_points_regular(zones: DataFrame) -> DataFrame:
 def within_zone(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(point, zone) for every point within the radius of a zone.
 
-    Zones are listed in the cells their box touches at a cell side of the power of two at or
-    above their own diameter (four cells at most); points are keyed once per scale in use."""
-    scale = F.ceil(F.log2(F.lit(2.0) * F.col("radius"))).cast("int")
+    Zones are listed in the cells their box touches at a cell side of a quarter of the power of two
+    at or above their own diameter, so that few points off the disc are looked at; points are keyed once
+    per scale in use. As many pairs as there are, tasks get a like share of them (``join_in_blocks``)."""
+    scale = F.ceil(F.log2(F.lit(2.0) * F.col("radius"))).cast("int") - 2
     z = zones.select("group_id", "cx", "cy", "radius", scale.alias("_scale"))
     scales = one_row(z.agg(F.collect_set("_scale").alias("s")))["s"] or [0]  # a few exponents
     side = F.pow(F.lit(2.0), F.col("_scale"))
@@ -99,10 +100,10 @@ def within_zone(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y")
     p = points.withColumn("_ps", F.explode(F.array(*[F.lit(int(s)) for s in sorted(scales)])))
     pside = F.pow(F.lit(2.0), F.col("_ps"))
     p = p.withColumns({"_px": F.floor(F.col(x) / pside).cast("long"), "_py": F.floor(F.col(y) / pside).cast("long")})
-    on = (F.col("_ps") == F.col("_scale")) & (F.col("_px") == F.col("_zx")) & (F.col("_py") == F.col("_zy"))
-    z = z.withColumnRenamed("group_id", "zone_id")
-    hits = p.join(z, on).where(geo.euclid(x, y, "cx", "cy") <= F.col("radius"))
-    return hits.select(*points.columns, "zone_id")
+    p = p.withColumnsRenamed({"_ps": "_scale", "_px": "_zx", "_py": "_zy"})
+    z = z.withColumnsRenamed({"group_id": "_zone", "cx": "_cx", "cy": "_cy", "radius": "_radius"})
+    hits = join_in_blocks(p, z, ["_scale", "_zx", "_zy"]).where(geo.euclid(x, y, "_cx", "_cy") <= F.col("_radius"))
+    return hits.select(*points.columns, F.col("_zone").alias("zone_id"))
 
 
 def zones_along_line(lines: DataFrame, radius: float, cs: str = "cartesian") -> DataFrame:
@@ -134,9 +135,9 @@ def zones_along_line(lines: DataFrame, radius: float, cs: str = "cartesian") ->
 def _ring_sides(vertices: DataFrame) -> DataFrame:
     """(polygon_id, idx, x, y, xn, yn): each vertex with the next, by an equi-join on the index."""
     n = vertices.groupBy("polygon_id").agg(F.max("idx").alias("_last"))
-    a = skew_safe_join(vertices, n, ["polygon_id"]).withColumn("_next", F.when(F.col("idx") == F.col("_last"), 0).otherwise(F.col("idx") + 1))
+    a = skew_safe_join(shuffled(vertices), n, ["polygon_id"]).withColumn("_next", F.when(F.col("idx") == F.col("_last"), 0).otherwise(F.col("idx") + 1))
     b = vertices.select(F.col("polygon_id").alias("_p"), F.col("idx").alias("_i"), F.col("x").alias("xn"), F.col("y").alias("yn"))
-    return a.join(b, (F.col("polygon_id") == F.col("_p")) & (F.col("_next") == F.col("_i"))).drop("_p", "_i", "_next", "_last")
+    return a.join(shuffled(b), (F.col("polygon_id") == F.col("_p")) & (F.col("_next") == F.col("_i"))).drop("_p", "_i", "_next", "_last")
 
 
 def is_clockwise(vertices: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def is_clockwise(vertices: DataFrame) -> DataFrame:
 
 def nearest_vertex(vertices: DataFrame, starts: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(polygon_id, idx, distance): vertex nearest to each polygon's start (sx, sy); first on ties."""
-    rows = vertices.join(starts, "polygon_id")
+    rows = vertices.join(shuffled(starts), "polygon_id")
     d = geo.euclid("x", "y", "sx", "sy")
     best = rows.groupBy("polygon_id").agg(F.min(F.struct(d.alias("distance"), F.col("idx"))).alias("b"))
     out = best.select("polygon_id", "b.idx", "b.distance")
@@ -157,47 +158,56 @@ def nearest_vertex(vertices: DataFrame, starts: DataFrame, tolerance: float | No
     return out.withColumn("distance", F.when(F.col("distance") < tolerance, F.col("distance")).otherwise(far))
 
 
-def _walk_ring(xy: np.ndarray, start: int, clockwise: bool, spacing: float, length: float | None) -> list[tuple[float, float]]:
+def _walk_ring(xy: Sequence[Sequence[float]], start: int, clockwise: bool, spacing: float, length: float | None) -> list[tuple[float, float]]:
     """Centres on the ring, each at straight-line distance ``spacing`` from the last."""
-    n = len(xy)
+    ring = [(float(x), float(y)) for x, y in xy]
+    n = len(ring)
     step = 1 if clockwise else -1
-    centre = xy[start % n]
-    centres = [centre]
-    here, travelled = centre, 0.0
+    cx, cy = hx, hy = ring[start % n]
+    centres = [(cx, cy)]
+    travelled = 0.0
     for count in range(1, n + 1):
         if length is not None and travelled > length:
             break
-        target = xy[(start + step * count) % n]
-        while np.hypot(*(target - centre)) >= spacing:
-            side = target - here
-            off = here - centre
-            a, b, c = side @ side, 2 * (off @ side), off @ off - spacing * spacing
+        tx, ty = ring[(start + step * count) % n]
+        sx, sy = tx - hx, ty - hy
+        while math.hypot(tx - cx, ty - cy) >= spacing:
+            ox, oy = hx - cx, hy - cy
+            a, b, c = sx * sx + sy * sy, 2 * (ox * sx + oy * sy), ox * ox + oy * oy - spacing * spacing
             # the root nearer the end of the side: the ring leaves the circle there
             f = (-b + math.sqrt(max(b * b - 4 * a * c, 0.0))) / (2 * a)
-            centre = here + min(max(f, 0.0), 1.0) * side
-            centres.append(centre)
-        travelled += float(np.hypot(*(target - here)))
-        here = target
-    return [(float(c[0]), float(c[1])) for c in centres]
+            f = min(max(f, 0.0), 1.0)
+            cx, cy = hx + f * sx, hy + f * sy
+            centres.append((cx, cy))
+        travelled += math.hypot(sx, sy)
+        hx, hy = tx, ty
+    return centres
 
 
 def zones_around_polygon(vertices: DataFrame, starts: DataFrame, radius: float, target_length: float | None = None) -> DataFrame:
     """Touching discs round each ring from the vertex nearest its start: (polygon_id, index, cx, cy, radius).
 
-    Each centre depends on the one before, so one ring is walked in one task (a ring is one
-    outline); rings run in parallel. Stops after one turn or ``target_length``."""
+    Each centre depends on the one before, so a ring is one row (an outline) that one task walks; tasks walk
+    many rings, however few bytes these are. Stops after one turn or ``target_length``."""
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = nearest_vertex(vertices, starts).select("polygon_id", F.col("idx").alias("start"))
-    rows = vertices.join(first, "polygon_id").join(is_clockwise(vertices), "polygon_id")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        centres = _walk_ring(pdf[["x", "y"]].to_numpy(), int(pdf["start"].iloc[0]), bool(pdf["clockwise"].iloc[0]),
-                             2 * radius, target_length)
-        return pd.DataFrame({"polygon_id": pdf["polygon_id"].iloc[0], "index": range(len(centres)),
-                             "cx": [c[0] for c in centres], "cy": [c[1] for c in centres], "radius": float(radius)})
+    gap = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    corner = F.struct(F.col("idx").isNull().alias("_last"), "idx", gap("x"), gap("y"))
+    # dealt by number, or adaptive execution puts rings of few bytes into few tasks
+    rings = vertices.repartition(parts, "polygon_id").groupBy("polygon_id").agg(F.array_sort(F.collect_list(corner)).alias("_ring"))
+    rings = rings.join(shuffled(first), "polygon_id").join(shuffled(is_clockwise(vertices)), "polygon_id")
+    rings = rings.select("polygon_id", "start", "clockwise", F.col("_ring.x").alias("xs"), F.col("_ring.y").alias("ys"))
+
+    def walk(batches):
+        for pdf in batches:
+            rows = [_walk_ring(list(zip(xs, ys)), int(s), bool(c), 2 * radius, target_length)
+                    for xs, ys, s, c in zip(pdf["xs"], pdf["ys"], pdf["start"], pdf["clockwise"])]
+            yield pd.DataFrame({"polygon_id": pdf["polygon_id"], "xs": [[p[0] for p in r] for r in rows], "ys": [[p[1] for p in r] for r in rows]})
 
     kind = dict(vertices.dtypes)["polygon_id"]
-    return rows.groupBy("polygon_id").applyInPandas(walk, f"polygon_id {kind}, index long, cx double, cy double, radius double")
+    walked = rings.mapInPandas(walk, f"polygon_id {kind}, xs array<double>, ys array<double>")
+    out = walked.select("polygon_id", F.posexplode(F.arrays_zip("xs", "ys")).alias("index", "_c"))
+    return out.select("polygon_id", F.col("index").cast("long").alias("index"), F.col("_c.xs").alias("cx"), F.col("_c.ys").alias("cy"), F.lit(float(radius)).alias("radius"))
 
 
 def zone_overlaps(zones: DataFrame, tol: float = 0.0) -> DataFrame:
@@ -205,26 +215,31 @@ def zone_overlaps(zones: DataFrame, tol: float = 0.0) -> DataFrame:
 
     Zones lie in the cells their box touches at a cell side of the power of two at or above their
     own diameter, and look into the cells they touch at every larger side in use: a pair meets at
-    the side of its larger zone, and one wide zone does not bring all others together."""
+    the side of its larger zone, and one wide zone does not bring all others together. It counts in the
+    first cell that both touch alone, and tasks get a like share of the pairs (``join_in_blocks``)."""
     scale = F.ceil(F.log2(F.greatest(F.lit(2.0) * F.col("radius"), F.lit(1e-9)))).cast("int")
     rows = zones.select("group_id", "cx", "cy", "radius", scale.alias("_own"))
+    repeated = bool(rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
     scales = sorted(one_row(rows.agg(F.collect_set("_own").alias("s")))["s"] or [0])  # a few exponents
 
     def cells(df: DataFrame) -> DataFrame:
         side = F.pow(F.lit(2.0), F.col("_scale"))
         for name, c in (("_i", "cx"), ("_j", "cy")):
             lo, hi = F.floor((F.col(c) - F.col("radius")) / side), F.floor((F.col(c) + F.col("radius")) / side)
-            df = df.withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+            df = df.withColumn(f"_lo{name}", lo.cast("long"))
+            df = df.withColumn(name, F.explode(F.sequence(F.col(f"_lo{name}"), hi.cast("long"))))
         return df
 
     wide = cells(rows.withColumn("_scale", F.col("_own")))
     every = F.filter(F.array(*[F.lit(int(s)) for s in scales]), lambda s: s >= F.col("_own"))
-    small = cells(rows.withColumn("_scale", F.explode(every))).withColumnsRenamed({"group_id": "a", "cx": "ax", "cy": "ay", "radius": "ar", "_own": "_small"})
-    pairs = small.join(wide, ["_scale", "_i", "_j"])
+    small = cells(rows.withColumn("_scale", F.explode(every))).withColumnsRenamed({"group_id": "a", "cx": "ax", "cy": "ay", "radius": "ar", "_own": "_small", "_lo_i": "_from_i", "_lo_j": "_from_j"})
+    pairs = join_in_blocks(small, wide, ["_scale", "_i", "_j"])
+    pairs = pairs.where((F.col("_i") == F.greatest("_lo_i", "_from_i")) & (F.col("_j") == F.greatest("_lo_j", "_from_j")))
     pairs = pairs.where((F.col("_small") < F.col("_own")) | ((F.col("_small") == F.col("_own")) & (F.col("a") < F.col("group_id"))))
     touch = F.col("ar") + F.col("radius")
     pairs = pairs.withColumn("overlap", (touch - geo.euclid("ax", "ay", "cx", "cy")) / touch).where(F.col("overlap") > tol)
-    return pairs.select(F.least("a", "group_id").alias("a"), F.greatest("a", "group_id").alias("b"), "overlap").distinct()
+    pairs = pairs.select(F.least("a", "group_id").alias("a"), F.greatest("a", "group_id").alias("b"), "overlap")
+    return pairs.distinct() if repeated else pairs  # only zones that share an id give equal rows
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:
