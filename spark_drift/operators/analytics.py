@@ -93,7 +93,7 @@ def member_density_1d(fixes: DataFrame, levels: DataFrame, n_levels: int | None
     stats = fixes.groupBy(release, time).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(z).alias("s"))
     h = F.col("s") * F.pow(F.lit(4.0) / (F.col("n") * 3), F.lit(0.2))
     stats = stats.select(release, time, "n", F.when(h > 0, h).alias("h")).join(wide.where("_any is not null"), time)
-    rows = skew_safe_join(fixes.select(release, time, F.col(z).alias("_z")), stats, [release, time])
+    rows = skew_safe_join(shuffled(fixes.select(release, time, F.col(z).alias("_z"))), stats, [release, time])
     zc, hc = F.col("_z"), F.col("h")
     sums = []
     for k in ks:
@@ -133,7 +133,7 @@ def _kernel_2d(rows: DataFrame, evals: DataFrame, by: Sequence[str], key: Sequen
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     # fixes on a line have no plane density; rounding must not decide whether they are
     stats = stats.withColumn("det", F.when(det > F.lit(1e-9) * F.col("xx") * F.col("yy"), det)).where("det is not null")
-    fixes = skew_safe_join(fixes, stats, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+    fixes = skew_safe_join(shuffled(fixes), stats, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
     fixes = skew_safe_join(fixes, wide, [*key, "_block"])
     sums = []
     for k in range(BLOCK):

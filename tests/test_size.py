@@ -99,6 +99,20 @@ def test_renumbered_fields_are_not_broadcast(spark):
     assert renumbered.elements.count() == 18 and not any("element_id" in k for k in broadcast_keys(renumbered.elements))
 
 
+def test_fixes_are_not_broadcast_to_their_members(spark):
+    i = F.col("id")
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    fixes = spark.range(60).select((i % 2).alias("release"), day.alias("time"), (i % 7).cast("double").alias("x"), (i % 11).cast("double").alias("y"), (i % 5 * -1.0).alias("z"))
+    nodes = spark.range(9).select(day.alias("time"), i.alias("node_id"), (i % 3).cast("double").alias("x"), F.floor(i / 3).cast("double").alias("y"), i.cast("double").alias("value"))
+    plane = analytics.rmse_field(fixes, nodes, 3)
+    got = plane.first()
+    assert got["n"] == 2 * 3 and got["rmse"] > 0
+    levels = spark.range(3).select(day.alias("time"), i.cast("int").alias("level"), (i * -2.0).alias("z"), F.lit(-5.0).alias("lo"), F.lit(0.0).alias("hi"))
+    depth = analytics.member_density_1d(fixes, levels, 3)
+    assert depth.count() == 2 * 3
+    assert not any(k.startswith("release") for df in (plane, depth) for k in broadcast_keys(df))
+
+
 def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(util, "BLOCK_ROWS", 16)
     monkeypatch.setattr(util, "TASK_PAIRS", 512)
