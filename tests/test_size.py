@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -99,6 +100,14 @@ def test_renumbered_fields_are_not_broadcast(spark):
     assert renumbered.elements.count() == 18 and not any("element_id" in k for k in broadcast_keys(renumbered.elements))
 
 
+def test_archived_fields_are_not_broadcast_to_points(spark, tmp_path):
+    mesh = small_mesh(spark)
+    stored = archive.write_archive(field_rows(spark, mesh, "zeta"), f"fields_{uuid.uuid4().hex}", str(tmp_path / "archive"), 8, 2)
+    out = sample.interp_2d_time(framed(spark), stored, "zeta")
+    assert [round(r["zeta"], 9) for r in out.collect()] == [0.2 * 0 + 0.3 * 1 + 0.5 * 5] * 4
+    assert not fed(out)
+
+
 def test_fixes_are_not_broadcast_to_their_members(spark):
     i = F.col("id")
     day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
