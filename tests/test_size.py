@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spark_drift import util
 from spark_drift.operators import analytics, archive, sample, zones
 from spark_drift.operators.locate import locate_points
-from spark_drift.operators.mesh import lattice_mesh, permute_nodes
+from spark_drift.operators.mesh import element_mask, lattice_mesh, permute_nodes
+from spark_drift.operators.regrid import regrid
 from spark_drift.schema import Mesh
 from spark_drift.streaming import streams
 
@@ -108,6 +109,18 @@ def test_archived_fields_are_not_broadcast_to_points(spark, tmp_path):
     assert not fed(out)
 
 
+def test_regridding_on_the_sphere_keeps_fields_in_place(spark):
+    mesh = small_mesh(spark)
+    nodes = mesh.nodes.withColumn("mask", (F.col("node_id") == 0).cast("int"))
+    sphere = Mesh(nodes, element_mask(mesh.elements, nodes), "geographic")
+    fields = field_rows(spark, mesh, "zeta").unionByName(field_rows(spark, mesh, "thetao", 2))
+    targets = spark.createDataFrame([(0, 0.8, 0.6, 0.0), (1, 0.8, 0.6, 0.0), (2, 9.0, 9.0, 0.0)], "point_id long, x double, y double, depth double")
+    out = regrid(fields, sphere, targets, ["2024-01-01 06:00:00"], ["thetao"], (0.0, 8.0), fields.select("time").distinct())
+    # the element has a land node: its nearest sea node, number 5, alone
+    assert {r["point_id"]: r["thetao"] for r in out.collect()} == {0: 5.0, 1: 5.0, 2: None}
+    assert not fed(out)
+
+
 def test_fixes_are_not_broadcast_to_their_members(spark):
     i = F.col("id")
     day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
