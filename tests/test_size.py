@@ -121,6 +121,15 @@ def test_regridding_on_the_sphere_keeps_fields_in_place(spark):
     assert not fed(out)
 
 
+def test_depths_by_s_levels_are_not_broadcast(spark):
+    mesh = small_mesh(spark)
+    out = sample.depth_fields(field_rows(spark, mesh, "zeta"), mesh.nodes, ((0.0, 0.0), (-0.3, -0.1), (-1.0, -1.0)), hc=5.0)
+    rows = out.collect()
+    assert len(rows) == 2 * 16 * 3 and not fed(out)
+    stretch = {0: 0.0, 1: (5 * -0.3 + -0.1 * 30) / 35, 2: -1.0}
+    assert all(math.isclose(r["value"], r["node_id"] + (r["node_id"] + 30) * stretch[r["level"]], abs_tol=1e-9) for r in rows)
+
+
 def test_fixes_are_not_broadcast_to_their_members(spark):
     i = F.col("id")
     day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
