@@ -130,6 +130,15 @@ def test_depths_by_s_levels_are_not_broadcast(spark):
     assert all(math.isclose(r["value"], r["node_id"] + (r["node_id"] + 30) * stretch[r["level"]], abs_tol=1e-9) for r in rows)
 
 
+def test_depths_by_sigma_of_nodes_are_not_broadcast(spark):
+    mesh = small_mesh(spark)
+    sigma = F.array(F.lit(0.0), F.lit(-0.2) - F.col("node_id") / 100.0, F.lit(-1.0))
+    out = sample.depth_fields(field_rows(spark, mesh, "zeta"), mesh.nodes, mesh.nodes.select("node_id", F.posexplode(sigma).alias("level", "sigma")))
+    rows = out.collect()
+    assert len(rows) == 2 * 16 * 3 and not fed(out)
+    assert all(math.isclose(r["value"], r["node_id"] + (r["node_id"] + 30) * (0.0, -0.2 - r["node_id"] / 100, -1.0)[r["level"]], abs_tol=1e-9) for r in rows)
+
+
 def test_fixes_are_not_broadcast_to_their_members(spark):
     i = F.col("id")
     day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
